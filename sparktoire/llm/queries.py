@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktoire.llm import bpe, quality
+from sparktoire.llm import bpe, quality, suffix_dedup
 from sparktoire.llm.common import table
 
 
@@ -17,7 +17,11 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +30,6 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
 }

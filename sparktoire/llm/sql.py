@@ -4,25 +4,43 @@ from __future__ import annotations
 
 from sparktoire.llm import quality
 
+def _windows(n: int) -> str:
+    """How often each window of ``n`` words is in its document."""
+    return f"SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i + 1 : i + {n}], ' ')) AS c FROM p WHERE i + {n} <= n"
+
+
 OP1 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
 p AS (SELECT doc_id, len(w) AS n, w, unnest(range(len(w))) AS i FROM d),
-g5 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i + 1 : i + 5], ' ')) AS c FROM p WHERE i + 5 <= n),
-gr AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i + 1 : i + {quality.REPEAT_WORDS}], ' ')) AS c FROM p WHERE i + {quality.REPEAT_WORDS} <= n),
+g5 AS ({_windows(5)}), gr AS ({_windows(quality.REPEAT_WORDS)}), gl AS ({_windows(quality.MAX_LONGEST_WORDS + 1)}),
 c5 AS (SELECT doc_id, count(DISTINCT i + k) AS c FROM g5, range(5) r(k) WHERE c > 1 GROUP BY doc_id),
 cr AS (SELECT doc_id, count(DISTINCT i + k) AS c FROM gr, range({quality.REPEAT_WORDS}) r(k) WHERE c > 1 GROUP BY doc_id),
-suffixes AS (SELECT doc_id, array_to_string(w[i + 1 :], ' ') || ' ' AS s, lead(array_to_string(w[i + 1 :], ' ') || ' ') OVER (PARTITION BY doc_id ORDER BY array_to_string(w[i + 1 :], ' ') || ' ') AS t FROM p),
-lr AS (SELECT doc_id, max(coalesce(len(list_filter(range(1, least(len(sw), len(tw)) + 1), x -> list_has_all([true], [sw[1:x] = tw[1:x]]))), 0)) AS m
-       FROM (SELECT doc_id, string_split(rtrim(s), ' ') AS sw, string_split(rtrim(t), ' ') AS tw FROM suffixes WHERE t IS NOT NULL) GROUP BY doc_id),
+cl AS (SELECT DISTINCT doc_id FROM gl WHERE c > 1),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT x) AS c FROM l WHERE regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]') GROUP BY doc_id),
 b AS (SELECT d.doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dl.c, 0) AS n_dup_lines,
-        coalesce(c5.c, 0) AS n_repeat_words, coalesce(cr.c, 0) AS covered_words, CAST(coalesce(lr.m, 0) AS BIGINT) AS longest_repeat
-      FROM d LEFT JOIN dl USING (doc_id) LEFT JOIN c5 USING (doc_id) LEFT JOIN cr USING (doc_id) LEFT JOIN lr USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, covered_words, longest_repeat,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * covered_words > {quality.MAX_COVERED_PERCENT} * n_words OR longest_repeat > {quality.MAX_LONGEST_WORDS}) AS kept
+        coalesce(c5.c, 0) AS n_repeat_words, coalesce(cr.c, 0) AS covered_words, cl.doc_id IS NOT NULL AS too_long
+      FROM d LEFT JOIN dl USING (doc_id) LEFT JOIN c5 USING (doc_id) LEFT JOIN cr USING (doc_id) LEFT JOIN cl USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, covered_words,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * covered_words > {quality.MAX_COVERED_PERCENT} * n_words OR too_long) AS kept
 FROM b
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1}
+OP5 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, CAST(octet_length(b) AS BIGINT) AS n FROM d),
+w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS g FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM n WHERE n >= 50)),
+f AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g HAVING count(*) > 1),
+g AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS head FROM w JOIN f USING (g) WHERE doc_id > least),
+r AS (SELECT doc_id, i, sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS after FROM s),
+t AS (SELECT n.doc_id, sum(k.b - k.a) AS removed, count(*) AS spans,
+        string_agg(substr(n.h, 2 * k.before + 1, 2 * (k.a - k.before)), '' ORDER BY k.a) || substr(any_value(n.h), 2 * max(k.b) + 1) AS left_hex
+      FROM n JOIN k USING (doc_id) GROUP BY n.doc_id)
+SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(t.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t.left_hex, n.h))) AS kept_sha256
+FROM n LEFT JOIN t USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op5_suffix_array_dedup": OP5}
