@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktoire.llm import bpe, quality, suffix_dedup
+from sparktoire.llm import bpe, near_dedup, quality, suffix_dedup
 from sparktoire.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -31,5 +35,6 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
 }
