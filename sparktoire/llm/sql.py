@@ -43,4 +43,14 @@ SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(t.removed, 0) AS BIGINT) AS n_rem
 FROM n LEFT JOIN t USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op5_suffix_array_dedup": OP5}
+OP2 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM benchmark),
+ds AS (SELECT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS s FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i + 1 : i + 5], ' ') AS s FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM b WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
+x AS (SELECT doc_id, item_id, count(DISTINCT s) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment FROM x JOIN n USING (item_id) WHERE n_shared * 100 >= n_shingles * 80
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op2_benchmark_decontamination": OP2, "op5_suffix_array_dedup": OP5}
