@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -23,13 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialized(df: DataFrame, *partition_by: str) -> DataFrame:
+def materialized(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, n: int, column: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, bucketed by ``column``: grouping by it needs no shuffle.
+
+    ``df`` should already be dealt by ``column``, so that each bucket is one file.
+    """
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/tables/{name}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(min(n, 100_000), column).sortBy(column).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def dropped(df: DataFrame) -> None:
@@ -44,3 +55,9 @@ def dropped(df: DataFrame) -> None:
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts; it only sizes buckets."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0)).alias("n")).first()["n"])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now, not when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktoire.llm import bpe, decontaminate, near_dedup, quality, suffix_dedup
+from sparktoire.llm import bpe, decontaminate, katz, near_dedup, quality, suffix_dedup, toxicity
 from sparktoire.llm.common import table
 
 
@@ -24,6 +24,14 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,8 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_toxicity": op3_toxicity,
+    "op4_katz_backoff": op4_katz_backoff,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
