@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktoire.llm import bpe, decontaminate, katz, near_dedup, quality, suffix_dedup, toxicity
+from sparktoire.llm import bpe, decontaminate, katz, langid, near_dedup, quality, suffix_dedup, tokencount, toxicity, urlfilter
 from sparktoire.llm.common import table
 
 
@@ -40,10 +40,22 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.edited_counts(tokencount.sample_edits(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -51,5 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_katz_backoff": op4_katz_backoff,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_token_counts": op7_token_counts,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
+    "op9_url_filters": op9_url_filters,
+    "op10_language_id": op10_language_id,
 }
