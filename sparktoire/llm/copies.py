@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sparktoire.llm import textbytes as tb
-from sparktoire.llm.common import materialized, text_bytes
+from sparktoire.llm.common import bucketed, release, text_bytes
 
 BUCKET_BYTES = 4 << 20
 LEAST_BUCKETS = 64
@@ -44,7 +44,7 @@ def _collapse(ids: np.ndarray, texts: pa.Array, least: int) -> tuple[np.ndarray,
 
 
 def distinct_texts(docs: DataFrame, n_buckets: int, least_bytes: int = 0) -> DataFrame:
-    """One written row per document: ``bucket, doc_id, owner, n_bytes, text``.
+    """One row per document, in a table bucketed by ``bucket``: ``bucket, doc_id, owner, n_bytes, text``.
 
     ``text`` is null for a copy; then ``owner`` is the ``doc_id`` of a row with the same text, whose
     own ``owner`` may be yet another one (follow it twice at most). Null texts count as empty, null
@@ -52,12 +52,12 @@ def distinct_texts(docs: DataFrame, n_buckets: int, least_bytes: int = 0) -> Dat
     """
 
     def rows(ids: pa.Array, texts: pa.Array, n_bytes: np.ndarray, owner: np.ndarray, keeps: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(bucket, pa.int32()), ids, pa.array(owner), pa.array(n_bytes), pa.compute.if_else(pa.array(keeps), texts, None).cast(pa.string())]
+        columns = [pa.array(bucket, pa.int32()), ids, pa.array(owner), pa.array(n_bytes), texts.take(pa.array(np.arange(len(keeps)), mask=~keeps)).cast(pa.string())]
         return pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, buf, offsets in tb.chunks(batch, "text", 16 << 20):
+            for row, end, buf, offsets in tb.chunks(batch, "text"):
                 ids = batch.column(0).slice(row, end - row)
                 texts = batch.column(1).slice(row, end - row).cast(pa.large_string())
                 number = np.asarray(ids)
@@ -81,4 +81,6 @@ def distinct_texts(docs: DataFrame, n_buckets: int, least_bytes: int = 0) -> Dat
         return pa.Table.from_batches([rows(ids, texts, size, owner, keeps, np.asarray(table["bucket"].combine_chunks()))], ARROW)
 
     x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return materialized(x.mapInArrow(local, SCHEMA).groupBy("bucket").applyInArrow(merged, SCHEMA))
+    rows = bucketed(x.mapInArrow(local, SCHEMA).groupBy("bucket").applyInArrow(merged, SCHEMA), n_buckets, "bucket")
+    release(docs.sparkSession)
+    return rows

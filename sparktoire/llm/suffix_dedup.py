@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sparktoire.llm import textbytes as tb
-from sparktoire.llm.common import materialized
+from sparktoire.llm.common import materialized, release
 from sparktoire.llm.copies import NO_ID, buckets_for, distinct_texts
 
 LENGTH, GRAM = 50, 16
@@ -345,6 +345,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     texts = rows.where(F.col("text").isNotNull()).select("bucket", "doc_id", "text")
     keys = texts.mapInArrow(send_keys(n), KEYS).groupBy("bucket").applyInArrow(answer_keys(n), KEYS)
     snippets = materialized(texts.groupBy("bucket").cogroup(keys.groupBy("bucket")).applyInArrow(send_snippets(n), SNIPPETS))
+    release(docs.sparkSession)
     spans = snippets.where("bucket >= 0").groupBy("bucket").applyInArrow(compare_snippets, SPANS)
     spans = spans.unionByName(snippets.where("bucket < 0").select(F.col("source").alias("bucket"), "document", "start", "size").mapInArrow(_stops, SPANS))
     schema = SCHEMA.replace("kept_sha256", "text") if with_text else SCHEMA

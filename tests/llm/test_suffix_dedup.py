@@ -65,3 +65,13 @@ def test_empty_table_and_text_output(spark, documents, prose):
     a = prose(1, 40)
     got = {r.doc_id: r.text for r in sd.substring_dedup(documents([(1, a), (2, "new " + a), (3, a)]), with_text=True).collect()}
     assert got == {1: a, 2: "new ", 3: ""}
+
+
+def test_collapse_of_a_second_chunk(spark, documents, prose):
+    """Chunks after the first of a batch have offsets that don't begin at 0."""
+    big = prose(1, 20_000) * 60
+    rows = [(1, big), (2, big + "x" * 60), (3, prose(2, 50)), (4, big), (5, prose(2, 50))]
+    got = {r.doc_id: (r.n_removed, r.n_bytes) for r in sd.substring_dedup(documents(rows).coalesce(1)).collect()}
+    n = len(big.encode())
+    assert len(big.encode()) > 5 << 20 and got[4] == (n, n) and got[5][0] == got[5][1] and got[3][0] == 0 and got[1] == (0, n)
+    assert got[2][0] == n
