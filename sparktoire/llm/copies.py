@@ -22,7 +22,7 @@ LEAST_BUCKETS = 64
 #: Stands for a null ``doc_id``: it comes after all others.
 NO_ID = (1 << 63) - 1
 SCHEMA = "bucket int, doc_id long, owner long, n_bytes long, text string"
-ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("owner", pa.int64()), ("n_bytes", pa.int64()), ("text", pa.string())])
+NAMES = ["bucket", "doc_id", "owner", "n_bytes", "text"]
 
 
 def buckets_for(docs: DataFrame) -> int:
@@ -43,17 +43,25 @@ def _collapse(ids: np.ndarray, texts: pa.Array, least: int) -> tuple[np.ndarray,
     return owner, (owner == ids) | (size < least)
 
 
-def distinct_texts(docs: DataFrame, n_buckets: int, least_bytes: int = 0) -> DataFrame:
+def carried(docs: DataFrame, columns: list[str]) -> list:
+    """The columns under names that can't clash."""
+    return [docs[f"`{c}`"].alias(f"carried_{i}") for i, c in enumerate(columns)]
+
+
+def distinct_texts(docs: DataFrame, n_buckets: int, least_bytes: int = 0, carry: list[str] | None = None) -> DataFrame:
     """One row per document, in a table bucketed by ``bucket``: ``bucket, doc_id, owner, n_bytes, text``.
 
     ``text`` is null for a copy; then ``owner`` is the ``doc_id`` of a row with the same text, whose
     own ``owner`` may be yet another one (follow it twice at most). Null texts count as empty, null
-    ids as ``NO_ID``. Texts below ``least_bytes`` are never collapsed.
+    ids as ``NO_ID``. Texts below ``least_bytes`` are never collapsed. The columns ``carry`` follow,
+    as ``carried_0`` and so on.
     """
+    more = carried(docs, carry or [])
+    more_schema = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.select(*more).schema) if more else ""
 
-    def rows(ids: pa.Array, texts: pa.Array, n_bytes: np.ndarray, owner: np.ndarray, keeps: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    def rows(ids: pa.Array, texts: pa.Array, n_bytes: np.ndarray, owner: np.ndarray, keeps: np.ndarray, bucket: np.ndarray, rest: list[pa.Array]) -> pa.RecordBatch:
         columns = [pa.array(bucket, pa.int32()), ids, pa.array(owner), pa.array(n_bytes), texts.take(pa.array(np.arange(len(keeps)), mask=~keeps)).cast(pa.string())]
-        return pa.RecordBatch.from_arrays(columns, schema=ARROW)
+        return pa.RecordBatch.from_arrays([*columns, *rest], names=NAMES + [f"carried_{i}" for i in range(len(rest))])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,7 +76,7 @@ def distinct_texts(docs: DataFrame, n_buckets: int, least_bytes: int = 0) -> Dat
                 spread = tb.mix(number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 short = np.diff(offsets) < least_bytes
                 bucket = (np.where(keeps & ~short, by_text, spread) % np.uint64(n_buckets)).astype(np.int32)
-                yield rows(ids, texts, np.diff(offsets), owner, keeps, bucket)
+                yield rows(ids, texts, np.diff(offsets), owner, keeps, bucket, [c.slice(row, end - row) for c in batch.columns[2:]])
 
     def merged(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -78,9 +86,11 @@ def distinct_texts(docs: DataFrame, n_buckets: int, least_bytes: int = 0) -> Dat
         keeps = np.zeros(len(texts), bool)
         owner[has], keeps[has] = _collapse(number[has], texts.take(pa.array(has)), least_bytes)
         size = np.asarray(table["n_bytes"].combine_chunks())
-        return pa.Table.from_batches([rows(ids, texts, size, owner, keeps, np.asarray(table["bucket"].combine_chunks()))], ARROW)
+        rest = [c.combine_chunks() for c in table.columns[len(NAMES) :]]
+        return pa.Table.from_batches([rows(ids, texts, size, owner, keeps, np.asarray(table["bucket"].combine_chunks()), rest)])
 
-    x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = bucketed(x.mapInArrow(local, SCHEMA).groupBy("bucket").applyInArrow(merged, SCHEMA), n_buckets, "bucket")
+    x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+    schema = SCHEMA + more_schema
+    rows = bucketed(x.mapInArrow(local, schema).groupBy("bucket").applyInArrow(merged, schema), n_buckets, "bucket")
     release(docs.sparkSession)
     return rows

@@ -131,6 +131,13 @@ def measure(buf: np.ndarray, offsets: np.ndarray, repeat_words: int) -> dict[str
     }
 
 
+def verdict(x: dict[str, np.ndarray], max_covered_percent: int, max_longest_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(base_failed, kept)``."""
+    failed = (x["n_words"] < 10) | (100 * x["n_repeat_words"] > 20 * x["n_words"])
+    bad = (100 * x["covered_words"] > max_covered_percent * x["n_words"]) | (x["longest_repeat"] > max_longest_words)
+    return failed, ~(failed | bad)
+
+
 def quality(docs: DataFrame, repeat_words: int = REPEAT_WORDS, max_covered_percent: int = MAX_COVERED_PERCENT, max_longest_words: int = MAX_LONGEST_WORDS) -> DataFrame:
     """The figures and the verdict of every document, in one pass and without a shuffle."""
     schema = pa.schema([("doc_id", pa.int64()), *((k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("covered_words", pa.int64()), ("longest_repeat", pa.int64()), ("kept", pa.bool_())])
@@ -139,9 +146,20 @@ def quality(docs: DataFrame, repeat_words: int = REPEAT_WORDS, max_covered_perce
         for batch in batches:
             for row, end, buf, offsets in tb.chunks(batch, "text"):
                 x = measure(buf, offsets, repeat_words)
-                failed = (x["n_words"] < 10) | (100 * x["n_repeat_words"] > 20 * x["n_words"])
-                bad = (100 * x["covered_words"] > max_covered_percent * x["n_words"]) | (x["longest_repeat"] > max_longest_words)
-                x |= {"doc_id": batch.column(0).slice(row, end - row), "base_failed": failed, "kept": ~(failed | bad)}
+                failed, kept = verdict(x, max_covered_percent, max_longest_words)
+                x |= {"doc_id": batch.column(0).slice(row, end - row), "base_failed": failed, "kept": kept}
                 yield pa.RecordBatch.from_arrays([pa.array(x[f.name], f.type) for f in schema], schema=schema)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def accepted(docs: DataFrame, repeat_words: int = REPEAT_WORDS, max_covered_percent: int = MAX_COVERED_PERCENT, max_longest_words: int = MAX_LONGEST_WORDS) -> DataFrame:
+    """The documents that the rules keep, with all their columns, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, buf, offsets in tb.chunks(batch, "text"):
+                keep = verdict(measure(buf, offsets, repeat_words), max_covered_percent, max_longest_words)[1]
+                yield batch.slice(row, end - row).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -136,12 +136,19 @@ def _columns(table: pa.Table, *names: str) -> list:
     return [table[c].combine_chunks() if isinstance(table[c], pa.ChunkedArray) else table[c] for c in names]
 
 
-def _bytes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(ids, bytes, offsets)`` of a bucket's texts, in the order of their ids."""
+def _order(table: pa.Table) -> np.ndarray:
+    """A bucket's rows in the order of their ids, the same each time."""
     ids, texts = _columns(table, "doc_id", "text")
     by = np.argsort(np.asarray(ids), kind="stable")
-    if (np.asarray(ids)[by][1:] == np.asarray(ids)[by][:-1]).any():  # the same order each time
+    if (np.asarray(ids)[by][1:] == np.asarray(ids)[by][:-1]).any():
         by = np.lexsort(([sha256(x.as_buffer()).digest()[:8] for x in texts], np.asarray(ids)))
+    return by
+
+
+def _bytes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(ids, bytes, offsets)`` of a bucket's texts, in their order."""
+    ids, texts = _columns(table, "doc_id", "text")
+    by = _order(table)
     texts = texts.take(pa.array(by)).cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
@@ -303,13 +310,14 @@ def compare_snippets(table: pa.Table) -> pa.Table:
 
 
 def cut(with_text: bool):
-    """Each text without its removed spans."""
+    """Each text without its removed spans, and the carried columns."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "text" if with_text else "kept_sha256"]
 
     def run(texts: pa.Table, spans: pa.Table) -> pa.Table:
         types = [pa.int64()] * 4 + [pa.string()]
+        more = [c for c in texts.column_names if c.startswith("carried_")]
         if not len(texts):
-            return pa.table([pa.array([], t) for t in types], names=names)
+            return pa.table([*(pa.array([], t) for t in types), *(texts[c] for c in more)], names=names + more)
         ids, buf, offsets = _bytes(texts)
         delta = np.zeros(len(buf) + 1, np.int64)
         for d, a, b in zip(*_columns(spans, "document", "start", "stop"), strict=True) if len(spans) else ():
@@ -329,19 +337,22 @@ def cut(with_text: bool):
         for i in range(len(ids)):
             a, b = offsets[i], offsets[i + 1]
             rest = buf[a:b] if not removed[i] else buf[a:b][~gone[a:b]]
-            left.append(rest.tobytes().decode(errors="replace") if with_text else sha256(rest).hexdigest())
-        return pa.table([pa.array(ids), pa.array(np.diff(offsets)), pa.array(removed), pa.array(runs[offsets[1:]] - runs[offsets[:-1]]), pa.array(left, pa.string())], names=names)
+            left.append(rest.tobytes().decode(errors="ignore") if with_text else sha256(rest).hexdigest())
+        return pa.table([pa.array(ids), pa.array(np.diff(offsets)), pa.array(removed), pa.array(runs[offsets[1:]] - runs[offsets[:-1]]), pa.array(left, pa.string()), *(texts[c].take(pa.array(_order(texts))) for c in more)], names=names + more)
 
     return run
 
 
-def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Figures of every document and the digest of what is left of it, or with ``with_text`` the text.
 
-    A cut may split a character; in the text such bytes become U+FFFD.
+    A cut may split a character; the text has no part of it. The columns ``carry`` of the input
+    follow under their own names.
     """
+    carry = carry or []
     n = buckets_for(docs)
-    rows = distinct_texts(docs, n, LENGTH)
+    rows = distinct_texts(docs, n, LENGTH, carry)
+    more = [f"carried_{i}" for i in range(len(carry))]
     texts = rows.where(F.col("text").isNotNull()).select("bucket", "doc_id", "text")
     keys = texts.mapInArrow(send_keys(n), KEYS).groupBy("bucket").applyInArrow(answer_keys(n), KEYS)
     snippets = materialized(texts.groupBy("bucket").cogroup(keys.groupBy("bucket")).applyInArrow(send_snippets(n), SNIPPETS))
@@ -349,10 +360,13 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spans = snippets.where("bucket >= 0").groupBy("bucket").applyInArrow(compare_snippets, SPANS)
     spans = spans.unionByName(snippets.where("bucket < 0").select(F.col("source").alias("bucket"), "document", "start", "size").mapInArrow(_stops, SPANS))
     schema = SCHEMA.replace("kept_sha256", "text") if with_text else SCHEMA
+    schema += "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
+    texts = rows.where(F.col("text").isNotNull()).select("bucket", "doc_id", "text", *more)
     kept = texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(cut(with_text), schema)
     empty = F.lit("") if with_text else F.sha2(F.lit(b""), 256)
-    gone = rows.where(F.col("text").isNull()).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("text" if with_text else "kept_sha256"))
-    return kept.unionByName(gone).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    gone = rows.where(F.col("text").isNull()).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("text" if with_text else "kept_sha256"), *more)
+    out = kept.unionByName(gone).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return out.select(*out.columns[: len(out.columns) - len(more)], *(F.col(a).alias(b) for a, b in zip(more, carry, strict=True)))
 
 
 def _stops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
