@@ -1,11 +1,8 @@
-"""Name -> query and name -> SQL of the repertoire operators."""
+"""All registered repertoire queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sparktoire.plans import frequencies, ingest, similarity  # noqa: F401  (they register their queries)
+from sparktoire.plans.base import ORACLES, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = ""
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+FLAGSHIP = "a05_vj_frequencies"
