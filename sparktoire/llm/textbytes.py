@@ -26,21 +26,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+_BLOCK = 1 << 18
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n + 1, np.uint64)
-    out[1:] = np.uint64(base)
-    with np.errstate(over="ignore"):
-        return np.cumprod(out)
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
 
-_cache: dict[str, np.ndarray] = {"n": np.zeros(0, np.uint64)}
+_LOW, _LOW_INVERSE = _powers(_BASE, _BLOCK), _powers(_INVERSE, _BLOCK)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, up to ``n``."""
-    if len(_cache["n"]) <= n:
-        _cache["n"], _cache["inv"] = _powers(_BASE, max(n, CHUNK_BYTES)), _powers(_INVERSE, max(n, CHUNK_BYTES))
-    return _cache["n"], _cache["inv"]
+def _high(base: int, n: int) -> np.ndarray:
+    """Powers of the base at the beginnings of the blocks of ``n`` bytes."""
+    return np.array([pow(base, k * _BLOCK, 1 << 64) for k in range(n // _BLOCK + 1)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,10 +77,15 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans; equal bytes give equal hashes wherever they stand."""
-    power, inverse = powers(len(buf))
+    high, high_inverse = _high(_BASE, len(buf)), _high(_INVERSE, len(buf))
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_TABLE[buf] * power[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    for k, at in enumerate(range(0, len(buf), _BLOCK)):
+        part = buf[at : at + _BLOCK]
+        np.cumsum(_TABLE[part] * _LOW[: len(part)], out=total[at + 1 : at + len(part) + 1])
+        total[at + 1 : at + len(part) + 1] *= high[k]
+        total[at + 1 : at + len(part) + 1] += total[at]
+    shift = _LOW_INVERSE[starts & (_BLOCK - 1)] * high_inverse[starts >> 18]
+    return mix((total[ends] - total[starts]) * shift + (ends - starts).astype(np.uint64))
 
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
