@@ -86,4 +86,4 @@ def many_valued(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def role_summary(splits: DataFrame) -> DataFrame:
-    return splits.groupBy("split_role").pivot("disease").agg(F.count("*")).na.fill(0)
+    return splits.groupBy("split_role").pivot("disease").agg(F.count(F.lit(1))).na.fill(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparktoire.plans import frequencies, ingest, similarity  # noqa: F401  (they register their queries)
+from sparktoire.plans import evaluation, frequencies, ingest, modelling, similarity  # noqa: F401  (they register their queries)
 from sparktoire.plans.base import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "a05_vj_frequencies"
