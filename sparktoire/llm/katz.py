@@ -11,11 +11,11 @@ outcome, which holds the unigrams' discounted mass. With ``c`` a count and ``d``
 so each distribution sums to exactly 1 over the vocabulary and the unknown word. A context all of
 whose mass is kept has one count added below, so that some is left.
 
-The documents are dealt into sources of about ``SOURCE_BYTES``, a written table. Each source sends
-its distinct words and bigrams with their counts to buckets by hash, and gets the totals back, as
-written tables partitioned by source; then it sends the parts of its contexts' sums and gets their
-backoff weights. A word that is in every text so arrives once per source. Scores are evaluated per
-token in the source.
+The documents are dealt into sources of about ``SOURCE_BYTES``, a table bucketed by source. Each
+source sends its distinct words and bigrams with their counts to buckets by hash. The totals come
+back as written tables partitioned by source, in the order in which the keys were sent, so without
+the keys; then a source sends the parts of its contexts' sums and gets their backoff weights. A word
+that is in every text so arrives once per source. Scores are evaluated per token in the source.
 
 Defined results: a null text counts as empty (one token, the end); a null ``doc_id`` is hashed as
 an empty string; repeated rows are counted and scored one by one; an empty table gives an empty
@@ -35,25 +35,24 @@ from pyspark.sql import DataFrame, functions as F
 from sparktoire.llm import textbytes as tb
 from sparktoire.llm.common import bucketed, materialized, release, text_bytes
 
-SOURCE_BYTES, LEAST_SOURCES = 16 << 20, 64
+SOURCE_BYTES, LEAST_SOURCES = 16 << 20, 16
 LARGEST, CUT_OFF = 5, 1
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 WORD, BIGRAM, CONTEXT = 0, 1, 2
 N_STATS = LARGEST + 3  # types with counts of 1 to LARGEST + 1, all types, all tokens
 
 SENT = "bucket int, source int, kind int, key binary, n binary"
-ANSWER = "source int, kind int, key binary, n binary, x binary, y binary, stats array<long>"
+ANSWER = "source int, kind int, bucket int, n binary, x binary, y binary, stats array<long>"
 PART = "bucket int, source int, key binary, n binary, x binary, y binary"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+_SENT = [("bucket", pa.int32()), ("source", pa.int32()), ("kind", pa.int32()), ("key", pa.binary()), ("n", pa.binary())]
+_ANSWER = [("source", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.binary()), ("x", pa.binary()), ("y", pa.binary()), ("stats", pa.list_(pa.int64()))]
+_PART = [("bucket", pa.int32()), ("source", pa.int32()), ("key", pa.binary()), ("n", pa.binary()), ("x", pa.binary()), ("y", pa.binary())]
 
-def _empty(names: str, types: list) -> pa.Table:
-    return pa.table([pa.array([], t) for t in types], names=names.split())
 
-
-_ANSWER_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64())]
-_ANSWER_NAMES = "source kind key n x y stats"
-_PART_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+def _table(rows: list[tuple], fields: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
 
 def discounts(types: list[int], cut_off: int = 0) -> list[float]:
@@ -117,12 +116,8 @@ def bigram_key(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return tb.mix(context * tb.ODD[0] + token * tb.ODD[1])
 
 
-def _counted(key: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(key, return_inverse=True)
-    return key, np.bincount(at, train, len(key)).astype(np.uint32)
-
-
 def _dealt(key: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket and its keys, in the same order every time."""
     to = (key % np.uint64(n_buckets)).astype(np.int64)
     by = np.argsort(to, kind="stable")
     edge = np.searchsorted(to[by], np.arange(n_buckets + 1))
@@ -130,175 +125,149 @@ def _dealt(key: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(b), by[edge[b] : edge[b + 1]]
 
 
+class Source:
+    """The tokens of a source's texts, as places in its sorted distinct words and bigrams."""
+
+    def __init__(self, texts: pa.Table):
+        self.number = int(texts["source"][0].as_py())
+        parts = [(token, context, at) for _, _, token, context, at in tokens(texts)]
+        token, context = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        self.first = np.append(0, np.cumsum(np.concatenate([np.diff(at) for *_, at in parts])))
+        words, self.token = np.unique(token, return_inverse=True)
+        self.keys = {WORD: np.append(words, BEGIN)}  # the beginning is a context, no token
+        self.context = np.where(context == BEGIN, len(words), 0)
+        inner = np.flatnonzero(context != BEGIN)
+        self.context[inner] = self.token[inner - 1]
+        self.keys[BIGRAM], self.bigram = np.unique(bigram_key(context, token), return_inverse=True)
+        self.told: dict[int, np.ndarray] = {}
+
+    def listen(self, answers: pa.Table, n_buckets: int) -> None:
+        """Take the totals, which are in the order of the keys that were sent."""
+        for kind in (WORD, BIGRAM):
+            n = {b.as_py(): np.frombuffer(v.as_buffer(), np.int64) for k, b, v in zip(answers["kind"], answers["bucket"], answers["n"], strict=True) if k.as_py() == kind}
+            self.told[kind] = np.zeros(len(self.keys[kind]), np.int64)
+            for b, x in _dealt(self.keys[kind], n_buckets):
+                self.told[kind][x] = n[b]
+
+    def contexts(self) -> np.ndarray:
+        """The words that can have a kept bigram."""
+        return np.flatnonzero(self.told[WORD] > CUT_OFF)
+
+
 def _send(n_buckets: int):
     """The distinct words and bigrams of each source, with their counts in training texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            source = np.asarray(batch.column(0))
-            for s in np.unique(source):
-                part = pa.Table.from_batches([batch]).filter(pa.array(source == s))
-                train = ~np.asarray(part["held_out"].combine_chunks().cast(pa.int8())).astype(bool)
-                words, pairs, weights, begins = [], [], [], 0
-                for row, end, token, context, at in tokens(part):
-                    words.append(token)
-                    pairs.append(bigram_key(context, token))
-                    weights.append(np.repeat(train[row:end], np.diff(at)))
-                    begins += int(train[row:end].sum())
-                weight, rows = np.concatenate(weights), []
-                for kind, keys in ((WORD, words), (BIGRAM, pairs)):
-                    key, n = _counted(np.concatenate(keys), weight)
-                    if kind == WORD:  # the beginning is a context, no token
-                        key, n = np.append(key, BEGIN), np.append(n, np.uint32(begins))
-                    rows += [(b, int(s), kind, key[x].tobytes(), n[x].tobytes()) for b, x in _dealt(key, n_buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i < 3 else pa.binary()) for i in range(5)], names=["bucket", "source", "kind", "key", "n"])
+    def run(texts: pa.Table) -> pa.Table:
+        source, rows = Source(texts), []
+        train = ~np.asarray(texts["held_out"].combine_chunks().cast(pa.int8())).astype(bool)
+        weight = np.repeat(train, np.diff(source.first))
+        for kind, at in ((WORD, source.token), (BIGRAM, source.bigram)):
+            key = source.keys[kind]
+            n = np.bincount(at, weight, len(key)).astype(np.uint32)
+            if kind == WORD:
+                n[-1] = train.sum()
+            rows += [(b, source.number, kind, key[x].tobytes(), n[x].tobytes()) for b, x in _dealt(key, n_buckets)]
+        return _table(rows, _SENT)
 
     return run
 
 
 def _whole(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    parts = [np.frombuffer(x.as_buffer(), kind) for x in table[name] if x.is_valid]
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _sources(table: pa.Table) -> np.ndarray:
-    return np.repeat(np.asarray(table["source"].combine_chunks()), [len(x.as_buffer()) // 8 for x in table["key"]])
-
-
-def _by_source(source: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    by = np.argsort(source, kind="stable")
-    for part in np.split(by, np.flatnonzero(source[by][1:] != source[by][:-1]) + 1):
-        if len(part):
-            yield int(source[part[0]]), part
+def _edges(table: pa.Table) -> np.ndarray:
+    """Where the keys of each row begin, and the end."""
+    return np.append(0, np.cumsum([len(x.as_buffer()) // 8 for x in table["key"]])).astype(np.int64)
 
 
 def _total(table: pa.Table) -> pa.Table:
-    """The total of each key of a bucket for every source that has it, and the counts of counts.
+    """The total of each key of a bucket for every source that sent it, and the counts of counts.
 
-    The number of a bigram is doubled, plus one for the one source that owns it.
+    The total of a kept bigram is doubled, plus one for the one source that owns it; others are 0.
     """
-    rows = []
+    rows, bucket = [], int(table["bucket"][0].as_py())
     for kind in (WORD, BIGRAM):
         own = table.filter(pa.compute.equal(table["kind"], kind))
         if not len(own):
             continue
-        key, n, source = _whole(own, "key", np.uint64), _whole(own, "n", np.uint32).astype(np.int64), _sources(own)
-        by = np.lexsort((source, n == 0, key))  # of a key, sources that count it come first
-        key, n, source = key[by], n[by], source[by]
-        group = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
-        total = np.bincount(group, n).astype(np.int64)
-        counted = total[(key[np.append(True, key[1:] != key[:-1])] != BEGIN)] if kind == WORD else total
-        stats = [*(int((counted == r).sum()) for r in range(1, LARGEST + 2)), int((counted > 0).sum()), int(counted.sum())]
-        rows.append((-1, kind, b"", b"", b"", b"", stats))
-        owner = np.append(True, key[1:] != key[:-1])
-        value = total[group]
-        head = np.append(True, (key[1:] != key[:-1]) | (source[1:] != source[:-1]))  # a source may send twice
-        keep = head & (value > (CUT_OFF if kind == BIGRAM else 0))
+        edge, sources = _edges(own), own["source"].to_pylist()
+        key, at = np.unique(_whole(own, "key", np.uint64), return_inverse=True)
+        n = _whole(own, "n", np.uint32)
+        total = np.bincount(at, n, len(key)).astype(np.int64)
+        counted = total[key != BEGIN] if kind == WORD else total
+        rows.append((-1, kind, bucket, b"", b"", b"", [*(int((counted == r).sum()) for r in range(1, LARGEST + 2)), int((counted > 0).sum()), int(counted.sum())]))
+        value = total[at]
         if kind == BIGRAM:
-            value = value * 2 + owner
-        key, value, source = key[keep], value[keep], source[keep]
-        rows += [(s, kind, key[x].tobytes(), value[x].tobytes(), b"", b"", None) for s, x in _by_source(source)]
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(_ANSWER_TYPES)], names=_ANSWER_NAMES.split())
-
-
-class _Answers:
-    """What a source has been told, for looking up."""
-
-    def __init__(self, table: pa.Table):
-        self.key, self.n, self.x, self.y = {}, {}, {}, {}
-        for kind in (WORD, BIGRAM, CONTEXT):
-            own = table.filter(pa.compute.equal(table["kind"], kind)) if len(table) else table
-            key = _whole(own, "key", np.uint64)
-            by = np.argsort(key, kind="stable")
-            self.key[kind], self.n[kind] = key[by], _whole(own, "n", np.int64)[by] if kind != CONTEXT else None
-            if kind == CONTEXT:
-                self.x, self.y = _whole(own, "x", np.float64)[by], _whole(own, "y", np.float64)[by]
-
-    def find(self, kind: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(place, found)`` of each key."""
-        known = self.key[kind]
-        if not len(known):
-            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        return at, known[at] == key
-
-    def number(self, kind: int, key: np.ndarray) -> np.ndarray:
-        at, found = self.find(kind, key)
-        return np.where(found, self.n[kind][at], 0) if len(self.n[kind]) else np.zeros(len(key), np.int64)
+            holder = np.full(len(key), len(at), np.int64)  # the first place that counts a key
+            counts = np.flatnonzero(n)
+            np.minimum.at(holder, at[counts], counts)
+            value = np.where(value > CUT_OFF, value * 2 + (holder[at] == np.arange(len(at))), 0)
+        rows += [(s, kind, bucket, value[edge[i] : edge[i + 1]].tobytes(), b"", b"", None) for i, s in enumerate(sources)]
+    return _table(rows, _ANSWER)
 
 
 def _contexts(model: Model, n_buckets: int):
     """Per source: the contexts it has, and the sums over the kept bigrams that it owns."""
 
-    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(texts):
-            return _empty("bucket source key n x y", _PART_TYPES)
-        answers, seen, owned = _Answers(told), [], []
-        for _, _, token, context, _ in tokens(texts):
-            seen.append(np.unique(context))
-            key, at = np.unique(bigram_key(context, token), return_index=True)
-            n = answers.number(BIGRAM, key)
-            own = n & 1 == 1
-            at, key, n = at[own], key[own], n[own] >> 1
-            owned.append((key, context[at], model.discounted(n, model.bigram), model.p_word(answers.number(WORD, token[at]))))
-        key, context, x, y = map(np.concatenate, zip(*owned, strict=True))
-        _, first = np.unique(key, return_index=True)  # a source's chunks may repeat a bigram
-        word = np.unique(np.concatenate(seen))
-        n = answers.number(WORD, word)
-        word, n = word[n > CUT_OFF], n[n > CUT_OFF]
-        at = np.searchsorted(word, context[first])
-        x, y = np.bincount(at, x[first], len(word)), np.bincount(at, y[first], len(word))
-        source = int(texts["source"][0].as_py())
-        rows = [(b, source, word[i].tobytes(), n[i].tobytes(), x[i].tobytes(), y[i].tobytes()) for b, i in _dealt(word, n_buckets)]
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(_PART_TYPES)], names="bucket source key n x y".split())
+            return _table([], _PART)
+        source = Source(texts)
+        source.listen(answers, n_buckets)
+        told = source.told[BIGRAM]
+        n = told >> 1
+        example = np.zeros(len(told), np.int64)
+        example[source.bigram] = np.arange(len(source.bigram))
+        own = np.flatnonzero(told & 1)
+        context, token = source.context[example[own]], source.token[example[own]]
+        size = len(source.keys[WORD])
+        x = np.bincount(context, model.discounted(n[own], model.bigram), size)
+        y = np.bincount(context, model.p_word(source.told[WORD][token]), size)
+        some = source.contexts()
+        key = source.keys[WORD][some]
+        rows = [(b, source.number, key[i].tobytes(), source.told[WORD][some[i]].tobytes(), x[some[i]].tobytes(), y[some[i]].tobytes()) for b, i in _dealt(key, n_buckets)]
+        return _table(rows, _PART)
 
     return run
 
 
 def _backoff(table: pa.Table) -> pa.Table:
-    """``log10 alpha`` and ``log10`` of what a context's counts are divided by, for its sources."""
-    key, n, x, y, source = _whole(table, "key", np.uint64), _whole(table, "n", np.int64), _whole(table, "x", np.float64), _whole(table, "y", np.float64), _sources(table)
-    by = np.lexsort((source, key))
-    key, n, x, y, source = key[by], n[by], x[by], y[by], source[by]
-    head = np.append(True, key[1:] != key[:-1])
-    group, where = np.cumsum(head) - 1, np.flatnonzero(head)
-    kept, mass, count = np.add.reduceat(x, where), np.add.reduceat(y, where), n[where]
+    """``log10 alpha`` and ``log10`` of what a context's counts are divided by, in the order sent."""
+    edge, bucket = _edges(table), int(table["bucket"][0].as_py())
+    key, first, at = np.unique(_whole(table, "key", np.uint64), return_index=True, return_inverse=True)
+    kept, mass = (np.bincount(at, _whole(table, c, np.float64), len(key)) for c in ("x", "y"))
+    count = _whole(table, "n", np.int64)[first]
     below = np.where(count - kept > 1e-9 * count, count, count + 1.0)
-    alpha = np.log10((below - kept) / below / (1 - mass))
-    send = kept[group] > 0
-    rows = [(s, CONTEXT, key[send][i].tobytes(), b"", alpha[group][send][i].tobytes(), np.log10(below)[group][send][i].tobytes(), None) for s, i in _by_source(source[send])]
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(_ANSWER_TYPES)], names=_ANSWER_NAMES.split())
-
-
-def token_scores(model: Model, answers: _Answers, token: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(count, log10 P(token | context))``."""
-    count = answers.number(WORD, token)
-    score = np.log10(model.p_word(count))
-    at, found = answers.find(CONTEXT, context)
-    if found.any():
-        n = answers.number(BIGRAM, bigram_key(context, token)) >> 1
-        kept = n > 0
-        higher = np.log10(np.where(kept, model.discounted(n, model.bigram), 1.0)) - answers.y[at]
-        score = np.where(found, np.where(kept, higher, answers.x[at] + score), score)
-    return count, score
-
-
-def _score(model: Model):
+    alpha = np.where(kept > 0, np.log10((below - kept) / below / (1 - mass)), 0.0)[at]
+    below = np.where(kept > 0, np.log10(below), 0.0)[at]
+    parts = [(alpha[edge[i] : edge[i + 1]].tobytes(), below[edge[i] : edge[i + 1]].tobytes()) for i in range(len(table))]
+    return _table([(s, CONTEXT, bucket, b"", a, b, None) for s, (a, b) in zip(table["source"].to_pylist(), parts, strict=True)], _ANSWER)
+
+
+def _score(model: Model, n_buckets: int):
     names = SCHEMA.replace(",", "").split()[::2]
     types = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()]
 
-    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(texts):
-            return _empty(" ".join(names), types)
-        answers, out = _Answers(told), []
-        for _, _, token, context, at in tokens(texts):
-            count, score = token_scores(model, answers, token, context)
-            base = np.log10((count + 1) / (model.tokens + model.types + 1))
-            each = at[:-1]
-            out.append((np.diff(at), np.add.reduceat((count > 0).astype(np.int64), each), np.add.reduceat(base, each), np.add.reduceat(score, each)))
-        n, known, base, score = map(np.concatenate, zip(*out, strict=True))
-        columns = [texts["doc_id"], texts["held_out"], n, known, np.full(len(n), model.tokens), base, score]
-        return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            return _table([], list(zip(names, types, strict=True)))
+        source = Source(texts)
+        source.listen(answers, n_buckets)
+        alpha, below = np.zeros(len(source.keys[WORD])), np.zeros(len(source.keys[WORD]))
+        weights = {b.as_py(): (x, y) for k, b, x, y in zip(answers["kind"], answers["bucket"], answers["x"], answers["y"], strict=True) if k.as_py() == CONTEXT}
+        some = source.contexts()
+        for b, i in _dealt(source.keys[WORD][some], n_buckets):
+            alpha[some[i]], below[some[i]] = (np.frombuffer(v.as_buffer(), np.float64) for v in weights[b])
+        count, n = source.told[WORD], source.told[BIGRAM] >> 1
+        lower = np.log10(model.p_word(count))
+        higher = np.log10(np.where(n > 0, model.discounted(n, model.bigram), 1.0))
+        score = np.where(n[source.bigram] > 0, higher[source.bigram] - below[source.context], alpha[source.context] + lower[source.token])
+        base = np.log10((count + 1) / (model.tokens + model.types + 1))[source.token]
+        each = source.first[:-1]
+        columns = [np.diff(source.first), np.add.reduceat((count > 0)[source.token].astype(np.int64), each), np.full(len(each), model.tokens), np.add.reduceat(base, each), np.add.reduceat(score, each)]
+        return pa.table([texts["doc_id"], texts["held_out"], *(pa.array(c, t) for c, t in zip(columns, types[2:], strict=True))], names=names)
 
     return run
 
@@ -311,16 +280,16 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFra
     x = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), (remainder == held_out).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = bucketed(x.repartition("source"), n, "source")
     release(spark)
-    answers = materialized(texts.mapInArrow(_send(n), SENT).groupBy("bucket").applyInArrow(_total, ANSWER))
+    answers = materialized(texts.groupBy("source").applyInArrow(_send(n), SENT).groupBy("bucket").applyInArrow(_total, ANSWER))
     release(spark)
     stats = [[0] * N_STATS, [0] * N_STATS]
     sums = [F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(f"s{i}") for i in range(N_STATS)]
     for row in answers.where("source < 0").groupBy("kind").agg(*sums).collect():
         stats[row["kind"]] = list(row)[1:]
     model = Model.of(*stats)
-    told = answers.where("source >= 0").drop("stats")
-    parts = texts.groupBy("source").cogroup(told.groupBy("source")).applyInArrow(_contexts(model, n), PART)
+    answers = answers.where("source >= 0").drop("stats")
+    parts = texts.groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_contexts(model, n), PART)
     contexts = materialized(parts.groupBy("bucket").applyInArrow(_backoff, ANSWER))
     release(spark)
-    told = told.unionByName(contexts.drop("stats"))
-    return texts.groupBy("source").cogroup(told.groupBy("source")).applyInArrow(_score(model), SCHEMA)
+    answers = answers.unionByName(contexts.drop("stats"))
+    return texts.groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_score(model, n), SCHEMA)
