@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-LEGACY_FOLD = "malid_cross_validation_fold_id_when_in_test_set"
+#: Fixed value: what the legacy name of the fold column ends with.
+LEGACY_FOLD = "cross_validation_fold_id_when_in_test_set"
 REQUIRED_SEQUENCE = ("repertoire_id", "v_call", "j_call", "cdr3_aa")
 OPTIONAL_SEQUENCE = {
     "cdr3": "string", "clone_id": "string", "productive": "string", "v_score": "double", "sequence": "string", "replicate_label": "string", "extracted_isotype": "string",
@@ -29,10 +30,10 @@ def missing_columns(df: DataFrame, names) -> None:
 def read_metadata(spark: SparkSession, path: str, require_disease: bool = True) -> DataFrame:
     """One row per specimen, checked: labels, one disease and one whole fold per participant."""
     df = _tsv(spark, path)
-    if LEGACY_FOLD in df.columns:
+    for legacy in [c for c in df.columns if c.endswith(LEGACY_FOLD)]:
         if "CV_fold" in df.columns:
-            raise ValueError("both fold columns are there")
-        df = df.withColumnRenamed(LEGACY_FOLD, "CV_fold")
+            raise ValueError("more than one fold column is there")
+        df = df.withColumnRenamed(legacy, "CV_fold")
     missing_columns(df, ("participant_label", "specimen_label", *(("disease",) if require_disease else ())))
     if "CV_fold" in df.columns:
         number = F.expr("try_cast(CV_fold AS double)")
