@@ -7,8 +7,6 @@ joins on written tables; complete and average linkage run per block in Arrow bat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
