@@ -125,6 +125,16 @@ def _dealt(key: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(b), by[edge[b] : edge[b + 1]]
 
 
+def packed(key: np.ndarray, n_buckets: int) -> bytes:
+    """Sorted keys of a bucket: differences of their quotients, byte by byte, the zeros of the high ones together."""
+    return np.diff(key // np.uint64(n_buckets), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: pa.Buffer, bucket: int, n_buckets: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64) * np.uint64(n_buckets) + np.uint64(bucket)
+
+
 class Source:
     """The tokens of a source's texts, as places in its sorted distinct words and bigrams."""
 
@@ -133,9 +143,11 @@ class Source:
         parts = [(token, context, at) for _, _, token, context, at in tokens(texts)]
         token, context = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         self.first = np.append(0, np.cumsum(np.concatenate([np.diff(at) for *_, at in parts])))
-        words, self.token = np.unique(token, return_inverse=True)
-        self.keys = {WORD: np.append(words, BEGIN)}  # the beginning is a context, no token
-        self.context = np.where(context == BEGIN, len(words), 0)
+        # the beginning is a context, no token; it is among the words for its count
+        words, place = np.unique(np.append(token, BEGIN), return_inverse=True)
+        self.token, self.begin = place[:-1], int(place[-1])
+        self.keys = {WORD: words}
+        self.context = np.full(len(token), self.begin)
         inner = np.flatnonzero(context != BEGIN)
         self.context[inner] = self.token[inner - 1]
         self.keys[BIGRAM], self.bigram = np.unique(bigram_key(context, token), return_inverse=True)
@@ -165,8 +177,8 @@ def _send(n_buckets: int):
             key = source.keys[kind]
             n = np.bincount(at, weight, len(key)).astype(np.uint32)
             if kind == WORD:
-                n[-1] = train.sum()
-            rows += [(b, source.number, kind, key[x].tobytes(), n[x].tobytes()) for b, x in _dealt(key, n_buckets)]
+                n[source.begin] = train.sum()
+            rows += [(b, source.number, kind, packed(key[x], n_buckets), n[x].tobytes()) for b, x in _dealt(key, n_buckets)]
         return _table(rows, _SENT)
 
     return run
@@ -182,7 +194,12 @@ def _edges(table: pa.Table) -> np.ndarray:
     return np.append(0, np.cumsum([len(x.as_buffer()) // 8 for x in table["key"]])).astype(np.int64)
 
 
-def _total(table: pa.Table) -> pa.Table:
+def _keys(table: pa.Table, n_buckets: int) -> np.ndarray:
+    bucket = int(table["bucket"][0].as_py())
+    return np.concatenate([unpacked(x.as_buffer(), bucket, n_buckets) for x in table["key"]])
+
+
+def _total(table: pa.Table, n_buckets: int) -> pa.Table:
     """The total of each key of a bucket for every source that sent it, and the counts of counts.
 
     The total of a kept bigram is doubled, plus one for the one source that owns it; others are 0.
@@ -193,7 +210,7 @@ def _total(table: pa.Table) -> pa.Table:
         if not len(own):
             continue
         edge, sources = _edges(own), own["source"].to_pylist()
-        key, at = np.unique(_whole(own, "key", np.uint64), return_inverse=True)
+        key, at = np.unique(_keys(own, n_buckets), return_inverse=True)
         n = _whole(own, "n", np.uint32)
         total = np.bincount(at, n, len(key)).astype(np.int64)
         counted = total[key != BEGIN] if kind == WORD else total
@@ -227,16 +244,16 @@ def _contexts(model: Model, n_buckets: int):
         y = np.bincount(context, model.p_word(source.told[WORD][token]), size)
         some = source.contexts()
         key = source.keys[WORD][some]
-        rows = [(b, source.number, key[i].tobytes(), source.told[WORD][some[i]].tobytes(), x[some[i]].tobytes(), y[some[i]].tobytes()) for b, i in _dealt(key, n_buckets)]
+        rows = [(b, source.number, packed(key[i], n_buckets), source.told[WORD][some[i]].tobytes(), x[some[i]].tobytes(), y[some[i]].tobytes()) for b, i in _dealt(key, n_buckets)]
         return _table(rows, _PART)
 
     return run
 
 
-def _backoff(table: pa.Table) -> pa.Table:
+def _backoff(table: pa.Table, n_buckets: int) -> pa.Table:
     """``log10 alpha`` and ``log10`` of what a context's counts are divided by, in the order sent."""
     edge, bucket = _edges(table), int(table["bucket"][0].as_py())
-    key, first, at = np.unique(_whole(table, "key", np.uint64), return_index=True, return_inverse=True)
+    key, first, at = np.unique(_keys(table, n_buckets), return_index=True, return_inverse=True)
     kept, mass = (np.bincount(at, _whole(table, c, np.float64), len(key)) for c in ("x", "y"))
     count = _whole(table, "n", np.int64)[first]
     below = np.where(count - kept > 1e-9 * count, count, count + 1.0)
@@ -280,7 +297,7 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFra
     x = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), (remainder == held_out).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = bucketed(x.repartition("source"), n, "source")
     release(spark)
-    answers = materialized(texts.groupBy("source").applyInArrow(_send(n), SENT).groupBy("bucket").applyInArrow(_total, ANSWER))
+    answers = materialized(texts.groupBy("source").applyInArrow(_send(n), SENT).groupBy("bucket").applyInArrow(lambda t: _total(t, n), ANSWER))
     release(spark)
     stats = [[0] * N_STATS, [0] * N_STATS]
     sums = [F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(f"s{i}") for i in range(N_STATS)]
@@ -289,7 +306,7 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFra
     model = Model.of(*stats)
     answers = answers.where("source >= 0").drop("stats")
     parts = texts.groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_contexts(model, n), PART)
-    contexts = materialized(parts.groupBy("bucket").applyInArrow(_backoff, ANSWER))
+    contexts = materialized(parts.groupBy("bucket").applyInArrow(lambda t: _backoff(t, n), ANSWER))
     release(spark)
     answers = answers.unionByName(contexts.drop("stats"))
     return texts.groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_score(model, n), SCHEMA)
