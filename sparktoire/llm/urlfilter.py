@@ -4,7 +4,8 @@ A rule fits its host and all subdomains if the path starts with its own; the lon
 Hosts of the other pages are split at dots and hyphens, and each part into words by a unigram
 Viterbi search; the multinomial naive Bayes model, learned from the pages that rules decide, scores
 these words with the tokens of the path. The unigram counts are those of the words in all pages'
-texts, the most frequent ``VOCABULARY``; the model keeps the ``TOKENS`` most frequent tokens.
+texts that are a ``VOCABULARY``-th of all words at least, so there are that many at most; the model
+keeps the tokens that are a ``TOKENS``-th at least in the same way.
 
 Defined results: null urls and urls without ``://`` have an empty host and path, fit no rule and
 have no tokens; with no tokens the more frequent class decides, and ``allow`` if there is none or
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sparktoire.llm.common import materialized
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-VOCABULARY, LONGEST, TOKENS, LEAST_COUNT = 50_000, 24, 100_000, 3
+VOCABULARY, LONGEST, TOKENS = 200_000, 24, 200_000
 CACHE_ENTRIES = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
@@ -104,12 +105,18 @@ class NaiveBayes:
         return "block" if score[1] > score[0] else "allow"
 
 
+def frequent(counts: DataFrame, n: Column, share: int) -> DataFrame:
+    """Rows whose number is one in ``share`` of the sum at least: ``share`` rows at most, without a sort."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(n * share >= total)
+
+
 def word_counts(pages: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent words of all pages' texts; ``size`` bounds what the driver and workers get."""
+    """The frequent words of all pages' texts; ``size`` bounds what the driver and workers get."""
     text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "))
     words = pages.select(F.explode(F.split(text, "[^\\p{L}]+")).alias("word")).where(F.length("word").between(1, LONGEST))
-    rows = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(size)
-    return {r["word"]: r["n"] for r in rows.collect()}
+    counts = materialized(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    return {r["word"]: r["n"] for r in frequent(counts, F.col("n"), size).collect()}
 
 
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -130,8 +137,9 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     x = materialized(x.mapInArrow(segment, f"{names}, tokens array<string>"))
     classes = {r["ruled"]: r["count"] for r in x.where("ruled IS NOT NULL").groupBy("ruled").count().collect()}
     each = x.where("ruled IS NOT NULL").select(F.explode("tokens").alias("token"), (F.col("ruled") == "block").cast("long").alias("block"))
-    sums = each.groupBy("token").agg(F.sum(1 - F.col("block")).alias("allow"), F.sum("block").alias("block")).orderBy(F.desc(F.col("allow") + F.col("block")), "token").limit(TOKENS)
-    model = NaiveBayes({r["token"]: (r["allow"], r["block"]) for r in sums.collect()}, (classes.get("allow", 0), classes.get("block", 0)))
+    sums = each.groupBy("token").agg(F.sum(1 - F.col("block")).alias("allow"), F.sum("block").alias("block"))
+    kept = frequent(materialized(sums), F.col("allow") + F.col("block"), TOKENS).collect()
+    model = NaiveBayes({r["token"]: (r["allow"], r["block"]) for r in kept}, (classes.get("allow", 0), classes.get("block", 0)))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
