@@ -8,10 +8,14 @@ one pair in 27,000 at 0.8).
 
 Exact copies are collapsed first (``copies``). Within a band, up to ``SMALL`` documents are paired
 with each other; in a larger group every document is paired with the group's leaders, which are
-chosen so that each document resembles one. Large groups are first reduced to their leaders in each
-input chunk, so a hot group never meets in one task. Pairs are verified on the texts: a leader's
-text goes once to each bucket that holds partners. The verified links give classes by label
-propagation with pointer jumping, in tables.
+chosen so that each document resembles one, the most central first. Large groups are first reduced
+to their leaders in each input chunk, so a hot group never meets in one task. Pairs are verified on
+the texts: a leader's text goes once to each bucket that holds partners. The verified links give
+classes by label propagation with pointer jumping, in tables.
+
+Leaders only save pairs, they decide none: a large group whose documents are then still in several
+classes is opened again, and all its pairs across classes are verified in tiles of ``TILE`` by
+``TILE`` documents. So each likely pair of a band is verified or within a class already.
 
 Defined results: null and empty texts have no shingles and are only like each other (exact copies);
 a text of fewer than five words is one shingle; rows of one ``doc_id`` are one document; null ids
@@ -33,6 +37,7 @@ from sparktoire.llm.copies import NO_ID, buckets_for, distinct_texts
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 2
 SMALL = 16
+TILE = 1024
 #: Share of equal samples from which a pair is verified; at 0.8, one pair in 66,000 has fewer.
 LIKELY = 0.4
 _SEEDS = tb.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -40,6 +45,8 @@ _SEEDS = tb.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E
 COUNTS = "bucket int, word binary, n binary"
 BLOBS = "bucket int, key binary, doc binary, home binary, samples binary"
 PAIRS = "home int, doc binary, other binary, other_home binary"
+FOUND = f"{PAIRS}, key binary, samples binary"
+MEMBERS = "key long, doc long, home int, samples binary"
 TEXTS = "home int, other long, text string"
 
 
@@ -179,6 +186,8 @@ def pair_up(key: np.ndarray, doc: np.ndarray, signature: np.ndarray) -> tuple[np
         right.append(b[ok])
     for g in np.flatnonzero(size > SMALL):
         member = by[edge[g] : edge[g + 1]]
+        shared = sum(np.bincount(x)[x] for x in signature[member].T)
+        member = member[np.argsort(-shared, kind="stable")]
         rest, leaders = member, []
         while len(rest):
             leaders.append(rest[0])
@@ -206,7 +215,10 @@ def _pair_rows(doc: np.ndarray, home: np.ndarray, a: np.ndarray, b: np.ndarray)
 
 
 def _send_bands(frequent: tuple[np.ndarray, np.ndarray], n_buckets: int):
-    """Rows of bands for each bucket; bucket -1 has the pairs found within a chunk."""
+    """Rows of bands for each bucket; bucket -1 has the pairs found within a chunk, -2 the rows that stay there.
+
+    The other rows of a group of which some stay have the complement of their home.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(frequent)
@@ -230,8 +242,11 @@ def _send_bands(frequent: tuple[np.ndarray, np.ndarray], n_buckets: int):
                 large = np.flatnonzero(n[at] > SMALL)
                 a, b, covered = pair_up(key[large], doc[large], signature[each[large]])
                 rows = [(-1, y, x, np.int32(h).tobytes(), z) for h, x, y, z in _pair_rows(doc, home, large[a], large[b])]
-                keep = np.ones(len(key), bool)
-                keep[large[covered]] = False
+                keep, stay = np.ones(len(key), bool), large[covered]
+                keep[stay] = False
+                if len(stay):
+                    rows.append((-2, key[stay].tobytes(), doc[stay].tobytes(), home[stay].tobytes(), signature[each[stay]].tobytes()))
+                home[large] = ~home[large]
                 to = (key % np.uint64(n_buckets)).astype(np.int64)
                 by = np.flatnonzero(keep)
                 by = by[np.argsort(to[by], kind="stable")]
@@ -248,10 +263,16 @@ def _match_bands(table: pa.Table) -> pa.Table:
     def whole(name: str, kind: type) -> np.ndarray:
         return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name]])
 
-    doc, home = whole("doc", np.int64), whole("home", np.int32)
-    a, b, _ = pair_up(whole("key", np.uint64), doc, whole("samples", np.uint8).reshape(len(doc), BANDS * ROWS))
-    rows = list(_pair_rows(doc, home, a, b))
-    return pa.table([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(4)], names=["home", "doc", "other", "other_home"])
+    key, doc, home = whole("key", np.uint64), whole("doc", np.int64), whole("home", np.int32)
+    signature = whole("samples", np.uint8).reshape(len(doc), BANDS * ROWS)
+    partly, home = home < 0, np.where(home < 0, ~home, home)
+    a, b, _ = pair_up(key, doc, signature)
+    rows = [(*r, None, None) for r in _pair_rows(doc, home, a, b)]
+    _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+    x = np.flatnonzero(((n > SMALL) | (np.bincount(at, partly, len(n)) > 0))[at])
+    if len(x):
+        rows.append((-1, doc[x].tobytes(), None, home[x].tobytes(), key[x].tobytes(), signature[x].tobytes()))
+    return pa.table([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(6)], names=["home", "doc", "other", "other_home", "key", "samples"])
 
 
 def _local_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +281,112 @@ def _local_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([home, batch.column(2), batch.column(1), batch.column(4)], names=["home", "doc", "other", "other_home"])
 
 
+# ---- large groups in several classes ----------------------------------------------------------
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each of the packed rows of ``key, doc, home, samples``."""
+    width = BANDS * ROWS
+    for batch in batches:
+        for key, doc, home, sample in zip(*batch.columns, strict=True):
+            sample = sample.as_buffer()
+            n = len(sample) // width
+            sample = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, sample]).cast(pa.binary())
+            columns = [pa.array(np.frombuffer(x.as_buffer(), kind)) for x, kind in ((key, np.int64), (doc, np.int64), (home, np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, sample], names=["key", "doc", "home", "samples"])
+
+
+def _with_texts(texts: pa.Table, asked: pa.Table) -> pa.Table:
+    """The rows of tiles that ask for a bucket's texts, with the text for the home."""
+    at = asked.column_names.index("home")
+    ids = np.asarray(texts["doc_id"].combine_chunks()) if len(texts) else np.zeros(0, np.int64)
+    by = np.argsort(ids, kind="stable")
+    found = pa.array(by[np.searchsorted(ids[by], np.asarray(asked["doc"].combine_chunks()))] if len(asked) else np.zeros(0, np.int64))
+    return asked.set_column(at, "text", texts["text"].combine_chunks().take(found) if len(asked) else pa.array([], pa.string()))
+
+
+def _tile_links(frequent: tuple[np.ndarray, np.ndarray], similarity: float):
+    """The links across classes in each tile of a bucket: one for each class that a document joins, so fewer than documents."""
+    schema = [("doc_id", pa.int64()), ("other_id", pa.int64()), ("similarity", pa.float64())]
+
+    def run(table: pa.Table) -> pa.Table:
+        key, doc, label, block, low, high = (np.asarray(table[c].combine_chunks()) for c in ("key", "doc", "label", "block", "low", "high"))
+        signature = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table["samples"]])
+        _, one, text = np.unique(doc, return_index=True, return_inverse=True)
+        batch = pa.table({"text": table["text"].combine_chunks().take(pa.array(one)).cast(pa.large_string())}).combine_chunks().to_batches()[0]
+        parts = [Weights(frequent).shingles(buf, offsets) for _, _, buf, offsets in tb.chunks(batch, "text")]
+        _, item = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+        weight, size = np.concatenate([x[1] for x in parts]), np.concatenate([np.diff(x[2]) for x in parts])
+        first = np.append(0, np.cumsum(size))[:-1]
+        total, mine = np.add.reduceat(weight, first), np.zeros(item.max() + 1)
+        del parts, batch, table
+        by = np.lexsort((doc, high, low, key))
+        new = (np.diff(key[by]) != 0) | (np.diff(low[by]) != 0) | (np.diff(high[by]) != 0)
+        rows = []
+        for tile in np.split(by, np.flatnonzero(new) + 1):
+            shared = sum(np.bincount(x)[x] for x in signature[tile].T)
+            tile = tile[np.argsort(-shared, kind="stable")]
+            group, same = label[tile].copy(), low[tile[0]] == high[tile[0]]
+            side = block[tile] == high[tile]
+            for i in np.arange(len(tile)) if same else np.flatnonzero(~side):
+                y = np.flatnonzero(group != group[i]) if same else np.flatnonzero(side & (group != group[i]))
+                y = y[y > i] if same else y
+                y = y[(signature[tile[y]] == signature[tile[i]]).mean(axis=-1) >= LIKELY]
+                if not len(y):
+                    continue
+                x, others = text[tile[i]], text[tile[y]]
+                own = slice(first[x], first[x] + size[x])
+                mine[item[own]] = weight[own]
+                edge = np.append(0, np.cumsum(size[others]))
+                take = np.repeat(first[others] - edge[:-1], size[others]) + np.arange(edge[-1])
+                both = np.add.reduceat(np.minimum(weight[take], mine[item[take]]), edge[:-1])
+                mine[item[own]] = 0
+                value = both / (total[x] + total[others] - both)
+                ok = np.flatnonzero(value >= similarity)
+                joined, at = np.unique(group[y[ok]], return_index=True)
+                ok = ok[at]
+                rows += zip(np.repeat(doc[tile[i]], len(ok)), doc[tile[y[ok]]], value[ok], strict=True)
+                group[np.isin(group, joined)] = group[i]
+        return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(schema)], names=[n for n, _ in schema])
+
+    return run
+
+
+def open_tiles(members: DataFrame, labels: DataFrame, n_buckets: int) -> DataFrame:
+    """The tiles of every group whose ``members`` are in several classes: those of all its pairs but the ones in its largest class."""
+    at = members.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    at = materialized(at)
+    sizes = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n")).where("n > most")
+    groups = groups.select("key", "largest", F.ceil(F.col("most") / TILE).alias("inside"), F.ceil((F.col("n") - F.col("most")) / TILE).alias("outside"))
+    number = F.xxhash64("doc")
+    block = F.when(F.col("label") == F.col("largest"), F.col("outside") + F.pmod(number, "inside")).otherwise(F.pmod(number, "outside"))
+    against = F.when(F.col("label") == F.col("largest"), F.col("outside")).otherwise(F.col("outside") + F.col("inside"))
+    x = at.join(groups, "key").withColumn("block", block).withColumn("against", F.explode(F.sequence(F.lit(0).cast("long"), against - 1)))
+    x = x.withColumns({"low": F.least("block", "against"), "high": F.greatest("block", "against")})
+    tile = F.pmod(F.xxhash64("key", "low", "high"), F.lit(16 * n_buckets))
+    return x.select(tile.alias("tile"), "key", "low", "high", "block", "doc", "label", "samples", "home")
+
+
+def tile_links(texts: DataFrame, tiles: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """``doc_id, other_id, similarity`` of the links across classes in ``tiles``, written. A text goes once to each tile."""
+    rows = "tile long, key long, low long, high long, block long, doc long, label long, samples binary, text string"
+    full = texts.groupBy("bucket").cogroup(tiles.groupBy("home")).applyInArrow(_with_texts, rows)
+    return materialized(full.groupBy("tile").applyInArrow(_tile_links(frequent, similarity), "doc_id long, other_id long, similarity double"))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further links: those of the classes of classes."""
+    of = lambda c, out: links.select("doc_id", "other_id").join(labels.select(F.col("node").alias(c), F.col("label").alias(out)), c, "left")
+    ends = of("doc_id", "a").join(labels.select(F.col("node").alias("other_id"), F.col("label").alias("b")), "other_id", "left")
+    ends = ends.select(F.coalesce("a", "doc_id").alias("doc_id"), F.coalesce("b", "other_id").alias("other_id"))
+    tops = classes(ends.where("doc_id <> other_id").distinct()).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    nodes = materialized(links.select(F.explode(F.array("doc_id", "other_id")).alias("node")).distinct())
+    single = nodes.join(labels, "node", "left_anti")
+    every = labels.unionByName(single.select("node", F.col("node").alias("label")))
+    return materialized(every.join(tops, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+
+
 # ---- verification -----------------------------------------------------------------------------
 
 
@@ -365,27 +492,41 @@ def classes(links: DataFrame) -> DataFrame:
             return labels
 
 
+def verified(texts: DataFrame, pairs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """``doc_id, other_id, similarity`` of the pairs that are similar, written."""
+    asked = pairs.groupBy("home").applyInArrow(_ask, "home int, asker int, other binary")
+    sent = texts.groupBy("bucket").cogroup(asked.groupBy("home")).applyInArrow(_send_texts, TEXTS)
+    both = pairs.select("home", "doc", "other", "other_home", F.lit(None).cast("long").alias("sent"), F.lit(None).cast("string").alias("text"))
+    none = F.lit(None).cast("binary")
+    both = both.unionByName(sent.select("home", none.alias("doc"), none.alias("other"), none.alias("other_home"), F.col("other").alias("sent"), "text"))
+    return materialized(texts.groupBy("bucket").cogroup(both.groupBy("home")).applyInArrow(_verify(frequent, similarity), "doc_id long, other_id long, similarity double"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id, n_links``: the least id of each document's class, and its verified links.
 
     Links are those between different texts of class representatives; copies have none of their own.
+    In a large group they are those to leaders and those that join classes.
     """
     n = buckets_for(docs)
     frequent = frequent_words(docs, n, docs.count())
     rows = distinct_texts(docs, n)
     texts = rows.where(F.col("text").isNotNull()).select("bucket", "doc_id", "text")
     blobs = materialized(texts.mapInArrow(_send_bands(frequent, n), BLOBS))
-    pairs = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(_match_bands, PAIRS)
-    pairs = materialized(pairs.unionByName(blobs.where("bucket < 0").mapInArrow(_local_pairs, PAIRS)))
-    dropped(blobs)
-    asked = pairs.groupBy("home").applyInArrow(_ask, "home int, asker int, other binary")
-    sent = texts.groupBy("bucket").cogroup(asked.groupBy("home")).applyInArrow(_send_texts, TEXTS)
-    both = pairs.select("home", "doc", "other", "other_home", F.lit(None).cast("long").alias("sent"), F.lit(None).cast("string").alias("text"))
-    none = F.lit(None).cast("binary")
-    both = both.unionByName(sent.select("home", none.alias("doc"), none.alias("other"), none.alias("other_home"), F.col("other").alias("sent"), "text"))
-    links = materialized(texts.groupBy("bucket").cogroup(both.groupBy("home")).applyInArrow(_verify(frequent, similarity), "doc_id long, other_id long, similarity double"))
+    found = materialized(blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(_match_bands, FOUND))
+    near = blobs.where("bucket = -1").mapInArrow(_local_pairs, PAIRS)
+    pairs = materialized(found.where("home >= 0").drop("key", "samples").unionByName(near))
+    links = verified(texts, pairs, frequent, similarity)
     dropped(pairs)
     labels = classes(links)
+    stay = blobs.where("bucket = -2").select("key", "doc", "home", "samples")
+    members = found.where("home < 0").select("key", "doc", F.col("other_home").alias("home"), "samples").unionByName(stay)
+    tiles = materialized(open_tiles(members.mapInArrow(_members, MEMBERS), labels, n))
+    dropped(blobs)
+    dropped(found)
+    if not tiles.isEmpty():
+        more = tile_links(texts, tiles, frequent, similarity)
+        labels, links = merged(labels, more), links.unionByName(more)
     ends = links.select(F.least("doc_id", "other_id").alias("a"), F.greatest("doc_id", "other_id").alias("b")).distinct()
     degree = ends.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     nodes = labels.join(degree, "node", "left")

@@ -88,3 +88,46 @@ def test_nulls_empty_table_and_classes(spark, documents):
     chain = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(90, 91)], "doc_id long, other_id long")
     labels = {x.node: x.label for x in nd.classes(chain).collect()}
     assert labels == {i: 0 for i in range(51)} | {90: 90, 91: 90}
+
+
+def star(r, origin, n, words):
+    """Variants that are like the original, but less so like each other: each with its own words changed."""
+    out = []
+    for _ in range(n):
+        each = origin.split(" ")
+        for at in r.sample(range(8, len(each) - 8), words):
+            each[at] = f"new{r.randrange(10**6)}"
+        out.append(" ".join(each))
+    return out
+
+
+def test_large_group_of_variants_like_the_original_only(spark, documents, prose):
+    r = random.Random(4)
+    rows = []
+    for k in range(4):
+        origin = prose(2000 + k, 260).replace("\n", "")
+        rows += [(1000 * k + i, t) for i, t in enumerate([*star(r, origin, 60, 4), origin])]
+    expected = brute(rows)
+    assert len({c for _, c in expected}) < 20
+    assert sorted({(x.doc_id, x.class_id) for x in nd.near_duplicates(documents(rows)).collect()}) == expected
+
+
+def test_open_groups_meet_in_tiles_across_classes(spark):
+    sample = bytes(range(nd.BANDS * nd.ROWS))
+    members = spark.createDataFrame([(7, i, 0, sample) for i in range(3000)] + [(8, i, 0, sample) for i in (1, 2, 9)], nd.MEMBERS)
+    labels = spark.createDataFrame([(i, 0 if i < 1700 else i) for i in range(3000)], "node long, label long")
+    tiles, met = {}, set()
+    for x in nd.open_tiles(members, labels, 4).collect():
+        tiles.setdefault((x.key, x.low, x.high), []).append((x.block, x.doc))
+    assert {k for k, *_ in tiles} == {7} and max(map(len, tiles.values())) < 2.3 * nd.TILE
+    for (_, low, high), rows in tiles.items():
+        a, b = ([d for k, d in rows if k == side] for side in (low, high))
+        met |= {(i, j) for i in a for j in b if i < j} | {(j, i) for i in a for j in b if j < i}
+    assert all((i, j) in met for j in range(1700, 3000) for i in range(j))
+
+
+def test_further_links_merge_classes(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)], "node long, label long")
+    links = spark.createDataFrame([(4, 2), (9, 4), (8, 7), (6, 5)], "doc_id long, other_id long")
+    got = {x.node: x.label for x in nd.merged(labels, links).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 1, 5: 5, 6: 5, 7: 7, 8: 7}
