@@ -55,6 +55,15 @@ def test_pipeline_matches_brute_force(spark, documents, prose, tmp_path):
     assert got == brute(rows, items) and 40 < len(got) < len(rows) - 20
 
 
+def test_large_near_duplicate_group_leaves_one_document(spark, documents, prose, tmp_path):
+    r = random.Random(4)
+    origin = prose(2000, 260).replace("\n", "")
+    rows = [(i, t) for i, t in enumerate([*test_near_dedup.star(r, origin, 60, 4), origin])] + [(100 + i, prose(i, 60)) for i in range(20)]
+    assert {c for i, c in test_near_dedup.brute(rows) if i < 100} == {0}
+    kept = corpus_pipeline.minhash_near_dedup(spark, documents(rows), str(tmp_path))
+    assert sorted(x.doc_id for x in kept.collect()) == [0, *range(100, 120)]
+
+
 def test_stages_keep_columns_and_take_odd_rows(spark, documents, prose, tmp_path):
     spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     rows = [(1, prose(1, 40)), (1, prose(1, 40)), (None, prose(2, 40)), (3, None)]
