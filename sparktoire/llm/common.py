@@ -9,18 +9,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Files of a bucketed table, Spark's own limit; beyond it a file holds several buckets, each still one group.
+MOST_BUCKETS = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a new one where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where both are unset, a folder of this machine serves a local session; a cluster gets an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="shared-")
         if not kept.isDefined():
-            spark.sparkContext.setCheckpointDir(path)
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set: the executors have no folder in common")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+            kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = kept.get()
     return path
 
 
@@ -39,17 +49,19 @@ def bucketed(df: DataFrame, n: int, column: str) -> DataFrame:
     """
     name = f"bucketed_{uuid.uuid4().hex}"
     path = f"{shared_dir(df.sparkSession)}/tables/{name}"
-    df.write.option("compression", "zstd").option("path", path).bucketBy(min(n, 100_000), column).sortBy(column).saveAsTable(name)
+    df.write.option("compression", "zstd").option("path", path).bucketBy(min(n, MOST_BUCKETS), column).sortBy(column).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
 def dropped(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialized`` wrote, once nothing reads it again."""
+    """Delete a table that ``materialized`` or ``bucketed`` wrote, once nothing reads it again."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for parent in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(conf).delete(path, True)
+        if path.getName().startswith("bucketed_"):
+            spark.sql(f"DROP TABLE IF EXISTS {path.getName()}")
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

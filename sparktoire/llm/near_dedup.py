@@ -1,25 +1,31 @@
 """Near duplicates: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-The weight of a five-word shingle is its count in the document times the mean inverse document
-frequency of its words, ``1 + ln(N / max(df, N / 100))``. Consistent weighted samples of it agree
-for two documents with the probability of their weighted Jaccard similarity, so documents of
-similarity ``SIMILARITY`` share a band of ``ROWS`` samples almost surely (all ``BANDS`` fail for
-one pair in 27,000 at 0.8).
-
-Exact copies are collapsed first (``copies``). Within a band, up to ``SMALL`` documents are paired
-with each other; in a larger group every document is paired with the group's leaders, which are
-chosen so that each document resembles one, the most central first. Large groups are first reduced
-to their leaders in each input chunk, so a hot group never meets in one task. Pairs are verified on
-the texts: a leader's text goes once to each bucket that holds partners. The verified links give
-classes by label propagation with pointer jumping, in tables.
+The weight of a five-word shingle is its count in the document times its inverse document frequency
+``1 + ln(N / df) / ln N``, in steps of 1/255: 2 for a shingle of one document, 1 for one that all
+have. ``df`` counts the rows of the whole table, copies too. Consistent weighted samples agree for
+two documents with the probability of their weighted Jaccard similarity, so documents of similarity
+``SIMILARITY`` share a band of ``ROWS`` samples almost surely (all ``BANDS`` fail for one pair in
+27,000 at 0.8).
+
+Exact copies are collapsed first (``copies``). Each bucket of texts sends its distinct shingles to
+the buckets of their hashes and gets their frequencies back; a table keeps them beside the texts.
+Within a band, up to ``SMALL`` documents are paired with each other; in a larger group every
+document is paired with the group's leaders, which are chosen so that each document resembles one,
+the most central first. Large groups are first reduced to their leaders in each input chunk, so a
+hot group never meets in one task. Pairs are verified on the texts: a leader's text goes once to
+each bucket that holds partners. The verified links give classes by label propagation with pointer
+jumping, in tables.
 
 Leaders only save pairs, they decide none: a large group whose documents are then still in several
 classes is opened again, and all its pairs across classes are verified in tiles of ``TILE`` by
-``TILE`` documents. So each likely pair of a band is verified or within a class already.
+``TILE`` documents, of ``TILE_BYTES`` of text each. So each likely pair of a band is verified or
+within a class already, and no link between classes is lost.
 
 Defined results: null and empty texts have no shingles and are only like each other (exact copies);
-a text of fewer than five words is one shingle; rows of one ``doc_id`` are one document; null ids
-share the class of their own text; an empty table gives an empty result; other columns are ignored.
+a text of fewer than five words is one shingle; rows of one ``doc_id`` are one document, and their
+texts are in one class; a row without an id is a document of its own text, and a class of such rows
+alone has none; ids are below 2^62; an empty table gives an empty result; other columns are ignored
+or, in ``representatives``, kept.
 """
 
 from __future__ import annotations
@@ -28,107 +34,138 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sparktoire.llm import textbytes as tb
-from sparktoire.llm.common import dropped, materialized
-from sparktoire.llm.copies import NO_ID, buckets_for, distinct_texts
+from sparktoire.llm.common import bucketed, dropped, materialized, release
+from sparktoire.llm.copies import buckets_for, distinct_texts
+from sparktoire.llm.keys import arrow_table, dealt, packed, packed_counts, unpacked, unpacked_counts
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 2
 SMALL = 16
-TILE = 1024
+TILE, TILE_BYTES = 1024, 4 << 20
 #: Share of equal samples from which a pair is verified; at 0.8, one pair in 66,000 has fewer.
 LIKELY = 0.4
+#: Rows without an id have keys from here on.
+NO_ID = 1 << 62
+STEPS = 255
 _SEEDS = tb.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-COUNTS = "bucket int, word binary, n binary"
+SENT = "bucket int, source int, key binary, n binary"
+ANSWER = "source int, bucket int, idf binary"
+WEIGHTED = "bucket int, doc_id long, n_bytes long, text string, idf binary"
 BLOBS = "bucket int, key binary, doc binary, home binary, samples binary"
 PAIRS = "home int, doc binary, other binary, other_home binary"
 FOUND = f"{PAIRS}, key binary, samples binary"
 MEMBERS = "key long, doc long, home int, samples binary"
-TEXTS = "home int, other long, text string"
+TEXTS = "homes array<int>, other long, text string, idf binary"
 
+_SENT = [("bucket", pa.int32()), ("source", pa.int32()), ("key", pa.binary()), ("n", pa.binary())]
+_ANSWER = [("source", pa.int32()), ("bucket", pa.int32()), ("idf", pa.binary())]
+_LINK = [("doc_id", pa.int64()), ("other_id", pa.int64()), ("similarity", pa.float64())]
 
-# ---- inverse document frequencies -------------------------------------------------------------
 
+# ---- shingles and their document frequencies ----------------------------------------------------
 
-def _word_counts(n_buckets: int):
-    """Per chunk, in how many documents each word is."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, buf, offsets in tb.chunks(batch, "text"):
-                starts, ends, first = tb.words(buf, offsets)
-                word = tb.span_hashes(buf, starts, ends)
-                doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                by = np.lexsort((word, doc))
-                word, doc = word[by], doc[by]
-                word = word[np.append(True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1]))[: len(word)]]
-                word, n = np.unique(word, return_counts=True)
-                by = np.argsort(word % np.uint64(n_buckets), kind="stable")
-                word, n = word[by], n[by].astype(np.uint32)
-                edge = np.searchsorted(word % np.uint64(n_buckets), np.arange(n_buckets + 1).astype(np.uint64))
-                b = np.flatnonzero(np.diff(edge))
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([word[edge[i] : edge[i + 1]].tobytes() for i in b], pa.binary()), pa.array([n[edge[i] : edge[i + 1]].tobytes() for i in b], pa.binary())], names=["bucket", "word", "n"])
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(hash, count, first)``: distinct shingles of each text, sorted by hash within it."""
+    starts, ends, first = tb.words(buf, offsets)
+    shingle, at = tb.shingle_hashes(tb.span_hashes(buf, starts, ends), first, SHINGLE)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    by = np.argsort(shingle, kind="stable")
+    by = by[np.argsort(doc[by], kind="stable")]
+    shingle, doc = shingle[by], doc[by]
+    head = np.flatnonzero(np.append(True, (shingle[1:] != shingle[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)])
+    return shingle[head], np.diff(np.append(head, len(doc))), np.searchsorted(doc[head], np.arange(len(at)))
+
+
+def _own(table: pa.Table, *columns: str) -> tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """A bucket's rows and the shingle sets of its texts, chunk by chunk."""
+    batch = table.select([*columns, "text"]).combine_chunks().to_batches()
+    return batch, [shingle_sets(buf, offsets) for x in batch for _, _, buf, offsets in tb.chunks(x, "text")]
+
+
+def _send_shingles(n_buckets: int):
+    """The distinct shingles of a bucket, and the rows that have them."""
+
+    def run(texts: pa.Table) -> pa.Table:
+        _, parts = _own(texts)
+        n_copies = np.asarray(texts["n_copies"].combine_chunks())
+        shingle = np.concatenate([x[0] for x in parts])
+        each = np.repeat(n_copies, np.concatenate([np.diff(x[2]) for x in parts]))
+        key, at = np.unique(shingle, return_inverse=True)
+        n = np.bincount(at, each, len(key)).astype(np.int64)
+        source = texts["bucket"][0].as_py()
+        return arrow_table([(b, source, packed(key[x], n_buckets), packed_counts(n[x])) for b, x in dealt(key, n_buckets)], _SENT)
 
     return run
 
 
-def frequent_words(docs: DataFrame, n_buckets: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and weights of the words in more than a hundredth of all documents.
+def steps_of(df: np.ndarray, total: int) -> np.ndarray:
+    """Inverse document frequencies, 0 to ``STEPS``: ``ln(N / df) / ln N`` in steps."""
+    return np.round(STEPS * np.log(total / df) / np.log(total)) if total > 1 else np.full(len(df), STEPS)
 
-    There are at most a hundred times as many as a document has distinct words on average.
-    """
 
-    def add(table: pa.Table) -> pa.Table:
-        word = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["word"]])
-        n = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table["n"]]).astype(np.int64)
-        word, at = np.unique(word, return_inverse=True)
-        n = np.bincount(at, n).astype(np.int64)
-        frequent = n * 100 > total
-        return pa.table({"word": pa.array(word[frequent].view(np.int64)), "n": pa.array(n[frequent])})
-
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(_word_counts(n_buckets), COUNTS).groupBy("bucket").applyInArrow(add, "word long, n long").toArrow()
-    word, n = np.asarray(rows["word"]).view(np.uint64), np.asarray(rows["n"])
-    by = np.argsort(word)
-    return word[by], (1 + np.log(total / n[by])).astype(np.float64)
-
-
-# ---- shingles and samples ---------------------------------------------------------------------
-
-
-class Weights:
-    """Weighted shingles of the texts of a chunk."""
-
-    def __init__(self, frequent: tuple[np.ndarray, np.ndarray]):
-        self.word, self.weight = frequent
-        self.most = 1 + np.log(100)
-
-    def idf(self, word: np.ndarray) -> np.ndarray:
-        if not len(self.word):
-            return np.full(len(word), self.most)
-        at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
-        return np.where(self.word[at] == word, self.weight[at], self.most)
-
-    def shingles(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(hash, weight, first)``: distinct shingles of each text, sorted by hash within it."""
-        starts, ends, first = tb.words(buf, offsets)
-        word = tb.span_hashes(buf, starts, ends)
-        shingle, at = tb.shingle_hashes(word, first, SHINGLE)
-        count = np.diff(at)
-        total = np.append(0, np.cumsum(self.idf(word)))
-        begin = np.repeat(first[:-1] - at[:-1], count) + np.arange(len(shingle))
-        end = np.minimum(begin + SHINGLE, np.repeat(first[1:], count))
-        weight = np.round((total[end] - total[begin]) / np.maximum(end - begin, 1), 6)
-        doc = np.repeat(np.arange(len(count)), count)
-        by = np.lexsort((shingle, doc))
-        shingle, doc, weight = shingle[by], doc[by], weight[by]
-        head = np.append(True, (shingle[1:] != shingle[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)]
-        where = np.flatnonzero(head)
-        weight = np.add.reduceat(weight, where) if len(where) else weight
-        return shingle[where], weight, np.searchsorted(doc[where], np.arange(len(count) + 1))
+def _frequencies(total: int, n_buckets: int):
+    """The frequency of each key of a bucket, for every source that sent it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, sources = int(table["bucket"][0].as_py()), table["source"].to_pylist()
+        parts = [unpacked(x.as_buffer(), bucket, n_buckets) for x in table["key"]]
+        n = np.concatenate([unpacked_counts(x.as_buffer(), len(k)) for x, k in zip(table["n"], parts, strict=True)])
+        edge = np.append(0, np.cumsum([len(k) for k in parts]))
+        key, at = np.unique(np.concatenate(parts), return_inverse=True)
+        idf = steps_of(np.bincount(at, n, len(key)), total).astype(np.uint8)[at]
+        return arrow_table([(s, bucket, idf[edge[i] : edge[i + 1]].tobytes()) for i, s in enumerate(sources)], _ANSWER)
+
+    return run
+
+
+def _weigh(n_buckets: int):
+    """A bucket's texts with the inverse document frequencies of their shingles, a byte each."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        names, types = ["bucket", "doc_id", "n_bytes", "text", "idf"], [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        if not len(texts):
+            return pa.table([pa.array([], t) for t in types], names=names)
+        _, parts = _own(texts)
+        key, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+        size = np.concatenate([np.diff(x[2]) for x in parts])
+        told = {b: np.frombuffer(v.as_buffer(), np.uint8) for b, v in zip(answers["bucket"].to_pylist(), answers["idf"], strict=True)}
+        idf = np.zeros(len(key), np.uint8)
+        for b, x in dealt(key, n_buckets):
+            idf[x] = told[b]
+        offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+        column = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(idf[at])])
+        return pa.table([*(texts[c] for c in names[:4]), column], names=names)
+
+    return run
+
+
+def weighted_texts(rows: DataFrame, n_buckets: int, total: int) -> DataFrame:
+    """``bucket, doc_id, n_bytes, text, idf`` of the distinct texts, in a table bucketed like ``rows``."""
+    texts = rows.where(F.col("text").isNotNull()).select("bucket", "doc_id", "n_bytes", "n_copies", "text")
+    sent = texts.groupBy("bucket").applyInArrow(_send_shingles(n_buckets), SENT)
+    answers = materialized(sent.groupBy("bucket").applyInArrow(_frequencies(total, n_buckets), ANSWER))
+    release(rows.sparkSession)
+    weighted = bucketed(texts.groupBy("bucket").cogroup(answers.groupBy("source")).applyInArrow(_weigh(n_buckets), WEIGHTED), n_buckets, "bucket")
+    dropped(answers)
+    release(rows.sparkSession)
+    return weighted
+
+
+def weighted_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(row, end, hash, weight, first)`` of a few MB of weighted texts at a time."""
+    idf = batch.column(batch.schema.get_field_index("idf"))
+    for row, end, buf, offsets in tb.chunks(batch, "text"):
+        shingle, count, first = shingle_sets(buf, offsets)
+        steps = np.frombuffer(b"".join(x.as_py() for x in idf.slice(row, end - row)), np.uint8)
+        yield row, end, shingle, count * (1 + steps / STEPS), first
+
+
+# ---- samples ------------------------------------------------------------------------------------
 
 
 def _unit(bits: np.ndarray) -> np.ndarray:
@@ -214,18 +251,16 @@ def _pair_rows(doc: np.ndarray, home: np.ndarray, a: np.ndarray, b: np.ndarray)
             yield int(home[a[part[0]]]), doc[a[part]].tobytes(), doc[b[part]].tobytes(), home[b[part]].tobytes()
 
 
-def _send_bands(frequent: tuple[np.ndarray, np.ndarray], n_buckets: int):
+def _send_bands(n_buckets: int):
     """Rows of bands for each bucket; bucket -1 has the pairs found within a chunk, -2 the rows that stay there.
 
     The other rows of a group of which some stay have the complement of their home.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(frequent)
         for batch in batches:
             ids, homes = np.asarray(batch.column(1)), np.asarray(batch.column(0))
-            for row, end, buf, offsets in tb.chunks(batch, "text"):
-                shingle, weight, first = weights.shingles(buf, offsets)
+            for row, end, shingle, weight, first in weighted_sets(batch):
                 has = np.flatnonzero(np.diff(first))
                 if not len(has):
                     continue
@@ -302,24 +337,23 @@ def _with_texts(texts: pa.Table, asked: pa.Table) -> pa.Table:
     ids = np.asarray(texts["doc_id"].combine_chunks()) if len(texts) else np.zeros(0, np.int64)
     by = np.argsort(ids, kind="stable")
     found = pa.array(by[np.searchsorted(ids[by], np.asarray(asked["doc"].combine_chunks()))] if len(asked) else np.zeros(0, np.int64))
-    return asked.set_column(at, "text", texts["text"].combine_chunks().take(found) if len(asked) else pa.array([], pa.string()))
+    text, idf = (texts[c].combine_chunks().take(found) if len(asked) else pa.array([], t) for c, t in (("text", pa.string()), ("idf", pa.binary())))
+    return asked.set_column(at, "text", text).append_column("idf", idf)
 
 
-def _tile_links(frequent: tuple[np.ndarray, np.ndarray], similarity: float):
+def _tile_links(similarity: float):
     """The links across classes in each tile of a bucket: one for each class that a document joins, so fewer than documents."""
-    schema = [("doc_id", pa.int64()), ("other_id", pa.int64()), ("similarity", pa.float64())]
 
     def run(table: pa.Table) -> pa.Table:
         key, doc, label, block, low, high = (np.asarray(table[c].combine_chunks()) for c in ("key", "doc", "label", "block", "low", "high"))
         signature = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table["samples"]])
         _, one, text = np.unique(doc, return_index=True, return_inverse=True)
-        batch = pa.table({"text": table["text"].combine_chunks().take(pa.array(one)).cast(pa.large_string())}).combine_chunks().to_batches()[0]
-        parts = [Weights(frequent).shingles(buf, offsets) for _, _, buf, offsets in tb.chunks(batch, "text")]
+        parts = _weighted(table, one)
         _, item = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
         weight, size = np.concatenate([x[1] for x in parts]), np.concatenate([np.diff(x[2]) for x in parts])
         first = np.append(0, np.cumsum(size))[:-1]
         total, mine = np.add.reduceat(weight, first), np.zeros(item.max() + 1)
-        del parts, batch, table
+        del parts, table
         by = np.lexsort((doc, high, low, key))
         new = (np.diff(key[by]) != 0) | (np.diff(low[by]) != 0) | (np.diff(high[by]) != 0)
         rows = []
@@ -347,32 +381,36 @@ def _tile_links(frequent: tuple[np.ndarray, np.ndarray], similarity: float):
                 ok = ok[at]
                 rows += zip(np.repeat(doc[tile[i]], len(ok)), doc[tile[y[ok]]], value[ok], strict=True)
                 group[np.isin(group, joined)] = group[i]
-        return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(schema)], names=[n for n, _ in schema])
+        return arrow_table(rows, _LINK)
 
     return run
 
 
-def open_tiles(members: DataFrame, labels: DataFrame, n_buckets: int) -> DataFrame:
-    """The tiles of every group whose ``members`` are in several classes: those of all its pairs but the ones in its largest class."""
+def open_tiles(members: DataFrame, labels: DataFrame, sizes: DataFrame, n_buckets: int) -> DataFrame:
+    """The tiles of every group whose ``members`` are in several classes: those of all its pairs but the ones in its largest class.
+
+    ``sizes``: the bytes ``n_bytes`` of each ``doc``.
+    """
     at = members.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    at = materialized(at)
-    sizes = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    groups = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n")).where("n > most")
-    groups = groups.select("key", "largest", F.ceil(F.col("most") / TILE).alias("inside"), F.ceil((F.col("n") - F.col("most")) / TILE).alias("outside"))
+    at = materialized(at.join(sizes, "doc"))
+    tiles = F.greatest(F.count(F.lit(1)) / TILE, F.sum("n_bytes") / TILE_BYTES)  # so many, in documents or in bytes
+    parts = at.groupBy("key", "label").agg(tiles.alias("n"))
+    groups = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    groups = groups.select("key", "largest", F.ceil("most").alias("inside"), F.ceil(F.col("n") - F.col("most")).alias("outside"))
     number = F.xxhash64("doc")
     block = F.when(F.col("label") == F.col("largest"), F.col("outside") + F.pmod(number, "inside")).otherwise(F.pmod(number, "outside"))
     against = F.when(F.col("label") == F.col("largest"), F.col("outside")).otherwise(F.col("outside") + F.col("inside"))
     x = at.join(groups, "key").withColumn("block", block).withColumn("against", F.explode(F.sequence(F.lit(0).cast("long"), against - 1)))
     x = x.withColumns({"low": F.least("block", "against"), "high": F.greatest("block", "against")})
-    tile = F.pmod(F.xxhash64("key", "low", "high"), F.lit(16 * n_buckets))
+    tile = F.pmod(F.xxhash64("key", "low", "high"), F.lit(64 * n_buckets))
     return x.select(tile.alias("tile"), "key", "low", "high", "block", "doc", "label", "samples", "home")
 
 
-def tile_links(texts: DataFrame, tiles: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+def tile_links(texts: DataFrame, tiles: DataFrame, similarity: float) -> DataFrame:
     """``doc_id, other_id, similarity`` of the links across classes in ``tiles``, written. A text goes once to each tile."""
-    rows = "tile long, key long, low long, high long, block long, doc long, label long, samples binary, text string"
+    rows = "tile long, key long, low long, high long, block long, doc long, label long, samples binary, text string, idf binary"
     full = texts.groupBy("bucket").cogroup(tiles.groupBy("home")).applyInArrow(_with_texts, rows)
-    return materialized(full.groupBy("tile").applyInArrow(_tile_links(frequent, similarity), "doc_id long, other_id long, similarity double"))
+    return materialized(full.groupBy("tile").applyInArrow(_tile_links(similarity), "doc_id long, other_id long, similarity double"))
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -408,14 +446,26 @@ def _ask(table: pa.Table) -> pa.Table:
 
 
 def _send_texts(texts: pa.Table, asked: pa.Table) -> pa.Table:
+    """The texts that others ask for, once each, with the homes to send them to."""
+    names, types = ["homes", "other", "text", "idf"], [pa.list_(pa.int32()), pa.int64(), pa.string(), pa.binary()]
     if not len(texts) or not len(asked):
-        return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.string())], names=["home", "other", "text"])
+        return pa.table([pa.array([], t) for t in types], names=names)
     ids = np.asarray(texts["doc_id"].combine_chunks())
-    by = np.argsort(ids, kind="stable")
     want = [np.frombuffer(x.as_buffer(), np.int64) for x in asked["other"]]
     home = np.repeat(np.asarray(asked["asker"].combine_chunks()), [len(x) for x in want])
-    at = by[np.searchsorted(ids[by], np.concatenate(want))]
-    return pa.table([pa.array(home, pa.int32()), pa.array(ids[at]), texts["text"].combine_chunks().take(pa.array(at))], names=["home", "other", "text"])
+    want = np.concatenate(want)
+    by = np.argsort(want, kind="stable")
+    want, home = want[by], home[by]
+    at = np.flatnonzero(np.isin(ids, want))
+    low, high = np.searchsorted(want, ids[at]), np.searchsorted(want, ids[at], "right")
+    homes = [home[i:j] for i, j in zip(low, high, strict=True)]
+    return pa.table([pa.array(homes, types[0]), pa.array(ids[at]), *(texts[c].combine_chunks().take(pa.array(at)) for c in names[2:])], names=names)
+
+
+def _weighted(texts: pa.Table, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(hash, weight, first)`` of some rows, chunk by chunk."""
+    some = texts.select(["text", "idf"]).take(pa.array(rows)).combine_chunks()
+    return [x[2:] for batch in some.to_batches() for x in weighted_sets(batch)]
 
 
 def similarities(left: tuple, right: tuple, a: np.ndarray, b: np.ndarray, batch: int = 1000) -> np.ndarray:
@@ -441,15 +491,14 @@ def similarities(left: tuple, right: tuple, a: np.ndarray, b: np.ndarray, batch:
     return out
 
 
-def _verify(frequent: tuple[np.ndarray, np.ndarray], similarity: float):
-    schema = [("doc_id", pa.int64()), ("other_id", pa.int64()), ("similarity", pa.float64())]
+def _verify(similarity: float):
+    empty = pa.table([pa.array([], t) for _, t in _LINK], names=[n for n, _ in _LINK])
 
     def some(texts: pa.Table, name: str, wanted: np.ndarray) -> tuple[np.ndarray, tuple]:
         ids = np.asarray(texts[name].combine_chunks())
         keep = np.flatnonzero(np.isin(ids, wanted))
         keep = keep[np.argsort(ids[keep], kind="stable")]
-        batch = pa.table({"text": texts["text"].combine_chunks().take(pa.array(keep)).cast(pa.large_string())}).combine_chunks().to_batches()
-        parts = [Weights(frequent).shingles(buf, offsets) for x in batch for _, _, buf, offsets in tb.chunks(x, "text")]
+        parts = _weighted(texts, keep)
         first = np.append(0, np.cumsum(np.concatenate([np.diff(x[2]) for x in parts])))
         return ids[keep], (np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]), first)
 
@@ -457,12 +506,17 @@ def _verify(frequent: tuple[np.ndarray, np.ndarray], similarity: float):
         pairs, sent = others.filter(pa.compute.is_valid(others["doc"])), others.filter(pa.compute.is_valid(others["text"]))
         doc, other, _ = _decode_pairs(pairs)
         if not len(doc) or not len(texts):
-            return pa.table([pa.array([], t) for _, t in schema], names=[n for n, _ in schema])
+            return empty
         own, left = some(texts, "doc_id", doc)
         far, right = some(sent, "sent", other)
-        value = similarities(left, right, np.searchsorted(own, doc), np.searchsorted(far, other))
+        # an id with several texts is like another if one of them is
+        first, second = np.searchsorted(own, doc), np.searchsorted(far, other)
+        n, m = np.searchsorted(own, doc, "right") - first, np.searchsorted(far, other, "right") - second
+        pair = np.repeat(np.arange(len(doc)), n * m)
+        step = np.arange(len(pair)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+        value = similarities(left, right, first[pair] + step // m[pair], second[pair] + step % m[pair])
         ok = value >= similarity
-        return pa.table([pa.array(doc[ok]), pa.array(other[ok]), pa.array(value[ok])], names=[n for n, _ in schema])
+        return pa.table([pa.array(doc[pair[ok]]), pa.array(other[pair[ok]]), pa.array(value[ok])], names=empty.column_names)
 
     return run
 
@@ -492,61 +546,74 @@ def classes(links: DataFrame) -> DataFrame:
             return labels
 
 
-def verified(texts: DataFrame, pairs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+def verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """``doc_id, other_id, similarity`` of the pairs that are similar, written."""
     asked = pairs.groupBy("home").applyInArrow(_ask, "home int, asker int, other binary")
     sent = texts.groupBy("bucket").cogroup(asked.groupBy("home")).applyInArrow(_send_texts, TEXTS)
-    both = pairs.select("home", "doc", "other", "other_home", F.lit(None).cast("long").alias("sent"), F.lit(None).cast("string").alias("text"))
+    sent = sent.select(F.explode("homes").alias("home"), F.col("other").alias("sent"), "text", "idf")
+    both = pairs.select("home", "doc", "other", "other_home", F.lit(None).cast("long").alias("sent"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("idf"))
     none = F.lit(None).cast("binary")
-    both = both.unionByName(sent.select("home", none.alias("doc"), none.alias("other"), none.alias("other_home"), F.col("other").alias("sent"), "text"))
-    return materialized(texts.groupBy("bucket").cogroup(both.groupBy("home")).applyInArrow(_verify(frequent, similarity), "doc_id long, other_id long, similarity double"))
+    both = both.unionByName(sent.select("home", none.alias("doc"), none.alias("other"), none.alias("other_home"), "sent", "text", "idf"))
+    return materialized(texts.groupBy("bucket").cogroup(both.groupBy("home")).applyInArrow(_verify(similarity), "doc_id long, other_id long, similarity double"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id, n_links``: the least id of each document's class, and its verified links.
+def _repeated_ids(rows: DataFrame) -> DataFrame:
+    """``doc_id, other_id, similarity``: links between the texts of each id that has several."""
+    several = rows.groupBy("doc_id").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a < b").select("doc_id")
+    owners = rows.select("doc_id", "owner").join(several, "doc_id", "left_semi").distinct()
+    tops = rows.groupBy(F.col("doc_id").alias("owner")).agg(F.min("owner").alias("top"))
+    return owners.join(tops, "owner").select("doc_id", F.col("top").alias("other_id"), F.lit(1.0).alias("similarity")).where("doc_id <> other_id")
 
-    Links are those between different texts of class representatives; copies have none of their own.
-    In a large group they are those to leaders and those that join classes.
-    """
-    n = buckets_for(docs)
-    frequent = frequent_words(docs, n, docs.count())
-    rows = distinct_texts(docs, n)
-    texts = rows.where(F.col("text").isNotNull()).select("bucket", "doc_id", "text")
-    blobs = materialized(texts.mapInArrow(_send_bands(frequent, n), BLOBS))
+
+def _class_labels(rows: DataFrame, n_buckets: int, total: int, similarity: float) -> DataFrame:
+    """``node, label`` of the classes of more than one text."""
+    texts = weighted_texts(rows, n_buckets, total)
+    blobs = materialized(texts.select("bucket", "doc_id", "text", "idf").mapInArrow(_send_bands(n_buckets), BLOBS))
     found = materialized(blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(_match_bands, FOUND))
     near = blobs.where("bucket = -1").mapInArrow(_local_pairs, PAIRS)
     pairs = materialized(found.where("home >= 0").drop("key", "samples").unionByName(near))
-    links = verified(texts, pairs, frequent, similarity)
+    full = texts.select("bucket", "doc_id", "text", "idf")
+    links = verified(full, pairs, similarity)
     dropped(pairs)
+    links = materialized(links.unionByName(_repeated_ids(rows)))
     labels = classes(links)
     stay = blobs.where("bucket = -2").select("key", "doc", "home", "samples")
     members = found.where("home < 0").select("key", "doc", F.col("other_home").alias("home"), "samples").unionByName(stay)
-    tiles = materialized(open_tiles(members.mapInArrow(_members, MEMBERS), labels, n))
+    sizes = texts.groupBy(F.col("doc_id").alias("doc")).agg(F.max("n_bytes").alias("n_bytes"))
+    tiles = materialized(open_tiles(members.mapInArrow(_members, MEMBERS), labels, sizes, n_buckets))
     dropped(blobs)
     dropped(found)
     if not tiles.isEmpty():
-        more = tile_links(texts, tiles, frequent, similarity)
-        labels, links = merged(labels, more), links.unionByName(more)
-    ends = links.select(F.least("doc_id", "other_id").alias("a"), F.greatest("doc_id", "other_id").alias("b")).distinct()
-    degree = ends.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    nodes = labels.join(degree, "node", "left")
-    known = rows.groupBy(F.col("doc_id").alias("owner")).agg(F.min("owner").alias("top"))
-    found = rows.select("doc_id", "owner").join(known, "owner", "left").select("doc_id", F.least("owner", "top").alias("node")).join(nodes, "node", "left")
-    own = F.col("doc_id") == F.col("node")
-    return found.select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
-        F.nullif(F.coalesce("label", "node"), F.lit(NO_ID)).alias("class_id"),
-        F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-    )
+        labels = merged(labels, tile_links(full, tiles, similarity))
+    dropped(tiles)
+    dropped(texts)
+    return labels
+
+
+def _classified(docs: DataFrame, similarity: float, carry: list[str | Column]) -> DataFrame:
+    """``doc_id, class_id, text`` (null for copies) of every row, and the columns ``carry`` as ``carried_0`` and so on."""
+    n = buckets_for(docs)
+    hashed = F.lit(NO_ID) + F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(NO_ID))
+    rows = distinct_texts(docs, n, carry=carry, no_id=hashed)
+    labels = _class_labels(rows, n, docs.count(), similarity)
+    # an owner's label first: the many rows of a hot text then meet only those of their own chunk
+    tops = rows.groupBy("doc_id").agg(F.min("owner").alias("top"))
+    owners = tops.join(labels, F.col("top") == F.col("node"), "left").select(F.col("doc_id").alias("owner"), F.coalesce("label", "top").alias("class_id"))
+    return rows.join(owners, "owner").select("doc_id", "class_id", "text", *(f"carried_{i}" for i in range(len(carry))))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, class_id``: the least id of each document's class."""
+    own = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
+    return _classified(docs, similarity, []).select(own("doc_id"), own("class_id"))
 
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, that of the least id, with all its columns."""
-    found = near_duplicates(docs.select("doc_id", "text"), similarity)
-    others = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__other")).distinct()
-    kept = docs.join(others, F.col("doc_id").eqNullSafe(F.col("__other")), "left_anti")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("__twice")), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("__twice")), "left_anti").unionByName(once)
+    carry = [c for c in docs.columns if c != "text"]
+    x = materialized(_classified(docs, similarity, [*carry, F.col("text").isNull()]).where("text IS NOT NULL AND doc_id = class_id"))
+    repeated = x.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        x = x.join(repeated, "doc_id", "left_anti").unionByName(x.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    own = {"text": F.when(~x[f"carried_{len(carry)}"], x["text"]), **{c: x[f"carried_{i}"] for i, c in enumerate(carry)}}
+    return x.select(*(own[c].alias(c) for c in docs.columns))

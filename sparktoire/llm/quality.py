@@ -4,7 +4,7 @@ The suffixes of a document start at its words. Prefix doubling sorts the suffixe
 documents at once; the ranks of all levels then give the longest common prefix (LCP) of suffixes
 that are neighbours in the sorted order. The deepest LCP interval around a suffix is the larger of
 its two neighbour values: the longest maximal repeat that starts there. The union of these spans
-and the longest of them are what the rule limits.
+and the longest of them are what the rule limits. Words and lines are equal if their bytes are.
 
 Defined results: a null or empty text has no words and fails the base rule; a null ``doc_id`` is
 kept as it is; repeated rows are judged one by one; an empty table gives an empty result; other
@@ -103,9 +103,7 @@ def measure(buf: np.ndarray, offsets: np.ndarray, repeat_words: int) -> dict[str
     """The figures of each document of a chunk."""
     starts, ends, first = tb.words(buf, offsets)
     n_words = np.diff(first)
-    hashes = tb.span_hashes(buf, starts, ends)
-    _, ids = np.unique(hashes, return_inverse=True)
-    longest = suffix_lcp(ids.astype(np.int64), first)
+    longest = suffix_lcp(tb.span_numbers(buf, starts, ends).astype(np.int64), first)
     five = np.flatnonzero(longest >= 5)
     long = np.flatnonzero(longest >= repeat_words)
     top = np.zeros(len(n_words), np.int64)
@@ -117,9 +115,10 @@ def measure(buf: np.ndarray, offsets: np.ndarray, repeat_words: int) -> dict[str
     worded = np.searchsorted(starts, stops) > np.searchsorted(starts, edges)
     edges, stops = edges[worded], stops[worded]
     owner = np.searchsorted(offsets, edges, "right") - 1
-    lines = np.stack([owner.astype(np.uint64), tb.span_hashes(buf, edges, stops)], axis=1)
+    line = tb.span_numbers(buf, edges, stops).astype(np.int64)
     n_lines = np.bincount(owner, minlength=len(n_words))
-    distinct = np.bincount(np.unique(lines, axis=0)[:, 0].astype(np.int64), minlength=len(n_words))
+    each = line.max(initial=0) + 1
+    distinct = np.bincount(np.unique(owner * each + line) // each, minlength=len(n_words))
     return {
         "n_words": n_words,
         "word_chars": per_document(~tb.IS_SPACE[buf] & ((buf & 0xC0) != 0x80), offsets),

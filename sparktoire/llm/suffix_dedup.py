@@ -11,8 +11,8 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
    of equal snippets in a document bucket only that of the smallest ``doc_id`` is sent.
 4. There all snippets are suffix-sorted in two stages: suffixes smaller than their successor are
    sorted directly, the others are induced by scanning the buckets of first bytes in order.
-   Neighbours with a common prefix of ``LENGTH`` bytes are the same string; its smallest
-   ``doc_id`` keeps it.
+   The common prefixes of neighbours are computed; from ``LENGTH`` bytes on they are the same
+   string, and its smallest ``doc_id`` keeps it.
 
 Defined results: null texts count as empty; a null ``doc_id`` comes after all others; rows of equal
 ``doc_id`` don't take bytes from each other; an empty table gives an empty result; other columns
@@ -96,12 +96,21 @@ def two_stage_sort(text: np.ndarray) -> np.ndarray:
     return np.concatenate(order)
 
 
-def same_prefix(word: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the common prefix of the suffixes ``a`` and ``b`` has ``length`` bytes at least."""
-    n, out = len(word) - 1, np.ones(len(a), bool)
-    for at in range(0, length, 8):
-        drop = np.uint64(8 * max(0, at + 8 - length))
-        out &= (word[np.minimum(a + at, n)] >> drop) == (word[np.minimum(b + at, n)] >> drop)
+_WIDTHS = np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))
+
+
+def common_prefixes(word: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The bytes that each suffix of the order has in common with the one before it, 56 at most."""
+    n, out, open_ = len(word) - 1, np.zeros(max(0, len(order) - 1), np.int64), None
+    for depth in range(_DEPTH):
+        a, b = (order[:-1], order[1:]) if open_ is None else (order[open_], order[open_ + 1])
+        differ = word[np.minimum(a + 8 * depth, n)] ^ word[np.minimum(b + 8 * depth, n)]
+        equal = 8 - np.searchsorted(_WIDTHS, differ, "right")
+        where = slice(None) if open_ is None else open_
+        out[where] += equal
+        open_ = np.flatnonzero(equal == 8) if open_ is None else open_[equal == 8]
+        if not len(open_):
+            break
     return out
 
 
@@ -111,7 +120,7 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if n < LENGTH:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.arange(n - GRAM + 1)
-    key = tb.span_hashes(buf, at, at + GRAM)
+    key = tb.rolling_hashes(buf, at, at + GRAM)
     bits = np.uint64(max(1, int(n).bit_length()))
     low = (key >> bits << bits) | at.astype(np.uint64)
     width = 1
@@ -226,7 +235,7 @@ def send_snippets(n_buckets: int):
             return empty
         key, start, count, document = key[x], start[x], count[x], document[x]
         size = count + LENGTH - 1
-        _, first, inverse = np.unique(np.stack([tb.span_hashes(buf, start, start + size), key], 1), axis=0, return_index=True, return_inverse=True)
+        _, first, inverse = np.unique(np.stack([tb.span_numbers(buf, start, start + size).astype(np.uint64), key], 1), axis=0, return_index=True, return_inverse=True)
         inverse = inverse.ravel()
         start -= offsets[document]
         later = ids[document] > ids[document[first]][inverse]  # rows are in the order of ids
@@ -260,7 +269,7 @@ def repeated_windows(ids: np.ndarray, size: np.ndarray, data: np.ndarray) -> tup
     if not len(order):
         none = np.zeros(0, np.int64)
         return none, none, none
-    same = same_prefix(eight(data), order[:-1], order[1:], LENGTH)
+    same = common_prefixes(eight(data), order) >= LENGTH
     group = np.cumsum(np.append(True, ~same)) - 1
     least = np.minimum.reduceat(ids[owner[order]], np.flatnonzero(np.append(True, ~same)))
     gone = np.sort(order[ids[owner[order]] > least[group]])
@@ -283,7 +292,7 @@ def compare_snippets(table: pa.Table) -> pa.Table:
     document, start, place = whole(document, np.int32), whole(start, np.int64), np.append(0, np.cumsum(places))
     edge = np.append(0, np.cumsum(size))
     by = np.argsort(ids, kind="stable")
-    _, first, inverse = np.unique(tb.span_hashes(text, edge[:-1], edge[1:])[by], return_index=True, return_inverse=True)
+    _, first, inverse = np.unique(tb.span_numbers(text, edge[:-1], edge[1:])[by], return_index=True, return_inverse=True)
     copy = by[ids[by] > ids[by[first]][inverse]]
     each = by[first]  # one snippet of every text is sorted, that of the smallest id
     snippet, low, high = repeated_windows(ids[each], size[each], _gather(text, edge[each], size[each]))
@@ -343,13 +352,24 @@ def cut(with_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """Figures of every document and the digest of what is left of it, or with ``with_text`` the text.
+def substring_dedup(docs: DataFrame) -> DataFrame:
+    """Figures of every document and the digest of what is left of it."""
+    return _deduplicated(docs, False, [])
+
 
-    A cut may split a character; the text has no part of it. The columns ``carry`` of the input
-    follow under their own names.
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The documents, all their columns, with what is left of each text.
+
+    A cut may split a character; the text has no part of it. A null text becomes an empty one.
     """
-    carry = carry or []
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    x = _deduplicated(docs, True, others)
+    own = {"doc_id": x["doc_id"].cast(docs.schema["doc_id"].dataType), "text": x["text"], **{c: x[f"carried_{i}"] for i, c in enumerate(others)}}
+    return x.select(*(own[c].alias(c) for c in docs.columns))
+
+
+def _deduplicated(docs: DataFrame, with_text: bool, carry: list[str]) -> DataFrame:
+    """The figures, the digest or the text, and the columns ``carry`` as ``carried_0`` and so on."""
     n = buckets_for(docs)
     rows = distinct_texts(docs, n, LENGTH, carry)
     more = [f"carried_{i}" for i in range(len(carry))]
@@ -365,8 +385,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = False, carry: list[str] |
     kept = texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(cut(with_text), schema)
     empty = F.lit("") if with_text else F.sha2(F.lit(b""), 256)
     gone = rows.where(F.col("text").isNull()).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("text" if with_text else "kept_sha256"), *more)
-    out = kept.unionByName(gone).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
-    return out.select(*out.columns[: len(out.columns) - len(more)], *(F.col(a).alias(b) for a, b in zip(more, carry, strict=True)))
+    return kept.unionByName(gone).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def _stops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

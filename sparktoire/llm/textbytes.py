@@ -1,8 +1,13 @@
 """Whole-batch text primitives on the UTF-8 bytes of an Arrow column.
 
 A batch of texts is one byte array plus document offsets. Words are runs of bytes outside
-``[\\x20\\x09-\\x0D]``; each gets a 64-bit polynomial hash computed for the whole batch at once, so
-no Python code runs per word. Nulls count as empty texts.
+``[\\x20\\x09-\\x0D]``; each gets a 64-bit hash computed for the whole batch at once, so no Python
+code runs per word. Nulls count as empty texts.
+
+``span_hashes`` mixes eight bytes at a time, so no structure of the bytes makes hashes meet: spans
+of one length up to 8 bytes never do, others with the chance of random numbers. ``span_numbers``
+compares the bytes themselves. ``rolling_hashes`` are polynomials, cheap for spans that overlap, but
+there are texts that they confuse: they only say where to look.
 """
 
 from __future__ import annotations
@@ -75,8 +80,66 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         row = end
 
 
+_BYTES_OF_BLOCK = 64
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+_LENGTH, _LANE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans; equal bytes give equal hashes wherever they stand."""
+    """64-bit hashes of the byte spans; equal bytes give equal hashes wherever they stand.
+
+    A span of several blocks is the hash of its blocks' hashes.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _LENGTH + np.uint64(1))
+    if not len(starts):
+        return out
+    short = size <= _BYTES_OF_BLOCK
+    if not short.all():
+        long = np.flatnonzero(~short)
+        n = -(-size[long] // _BYTES_OF_BLOCK)
+        edge = np.append(0, np.cumsum(n))
+        begin = np.repeat(starts[long] - edge[:-1] * _BYTES_OF_BLOCK, n) + np.arange(edge[-1]) * _BYTES_OF_BLOCK
+        blocks = span_hashes(buf, begin, np.minimum(begin + _BYTES_OF_BLOCK, np.repeat(ends[long], n)))
+        out[long] = mix(out[long] ^ span_hashes(blocks.view(np.uint8), edge[:-1] * 8, edge[1:] * 8))
+    lanes = np.ndarray((len(buf) + 1,), "<u8", np.append(buf, np.zeros(8, np.uint8)), strides=(1,))
+    some = None if short.all() else np.flatnonzero(short)
+    for at in range(0, _BYTES_OF_BLOCK, 8):
+        x = size if some is None else size[some]
+        left = np.flatnonzero(x > at)
+        if not len(left):
+            break
+        some = left if some is None else some[left]
+        lane = lanes[starts[some] + at] & _KEEP[np.minimum(size[some] - at, 8)]
+        out[some] = mix(out[some] ^ lane * _LANE)
+    return out
+
+
+def span_numbers(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """A number for each span: the same for equal bytes, and for these only."""
+    size = ends - starts
+    _, first, number = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    model = first[number]
+    differs = size != size[model]
+    check = np.flatnonzero((model != np.arange(len(model))) & ~differs & (size > 0))
+    total = np.append(0, np.cumsum(size[check]))
+    at = 0
+    while at < len(check):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + block, "right")) - 1)
+        x, n = check[at:end], size[check[at:end]]
+        step = np.arange(total[end] - total[at]) - np.repeat(total[at:end] - total[at], n)
+        unlike = buf[np.repeat(starts[x], n) + step] != buf[np.repeat(starts[model[x]], n) + step]
+        if unlike.any():
+            differs[x] = np.logical_or.reduceat(unlike, total[at:end] - total[at])
+        at = end
+    others: dict[bytes, int] = {}
+    for i in np.flatnonzero(differs):
+        number[i] = others.setdefault(buf[starts[i] : ends[i]].tobytes(), len(first) + len(others))
+    return number
+
+
+def rolling_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit polynomial hashes of the byte spans, from sums over the whole buffer."""
     high, high_inverse = _high(_BASE, len(buf)), _high(_INVERSE, len(buf))
     total = np.zeros(len(buf) + 1, np.uint64)
     for k, at in enumerate(range(0, len(buf), _BLOCK)):

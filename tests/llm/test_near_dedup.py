@@ -1,8 +1,10 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparktoire.llm import near_dedup as nd
 
@@ -10,21 +12,10 @@ from sparktoire.llm import near_dedup as nd
 def brute(rows, similarity=0.8):
     """Classes over all pairs."""
     texts = [re.findall(r"[^ \t\n\x0b\f\r]+", t or "") for _, t in rows]
-    df = {}
-    for words in texts:
-        for w in set(words):
-            df[w] = df.get(w, 0) + 1
     n = len(rows)
-    idf = {w: 1 + math.log(n / max(c, n / 100)) for w, c in df.items()}
-
-    def shingles(words):
-        out = {}
-        spans = [tuple(words[i : i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else [])
-        for s in spans:
-            out[s] = out.get(s, 0) + sum(idf[w] for w in s) / len(s)
-        return out
-
-    sets = [shingles(w) for w in texts]
+    counts = [Counter([tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])) for w in texts]
+    df = Counter(s for c in counts for s in c)
+    sets = [{s: k * (1 + round(255 * math.log(n / df[s]) / math.log(n)) / 255) for s, k in c.items()} for c in counts]
     root = list(range(n))
 
     def find(i):
@@ -34,7 +25,7 @@ def brute(rows, similarity=0.8):
 
     for i in range(n):
         for j in range(i):
-            same = (rows[i][1] or "") == (rows[j][1] or "") or rows[i][0] == rows[j][0]
+            same = (rows[i][1] or "") == (rows[j][1] or "") or rows[i][0] == rows[j][0] is not None
             if not same and sets[i] and sets[j]:
                 low = sum(min(v, sets[j].get(s, 0)) for s, v in sets[i].items())
                 same = low / (sum(sets[i].values()) + sum(sets[j].values()) - low) >= similarity
@@ -42,8 +33,8 @@ def brute(rows, similarity=0.8):
                 root[find(i)] = find(j)
     least = {}
     for i in range(n):
-        least[find(i)] = min(least.get(find(i), math.inf), rows[i][0])
-    return sorted({(rows[i][0], least[find(i)]) for i in range(n)})
+        least[find(i)] = min(least.get(find(i), math.inf), math.inf if rows[i][0] is None else rows[i][0])
+    return sorted({(rows[i][0], None if least[find(i)] == math.inf else least[find(i)]) for i in range(n)}, key=repr)
 
 
 def edited(r, text, n):
@@ -62,9 +53,10 @@ def test_matches_brute_force(spark, documents, prose):
         source = rows[r.randrange(40)][1] or "a b"
         rows.append((200 + i, edited(r, source, r.choice([0, 0, 1, 2, 30]))))
     rows += [(300, None), (301, ""), (302, " \n"), (303, "one two"), (304, "one  two"), (305, rows[3][1]), (3, rows[3][1])]
+    rows += [(4, rows[90][1]), (4, prose(77, 90)), (306, prose(77, 90)), (None, rows[5][1]), (None, prose(78, 30)), (None, prose(79, 30)), (307, edited(r, prose(80, 900), 5)), (308, prose(80, 900))]
     got = nd.near_duplicates(documents(rows)).collect()
     assert len(got) == len(rows)
-    assert sorted({(x.doc_id, x.class_id) for x in got}) == brute(rows)
+    assert sorted({(x.doc_id, x.class_id) for x in got}, key=repr) == brute(rows)
 
 
 def test_samples_agree_as_often_as_weighted_jaccard():
@@ -109,15 +101,40 @@ def test_large_group_of_variants_like_the_original_only(spark, documents, prose)
         rows += [(1000 * k + i, t) for i, t in enumerate([*star(r, origin, 60, 4), origin])]
     expected = brute(rows)
     assert len({c for _, c in expected}) < 20
-    assert sorted({(x.doc_id, x.class_id) for x in nd.near_duplicates(documents(rows)).collect()}) == expected
+    assert sorted({(x.doc_id, x.class_id) for x in nd.near_duplicates(documents(rows)).collect()}, key=repr) == expected
+
+
+def test_bridges_join_the_halves_of_groups_of_any_size(spark, documents, prose):
+    r, rows = random.Random(6), []
+    for k, n in enumerate([8, 17, 42, 42, 60, 120, 200]):
+        words = prose(3000 + k, 150).replace("\n", "").split(" ")
+        halves = [list(words), list(words)]
+        for at in range(12):  # the halves differ in two runs of words, the bridge in one from either
+            halves[0][20 + at], halves[1][110 + at] = f"left{at}", f"right{at}"
+        texts = [edited(r, " ".join(halves[i % 2]), 1) for i in range(n)] + [" ".join(words)]
+        rows += [(1000 * k + i, t) for i, t in enumerate(texts)]
+    rows += [(9000 + i, prose(i, 80)) for i in range(200)]
+    assert sorted({(x.doc_id, x.class_id) for x in nd.near_duplicates(documents(rows)).collect()}, key=repr) == brute(rows)
+
+
+def test_representatives_are_one_of_each_class(spark, documents, prose):
+    rows = [(1, prose(1, 60)), (1, prose(1, 60)), (2, prose(1, 60)), (None, prose(1, 60)), (None, prose(2, 60)), (None, prose(3, 60)), (5, None), (6, ""), (7, prose(4, 3000))]
+    docs = documents(rows).selectExpr("*", "1 AS __other", "'x' AS __twice", "2 AS owner", "3 AS n_copies", "4 AS carried_0", "'y' AS class_id")
+    got = nd.representatives(docs)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=repr) == sorted([(1, prose(1, 60)), (None, prose(2, 60)), (None, prose(3, 60)), (5, None), (7, prose(4, 3000))], key=repr)
+    assert nd.representatives(docs.limit(0)).count() == 0
 
 
 def test_open_groups_meet_in_tiles_across_classes(spark):
     sample = bytes(range(nd.BANDS * nd.ROWS))
     members = spark.createDataFrame([(7, i, 0, sample) for i in range(3000)] + [(8, i, 0, sample) for i in (1, 2, 9)], nd.MEMBERS)
     labels = spark.createDataFrame([(i, 0 if i < 1700 else i) for i in range(3000)], "node long, label long")
+    sizes = spark.createDataFrame([(i, 100) for i in range(3000)], "doc long, n_bytes long")
+    large = nd.open_tiles(members, labels, sizes.withColumn("n_bytes", F.lit(nd.TILE_BYTES // 100)), 4)
+    assert large.groupBy("key", "low", "high").count().agg({"count": "max"}).first()[0] < 300
     tiles, met = {}, set()
-    for x in nd.open_tiles(members, labels, 4).collect():
+    for x in nd.open_tiles(members, labels, sizes, 4).collect():
         tiles.setdefault((x.key, x.low, x.high), []).append((x.block, x.doc))
     assert {k for k, *_ in tiles} == {7} and max(map(len, tiles.values())) < 2.3 * nd.TILE
     for (_, low, high), rows in tiles.items():

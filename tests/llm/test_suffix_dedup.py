@@ -63,7 +63,7 @@ def test_matches_brute_force(spark, documents, prose):
 def test_empty_table_and_text_output(spark, documents, prose):
     assert sd.substring_dedup(documents([])).count() == 0
     a = prose(1, 40)
-    got = {r.doc_id: r.text for r in sd.substring_dedup(documents([(1, a), (2, "new " + a), (3, a)]), with_text=True).collect()}
+    got = {r.doc_id: r.text for r in sd.cleaned(documents([(1, a), (2, "new " + a), (3, a)])).collect()}
     assert got == {1: a, 2: "new ", 3: ""}
 
 
