@@ -2,6 +2,10 @@
 
 Every stage takes ``(spark, docs, sf_dir)``, works on all documents that the one before it kept and
 returns documents with the same columns; the last one returns the digests of the encoded texts.
+
+Defined results, for every stage: an empty table gives an empty one; a null text counts as empty;
+texts are taken whole, however long; other columns than ``doc_id``, ``text`` and ``n_chars`` are
+kept as they are, whatever their names. What a stage does with null and repeated ids it says itself.
 """
 
 from __future__ import annotations
@@ -14,31 +18,46 @@ from sparktoire.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, judged row by row: ids, null or repeated, don't matter.
+
+    Null and empty texts have too few words and go.
+    """
     return quality.accepted(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, that of the least id.
+
+    Rows of one id are one document; rows without an id are documents of their own text. Empty and
+    null texts are copies of each other. Of rows equal in id and class any one stays.
+    """
     return near_dedup.representatives(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that a document of smaller id has."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = suffix_dedup.substring_dedup(docs.select("doc_id", "text", *others), with_text=True, carry=others)
-    if "n_chars" in others:
-        cut = cut.withColumn("n_chars", F.char_length("text").cast("long"))
-    return cut.select(*docs.columns)
+    """All documents, without the passages that a document of smaller id has; ``n_chars`` follows.
+
+    A row without an id comes after all others; rows of one id take nothing from each other. A null
+    text becomes an empty one.
+    """
+    cut = suffix_dedup.cleaned(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Rows of one id, null too, count as one document and go or stay together; rows of one item's id
+    are one item. Null and empty texts hold nothing and stay.
+    """
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digests of every document's ids and of the text decoded from them."""
+    """The digests of every document's ids and of the text decoded from them, row by row.
+
+    Null and empty texts have no tokens; null and repeated ids are kept as they are.
+    """
     return bpe.encode_decode(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
