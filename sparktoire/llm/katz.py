@@ -1,21 +1,26 @@
-"""Language-model scores by Katz backoff over words.
+"""Language-model scores by Katz backoff over words, of order three.
 
-A document's tokens are its words, lower-cased in A-Z, and one end; the context of its first token
-is a beginning. Unigram and bigram counts are Good-Turing discounted up to a count of ``LARGEST``;
-bigrams seen once are cut off, so their mass too goes to the backoff. Unknown words are one
-outcome, which holds the unigrams' discounted mass. With ``c`` a count and ``d`` its discount:
+A document's tokens are its words, lower-cased in A-Z, and one end; two beginnings come before its
+first token. The counts of all orders are Good-Turing discounted up to a count of ``LARGEST``; every
+n-gram of the training texts is kept, those seen once too. Unknown words are one outcome, which
+holds the unigrams' discounted mass. With ``c`` a count, ``d`` its discount and ``v`` the context
+``u`` without its first word:
 
-    P(w | u) = d c(u, w) / c(u)  if the bigram is kept, else  alpha(u) P(w)
-    alpha(u) = (1 - sum of d c(u, w) / c(u)) / (1 - sum of P(w)), over the kept w after u
+    P(w | u) = d c(u, w) / c(u)  if the n-gram is known, else  alpha(u) P(w | v)
+    alpha(u) = (1 - sum of d c(u, w) / c(u)) / (1 - sum of P(w | v)), over the known w after u
 
-so each distribution sums to exactly 1 over the vocabulary and the unknown word. A context all of
-whose mass is kept has one count added below, so that some is left.
+and ``alpha`` is 1 for unknown contexts, so each distribution sums to exactly 1 over the vocabulary
+and the unknown word. A context all of whose mass is kept has one count added below, so that some is
+left.
 
 The documents are dealt into sources of about ``SOURCE_BYTES``, a table bucketed by source. Each
-source sends its distinct words and bigrams with their counts to buckets by hash. The totals come
-back as written tables partitioned by source, in the order in which the keys were sent, so without
-the keys; then a source sends the parts of its contexts' sums and gets their backoff weights. A word
-that is in every text so arrives once per source. Scores are evaluated per token in the source.
+source sends its distinct words, bigrams and trigrams with their counts to buckets by hash. The
+totals come back in the order in which the keys were sent, so without the keys, as a table bucketed
+by source like the texts: no step shuffles it again. The backoff weights follow order by order: a
+source sends the parts of its contexts' sums, over the n-grams that it was told to own, and gets the
+weights; contexts that one source alone has need no sending. A word that is in
+every text so arrives once per source. Scores are evaluated per token in the source, from the
+shortest context up.
 
 Defined results: a null text counts as empty (one token, the end); a null ``doc_id`` is hashed as
 an empty string; repeated rows are counted and scored one by one; an empty table gives an empty
@@ -33,29 +38,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sparktoire.llm import textbytes as tb
-from sparktoire.llm.common import bucketed, materialized, release, text_bytes
+from sparktoire.llm.common import bucketed, dropped, materialized, release, text_bytes
+from sparktoire.llm.keys import arrow_table, dealt, packed, packed_counts, unpacked, unpacked_counts
 
-SOURCE_BYTES, LEAST_SOURCES = 16 << 20, 16
-LARGEST, CUT_OFF = 5, 1
+SOURCE_BYTES, LEAST_SOURCES = 8 << 20, 16
+LARGEST = 5
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-WORD, BIGRAM, CONTEXT = 0, 1, 2
+WORD, BIGRAM, TRIGRAM = ORDERS = 0, 1, 2
 N_STATS = LARGEST + 3  # types with counts of 1 to LARGEST + 1, all types, all tokens
 
 SENT = "bucket int, source int, kind int, key binary, n binary"
-ANSWER = "source int, kind int, bucket int, n binary, x binary, y binary, stats array<long>"
+ANSWER = "source int, kind int, bucket int, n binary, own binary, shared binary, alpha binary, stats array<long>"
 PART = "bucket int, source int, key binary, n binary, x binary, y binary"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 _SENT = [("bucket", pa.int32()), ("source", pa.int32()), ("kind", pa.int32()), ("key", pa.binary()), ("n", pa.binary())]
-_ANSWER = [("source", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.binary()), ("x", pa.binary()), ("y", pa.binary()), ("stats", pa.list_(pa.int64()))]
+_ANSWER = [("source", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.binary()), ("own", pa.binary()), ("shared", pa.binary()), ("alpha", pa.binary()), ("stats", pa.list_(pa.int64()))]
 _PART = [("bucket", pa.int32()), ("source", pa.int32()), ("key", pa.binary()), ("n", pa.binary()), ("x", pa.binary()), ("y", pa.binary())]
+_SCORES = list(zip(SCHEMA.replace(",", "").split()[::2], [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()], strict=True))
 
 
-def _table(rows: list[tuple], fields: list[tuple]) -> pa.Table:
-    return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
-
-
-def discounts(types: list[int], cut_off: int = 0) -> list[float]:
+def discounts(types: list[int]) -> list[float]:
     """Factors of the counts 0 to ``LARGEST``; ``types[r - 1]`` is the number of types seen r times.
 
     Where the counts of counts don't give factors between 0 and 1, a constant is taken off instead.
@@ -66,225 +69,221 @@ def discounts(types: list[int], cut_off: int = 0) -> list[float]:
     if not all(0 < d < 1 for d in out):
         off = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
         out = [(r - off) / r for r in range(1, LARGEST + 1)]
-    return [0.0] + [0.0 if r <= cut_off else d for r, d in enumerate(out, 1)]
+    return [0.0, *out]
 
 
 @dataclass
 class Model:
-    """What all sources need to know: sizes and discounts, a few numbers."""
+    """What all sources need to know: sizes and the discounts of each order, a few numbers."""
 
     tokens: int
     types: int
-    unigram: np.ndarray
-    bigram: np.ndarray
+    factors: list[np.ndarray]
     unknown: float
     below: int
 
     @classmethod
-    def of(cls, words: list[int], bigrams: list[int]) -> Model:
-        types, tokens = words[-2], words[-1]
-        d = np.array(discounts(words[: LARGEST + 1]))
-        left = sum(words[r - 1] * r * (1 - d[r]) for r in range(1, LARGEST + 1))
+    def of(cls, stats: list[list[int]]) -> Model:
+        types, tokens = stats[WORD][-2], stats[WORD][-1]
+        factors = [np.array(discounts(x[: LARGEST + 1])) for x in stats]
+        left = sum(stats[WORD][r - 1] * r * (1 - factors[WORD][r]) for r in range(1, LARGEST + 1))
         below = tokens if left > 0 else tokens + 1
-        return cls(tokens, types, d, np.array(discounts(bigrams[: LARGEST + 1], CUT_OFF)), (left or 1) / below, below)
+        return cls(tokens, types, factors, (left or 1) / below, below)
 
-    def discounted(self, n: np.ndarray, factors: np.ndarray) -> np.ndarray:
-        return n * np.where(n <= LARGEST, factors[np.minimum(n, LARGEST)], 1.0)
+    def discounted(self, kind: int, n: np.ndarray) -> np.ndarray:
+        return n * np.where(n <= LARGEST, self.factors[kind][np.minimum(n, LARGEST)], 1.0)
 
     def p_word(self, n: np.ndarray) -> np.ndarray:
-        return np.where(n > 0, self.discounted(n, self.unigram) / self.below, self.unknown)
+        return np.where(n > 0, self.discounted(WORD, n) / self.below, self.unknown)
 
 
-def tokens(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(row, end, token, context, first)`` of a few MB of texts at a time."""
-    batches = [table] if isinstance(table, pa.RecordBatch) else table.combine_chunks().to_batches()
-    for batch in batches:
-        for row, end, buf, offsets in tb.chunks(batch, "text"):
+def tokens(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(token, first)`` of a few MB of texts at a time: the hash of each token, where each text's begin."""
+    for batch in table.combine_chunks().to_batches():
+        for _, _, buf, offsets in tb.chunks(batch, "text"):
             lower = tb.LOWER[buf]
             starts, ends, first = tb.words(lower, offsets)
             n = len(first) - 1
             at = first + np.arange(n + 1)
             token = np.full(at[-1], END)
             token[np.arange(len(starts)) + np.repeat(np.arange(n), np.diff(first))] = tb.span_hashes(lower, starts, ends)
-            context = np.empty_like(token)
-            context[1:] = token[:-1]
-            context[at[:-1]] = BEGIN
-            yield row, end, token, context, at
+            yield token, at
 
 
-def bigram_key(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+def longer(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The key of the n-gram of a context's key and a token's."""
     return tb.mix(context * tb.ODD[0] + token * tb.ODD[1])
 
 
-def _dealt(key: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket and its keys, in the same order every time."""
-    to = (key % np.uint64(n_buckets)).astype(np.int64)
-    by = np.argsort(to, kind="stable")
-    edge = np.searchsorted(to[by], np.arange(n_buckets + 1))
-    for b in np.flatnonzero(np.diff(edge)):
-        yield int(b), by[edge[b] : edge[b + 1]]
-
-
-def packed(key: np.ndarray, n_buckets: int) -> bytes:
-    """Sorted keys of a bucket: differences of their quotients, byte by byte, the zeros of the high ones together."""
-    return np.diff(key // np.uint64(n_buckets), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def unpacked(data: pa.Buffer, bucket: int, n_buckets: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64) * np.uint64(n_buckets) + np.uint64(bucket)
+_NOTHING = longer(np.array([BEGIN]), np.array([BEGIN]))  # the context of two beginnings
 
 
 class Source:
-    """The tokens of a source's texts, as places in its sorted distinct words and bigrams."""
+    """The n-grams of a source's texts, as places in its sorted distinct keys of each order.
+
+    ``at[k]``: the n-gram that ends at each token; ``context[k]``: the one of the order below that
+    comes before the token. The beginnings are contexts, no tokens; they are among the keys for
+    their counts.
+    """
 
     def __init__(self, texts: pa.Table):
         self.number = int(texts["source"][0].as_py())
-        parts = [(token, context, at) for _, _, token, context, at in tokens(texts)]
-        token, context = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        self.first = np.append(0, np.cumsum(np.concatenate([np.diff(at) for *_, at in parts])))
-        # the beginning is a context, no token; it is among the words for its count
-        words, place = np.unique(np.append(token, BEGIN), return_inverse=True)
-        self.token, self.begin = place[:-1], int(place[-1])
-        self.keys = {WORD: words}
-        self.context = np.full(len(token), self.begin)
-        inner = np.flatnonzero(context != BEGIN)
-        self.context[inner] = self.token[inner - 1]
-        self.keys[BIGRAM], self.bigram = np.unique(bigram_key(context, token), return_inverse=True)
-        self.told: dict[int, np.ndarray] = {}
-
-    def listen(self, answers: pa.Table, n_buckets: int) -> None:
-        """Take the totals, which are in the order of the keys that were sent."""
-        for kind in (WORD, BIGRAM):
-            n = {b.as_py(): np.frombuffer(v.as_buffer(), np.int64) for k, b, v in zip(answers["kind"], answers["bucket"], answers["n"], strict=True) if k.as_py() == kind}
-            self.told[kind] = np.zeros(len(self.keys[kind]), np.int64)
-            for b, x in _dealt(self.keys[kind], n_buckets):
-                self.told[kind][x] = n[b]
-
-    def contexts(self) -> np.ndarray:
-        """The words that can have a kept bigram."""
-        return np.flatnonzero(self.told[WORD] > CUT_OFF)
+        parts = list(tokens(texts))
+        token = np.concatenate([p[0] for p in parts])
+        self.first = np.append(0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts])))
+        head = self.first[:-1]
+        before = np.append(BEGIN, token[:-1])
+        before[head] = BEGIN
+        pair = longer(before, token)
+        longest = np.append(_NOTHING, pair[:-1])
+        longest[head] = _NOTHING
+        self.keys, self.at, self.context = [], [], []
+        for key, begin in ((token, BEGIN), (pair, _NOTHING), (longer(longest, token), None)):
+            keys, at = np.unique(key if begin is None else np.append(key, begin), return_inverse=True)
+            if begin is not None:
+                start, at = int(at[-1]), at[:-1]
+                context = np.append(start, at[:-1])
+                context[head] = start
+                self.context.append(context)
+            self.keys.append(keys)
+            self.at.append(at)
+        self.begins = [int(np.searchsorted(self.keys[WORD], BEGIN)), int(np.searchsorted(self.keys[BIGRAM], _NOTHING[0]))]
+        train = ~np.asarray(texts["held_out"].combine_chunks().cast(pa.int8())).astype(bool)
+        weight = np.repeat(train, np.diff(self.first))
+        self.local = [np.bincount(at, weight, len(k)).astype(np.int64) for at, k in zip(self.at, self.keys, strict=True)]
+        for kind, place in enumerate(self.begins):
+            self.local[kind][place] = train.sum()
+
+    def listen(self, answers: pa.Table, model: Model, n_buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Take the totals and weights, which are in the order of the keys that were sent, order by order.
+
+        Yields for each order of contexts what is known before their weights are: ``(keys to send,
+        counts, x, y)``, the parts of the sums for the contexts that other sources have too. The
+        contexts of one source get their weights here. ``self.p[k]`` are probabilities of the n-grams.
+        """
+        rows = {(k, b): i for i, (k, b) in enumerate(zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), strict=True))}
+        data = {c: answers[c].combine_chunks() for c in ("n", "own", "shared", "alpha")}
+        bits = lambda c, i, n: np.unpackbits(np.frombuffer(data[c][i].as_buffer(), np.uint8), count=n).astype(bool)
+        told = [np.zeros(len(k), np.int64) for k in self.keys]
+        own, shared = ([np.zeros(len(k), bool) for k in self.keys] for _ in range(2))
+        for kind in ORDERS:
+            for b, x in dealt(self.keys[kind], n_buckets):
+                i = rows[kind, b]
+                told[kind][x] = unpacked_counts(data["n"][i].as_buffer(), len(x))
+                own[kind][x], shared[kind][x] = bits("own", i, len(x)), bits("shared", i, len(x))
+        self.told, self.p = told, [model.p_word(told[WORD])]
+        for kind in (BIGRAM, TRIGRAM):
+            example = np.zeros(len(self.keys[kind]), np.int64)
+            example[self.at[kind]] = np.arange(len(self.at[kind]))
+            context, shorter = self.context[kind - 1][example], self.at[kind - 1][example]
+            count = told[kind - 1]
+            mine = np.flatnonzero(own[kind])
+            x = np.bincount(context[mine], model.discounted(kind, told[kind][mine]), len(count))
+            y = np.bincount(context[mine], self.p[-1][shorter[mine]], len(count))
+            alpha, below = backoff(count, x, y)
+            apart = np.flatnonzero(shared[kind - 1] & (count > 0))
+            yield self.keys[kind - 1][apart], count[apart], x[apart], y[apart]
+            for b, i in dealt(self.keys[kind - 1][apart], n_buckets):
+                row = rows[kind + 2, b]
+                alpha[apart[i]] = np.frombuffer(data["alpha"][row].as_buffer(), np.float64)
+                below[apart[i]] = count[apart[i]] + bits("own", row, len(i))
+            known = told[kind] > 0
+            self.p.append(np.where(known, model.discounted(kind, told[kind]) / below[context], alpha[context] * self.p[-1][shorter]))
+
+
+def backoff(count: np.ndarray, kept: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(alpha, what the context's counts are divided by)``; 1 for unknown contexts."""
+    below = np.where(count - kept > 1e-9 * count, count, count + 1.0)
+    return np.where(count > 0, (below - kept) / below / (1 - np.where(count > 0, mass, 0)), 1.0), below
 
 
 def _send(n_buckets: int):
-    """The distinct words and bigrams of each source, with their counts in training texts."""
+    """The distinct n-grams of each source, with their counts in training texts."""
 
     def run(texts: pa.Table) -> pa.Table:
-        source, rows = Source(texts), []
-        train = ~np.asarray(texts["held_out"].combine_chunks().cast(pa.int8())).astype(bool)
-        weight = np.repeat(train, np.diff(source.first))
-        for kind, at in ((WORD, source.token), (BIGRAM, source.bigram)):
-            key = source.keys[kind]
-            n = np.bincount(at, weight, len(key)).astype(np.uint32)
-            if kind == WORD:
-                n[source.begin] = train.sum()
-            rows += [(b, source.number, kind, packed(key[x], n_buckets), n[x].tobytes()) for b, x in _dealt(key, n_buckets)]
-        return _table(rows, _SENT)
+        source = Source(texts)
+        return arrow_table([(b, source.number, kind, packed(source.keys[kind][x], n_buckets), packed_counts(source.local[kind][x])) for kind in ORDERS for b, x in dealt(source.keys[kind], n_buckets)], _SENT)
 
     return run
 
 
-def _whole(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    parts = [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
-
-
-def _edges(table: pa.Table) -> np.ndarray:
-    """Where the keys of each row begin, and the end."""
-    return np.append(0, np.cumsum([len(x.as_buffer()) // 8 for x in table["key"]])).astype(np.int64)
-
-
-def _keys(table: pa.Table, n_buckets: int) -> np.ndarray:
+def _received(table: pa.Table, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(keys, counts, edges)`` of a bucket's rows."""
     bucket = int(table["bucket"][0].as_py())
-    return np.concatenate([unpacked(x.as_buffer(), bucket, n_buckets) for x in table["key"]])
-
-
-def _total(table: pa.Table, n_buckets: int) -> pa.Table:
-    """The total of each key of a bucket for every source that sent it, and the counts of counts.
-
-    The total of a kept bigram is doubled, plus one for the one source that owns it; others are 0.
-    """
-    rows, bucket = [], int(table["bucket"][0].as_py())
-    for kind in (WORD, BIGRAM):
-        own = table.filter(pa.compute.equal(table["kind"], kind))
-        if not len(own):
-            continue
-        edge, sources = _edges(own), own["source"].to_pylist()
-        key, at = np.unique(_keys(own, n_buckets), return_inverse=True)
-        n = _whole(own, "n", np.uint32)
-        total = np.bincount(at, n, len(key)).astype(np.int64)
-        counted = total[key != BEGIN] if kind == WORD else total
-        rows.append((-1, kind, bucket, b"", b"", b"", [*(int((counted == r).sum()) for r in range(1, LARGEST + 2)), int((counted > 0).sum()), int(counted.sum())]))
-        value = total[at]
-        if kind == BIGRAM:
+    parts = [unpacked(x.as_buffer(), bucket, n_buckets) for x in table["key"]]
+    n = [unpacked_counts(x.as_buffer(), len(k)) for x, k in zip(table["n"], parts, strict=True)]
+    return np.concatenate(parts), np.concatenate(n), np.append(0, np.cumsum([len(k) for k in parts]))
+
+
+def _total(n_buckets: int):
+    """The total of each key of a bucket for every source that sent it, with the one that owns it, and the counts of counts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, bucket = [], int(table["bucket"][0].as_py())
+        for kind in ORDERS:
+            sent = table.filter(pa.compute.equal(table["kind"], kind))
+            if not len(sent):
+                continue
+            key, n, edge = _received(sent, n_buckets)
+            key, at = np.unique(key, return_inverse=True)
+            total = np.bincount(at, n, len(key)).astype(np.int64)
+            begin = (BEGIN, _NOTHING[0], None)[kind]
+            counted = total if begin is None else total[key != begin]
+            rows.append((-1, kind, bucket, b"", b"", b"", b"", [*(int((counted == r).sum()) for r in range(1, LARGEST + 2)), int((counted > 0).sum()), int(counted.sum())]))
             holder = np.full(len(key), len(at), np.int64)  # the first place that counts a key
-            counts = np.flatnonzero(n)
-            np.minimum.at(holder, at[counts], counts)
-            value = np.where(value > CUT_OFF, value * 2 + (holder[at] == np.arange(len(at))), 0)
-        rows += [(s, kind, bucket, value[edge[i] : edge[i + 1]].tobytes(), b"", b"", None) for i, s in enumerate(sources)]
-    return _table(rows, _ANSWER)
+            counts = np.flatnonzero(n)[::-1]
+            holder[at[counts]] = counts
+            if begin is not None:
+                holder[key == begin] = len(at)
+            own, total, shared = holder[at] == np.arange(len(at)), total[at], (np.bincount(at) > 1)[at]
+            parts = [slice(edge[i], edge[i + 1]) for i in range(len(sent))]
+            rows += [(s, kind, bucket, packed_counts(total[x]), np.packbits(own[x]).tobytes(), np.packbits(shared[x]).tobytes(), b"", None) for s, x in zip(sent["source"].to_pylist(), parts, strict=True)]
+        return arrow_table(rows, _ANSWER)
+
+    return run
 
 
-def _contexts(model: Model, n_buckets: int):
-    """Per source: the contexts it has, and the sums over the kept bigrams that it owns."""
+def _parts(model: Model, n_buckets: int, kind: int):
+    """The parts of the sums over the n-grams of order ``kind`` that a source owns, for contexts that others have too."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(texts):
-            return _table([], _PART)
+            return arrow_table([], _PART)
         source = Source(texts)
-        source.listen(answers, n_buckets)
-        told = source.told[BIGRAM]
-        n = told >> 1
-        example = np.zeros(len(told), np.int64)
-        example[source.bigram] = np.arange(len(source.bigram))
-        own = np.flatnonzero(told & 1)
-        context, token = source.context[example[own]], source.token[example[own]]
-        size = len(source.keys[WORD])
-        x = np.bincount(context, model.discounted(n[own], model.bigram), size)
-        y = np.bincount(context, model.p_word(source.told[WORD][token]), size)
-        some = source.contexts()
-        key = source.keys[WORD][some]
-        rows = [(b, source.number, packed(key[i], n_buckets), source.told[WORD][some[i]].tobytes(), x[some[i]].tobytes(), y[some[i]].tobytes()) for b, i in _dealt(key, n_buckets)]
-        return _table(rows, _PART)
+        for order, (key, n, x, y) in enumerate(source.listen(answers, model, n_buckets), BIGRAM):
+            if order == kind:
+                return arrow_table([(b, source.number, packed(key[i], n_buckets), packed_counts(n[i]), x[i].tobytes(), y[i].tobytes()) for b, i in dealt(key, n_buckets)], _PART)
 
     return run
 
 
-def _backoff(table: pa.Table, n_buckets: int) -> pa.Table:
-    """``log10 alpha`` and ``log10`` of what a context's counts are divided by, in the order sent."""
-    edge, bucket = _edges(table), int(table["bucket"][0].as_py())
-    key, first, at = np.unique(_keys(table, n_buckets), return_index=True, return_inverse=True)
-    kept, mass = (np.bincount(at, _whole(table, c, np.float64), len(key)) for c in ("x", "y"))
-    count = _whole(table, "n", np.int64)[first]
-    below = np.where(count - kept > 1e-9 * count, count, count + 1.0)
-    alpha = np.where(kept > 0, np.log10((below - kept) / below / (1 - mass)), 0.0)[at]
-    below = np.where(kept > 0, np.log10(below), 0.0)[at]
-    parts = [(alpha[edge[i] : edge[i + 1]].tobytes(), below[edge[i] : edge[i + 1]].tobytes()) for i in range(len(table))]
-    return _table([(s, CONTEXT, bucket, b"", a, b, None) for s, (a, b) in zip(table["source"].to_pylist(), parts, strict=True)], _ANSWER)
+def _weights(n_buckets: int, kind: int):
+    """The weights of a bucket's contexts, for every source that sent them."""
 
+    def run(table: pa.Table) -> pa.Table:
+        key, n, edge = _received(table, n_buckets)
+        key, first, at = np.unique(key, return_index=True, return_inverse=True)
+        x, y = (np.bincount(at, np.concatenate([np.frombuffer(v.as_buffer(), np.float64) for v in table[c]]), len(key)) for c in ("x", "y"))
+        alpha, below = backoff(n[first], x, y)
+        alpha, more = alpha[at], (below > n[first])[at]
+        bucket = int(table["bucket"][0].as_py())
+        return arrow_table([(s, kind + 2, bucket, b"", np.packbits(more[edge[i] : edge[i + 1]]).tobytes(), b"", alpha[edge[i] : edge[i + 1]].tobytes(), None) for i, s in enumerate(table["source"].to_pylist())], _ANSWER)
 
-def _score(model: Model, n_buckets: int):
-    names = SCHEMA.replace(",", "").split()[::2]
-    types = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()]
+    return run
 
+
+def _score(model: Model, n_buckets: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(texts):
-            return _table([], list(zip(names, types, strict=True)))
+            return arrow_table([], _SCORES)
         source = Source(texts)
-        source.listen(answers, n_buckets)
-        alpha, below = np.zeros(len(source.keys[WORD])), np.zeros(len(source.keys[WORD]))
-        weights = {b.as_py(): (x, y) for k, b, x, y in zip(answers["kind"], answers["bucket"], answers["x"], answers["y"], strict=True) if k.as_py() == CONTEXT}
-        some = source.contexts()
-        for b, i in _dealt(source.keys[WORD][some], n_buckets):
-            alpha[some[i]], below[some[i]] = (np.frombuffer(v.as_buffer(), np.float64) for v in weights[b])
-        count, n = source.told[WORD], source.told[BIGRAM] >> 1
-        lower = np.log10(model.p_word(count))
-        higher = np.log10(np.where(n > 0, model.discounted(n, model.bigram), 1.0))
-        score = np.where(n[source.bigram] > 0, higher[source.bigram] - below[source.context], alpha[source.context] + lower[source.token])
-        base = np.log10((count + 1) / (model.tokens + model.types + 1))[source.token]
-        each = source.first[:-1]
-        columns = [np.diff(source.first), np.add.reduceat((count > 0)[source.token].astype(np.int64), each), np.full(len(each), model.tokens), np.add.reduceat(base, each), np.add.reduceat(score, each)]
-        return pa.table([texts["doc_id"], texts["held_out"], *(pa.array(c, t) for c, t in zip(columns, types[2:], strict=True))], names=names)
+        for _ in source.listen(answers, model, n_buckets):
+            pass
+        each, count = source.first[:-1], source.told[WORD]
+        base = np.log10((count + 1) / (model.tokens + model.types + 1))[source.at[WORD]]
+        score = np.log10(source.p[TRIGRAM])[source.at[TRIGRAM]]
+        columns = [np.diff(source.first), np.add.reduceat((count > 0)[source.at[WORD]].astype(np.int64), each), np.full(len(each), model.tokens), np.add.reduceat(base, each), np.add.reduceat(score, each)]
+        return pa.table([texts["doc_id"], texts["held_out"], *(pa.array(c, t) for c, (_, t) in zip(columns, _SCORES[2:], strict=True))], names=[n for n, _ in _SCORES])
 
     return run
 
@@ -294,19 +293,25 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFra
     spark = docs.sparkSession
     n = max(LEAST_SOURCES, -(-text_bytes(docs) // SOURCE_BYTES))
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
-    x = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), (remainder == held_out).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # rows equal in id and text are spread by the input part they come from
+    source = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int")
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder == held_out).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("source", source)
     texts = bucketed(x.repartition("source"), n, "source")
     release(spark)
-    answers = materialized(texts.groupBy("source").applyInArrow(_send(n), SENT).groupBy("bucket").applyInArrow(lambda t: _total(t, n), ANSWER))
+    totals = materialized(texts.groupBy("source").applyInArrow(_send(n), SENT).groupBy("bucket").applyInArrow(_total(n), ANSWER))
     release(spark)
-    stats = [[0] * N_STATS, [0] * N_STATS]
+    stats = [[0] * N_STATS for _ in ORDERS]
     sums = [F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(f"s{i}") for i in range(N_STATS)]
-    for row in answers.where("source < 0").groupBy("kind").agg(*sums).collect():
+    for row in totals.where("source < 0").groupBy("kind").agg(*sums).collect():
         stats[row["kind"]] = list(row)[1:]
-    model = Model.of(*stats)
-    answers = answers.where("source >= 0").drop("stats")
-    parts = texts.groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_contexts(model, n), PART)
-    contexts = materialized(parts.groupBy("bucket").applyInArrow(lambda t: _backoff(t, n), ANSWER))
-    release(spark)
-    answers = answers.unionByName(contexts.drop("stats"))
+    model = Model.of(stats)
+    answers = bucketed(totals.where("source >= 0").drop("stats").repartition("source"), n, "source")
+    dropped(totals)
+    for kind in (BIGRAM, TRIGRAM):
+        parts = texts.groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_parts(model, n, kind), PART)
+        weights = parts.groupBy("bucket").applyInArrow(_weights(n, kind), ANSWER).drop("stats")
+        more = bucketed(answers.unionByName(weights.repartition("source")), n, "source")
+        dropped(answers)
+        answers = more
+        release(spark)
     return texts.groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_score(model, n), SCHEMA)
