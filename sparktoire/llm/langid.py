@@ -1,11 +1,12 @@
 """Language identification with a string kernel, Nyström landmarks and kernel ridge regression.
 
 The blended spectrum presence kernel of two texts is the number of n-grams, n from 1 to ``LONGEST``,
-that are in both, divided by the geometric mean of the numbers in each. Bytes are mapped to 64
-classes first: lower-cased letters, one for all other ASCII, the others by remainder. The n-grams
-of the landmarks, a few texts per language, are the features. The coefficients of one regression
-per language against the rest solve the Nyström normal equations on a bounded sample; a batch of
-texts is scored by two matrix products, presence by landmarks and landmarks by languages.
+that are in both, divided by the geometric mean of the numbers in each, over all n-grams of both.
+Bytes are mapped to 64 classes first: lower-cased letters, one for all other ASCII, the others by
+remainder. The landmarks are ``LANDMARKS`` texts per language. The coefficients of one regression
+per language against the rest solve the Nyström normal equations on a bounded sample; the executors
+sum their terms, so the driver gets a matrix of landmarks by landmarks. A batch of texts is scored
+by two matrix products, presence by landmarks and landmarks by languages.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and for all texts
 if no training row has a language; a null ``doc_id`` is hashed as an empty string; rows without a
@@ -26,10 +27,9 @@ from sparktoire.llm import textbytes as tb
 LONGEST = 4
 #: Texts per language: landmarks, and rows that the regression is fitted on (about so many).
 LANDMARKS, SAMPLE = 24, 400
-#: Most n-grams kept as features, those in most landmarks first.
-FEATURES = 24_000
 RIDGE = 1e-3
-_DOCS = 64
+#: Texts and landmarks of one matrix product.
+_DOCS, _MARKS = 64, 128
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 CLASS = np.zeros(256, np.uint32)
@@ -54,51 +54,57 @@ def gram_set(data: bytes) -> np.ndarray:
     return np.concatenate([np.unique(grams(buf, n)).astype(np.int64) + (1 << 6 * n) for n in range(1, LONGEST + 1)])
 
 
-class Presence:
-    """Which features are in each text, for a few texts at a time."""
-
-    def __init__(self, features: np.ndarray):
-        self.n = len(features)
-        self.place = []
-        for n in range(1, LONGEST + 1):
-            of = np.full(1 << 6 * n, self.n, np.uint16)
-            own = np.flatnonzero((features >= 1 << 6 * n) & (features < 2 << 6 * n))
-            of[features[own] - (1 << 6 * n)] = own
-            self.place.append(of)
-
-    def batches(self, buf: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-        for at in range(0, len(offsets) - 1, _DOCS):
-            edge = offsets[at : at + _DOCS + 1]
-            part, edge = buf[edge[0] : edge[-1]], edge - edge[0]
-            out = np.zeros((len(edge) - 1, self.n + 1), np.float32)
-            row = np.repeat(np.arange(len(edge) - 1) * (self.n + 1), np.diff(edge))
-            end = np.repeat(edge[1:], np.diff(edge))
-            for n, of in enumerate(self.place, 1):
-                code = grams(part, n)
-                inside = np.arange(len(code)) + n <= end[: len(code)]
-                out.ravel()[(row[: len(code)] + of[code])[inside]] = 1
-            yield out[:, : self.n]
-
-
 class Kernel:
-    """Kernel values of texts against the landmarks."""
+    """Kernel values of texts against the landmarks, whose n-grams are kept as lists of their landmarks."""
 
     def __init__(self, landmarks: list[np.ndarray]):
-        features, count = np.unique(np.concatenate(landmarks), return_counts=True)
-        self.features = np.sort(features[np.argsort(-count, kind="stable")[:FEATURES]])
-        self.presence = Presence(self.features)
-        self.marks = np.stack([np.isin(self.features, x) for x in landmarks]).astype(np.float32)
-        self.marks /= np.sqrt(np.maximum(self.marks.sum(1, keepdims=True), 1))
+        mark = np.repeat(np.arange(len(landmarks)), [len(x) for x in landmarks])
+        gram = np.concatenate(landmarks)
+        by = np.argsort(gram, kind="stable")
+        self.mark = mark[by].astype(np.int32)
+        self.features, first = np.unique(gram[by], return_index=True)
+        self.first = np.append(first, len(gram))
+        self.size = np.array([len(x) for x in landmarks], float)
+
+    def _batch(self, buf: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Kernel values of up to ``_DOCS`` texts: presence of the batch's n-grams times that in the landmarks."""
+        n_docs, size = len(edge) - 1, np.diff(edge)
+        doc, end = (np.repeat(x, size) for x in (np.arange(n_docs, dtype=np.uint32), edge[1:]))
+        codes = []
+        for n in range(1, LONGEST + 1):
+            inside = np.flatnonzero(np.arange(max(0, len(buf) - n + 1)) + n <= end[: max(0, len(buf) - n + 1)])
+            codes.append((grams(buf, n)[inside] + np.uint32(1 << 6 * n)) * np.uint32(_DOCS) + doc[inside])
+        pair = np.sort(np.concatenate(codes))
+        pair = pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]]
+        code, doc = (pair // np.uint32(_DOCS)).astype(np.int64), pair % np.uint32(_DOCS)
+        head = np.append(True, code[1:] != code[:-1])[: len(code)]
+        distinct, column = code[head], np.cumsum(head) - 1
+        at = np.minimum(np.searchsorted(self.features, distinct), len(self.features) - 1)
+        known = self.features[at] == distinct
+        place, at = np.cumsum(known) - 1, at[known]
+        present = np.zeros((n_docs, len(at)), np.float32)
+        hit = known[column]
+        present[doc[hit], place[column[hit]]] = 1
+        count = self.first[at + 1] - self.first[at]
+        row = np.repeat(np.arange(len(at)), count)
+        mark = self.mark[np.arange(len(row)) + np.repeat(self.first[at] - np.cumsum(count) + count, count)]
+        out = np.empty((n_docs, len(self.size)))
+        for low in range(0, len(self.size), _MARKS):
+            high = min(low + _MARKS, len(self.size))
+            some = slice(None) if high - low == len(self.size) else np.flatnonzero((mark >= low) & (mark < high))
+            marks = np.zeros((len(at), high - low), np.float32)
+            marks[row[some], mark[some] - low] = 1
+            out[:, low:high] = present @ marks
+        return out / np.sqrt(np.maximum(np.bincount(doc, minlength=n_docs), 1))[:, None] / np.sqrt(np.maximum(self.size, 1))
 
     def between(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        rows = [x @ self.marks.T / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) for x in self.presence.batches(buf, offsets)]
-        return np.concatenate(rows) if rows else np.zeros((0, len(self.marks)), np.float32)
+        rows = [self._batch(buf[x[0] : x[-1]], x - x[0]) for x in (offsets[at : at + _DOCS + 1] for at in range(0, len(offsets) - 1, _DOCS))]
+        return np.concatenate(rows) if rows else np.zeros((0, len(self.size)))
 
 
-def fit(k_nm: np.ndarray, k_mm: np.ndarray, target: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """Coefficients of the landmarks for each column of ``target``."""
-    left = k_nm.T @ k_nm + ridge * len(k_nm) * k_mm + 1e-9 * len(k_nm) * np.eye(len(k_mm))
-    return np.linalg.solve(left, k_nm.T @ target)
+def fit(squares: np.ndarray, products: np.ndarray, n: int, k_mm: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Coefficients of the landmarks for each language, of ``n`` texts with the sums ``K'K`` and ``K'y``."""
+    return np.linalg.solve(squares + ridge * n * k_mm + 1e-9 * n * np.eye(len(k_mm)), products)
 
 
 def lettered(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -132,15 +138,27 @@ def identify(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> DataFrame:
     kernel = Kernel([np.array(m[1], np.int64) for m in marks]) if marks else None
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The terms of a part of the sample, a row for each landmark and one for the number of texts."""
+        total, n = np.zeros((len(marks), len(marks) + len(langs))), 0
         for batch in batches:
             for row, end, buf, offsets in tb.chunks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(list(kernel.between(buf, offsets).astype(np.float64)), pa.list_(pa.float64()))], names=["lang", "k"])
+                k = kernel.between(buf, offsets)
+                target = np.array([[g.as_py() == x for x in langs] for g in batch.column(0).slice(row, end - row)], float)
+                total += k.T @ np.concatenate([k, target], 1)
+                n += len(k)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(marks) + 1), pa.int32()), pa.array([*total, np.array([float(n)])], pa.list_(pa.float64()))], names=["mark", "terms"])
+
+    def added(table: pa.Table) -> pa.Table:
+        terms = np.sum([np.asarray(x.values) for x in table["terms"]], axis=0)
+        return pa.table([table["mark"].slice(0, 1), pa.array([terms], pa.list_(pa.float64()))], names=["mark", "terms"])
 
     if kernel:
-        rows = sample.select("lang", "text").mapInArrow(measure, "lang string, k array<double>").collect()
-        k_nm = np.array([r["k"] for r in rows]) if rows else np.zeros((1, len(marks)))
-        target = np.array([[r["lang"] == g for g in langs] for r in rows], float) if rows else np.ones((1, len(langs))) / len(langs)
-        weights = fit(k_nm, (kernel.marks @ kernel.marks.T).astype(np.float64), target).astype(np.float32)
+        terms = "mark int, terms array<double>"
+        rows = sorted(sample.select("lang", "text").mapInArrow(measure, terms).groupBy("mark").applyInArrow(added, terms).collect())
+        sums, n = np.array([r["terms"] for r in rows[:-1]]), int(rows[-1]["terms"][0])
+        landmarks = [np.array(m[1], np.int64) for m in marks]
+        k_mm = np.array([[len(np.intersect1d(a, b)) for b in landmarks] for a in landmarks]) / np.sqrt(np.outer(kernel.size, kernel.size))
+        weights = fit(sums[:, : len(marks)], sums[:, len(marks) :], max(n, 1), k_mm)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

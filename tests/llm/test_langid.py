@@ -20,12 +20,20 @@ def test_kernel_matches_sets_of_grams():
     buf = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
     got = kernel.between(buf, offsets)
-    known = set(kernel.features.tolist())
     for i, a in enumerate(sets):
-        own = set(a.tolist()) & known
         for j in (0, 1):
-            both = len(own & set(sets[j].tolist()))
-            assert abs(got[i, j] - (both / np.sqrt(len(own) * len(set(sets[j].tolist()) & known)) if own else 0)) < 1e-5
+            both = len(set(a.tolist()) & set(sets[j].tolist()))
+            assert abs(got[i, j] - (both / np.sqrt(len(a) * len(sets[j])) if len(a) else 0)) < 1e-5
+
+
+def test_many_landmarks_are_measured_in_blocks(monkeypatch):
+    texts = [text_in(g, i, 20) for g in SYLLABLES for i in range(5)]
+    kernel = li.Kernel([li.gram_set(t.encode()) for t in texts])
+    buf, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    whole = kernel.between(buf, offsets)
+    monkeypatch.setattr(li, "_MARKS", 4)
+    monkeypatch.setattr(li, "_DOCS", 3)
+    assert np.allclose(kernel.between(buf, offsets), whole) and np.allclose(np.diag(whole), 1)
 
 
 def test_held_out_accuracy_and_defined_cases(spark, documents):
