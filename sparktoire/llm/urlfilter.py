@@ -1,11 +1,16 @@
 """URL filters: rules first, then naive Bayes over segmented host words and path tokens.
 
 A rule fits its host and all subdomains if the path starts with its own; the longest one wins.
-Hosts of the other pages are split at dots and hyphens, and each part into words by a unigram
-Viterbi search; the multinomial naive Bayes model, learned from the pages that rules decide, scores
-these words with the tokens of the path. The unigram counts are those of the words in all pages'
-texts that are a ``VOCABULARY``-th of all words at least, so there are that many at most; the model
-keeps the tokens that are a ``TOKENS``-th at least in the same way.
+Hosts of the other pages are split at dots, hyphens, colons and at signs, and each part into words
+by a unigram Viterbi search over the words of all pages' texts; the multinomial naive Bayes model,
+learned from the pages that rules decide, scores these words with the tokens of the path. Labels of
+the rules' own hosts are no words: the model would only learn the rules by heart.
+
+Nothing is left out of either model, and neither goes to the driver. The counts of all words are a
+written table; the substrings of the distinct hosts are joined with it, so a host is split with the
+words that can occur in it. The log odds of tokens are a table too: they are joined with the tokens
+of distinct hosts and of the pages' paths, and summed. Hot hosts and tokens are joined apart
+(``lookup``).
 
 Defined results: null urls and urls without ``://`` have an empty host and path, fit no rule and
 have no tokens; with no tokens the more frequent class decides, and ``allow`` if there is none or
@@ -22,13 +27,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparktoire.llm.common import materialized
+from sparktoire.llm.common import dropped, materialized
+from sparktoire.llm.lookup import looked_up
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-VOCABULARY, LONGEST, TOKENS = 200_000, 24, 200_000
-CACHE_ENTRIES = 200_000
+#: What a letter of an unknown word costs beside the word itself.
+UNKNOWN_LETTER = 2.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TOKEN = re.compile(r"[^\W\d_]+|\d+")
+_PARTS = re.compile(r"[.\-:@]+")
 
 
 def parsed(url: Column) -> tuple[Column, Column]:
@@ -49,101 +55,112 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def parts_of(host: str, known: frozenset[str] = frozenset()) -> list[str]:
+    """The parts of a host, without the ``known`` labels."""
+    return [x for x in _PARTS.split(host) if x and x not in known]
+
+
 class Segmenter:
-    """Splits a concatenated name into the most probable words."""
+    """Splits a concatenated name into the most probable words.
+
+    ``counts``: the words that can be in it; ``total`` and ``longest``: the number of all words and
+    the letters of the longest.
+    """
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None, longest: int | None = None):
+        self.total = (sum(counts.values()) if total is None else total) + 1
         self.log_p = {w: math.log(n / self.total) for w, n in counts.items()}
-        self.longest = max(map(len, counts), default=1)
-        self.known: dict[str, list[str]] = {}
+        self.longest = longest or max(map(len, counts), default=1)
 
     def score(self, word: str) -> float:
         """Unknown words cost more the longer they are."""
         found = self.log_p.get(word)
-        return -math.log(self.total) - 2.5 * len(word) if found is None else found
+        return -math.log(self.total) - UNKNOWN_LETTER * len(word) if found is None else found
 
     def split(self, name: str) -> list[str]:
-        if name in self.known:
-            return self.known[name]
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
-            options = ((best[k] + self.score(name[k:end]), -k) for k in range(max(0, end - self.longest), end))
-            value, k = max(options)
+            value, k = max((best[k] + self.score(name[k:end]), -k) for k in range(max(0, end - self.longest), end))
             best.append(value)
             back.append(-k)
         out, end = [], len(name)
         while end:
             out.append(name[back[end] : end])
             end = back[end]
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known = {}
-        self.known[name] = out[::-1]
-        return self.known[name]
+        return out[::-1]
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Host words, marked by a dot, and path tokens, marked by a slash; numbers are alike."""
-        found = ["." + w for part in re.split(r"[.\-:@]+", host) if part for w in self.split(part)]
-        return found + ["/0" if t.isdigit() else "/" + t for t in _TOKEN.findall(path.lower())]
 
+def path_tokens(path: Column) -> Column:
+    """Runs of letters and of digits of the path, marked by a slash; numbers are alike."""
+    return F.transform(F.regexp_extract_all(F.lower(path), F.lit("(\\p{L}+|[0-9]+)"), 1), lambda t: F.when(t.rlike("^[0-9]"), "/0").otherwise(F.concat(F.lit("/"), t)))
 
-class NaiveBayes:
-    """Multinomial, with one added to each count."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]], pages: tuple[int, int]):
-        self.prior = [math.log((n + 1) / (sum(pages) + 2)) for n in pages]
-        below = [sum(c[k] for c in counts.values()) + len(counts) + 1 for k in (0, 1)]
-        self.log_p = {t: tuple(math.log((c[k] + 1) / below[k]) for k in (0, 1)) for t, c in counts.items()}
-        self.unknown = tuple(math.log(1 / b) for b in below)
+def word_counts(pages: DataFrame) -> DataFrame:
+    """``word, n``: all words of all pages' texts."""
+    text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "))
+    words = pages.select(F.explode(F.split(text, "[^\\p{L}]+")).alias("word")).where("word <> ''")
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
-    def verdict(self, tokens: list[str]) -> str:
-        score = list(self.prior)
-        for t in tokens:
-            allow, block = self.log_p.get(t, self.unknown)
-            score[0] += allow
-            score[1] += block
-        return "block" if score[1] > score[0] else "allow"
 
+def host_words(hosts: DataFrame, counts: DataFrame, known: frozenset[str] = frozenset()) -> DataFrame:
+    """``host, token``: the words of each of the distinct ``hosts``, marked by a dot, as often as they occur."""
+    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max(F.length("word")), F.lit(1)).alias("longest")).first()
+    total, longest = size["total"], size["longest"]
 
-def frequent(counts: DataFrame, n: Column, share: int) -> DataFrame:
-    """Rows whose number is one in ``share`` of the sum at least: ``share`` rows at most, without a sort."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    return counts.where(n * share >= total)
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host in batch.column(0):
+                found = {part[i:j] for part in parts_of(host.as_py(), known) for i in range(len(part)) for j in range(i + 1, min(len(part), i + longest) + 1)}
+                yield pa.RecordBatch.from_arrays([pa.array([host.as_py()] * len(found), pa.string()), pa.array(sorted(found), pa.string())], names=["host", "word"])
 
+    def split(table: pa.Table) -> pa.Table:
+        host = table["host"][0].as_py()
+        segmenter = Segmenter({w: n for w, n in zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True) if w is not None}, total, longest)
+        tokens = ["." + w for part in parts_of(host, known) for w in segmenter.split(part)]
+        return pa.table([pa.array([host] * len(tokens), pa.string()), pa.array(tokens, pa.string())], names=["host", "token"])
 
-def word_counts(pages: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
-    """The frequent words of all pages' texts; ``size`` bounds what the driver and workers get."""
-    text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "))
-    words = pages.select(F.explode(F.split(text, "[^\\p{L}]+")).alias("word")).where(F.length("word").between(1, LONGEST))
-    counts = materialized(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    return {r["word"]: r["n"] for r in frequent(counts, F.col("n"), size).collect()}
+    subs = materialized(hosts.mapInArrow(substrings, "host string, word string"))
+    found = looked_up(subs, counts, "word").unionByName(hosts.select("host", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("n")))
+    words = materialized(found.groupBy("host").applyInArrow(split, "host string, token string"))
+    dropped(subs)
+    return words
 
 
-def judged(pages: DataFrame, rules=RULES) -> DataFrame:
-    """``page_id, host, path, rule, verdict`` of every page."""
-    counts = word_counts(pages)
+def _log_odds(tokens: DataFrame) -> DataFrame:
+    """``token, odds`` of ``token, allow, block`` counts: log odds of block, with one added to each count."""
+    below = tokens.agg((F.coalesce(F.sum("allow"), F.lit(0)) + F.count(F.lit(1)) + 1).alias("allow"), (F.coalesce(F.sum("block"), F.lit(0)) + F.count(F.lit(1)) + 1).alias("block")).first()
+    odds = F.log((F.col("block") + 1) / below["block"]) - F.log((F.col("allow") + 1) / below["allow"])
+    return tokens.select("token", odds.alias("odds")), math.log(below["allow"] / below["block"])
+
+
+def scored(pages: DataFrame, rules=RULES, learn: Column | None = None) -> DataFrame:
+    """``page_id, host, path, rule, ruled, guess`` of every page: the rule's verdict, if any, and the model's.
+
+    ``learn``: which of the pages that rules decide are learned from, all of them if none.
+    """
+    known = frozenset(x for _, h, _ in rules for x in parts_of(h))
     host, path = parsed(F.col("url"))
-    x = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    x = x.withColumns({"rule": rule, "ruled": ruled})
+    rule, ruled = rule_of(host, path, rules)
+    block = F.when(F.lit(True) if learn is None else learn, (ruled == "block").cast("long"))
+    x = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), rule.alias("rule"), ruled.alias("ruled"), block.alias("block"))
+    x = materialized(x)
+    counts = materialized(word_counts(pages))
+    by_host = materialized(x.groupBy("host").agg(F.sum(1 - F.col("block")).alias("allow"), F.sum("block").alias("block")))
+    words = host_words(by_host.select("host"), counts, known)
+    tokens = materialized(x.select("row", "block", F.explode(path_tokens(F.col("path"))).alias("token")).groupBy("row", "block", "token").agg(F.count(F.lit(1)).alias("n")))
+    learned = words.join(by_host, "host").where("allow IS NOT NULL").select("token", "allow", "block")
+    learned = learned.unionByName(tokens.where("block IS NOT NULL").select("token", ((1 - F.col("block")) * F.col("n")).alias("allow"), (F.col("block") * F.col("n")).alias("block")))
+    odds, unknown = _log_odds(materialized(learned.groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))))
+    classes = by_host.agg(F.coalesce(F.sum("allow"), F.lit(0)).alias("allow"), F.coalesce(F.sum("block"), F.lit(0)).alias("block")).first()
+    prior = math.log((classes["block"] + 1) / (classes["allow"] + 1))
+    value = F.coalesce("odds", F.lit(unknown))
+    of_host = looked_up(words, odds, "token", "left").groupBy("host").agg(F.sum(value).alias("of_host"))
+    of_path = looked_up(tokens, odds, "token", "left").groupBy("row").agg(F.sum(value * F.col("n")).alias("of_path"))
+    full = looked_up(x, materialized(of_host), "host", "left").join(of_path, "row", "left")
+    score = F.lit(prior) + F.coalesce("of_host", F.lit(0.0)) + F.coalesce("of_path", F.lit(0.0))
+    return full.select("page_id", "host", "path", "rule", "ruled", F.when(F.round(score, 9) > 0, "block").otherwise("allow").alias("guess"))
 
-    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(counts)
-        for batch in batches:
-            tokens = [segmenter.tokens(h.as_py(), p.as_py()) for h, p in zip(batch.column(1), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.list_(pa.string()))], names=[*batch.schema.names, "tokens"])
-
-    names = "page_id long, host string, path string, rule string, ruled string"
-    x = materialized(x.mapInArrow(segment, f"{names}, tokens array<string>"))
-    classes = {r["ruled"]: r["count"] for r in x.where("ruled IS NOT NULL").groupBy("ruled").count().collect()}
-    each = x.where("ruled IS NOT NULL").select(F.explode("tokens").alias("token"), (F.col("ruled") == "block").cast("long").alias("block"))
-    sums = each.groupBy("token").agg(F.sum(1 - F.col("block")).alias("allow"), F.sum("block").alias("block"))
-    kept = frequent(materialized(sums), F.col("allow") + F.col("block"), TOKENS).collect()
-    model = NaiveBayes({r["token"]: (r["allow"], r["block"]) for r in kept}, (classes.get("allow", 0), classes.get("block", 0)))
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            verdict = [r.as_py() or model.verdict(t.as_py()) for r, t in zip(batch.column(4), batch.column(5), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
-    return x.mapInArrow(decide, "page_id long, host string, path string, rule string, verdict string")
+def judged(pages: DataFrame, rules=RULES) -> DataFrame:
+    """``page_id, host, path, rule, verdict`` of every page."""
+    return scored(pages, rules).select("page_id", "host", "path", "rule", F.coalesce("ruled", "guess").alias("verdict"))

@@ -1,8 +1,14 @@
 import itertools
 import math
 import random
+import re
+import zlib
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from sparktoire.llm import urlfilter as uf
+from sparktoire.llm.lookup import looked_up
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -35,9 +41,70 @@ def test_segmenter_finds_the_best_of_all_splits():
     assert seg.split("") == []
 
 
-def test_bayes_matches_plain_counts():
-    model = uf.NaiveBayes({"/fr": (1, 9), ".the": (8, 2)}, (10, 5))
-    p = lambda c, total: (c + 1) / (total + 2 + 1)
-    allow, block = 11 / 17 * p(1, 9) * p(8, 9) / 12, 6 / 17 * p(9, 11) * p(2, 11) / 14
-    assert model.verdict(["/fr", ".the", "?"]) == ("block" if block > allow else "allow")
-    assert model.verdict(["/fr"] * 5) == "block" and model.verdict([".the"] * 5) == "allow"
+def brute(rows, learned):
+    """Verdicts of the rules and of a plain model in dictionaries; ``learned``: the ids learned from."""
+    known, counts, seen = {"com", "net", "example", "www"}, Counter(), {0: Counter(), 1: Counter()}
+    for _, _, html in rows:
+        counts.update(re.findall(r"[^\W\d_]+", re.sub("<[^>]*>", " ", html or "").lower()))
+    segmenter = uf.Segmenter(counts)
+
+    def rule(host, path):
+        fits = [(len(h + p), v, h + p) for v, h, p in uf.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    def tokens(host, path):
+        found = ["." + w for part in re.split(r"[.\-:@]+", host) if part and part not in known for w in segmenter.split(part)]
+        return found + ["/0" if t.isdigit() else "/" + t for t in re.findall(r"[^\W\d_]+|[0-9]+", path.lower())]
+
+    split, classes = [], Counter()
+    for i, url, _ in rows:
+        m = re.search("://([^/?#]*)([^?#]*)", url or "", re.S)
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        verdict, name = rule(host, path)
+        split.append((i, host, path, name, verdict, tokens(host, path)))
+        if verdict and i in learned:
+            classes[verdict == "block"] += 1
+            seen[verdict == "block"].update(split[-1][-1])
+    vocabulary = set(seen[0]) | set(seen[1])
+    below = [sum(seen[k].values()) + len(vocabulary) + 1 for k in (0, 1)]
+    out = []
+    for i, host, path, name, verdict, t in split:
+        score = [math.log(classes[k] + 1) + sum(math.log((seen[k][x] + 1) / below[k]) for x in t) for k in (0, 1)]
+        out.append((i, host, path, name, verdict, "block" if score[1] > score[0] + 1e-9 else "allow"))
+    return sorted(out, key=repr)
+
+
+def pages_of(prose, seed, n):
+    r = random.Random(seed)
+    words = ["cheap", "pills", "news", "garden", "spam", "farm", "blog", "river"]
+    rows = []
+    for i in range(n):
+        bad = r.random() < 0.4
+        host = "".join(r.choices(words[:2] + words[4:6] if bad else words, k=r.randint(1, 3)))
+        rows.append((i, f"https://{r.choice(['www.', 'm.', '', 'blog-'])}{host}.example.{r.choice(['com', 'net', 'org'])}/{'en' if bad and r.random() < 0.9 else r.choice(['es', 'fr', 'de', 'en'])}/{r.randrange(50)}{r.choice(['', '/buy-now.html', '?q=x'])}", f"<p class='x'>{' '.join(r.choices(words, k=20))} {prose(i, 5)}</p>"))
+    return rows
+
+
+def test_matches_a_plain_model(spark, prose):
+    rows = pages_of(prose, 5, 250)
+    rows += [(900, None, None), (901, "no scheme", "words"), (902, "http://", ""), (903, "http://x.org/" + "long/" * 3000, "<b>long"), (904, "http://" + "riverpills" * 300 + ".org/", None), (905, "http://h.org:80/12/é", "é"), (3, *rows[7][1:]), (3, *rows[7][1:])]
+    learned = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5}
+    pages = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS row", "'x' AS host", "2 AS block", "'y' AS token")
+    got = uf.scored(pages, learn=F.crc32(F.col("page_id").cast("string")) % 5 != 0).collect()
+    assert sorted((tuple(x) for x in got), key=repr) == brute(rows, learned)
+    assert sorted((tuple(x) for x in uf.judged(pages).collect()), key=repr) == sorted(((i, h, p, n, v or g) for i, h, p, n, v, g in brute(rows, {i for i, *_ in rows})), key=repr)
+
+
+def test_learned_words_decide_pages_of_unknown_hosts(spark, prose):
+    """Held-out pages that rules decide: the model has no part of the rules' hosts."""
+    rows = pages_of(prose, 9, 1500)
+    got = [x for x in uf.scored(spark.createDataFrame(rows, SCHEMA), learn=F.crc32(F.col("page_id").cast("string")) % 5 != 0).collect() if x.ruled and zlib.crc32(str(x.page_id).encode()) % 5 == 0]
+    most = max(sum(x.ruled == v for x in got) for v in ("allow", "block"))
+    assert len(got) > 100 and sum(x.ruled == x.guess for x in got) > 0.75 * len(got) > most * 0.9
+
+
+def test_hot_keys_are_joined_apart(spark):
+    left = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.col("id").cast("string")).alias("key"))
+    right = spark.range(0, 5000, 2).select(F.col("id").cast("string").alias("key"), (F.col("id") * 2).alias("value")).union(spark.createDataFrame([("hot", -1)], "key string, value long"))
+    for how in ("inner", "left"):
+        assert sorted(map(repr, looked_up(left, right, "key", how).collect())) == sorted(map(repr, left.join(right, "key", how).collect()))
