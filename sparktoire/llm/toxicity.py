@@ -1,9 +1,10 @@
 """Toxicity: Levenshtein automata run over a lexicon trie, with the context of each hit.
 
 The lexicon is learned from a bounded sample of labelled documents: words that are in
-``LEAST_DOCS`` toxic documents at least and far likelier there than in clean ones, and stems, that
-is common beginnings of such words that go on with three letters at least. All entries stand in a
-trie. The automaton that accepts what is within one edit of an entry (none below ``EDIT_LETTERS``
+``LEAST_DOCS`` toxic documents at least and far likelier there than in clean ones (``LEAST_ODDS``),
+and stems, that is common beginnings of such words that go on with three letters at least. Some
+clean documents may have an entry, such as in quotations: what that means the fitted weights say.
+All entries stand in a trie. The automaton that accepts what is within one edit of an entry (none below ``EDIT_LETTERS``
 letters, nor where clean documents come as near) is the product of the trie and the edits; its deterministic states are built as words need
 them, so a word costs one look-up per letter up to where no entry can follow.
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 SAMPLE = 6000
 #: An entry that clean documents of the sample come near more often than this is matched exactly.
 MOST_NEAR_MISSES = 2
-LEAST_DOCS, LEAST_ODDS, MOST_TERMS = 8, 40.0, 20_000
+LEAST_DOCS, LEAST_ODDS = 8, 40.0
 STEM_LETTERS, STEM_BRANCHES, EDIT_LETTERS = 4, 3, 5
 WINDOW = 6
 CACHE_ENTRIES = 400_000
@@ -54,6 +55,7 @@ class Automaton:
         self.children: list[dict[str, int]] = [{}]
         self.edits: list[int] = [-1]  # most edits of the entry that ends at a node
         self.stem: list[bool] = [False]
+        self.entry: dict[int, str] = {}
         for entry, is_stem in [*((w, False) for w in words), *((s, True) for s in stems)]:
             node = 0
             for ch in entry:
@@ -65,6 +67,7 @@ class Automaton:
                 node = self.children[node][ch]
             self.edits[node] = int(len(entry) >= EDIT_LETTERS and entry not in exact)
             self.stem[node] |= is_stem
+            self.entry[node] = entry
         self.number: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
@@ -114,6 +117,17 @@ class Automaton:
         return best if best < 2 else -1
 
 
+    def near(self, word: str) -> set[str]:
+        """The entries that the word is one edit away from, if none is nearer."""
+        if self.edits_of(word) != 1:
+            return set()
+        state, found = self.start, set()
+        for i, ch in enumerate(word, 1):
+            state = self.next[state][ch] if ch in self.next[state] else self.step(state, ch)
+            found |= {self.entry[node] for node, e in self.sets[state] if e <= self.edits[node] and (self.stem[node] or i == len(word))}
+        return found
+
+
 def choose_lexicon(terms: Iterable[tuple[str, bool]]) -> tuple[list[str], list[str]]:
     """``(words, stems)`` of the terms ``(text, is a whole word)``."""
     whole: dict[str, bool] = {}
@@ -196,7 +210,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = {0: Counter(), 1: Counter()}
         for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-            words = {w.strip(_EDGE)[:24] for w in set(words_of(text.as_py() or ""))}
+            words = {w.strip(_EDGE) for w in set(words_of(text.as_py() or ""))}
             counts[toxic.as_py()].update({"=" + w for w in words if len(w) > 2} | {w[:k] for w in words for k in range(STEM_LETTERS, min(len(w), 10))})
         terms = list(counts[0].keys() | counts[1].keys())
         for at in range(0, len(terms), 100_000):
@@ -213,21 +227,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, sample: int =
     totals = Counter(t for _, t in chosen)
     odds = (F.col("toxic") + 0.5) / (totals[1] + 1) / ((F.col("clean") + 0.5) / (totals[0] + 1))
     counted = learned.mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    terms = counted.where((F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (F.col("clean") * 200 <= F.col("toxic"))).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).select("term")
+    # the sample bounds the terms: each is in LEAST_DOCS of its toxic documents
+    terms = counted.where((F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).select("term")
     words, stems = choose_lexicon((r["term"].removeprefix("="), r["term"].startswith("=")) for r in terms.collect())
 
     def near_misses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per batch, in how many clean texts each entry has a word that is one edit away."""
         automaton = Automaton(words, stems)
-        single = {e: Automaton([], [e]) if e in stems else Automaton([e], []) for e in [*words, *stems]}
-        near: dict[str, list[str]] = {}
+        near: dict[str, set[str]] = {}
         for batch in batches:
             counts = Counter()
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
                 found = set()
                 for w in {w.strip(_EDGE) for w in words_of(text.as_py())} if toxic.as_py() == 0 else ():
                     if w not in near:
-                        near[w] = [e for e, a in single.items() if a.edits_of(w) == 1] if automaton.edits_of(w) == 1 else []
+                        near[w] = automaton.near(w)
                     found.update(near[w])
                 counts.update(found)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["entry", "n"])

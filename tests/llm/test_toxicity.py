@@ -40,6 +40,20 @@ def test_automaton_matches_edit_distance():
         assert automaton.edits_of(w) == brute(w, words, stems), w
 
 
+def test_entries_near_a_word():
+    r = random.Random(2)
+    words, stems = ["moron", "morons", "scums", "abcab", "xmoron"], ["lowei", "lowex"]
+    automaton = tx.Automaton(words, stems)
+    for _ in range(3000):
+        w = list(r.choice(words + stems) + r.choice(["", "", "ab", "x"]))
+        for _ in range(r.randint(0, 2)):
+            at = r.randrange(len(w) + 1)
+            w[at : at + r.randint(0, 1)] = r.choice(["", "a", "o", "x", "s"])
+        w = "".join(w)
+        single = {e: brute(w, [e] if e in words else [], [e] if e in stems else []) for e in words + stems}
+        assert automaton.near(w) == ({e for e, d in single.items() if d == 1} if brute(w, words, stems) == 1 else set()), w
+
+
 def test_lexicon_keeps_words_and_branching_beginnings():
     terms = [("moron", True), ("moro", False), ("lowe", False), ("lowei", False), *((f"lowei{c}", True) for c in "abcd")]
     assert tx.choose_lexicon(terms) == (["moron"], ["lowei"])
