@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 SAMPLE = 6000
 #: An entry that clean documents of the sample come near more often than this is matched exactly.
 MOST_NEAR_MISSES = 2
-LEAST_DOCS, LEAST_ODDS = 8, 40.0
+LEAST_DOCS, LEAST_ODDS = 5, 40.0
 STEM_LETTERS, STEM_BRANCHES, EDIT_LETTERS = 4, 3, 5
 WINDOW = 6
 CACHE_ENTRIES = 400_000
