@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 #: Files of a bucketed table, Spark's own limit; beyond it a file holds several buckets, each still one group.
 MOST_BUCKETS = 100_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def _without_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write go when it has ended: nothing reads them again, as its table is the only result."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _without_leftovers(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,7 +63,8 @@ def bucketed(df: DataFrame, n: int, column: str) -> DataFrame:
     """
     name = f"bucketed_{uuid.uuid4().hex}"
     path = f"{shared_dir(df.sparkSession)}/tables/{name}"
-    df.write.option("compression", "zstd").option("path", path).bucketBy(min(n, MOST_BUCKETS), column).sortBy(column).saveAsTable(name)
+    with _without_leftovers(df.sparkSession):
+        df.write.option("compression", "zstd").option("path", path).bucketBy(min(n, MOST_BUCKETS), column).sortBy(column).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -67,9 +82,3 @@ def dropped(df: DataFrame) -> None:
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts; it only sizes buckets."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0)).alias("n")).first()["n"])
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now, not when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparktoire.llm import textbytes as tb
-from sparktoire.llm.common import bucketed, release, text_bytes
+from sparktoire.llm.common import bucketed, text_bytes
 
 BUCKET_BYTES = 4 << 20
 LEAST_BUCKETS = 64
@@ -101,5 +101,4 @@ def distinct_texts(docs: DataFrame, n_buckets: int, least_bytes: int = 0, carry:
     x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) if no_id is None else no_id).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
     schema = SCHEMA + more_schema
     rows = bucketed(x.mapInArrow(local, schema).groupBy("bucket").applyInArrow(merged, schema), n_buckets, "bucket")
-    release(docs.sparkSession)
     return rows

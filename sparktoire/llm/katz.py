@@ -13,14 +13,14 @@ and ``alpha`` is 1 for unknown contexts, so each distribution sums to exactly 1
 and the unknown word. A context all of whose mass is kept has one count added below, so that some is
 left.
 
-The documents are dealt into sources of about ``SOURCE_BYTES``, a table bucketed by source. Each
-source sends its distinct words, bigrams and trigrams with their counts to buckets by hash. The
-totals come back in the order in which the keys were sent, so without the keys, as a table bucketed
-by source like the texts: no step shuffles it again. The backoff weights follow order by order: a
-source sends the parts of its contexts' sums, over the n-grams that it was told to own, and gets the
-weights; contexts that one source alone has need no sending. A word that is in
-every text so arrives once per source. Scores are evaluated per token in the source, from the
-shortest context up.
+The documents of each input part are packed into sources of about ``SOURCE_BYTES``, a table bucketed
+by source, without a shuffle. In three steps each source sends its distinct words and bigrams, then
+its trigrams, with their counts to buckets by hash. The totals come back in the order in which the
+keys were sent, so without the keys, as tables bucketed by source like the texts: no step shuffles
+them again. The backoff weights follow order by order: a source sends the parts of its contexts'
+sums, over the n-grams that it was told to own, and gets the weights; contexts that one source alone
+has need no sending, and only sources that have an unknown n-gram after a context get its weight. A word that is in every text so arrives once per source. Scores are evaluated
+per token in the source, from the shortest context up.
 
 Defined results: a null text counts as empty (one token, the end); a null ``doc_id`` is hashed as
 an empty string; repeated rows are counted and scored one by one; an empty table gives an empty
@@ -30,31 +30,31 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from sparktoire.llm import textbytes as tb
-from sparktoire.llm.common import bucketed, dropped, materialized, release, text_bytes
-from sparktoire.llm.keys import arrow_table, dealt, packed, packed_counts, unpacked, unpacked_counts
+from sparktoire.llm.common import bucketed, dropped, materialized, text_bytes
+from sparktoire.llm.keys import arrow_table, dealt, distinct, of_planes, packed, packed_counts, planes, unpacked, unpacked_counts
 
 SOURCE_BYTES, LEAST_SOURCES = 8 << 20, 16
 LARGEST = 5
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 WORD, BIGRAM, TRIGRAM = ORDERS = 0, 1, 2
+CONTEXT = 3  # words as contexts, bigrams as the next
 N_STATS = LARGEST + 3  # types with counts of 1 to LARGEST + 1, all types, all tokens
 
-SENT = "bucket int, source int, kind int, key binary, n binary"
-ANSWER = "source int, kind int, bucket int, n binary, own binary, shared binary, alpha binary, stats array<long>"
-PART = "bucket int, source int, key binary, n binary, x binary, y binary"
+SENT = "bucket int, source long, kind int, key binary, n binary, types binary, mass binary, asks binary"
+ANSWER = "source long, kind int, bucket int, n binary, own binary, shared binary, alpha binary, stats array<long>"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-_SENT = [("bucket", pa.int32()), ("source", pa.int32()), ("kind", pa.int32()), ("key", pa.binary()), ("n", pa.binary())]
-_ANSWER = [("source", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.binary()), ("own", pa.binary()), ("shared", pa.binary()), ("alpha", pa.binary()), ("stats", pa.list_(pa.int64()))]
-_PART = [("bucket", pa.int32()), ("source", pa.int32()), ("key", pa.binary()), ("n", pa.binary()), ("x", pa.binary()), ("y", pa.binary())]
+_SENT = [("bucket", pa.int32()), ("source", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("key", "n", "types", "mass", "asks"))]
+_ANSWER = [("source", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.binary()), ("own", pa.binary()), ("shared", pa.binary()), ("alpha", pa.binary()), ("stats", pa.list_(pa.int64()))]
 _SCORES = list(zip(SCHEMA.replace(",", "").split()[::2], [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()], strict=True))
 
 
@@ -93,10 +93,47 @@ class Model:
     def discounted(self, kind: int, n: np.ndarray) -> np.ndarray:
         return n * np.where(n <= LARGEST, self.factors[kind][np.minimum(n, LARGEST)], 1.0)
 
+    def backoff(self, kind: int, count: np.ndarray, types: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(alpha, what the context's counts are divided by)`` of contexts of n-grams of order ``kind``.
+
+        ``types[r - 1]``: the n-grams after a context with count ``r``, which are all that loses some
+        of its mass; ``mass``: the probabilities of all n-grams after it without its first word.
+        """
+        lost = sum(r * (1 - self.factors[kind][r]) * types[r - 1] for r in range(1, LARGEST + 1))
+        below = np.where(lost > 1e-9 * count, count, count + 1.0)
+        left = 1 - np.where(count > 0, mass, 0)
+        return np.where(count > 0, (lost + below - count) / below / np.where(left > 0, left, 1), 1.0), below
+
     def p_word(self, n: np.ndarray) -> np.ndarray:
         return np.where(n > 0, self.discounted(WORD, n) / self.below, self.unknown)
 
 
+def packed_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each source: its number, of the input part and its place there, and its compressed rows."""
+    part, held, size, number = TaskContext.get().partitionId(), [], 0, 0
+
+    def row() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for x in held:
+                out.write_batch(x)
+        return pa.RecordBatch.from_arrays([pa.array([part << 24 | number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["source", "rows"])
+
+    for batch in batches:
+        for at, end, buf, _ in tb.chunks(batch, "text"):
+            held.append(batch.slice(at, end - at))
+            size += len(buf)
+            if size >= SOURCE_BYTES:
+                yield row()
+                held, size, number = [], 0, number + 1
+    if held:
+        yield row()
+
+
+def texts_of(source: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in source["rows"]])
+
+
 def tokens(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(token, first)`` of a few MB of texts at a time: the hash of each token, where each text's begin."""
     for batch in table.combine_chunks().to_batches():
@@ -126,8 +163,9 @@ class Source:
     their counts.
     """
 
-    def __init__(self, texts: pa.Table):
-        self.number = int(texts["source"][0].as_py())
+    def __init__(self, source: pa.Table, orders: int = 3):
+        self.number = int(source["source"][0].as_py())
+        self.texts = texts = texts_of(source)
         parts = list(tokens(texts))
         token = np.concatenate([p[0] for p in parts])
         self.first = np.append(0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts])))
@@ -138,8 +176,8 @@ class Source:
         longest = np.append(_NOTHING, pair[:-1])
         longest[head] = _NOTHING
         self.keys, self.at, self.context = [], [], []
-        for key, begin in ((token, BEGIN), (pair, _NOTHING), (longer(longest, token), None)):
-            keys, at = np.unique(key if begin is None else np.append(key, begin), return_inverse=True)
+        for key, begin in ((token, BEGIN), (pair, _NOTHING), (longer(longest, token) if orders == 3 else None, None))[:orders]:
+            keys, at = distinct(key if begin is None else np.append(key, begin))
             if begin is not None:
                 start, at = int(at[-1]), at[:-1]
                 context = np.append(start, at[:-1])
@@ -154,55 +192,68 @@ class Source:
         for kind, place in enumerate(self.begins):
             self.local[kind][place] = train.sum()
 
-    def listen(self, answers: pa.Table, model: Model, n_buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Take the totals and weights, which are in the order of the keys that were sent, order by order.
+    def listen(self, answers: pa.Table, model: Model, n_buckets: int, step: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Take the totals and weights told before ``step``, in the order of the keys that were sent, order by order.
 
         Yields for each order of contexts what is known before their weights are: ``(keys to send,
-        counts, x, y)``, the parts of the sums for the contexts that other sources have too. The
-        contexts of one source get their weights here. ``self.p[k]`` are probabilities of the n-grams.
+        counts, types, mass, asks)`` of the contexts that other sources have too, with the parts of
+        their sums, and whether the source has an unknown n-gram after them and so asks for the
+        weight. The contexts of one source get their weights here. ``self.p[k]`` are probabilities of the n-grams.
         """
         rows = {(k, b): i for i, (k, b) in enumerate(zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), strict=True))}
         data = {c: answers[c].combine_chunks() for c in ("n", "own", "shared", "alpha")}
         bits = lambda c, i, n: np.unpackbits(np.frombuffer(data[c][i].as_buffer(), np.uint8), count=n).astype(bool)
-        told = [np.zeros(len(k), np.int64) for k in self.keys]
-        own, shared = ([np.zeros(len(k), bool) for k in self.keys] for _ in range(2))
-        for kind in ORDERS:
+        told = [np.zeros(len(k), np.int64) for k in self.keys[: min(step, 3)]]
+        own, shared = ([np.zeros(len(k), bool) for k in told] for _ in range(2))
+        for kind in range(len(told)):
             for b, x in dealt(self.keys[kind], n_buckets):
-                i = rows[kind, b]
-                told[kind][x] = unpacked_counts(data["n"][i].as_buffer(), len(x))
-                own[kind][x], shared[kind][x] = bits("own", i, len(x)), bits("shared", i, len(x))
+                i, n = rows[kind, b], x.stop - x.start
+                told[kind][x] = unpacked_counts(data["n"][i].as_buffer(), n)
+                own[kind][x], shared[kind][x] = bits("own", i, n), bits("shared", i, n)
         self.told, self.p = told, [model.p_word(told[WORD])]
-        for kind in (BIGRAM, TRIGRAM):
+        for kind in ORDERS[1 : len(told)]:
             example = np.zeros(len(self.keys[kind]), np.int64)
             example[self.at[kind]] = np.arange(len(self.at[kind]))
             context, shorter = self.context[kind - 1][example], self.at[kind - 1][example]
             count = told[kind - 1]
             mine = np.flatnonzero(own[kind])
-            x = np.bincount(context[mine], model.discounted(kind, told[kind][mine]), len(count))
-            y = np.bincount(context[mine], self.p[-1][shorter[mine]], len(count))
-            alpha, below = backoff(count, x, y)
+            types = np.stack([np.bincount(context[some], minlength=len(count)) for some in (mine[told[kind][mine] == r] for r in range(1, LARGEST + 1))])
+            mass = np.bincount(context[mine], self.p[-1][shorter[mine]], len(count))
+            alpha, below = model.backoff(kind, count, types, mass)
             apart = np.flatnonzero(shared[kind - 1] & (count > 0))
-            yield self.keys[kind - 1][apart], count[apart], x[apart], y[apart]
+            asks = np.bincount(context[told[kind] == 0], minlength=len(count))[apart] > 0
+            yield self.keys[kind - 1][apart], count[apart], types[:, apart], mass[apart], asks
             for b, i in dealt(self.keys[kind - 1][apart], n_buckets):
-                row = rows[kind + 2, b]
-                alpha[apart[i]] = np.frombuffer(data["alpha"][row].as_buffer(), np.float64)
-                below[apart[i]] = count[apart[i]] + bits("own", row, len(i))
+                row, some = rows[CONTEXT + kind - 1, b], apart[i]
+                alpha[some[asks[i]]] = np.frombuffer(data["alpha"][row].as_buffer(), np.float64)
+                below[some] = count[some] + bits("own", row, len(some))
             known = told[kind] > 0
             self.p.append(np.where(known, model.discounted(kind, told[kind]) / below[context], alpha[context] * self.p[-1][shorter]))
 
 
-def backoff(count: np.ndarray, kept: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(alpha, what the context's counts are divided by)``; 1 for unknown contexts."""
-    below = np.where(count - kept > 1e-9 * count, count, count + 1.0)
-    return np.where(count > 0, (below - kept) / below / (1 - np.where(count > 0, mass, 0)), 1.0), below
+def _tell(model: Model | None, n_buckets: int, step: int):
+    """What each source sends in a step: first its words and bigrams with their counts in training texts, then its
+    trigrams with the parts of the sums of the words as contexts, last those of the bigrams."""
+
+    def run(texts: pa.Table, answers: pa.Table | None) -> pa.Table:
+        if not len(texts):
+            return arrow_table([], _SENT)
+        source, rows = Source(texts, min(step + 1, 3)), []
+        for kind in ((WORD, BIGRAM), (TRIGRAM,), ())[step - 1]:
+            rows += [(b, source.number, kind, packed(source.keys[kind][x], b, n_buckets), packed_counts(source.local[kind][x]), None, None, None) for b, x in dealt(source.keys[kind], n_buckets)]
+        if step > 1:
+            parts = source.listen(answers, model, n_buckets, step)
+            for _ in range(step - 1):
+                key, n, types, mass, asks = next(parts)
+            rows += [(b, source.number, CONTEXT + step - 2, packed(key[i], b, n_buckets), packed_counts(n[i]), packed_counts(types[:, i].ravel()), planes(mass[i]), np.packbits(asks[i]).tobytes()) for b, i in dealt(key, n_buckets)]
+        return arrow_table(rows, _SENT)
 
+    return run
 
-def _send(n_buckets: int):
-    """The distinct n-grams of each source, with their counts in training texts."""
 
+def _alone(tell: Callable[[pa.Table, pa.Table | None], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     def run(texts: pa.Table) -> pa.Table:
-        source = Source(texts)
-        return arrow_table([(b, source.number, kind, packed(source.keys[kind][x], n_buckets), packed_counts(source.local[kind][x])) for kind in ORDERS for b, x in dealt(source.keys[kind], n_buckets)], _SENT)
+        return tell(texts, None)
 
     return run
 
@@ -215,103 +266,91 @@ def _received(table: pa.Table, n_buckets: int) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(parts), np.concatenate(n), np.append(0, np.cumsum([len(k) for k in parts]))
 
 
-def _total(n_buckets: int):
-    """The total of each key of a bucket for every source that sent it, with the one that owns it, and the counts of counts."""
-
+def _totals(sent: pa.Table, kind: int, n_buckets: int, model: Model) -> Iterator[tuple]:
+    """The total of each n-gram for every source that sent it, with the one that owns it, and the counts of counts."""
+    bucket = int(sent["bucket"][0].as_py())
+    key, n, edge = _received(sent, n_buckets)
+    key, at = distinct(key)
+    total = np.bincount(at, n, len(key)).astype(np.int64)
+    begin = (BEGIN, _NOTHING[0], None)[kind]
+    counted = total if begin is None else total[key != begin]
+    yield -1, kind, bucket, b"", b"", b"", b"", [*(int((counted == r).sum()) for r in range(1, LARGEST + 2)), int((counted > 0).sum()), int(counted.sum())]
+    holder = np.full(len(key), len(at), np.int64)  # the first place that counts a key
+    counts = np.flatnonzero(n)[::-1]
+    holder[at[counts]] = counts
+    if begin is not None:
+        holder[key == begin] = len(at)
+    own, total, shared = holder[at] == np.arange(len(at)), total[at], (np.bincount(at) > 1)[at]
+    for i, source in enumerate(sent["source"].to_pylist()):
+        x = slice(edge[i], edge[i + 1])
+        yield source, kind, bucket, packed_counts(total[x]), np.packbits(own[x]).tobytes(), np.packbits(shared[x]).tobytes(), b"", None
+
+
+def _weights(sent: pa.Table, kind: int, n_buckets: int, model: Model) -> Iterator[tuple]:
+    """The weights of contexts, for every source that sent them."""
+    bucket = int(sent["bucket"][0].as_py())
+    key, n, edge = _received(sent, n_buckets)
+    key, at = distinct(key)
+    first = np.empty(len(key), np.int64)
+    first[at] = np.arange(len(at))
+    size = np.diff(edge)
+    types = np.concatenate([unpacked_counts(v.as_buffer(), LARGEST * k).reshape(LARGEST, k) for v, k in zip(sent["types"], size, strict=True)], axis=1)
+    types = np.stack([np.bincount(at, x, len(key)) for x in types])
+    mass = np.bincount(at, np.concatenate([of_planes(v.as_buffer()) for v in sent["mass"]]), len(key))
+    alpha, below = model.backoff(kind - CONTEXT + 1, n[first], types, mass)
+    alpha, more = alpha[at], (below > n[first])[at]
+    asks = [np.unpackbits(np.frombuffer(v.as_buffer(), np.uint8), count=k).astype(bool) for v, k in zip(sent["asks"], size, strict=True)]
+    for i, source in enumerate(sent["source"].to_pylist()):
+        x = slice(edge[i], edge[i + 1])
+        yield source, kind, bucket, b"", np.packbits(more[x]).tobytes(), b"", alpha[x][asks[i]].tobytes(), None
+
+
+def _answer(model: Model, n_buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        rows, bucket = [], int(table["bucket"][0].as_py())
-        for kind in ORDERS:
+        rows = []
+        for kind in sorted(set(table["kind"].to_pylist())):
             sent = table.filter(pa.compute.equal(table["kind"], kind))
-            if not len(sent):
-                continue
-            key, n, edge = _received(sent, n_buckets)
-            key, at = np.unique(key, return_inverse=True)
-            total = np.bincount(at, n, len(key)).astype(np.int64)
-            begin = (BEGIN, _NOTHING[0], None)[kind]
-            counted = total if begin is None else total[key != begin]
-            rows.append((-1, kind, bucket, b"", b"", b"", b"", [*(int((counted == r).sum()) for r in range(1, LARGEST + 2)), int((counted > 0).sum()), int(counted.sum())]))
-            holder = np.full(len(key), len(at), np.int64)  # the first place that counts a key
-            counts = np.flatnonzero(n)[::-1]
-            holder[at[counts]] = counts
-            if begin is not None:
-                holder[key == begin] = len(at)
-            own, total, shared = holder[at] == np.arange(len(at)), total[at], (np.bincount(at) > 1)[at]
-            parts = [slice(edge[i], edge[i + 1]) for i in range(len(sent))]
-            rows += [(s, kind, bucket, packed_counts(total[x]), np.packbits(own[x]).tobytes(), np.packbits(shared[x]).tobytes(), b"", None) for s, x in zip(sent["source"].to_pylist(), parts, strict=True)]
+            rows += (_totals if kind < CONTEXT else _weights)(sent, kind, n_buckets, model)
         return arrow_table(rows, _ANSWER)
 
     return run
 
 
-def _parts(model: Model, n_buckets: int, kind: int):
-    """The parts of the sums over the n-grams of order ``kind`` that a source owns, for contexts that others have too."""
-
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(texts):
-            return arrow_table([], _PART)
-        source = Source(texts)
-        for order, (key, n, x, y) in enumerate(source.listen(answers, model, n_buckets), BIGRAM):
-            if order == kind:
-                return arrow_table([(b, source.number, packed(key[i], n_buckets), packed_counts(n[i]), x[i].tobytes(), y[i].tobytes()) for b, i in dealt(key, n_buckets)], _PART)
-
-    return run
-
-
-def _weights(n_buckets: int, kind: int):
-    """The weights of a bucket's contexts, for every source that sent them."""
-
-    def run(table: pa.Table) -> pa.Table:
-        key, n, edge = _received(table, n_buckets)
-        key, first, at = np.unique(key, return_index=True, return_inverse=True)
-        x, y = (np.bincount(at, np.concatenate([np.frombuffer(v.as_buffer(), np.float64) for v in table[c]]), len(key)) for c in ("x", "y"))
-        alpha, below = backoff(n[first], x, y)
-        alpha, more = alpha[at], (below > n[first])[at]
-        bucket = int(table["bucket"][0].as_py())
-        return arrow_table([(s, kind + 2, bucket, b"", np.packbits(more[edge[i] : edge[i + 1]]).tobytes(), b"", alpha[edge[i] : edge[i + 1]].tobytes(), None) for i, s in enumerate(table["source"].to_pylist())], _ANSWER)
-
-    return run
-
-
 def _score(model: Model, n_buckets: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(texts):
             return arrow_table([], _SCORES)
         source = Source(texts)
-        for _ in source.listen(answers, model, n_buckets):
+        for _ in source.listen(answers, model, n_buckets, 4):
             pass
         each, count = source.first[:-1], source.told[WORD]
         base = np.log10((count + 1) / (model.tokens + model.types + 1))[source.at[WORD]]
         score = np.log10(source.p[TRIGRAM])[source.at[TRIGRAM]]
         columns = [np.diff(source.first), np.add.reduceat((count > 0)[source.at[WORD]].astype(np.int64), each), np.full(len(each), model.tokens), np.add.reduceat(base, each), np.add.reduceat(score, each)]
-        return pa.table([texts["doc_id"], texts["held_out"], *(pa.array(c, t) for c, (_, t) in zip(columns, _SCORES[2:], strict=True))], names=[n for n, _ in _SCORES])
+        return pa.table([source.texts["doc_id"], source.texts["held_out"], *(pa.array(c, t) for c, (_, t) in zip(columns, _SCORES[2:], strict=True))], names=[n for n, _ in _SCORES])
 
     return run
 
 
 def katz_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     """``log10`` probabilities of all texts under the model of those with another crc32 remainder."""
-    spark = docs.sparkSession
     n = max(LEAST_SOURCES, -(-text_bytes(docs) // SOURCE_BYTES))
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
-    # rows equal in id and text are spread by the input part they come from
-    source = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int")
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder == held_out).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("source", source)
-    texts = bucketed(x.repartition("source"), n, "source")
-    release(spark)
-    totals = materialized(texts.groupBy("source").applyInArrow(_send(n), SENT).groupBy("bucket").applyInArrow(_total(n), ANSWER))
-    release(spark)
-    stats = [[0] * N_STATS for _ in ORDERS]
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder == held_out).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = bucketed(x.mapInArrow(packed_sources, "source long, rows binary"), n, "source")
+    stats, answers = [[0] * N_STATS for _ in ORDERS], None
     sums = [F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(f"s{i}") for i in range(N_STATS)]
-    for row in totals.where("source < 0").groupBy("kind").agg(*sums).collect():
-        stats[row["kind"]] = list(row)[1:]
-    model = Model.of(stats)
-    answers = bucketed(totals.where("source >= 0").drop("stats").repartition("source"), n, "source")
-    dropped(totals)
-    for kind in (BIGRAM, TRIGRAM):
-        parts = texts.groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_parts(model, n, kind), PART)
-        weights = parts.groupBy("bucket").applyInArrow(_weights(n, kind), ANSWER).drop("stats")
-        more = bucketed(answers.unionByName(weights.repartition("source")), n, "source")
-        dropped(answers)
+    for step in (1, 2, 3):
+        model = Model.of(stats)
+        each, tell = texts.groupBy("source"), _tell(model, n, step)
+        sent = each.applyInArrow(_alone(tell), SENT) if answers is None else each.cogroup(answers.groupBy("source")).applyInArrow(tell, SENT)
+        told = materialized(sent.groupBy("bucket").applyInArrow(_answer(model, n), ANSWER))
+        for row in told.where("source < 0").groupBy("kind").agg(*sums).collect():
+            stats[row["kind"]] = list(row)[1:]
+        more = told.where("source >= 0").drop("stats").repartition("source")
+        more = bucketed(more if answers is None else answers.unionByName(more), n, "source")
+        dropped(told)
+        if answers is not None:
+            dropped(answers)
         answers = more
-        release(spark)
-    return texts.groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_score(model, n), SCHEMA)
+    return texts.groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_score(Model.of(stats), n), SCHEMA)

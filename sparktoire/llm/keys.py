@@ -1,7 +1,7 @@
 """Keys and counts that parts of a corpus exchange, packed.
 
-A part sends its sorted distinct 64-bit keys to the buckets of their remainders; answers come back
-in the order of the keys, so without them.
+A part sends its sorted distinct 64-bit hashes to buckets, each of which has an equal range of them;
+answers come back in the order of the keys, so without them.
 """
 
 from __future__ import annotations
@@ -12,23 +12,36 @@ import numpy as np
 import pyarrow as pa
 
 
-def dealt(key: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket and the places of its keys, in the same order every time."""
-    to = (key % np.uint64(n_buckets)).astype(np.int64)
-    by = np.argsort(to, kind="stable")
-    edge = np.searchsorted(to[by], np.arange(n_buckets + 1))
-    for b in np.flatnonzero(np.diff(edge)):
-        yield int(b), by[edge[b] : edge[b + 1]]
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(sorted distinct keys, the place of each among them)``."""
+    by = np.argsort(key)
+    key = key[by]
+    head = np.append(True, key[1:] != key[:-1])[: len(key)]
+    at = np.empty(len(key), np.int64)
+    at[by] = np.cumsum(head) - 1
+    return key[head], at
 
 
-def packed(key: np.ndarray, n_buckets: int) -> bytes:
-    """Sorted keys of a bucket: differences of their quotients, byte by byte, the zeros of the high ones together."""
-    return np.diff(key // np.uint64(n_buckets), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+def edge(bucket: int, n_buckets: int) -> int:
+    """The least key of a bucket: buckets are equal parts of all 64-bit numbers."""
+    return -(-(bucket << 64) // n_buckets)
+
+
+def dealt(key: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice]]:
+    """Each bucket of sorted keys and where they stand."""
+    at = np.searchsorted(key, np.array([edge(b, n_buckets) for b in range(n_buckets)], np.uint64))
+    at = np.append(at, len(key))
+    for b in np.flatnonzero(np.diff(at)):
+        yield int(b), slice(int(at[b]), int(at[b + 1]))
+
+
+def packed(key: np.ndarray, bucket: int, n_buckets: int) -> bytes:
+    """Sorted keys of a bucket: their differences byte by byte, the zeros of the high ones together."""
+    return planes(np.diff(key, prepend=np.uint64(edge(bucket, n_buckets))))
 
 
 def unpacked(data: pa.Buffer, bucket: int, n_buckets: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64) * np.uint64(n_buckets) + np.uint64(bucket)
+    return np.cumsum(of_planes(data).view(np.uint64), dtype=np.uint64) + np.uint64(edge(bucket, n_buckets))
 
 
 def packed_counts(n: np.ndarray) -> bytes:
@@ -44,5 +57,14 @@ def unpacked_counts(data: pa.Buffer, size: int) -> np.ndarray:
     return out
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Eight-byte numbers byte by byte: what is alike in them stands together."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def of_planes(data: pa.Buffer) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.float64).ravel()
+
+
 def arrow_table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])

@@ -37,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparktoire.llm import textbytes as tb
-from sparktoire.llm.common import bucketed, dropped, materialized, release
+from sparktoire.llm.common import bucketed, dropped, materialized
 from sparktoire.llm.copies import buckets_for, distinct_texts
-from sparktoire.llm.keys import arrow_table, dealt, packed, packed_counts, unpacked, unpacked_counts
+from sparktoire.llm.keys import arrow_table, dealt, distinct, packed, packed_counts, unpacked, unpacked_counts
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 2
@@ -74,8 +74,8 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts, ends, first = tb.words(buf, offsets)
     shingle, at = tb.shingle_hashes(tb.span_hashes(buf, starts, ends), first, SHINGLE)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    by = np.argsort(shingle, kind="stable")
-    by = by[np.argsort(doc[by], kind="stable")]
+    by = np.argsort(shingle)
+    by = by[np.argsort(doc[by].astype(np.uint16 if len(at) <= 1 << 16 else np.int64), kind="stable")]
     shingle, doc = shingle[by], doc[by]
     head = np.flatnonzero(np.append(True, (shingle[1:] != shingle[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)])
     return shingle[head], np.diff(np.append(head, len(doc))), np.searchsorted(doc[head], np.arange(len(at)))
@@ -95,10 +95,10 @@ def _send_shingles(n_buckets: int):
         n_copies = np.asarray(texts["n_copies"].combine_chunks())
         shingle = np.concatenate([x[0] for x in parts])
         each = np.repeat(n_copies, np.concatenate([np.diff(x[2]) for x in parts]))
-        key, at = np.unique(shingle, return_inverse=True)
+        key, at = distinct(shingle)
         n = np.bincount(at, each, len(key)).astype(np.int64)
         source = texts["bucket"][0].as_py()
-        return arrow_table([(b, source, packed(key[x], n_buckets), packed_counts(n[x])) for b, x in dealt(key, n_buckets)], _SENT)
+        return arrow_table([(b, source, packed(key[x], b, n_buckets), packed_counts(n[x])) for b, x in dealt(key, n_buckets)], _SENT)
 
     return run
 
@@ -116,7 +116,7 @@ def _frequencies(total: int, n_buckets: int):
         parts = [unpacked(x.as_buffer(), bucket, n_buckets) for x in table["key"]]
         n = np.concatenate([unpacked_counts(x.as_buffer(), len(k)) for x, k in zip(table["n"], parts, strict=True)])
         edge = np.append(0, np.cumsum([len(k) for k in parts]))
-        key, at = np.unique(np.concatenate(parts), return_inverse=True)
+        key, at = distinct(np.concatenate(parts))
         idf = steps_of(np.bincount(at, n, len(key)), total).astype(np.uint8)[at]
         return arrow_table([(s, bucket, idf[edge[i] : edge[i + 1]].tobytes()) for i, s in enumerate(sources)], _ANSWER)
 
@@ -131,7 +131,7 @@ def _weigh(n_buckets: int):
         if not len(texts):
             return pa.table([pa.array([], t) for t in types], names=names)
         _, parts = _own(texts)
-        key, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+        key, at = distinct(np.concatenate([x[0] for x in parts]))
         size = np.concatenate([np.diff(x[2]) for x in parts])
         told = {b: np.frombuffer(v.as_buffer(), np.uint8) for b, v in zip(answers["bucket"].to_pylist(), answers["idf"], strict=True)}
         idf = np.zeros(len(key), np.uint8)
@@ -149,10 +149,8 @@ def weighted_texts(rows: DataFrame, n_buckets: int, total: int) -> DataFrame:
     texts = rows.where(F.col("text").isNotNull()).select("bucket", "doc_id", "n_bytes", "n_copies", "text")
     sent = texts.groupBy("bucket").applyInArrow(_send_shingles(n_buckets), SENT)
     answers = materialized(sent.groupBy("bucket").applyInArrow(_frequencies(total, n_buckets), ANSWER))
-    release(rows.sparkSession)
     weighted = bucketed(texts.groupBy("bucket").cogroup(answers.groupBy("source")).applyInArrow(_weigh(n_buckets), WEIGHTED), n_buckets, "bucket")
     dropped(answers)
-    release(rows.sparkSession)
     return weighted
 
 
