@@ -1,122 +1,169 @@
-"""The three base models and the ensemble over them."""
+"""The three base models and the ensemble over them, each with its own folder when saved."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparktoire.models import base
+from sparktoire.models import base, linear, store
 from sparktoire.models.sequence_level import fit_groups, score_groups
-from sparktoire.operators import clustering, enrichment, features, metrics, splits
+from sparktoire.operators import clustering, enrichment, features
 from sparktoire.operators.clustering import BLOCK
 from sparktoire.operators.storage import written
 
-
-def _folds(df: DataFrame, k: int = 3) -> DataFrame:
-    return df.join(splits.grouped_folds(df.select("participant_label", "disease").distinct(), k).select("participant_label", "fold"), "participant_label")
+#: Mixes of the elastic nets: lasso 1, ridge 0; by locus for the repertoire model.
+MIXES = {"lasso": 1.0, "elasticnet0.75": 0.75, "elasticnet": 0.5, "elasticnet0.25": 0.25, "ridge": 0.0}
+LOCUS_MIX = {"TCR": MIXES["lasso"], "BCR": MIXES["elasticnet0.25"]}
+P_VALUES = (0.0005, 0.001, 0.005, 0.01, 0.05)
+#: What the tuning of the sequence model tries, and what it takes if nothing helps.
+TUNING = (*(("entropy_cutoff", v) for v in (0.80, 0.90, 0.95)), *(("entropy_percentile_cutoff", v) for v in (0.01, 0.05, 0.1, 0.5)))
+FALLBACK = ("entropy_percentile_cutoff", 0.01)
 
 
 class RepertoireModel(base.Model):
-    """V-J frequencies: log, scaling, principal components, scaling, and an elastic net."""
+    """V-J frequencies of each isotype: log, scaling, principal components, scaling, and an elastic net over all of them."""
 
-    def __init__(self, components: int = 15, l1_ratio: float = 1.0, n_lambda: int = 4):
-        self.components, self.l1_ratio, self.n_lambda = components, l1_ratio, n_lambda
+    def __init__(self, components: int = 15, locus: str = "TCR", n_penalties: int = linear.PENALTIES, folds: int = linear.FOLDS, rule: str = "best"):
+        self.components, self.locus, self.n_penalties, self.folds, self.rule = components, locus, n_penalties, folds, rule
 
-    def _vectors(self, df: DataFrame) -> DataFrame:
-        long = features.vj_frequencies(df).withColumn("frequency", F.log1p("frequency"))
-        return base.assembled(long, self.features)
+    def _vectors(self, df: DataFrame, isotype: str) -> DataFrame:
+        own = features.vj_frequencies(df.where(F.col("isotype_supergroup") == isotype)).withColumn("frequency", F.log1p("frequency"))
+        return base.assembled(own, self.parts[isotype]["features"])
+
+    def _transformed(self, df: DataFrame) -> DataFrame:
+        """The components of all isotypes in a row; a specimen that lacks an isotype has zeros, the mean, there."""
+        out, width = df.select("specimen_label").distinct(), []
+        for i, (isotype, part) in enumerate(sorted(self.parts.items())):
+            center, turn = linear.Scaling(np.array(part["mean"]), np.array(part["scale"])), np.array(part["components"])
+            z = linear.mapped(self._vectors(df, isotype), "specimen_label", lambda x, center=center, turn=turn: center(x) @ turn)
+            out = out.join(z.withColumnRenamed("features", f"part_{i}"), "specimen_label", "left")
+            width.append(F.coalesce(f"part_{i}", F.array_repeat(F.lit(0.0), turn.shape[1])))
+        return out.select("specimen_label", F.concat(*width).alias("features"))
 
     def fit(self, df: DataFrame) -> RepertoireModel:
-        self.classes = sorted(r[0] for r in df.select("disease").distinct().collect())
-        # V-J pairs are bounded by the genes of the locus
-        self.features = sorted(r[0] for r in features.vj_frequencies(df).select("feature").distinct().collect())
-        people = df.select("specimen_label", "participant_label", "disease").distinct()
-        x = base.balanced(base.labelled(_folds(self._vectors(df).join(people, "specimen_label")), self.classes)).cache()
-        k = max(1, min(self.components, len(self.features), x.count() - 1))
-        stages = [StandardScaler(withMean=True, inputCol="features", outputCol="scaled"), PCA(k=k, inputCol="scaled", outputCol="parts"), StandardScaler(withMean=True, inputCol="parts", outputCol="z")]
-        self.transform = Pipeline(stages=stages).fit(x)
-        z = self.transform.transform(x).select("specimen_label", "label", "row_weight", "fold", F.col("z").alias("features")).cache()
-        path = base.regularisation_path(0.3, 1e-2, self.n_lambda)
-        self.penalty = base.choose_penalty(z, self.l1_ratio, path)
-        self.model = base.fit_path(z, self.l1_ratio, [self.penalty])[0]
-        x.unpersist()
-        z.unpersist()
+        self.classes, self.parts = base.classes_of(df), {}
+        for isotype in base.classes_of(df, "isotype_supergroup"):
+            own = df.where(F.col("isotype_supergroup") == isotype)
+            # V-J pairs are bounded by the genes of the locus
+            self.parts[isotype] = {"features": sorted(r[0] for r in features.vj_frequencies(own).select("feature").distinct().collect())}
+            n, mean, covariance = linear.moments(self._vectors(df, isotype), len(self.parts[isotype]["features"]))
+            scaling = linear.Scaling.of(mean, np.diag(covariance))
+            values, vectors = np.linalg.eigh(covariance / np.outer(scaling.scale, scaling.scale))
+            k = max(1, min(self.components, len(mean), n - 1))
+            turn = vectors[:, ::-1][:, :k] / np.sqrt(np.maximum(values[::-1][:k], 1e-12))
+            turn[:, values[::-1][:k] < 1e-10] = 0
+            self.parts[isotype] |= {"mean": mean.tolist(), "scale": scaling.scale.tolist(), "components": turn.tolist()}
+        x = written(base.folded(self._transformed(df).join(base.people(df), "specimen_label"), self.folds))
+        self.model, self.choice, _ = linear.fit(x, self.classes, LOCUS_MIX[self.locus], n=self.n_penalties, rule=self.rule)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        z = self.transform.transform(self._vectors(df)).select("specimen_label", F.col("z").alias("features"))
-        return base.class_scores(self.model.transform(z), self.classes)
+        return self.model.scores(self._transformed(df))
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        store.write_json(spark, f"{folder}/model.json", {"parts": self.parts, "model": self.model.to_json(), "locus": self.locus, "components": self.components})
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> RepertoireModel:
+        x = store.read_json(spark, f"{folder}/model.json")
+        out = cls(x["components"], x["locus"])
+        out.parts, out.model = x["parts"], linear.Linear.of_json(x["model"])
+        out.classes = out.model.classes
+        return out
 
 
 class ClusterModel(base.Model):
     """Distinct convergent clusters per class, chosen by p-value; specimens without one abstain."""
 
-    def __init__(self, identity: float = 0.9, p_values: tuple[float, ...] = (0.0005, 0.001, 0.005, 0.01, 0.05), l1_ratio: float = 1.0, penalty: float = 0.01):
-        self.identity, self.p_values, self.l1_ratio, self.penalty = identity, p_values, l1_ratio, penalty
+    def __init__(self, identity: float = 0.9, p_values: tuple[float, ...] = P_VALUES, mix: str = "lasso", n_penalties: int = linear.PENALTIES, folds: int = linear.FOLDS, refit: bool = False):
+        self.identity, self.p_values, self.mix, self.n_penalties, self.folds, self.refit = identity, p_values, mix, n_penalties, folds, refit
 
     def _features(self, hits: DataFrame, p: float) -> DataFrame:
+        """``specimen_label, features`` of the specimens with a predictive cluster."""
         chosen = self.scores.where(F.col("p_value") <= p).select(*BLOCK, "cluster", "disease")
-        return enrichment.specimen_scores(hits.where("cluster IS NOT NULL").drop("disease"), chosen, hits)
+        counts = hits.where("cluster IS NOT NULL").join(chosen, [*BLOCK, "cluster"]).groupBy("specimen_label", "disease").agg(F.countDistinct(*BLOCK, "cluster").alias("n"))
+        return base.assembled(counts, self.classes, name="disease", value="n")
 
     def hits(self, df: DataFrame) -> DataFrame:
         """Every row with its nearest cluster, or null; written, as each threshold reads it."""
         return written(enrichment.assigned(df, self.centroids, self.identity).select("specimen_label", *BLOCK, "cluster"))
 
     def fit(self, df: DataFrame, second: DataFrame | None = None) -> ClusterModel:
-        """Clusters come from ``df``; the classifier and the threshold from ``second``, or ``df`` too."""
+        """Clusters come from ``df``; the classifier and the threshold from ``second``, or ``df`` too.
+
+        With ``refit`` the classifier of the best threshold is fitted again on both.
+        """
+        both = df if second is None else df.unionByName(second)
         second = df if second is None else second
-        self.classes = sorted(r[0] for r in df.select("disease").distinct().collect())
+        self.classes, keys = base.classes_of(df), [*BLOCK, "cluster"]
         clustered = written(df.join(clustering.single_linkage(df, self.identity), [*BLOCK, "cdr3"]))
-        keys = [*BLOCK, "cluster"]
-        scores = enrichment.fisher_scores(clustered, keys)
+        scores = written(enrichment.fisher_scores(clustered, keys))
         kept = enrichment.significant(scores, keys, max(self.p_values))
         self.scores = written(scores.join(kept, keys, "left_semi"))
-        self.centroids = enrichment.centroids(clustered.join(kept, keys, "left_semi")).withColumn("rank", F.col("cluster"))
-        self.centroids = written(self.centroids)
-        hits = self.hits(second)
-        people = second.select("specimen_label", "participant_label", "disease").distinct()
-        best = None
+        self.centroids = written(enrichment.centroids(clustered.join(kept, keys, "left_semi")).withColumn("rank", F.col("cluster")))
+        hits, everyone = self.hits(second), base.people(second)
+        self.best, best = None, None
         for p in self.p_values:
-            model = self._fit_one(hits, people, p)
-            if model is not None:
-                truth = people.select("specimen_label", F.col("disease").alias("true_class"))
-                scored = self._predict(hits, p, model).where("NOT abstained")
-                pairs = metrics.predicted(scored.join(truth, "specimen_label"))
-                gone = truth.join(pairs.select("specimen_label"), "specimen_label", "left_anti")
-                value = metrics.mcc_with_abstention(pairs, gone).first()[0]
-                if best is None or value > best[0]:
-                    best = value, p, model
-        self.best = best
+            found = self._fit_one(hits, everyone, p)
+            if found and (best is None or found[0] > best[0]):
+                best = found
+                self.best = {"p_value": p, "mcc": found[0], "scaling": found[1], "model": found[2]}
+        if self.refit and self.best:
+            again = self._fit_one(self.hits(both), base.people(both), self.best["p_value"])
+            self.best |= {"scaling": again[1], "model": again[2]} if again else {}
         return self
 
-    def _fit_one(self, hits: DataFrame, people: DataFrame, p: float):
-        """None where there is nothing to learn from: no cluster, one class, or no variance."""
-        long = self._features(hits, p).where("NOT abstained").select("specimen_label", F.col("disease").alias("feature"), F.col("score").cast("double").alias("frequency"))
-        x = base.balanced(base.labelled(base.assembled(long, self.classes).join(people, "specimen_label"), self.classes)).cache()
-        n = x.agg(F.countDistinct("label").alias("classes"), F.countDistinct("features").alias("rows")).first()
-        return base.fit_path(x, self.l1_ratio, [self.penalty])[0] if n["classes"] > 1 and n["rows"] > 1 else None
-
-    def _predict(self, hits: DataFrame, p: float, model) -> DataFrame:
-        found = self._features(hits, p)
-        long = found.where("NOT abstained").select("specimen_label", F.col("disease").alias("feature"), F.col("score").cast("double").alias("frequency"))
-        scored = base.class_scores(model.transform(base.assembled(long, self.classes)), self.classes)
-        return hits.select("specimen_label").distinct().join(scored, "specimen_label", "left").withColumn("abstained", F.col("score").isNull())
+    def _fit_one(self, hits: DataFrame, everyone: DataFrame, p: float) -> tuple[float, linear.Scaling, linear.Linear] | None:
+        """``(MCC out of folds with abstentions, scaling, model)``, or None where there is nothing to learn from: no
+        cluster, one class, fewer participants than folds, or no variance."""
+        x = written(base.folded(self._features(hits, p).join(everyone.where(F.col("disease").isin(self.classes)), "specimen_label"), self.folds))
+        n = x.agg(F.countDistinct("disease").alias("classes"), F.countDistinct("participant_label").alias("people"), F.countDistinct("features").alias("rows")).first()
+        if n["classes"] < 2 or n["people"] < self.folds or n["rows"] < 2:
+            return None
+        _, mean, covariance = linear.moments(x, len(self.classes))
+        scaling = linear.Scaling.of(mean, np.diag(covariance))
+        z = linear.mapped(x, "specimen_label", scaling).join(x.drop("features"), "specimen_label")
+        model, choice, rows = linear.fit(z, self.classes, MIXES[self.mix], n=self.n_penalties)
+        gone = everyone.join(x.select("specimen_label"), "specimen_label", "left_anti").count()
+        if choice is None:
+            return 0.0, scaling, model
+        scored = ~np.isnan(choice.held_out).any(1)
+        predicted = np.where(scored, np.where(scored[:, None], choice.held_out, 0).argmax(1), linear.ABSTAINED)
+        truth = np.append(rows["y"], np.zeros(gone, np.int64))
+        return linear.mcc_of(np.append(predicted, np.full(gone, linear.ABSTAINED)), truth), scaling, model
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Scores, null for specimens that abstain; without any predictive cluster all do."""
         if self.best is None:
-            return df.select("specimen_label", F.lit(None).cast("string").alias("class"), F.lit(None).cast("int").alias("class_index"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("abstained")).distinct()
-        return self._predict(self.hits(df), self.best[1], self.best[2])
+            return base.no_scores(df)
+        z = linear.mapped(self._features(self.hits(df), self.best["p_value"]), "specimen_label", self.best["scaling"])
+        scored = self.best["model"].scores(z)
+        return df.select("specimen_label").distinct().join(scored, "specimen_label", "left").withColumn("abstained", F.col("score").isNull())
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        """A model without a predictive cluster is saved as such: all abstain."""
+        best = self.best and {"p_value": self.best["p_value"], "mcc": self.best["mcc"], "mean": self.best["scaling"].mean.tolist(), "scale": self.best["scaling"].scale.tolist(), "model": self.best["model"].to_json()}
+        store.write_table(self.scores, f"{folder}/scores")
+        store.write_table(self.centroids, f"{folder}/centroids")
+        store.write_json(spark, f"{folder}/model.json", {"identity": self.identity, "mix": self.mix, "classes": self.classes, "best": best})
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> ClusterModel:
+        x = store.read_json(spark, f"{folder}/model.json")
+        out = cls(x["identity"], mix=x["mix"])
+        out.classes, best = x["classes"], x["best"]
+        out.best = best and {"p_value": best["p_value"], "mcc": best["mcc"], "scaling": linear.Scaling(np.array(best["mean"]), np.array(best["scale"])), "model": linear.Linear.of_json(best["model"])}
+        out.scores, out.centroids = (spark.read.parquet(f"{folder}/{t}") for t in ("scores", "centroids"))
+        return out
 
 
 class SequenceModel(base.Model):
     """Per-gene regressions over embeddings, aggregated per specimen, and a forest per class."""
 
-    def __init__(self, strategy: str = "entropy_percentile_cutoff", percentile: float = 0.01, fraction: float = 0.8, trees: int = 100):
-        self.strategy, self.percentile, self.fraction, self.trees = strategy, percentile, fraction, trees
+    def __init__(self, strategy: str = FALLBACK[0], setting: float = FALLBACK[1], trees: int = 100, n_penalties: int = linear.PENALTIES):
+        self.strategy, self.setting, self.trees, self.n_penalties = strategy, setting, trees, n_penalties
 
     def sequence_scores(self, df: DataFrame) -> DataFrame:
         """``p``: an array over all classes per row; a class that the gene's model lacks has 0, a gene without a model gives null."""
@@ -126,68 +173,167 @@ class SequenceModel(base.Model):
         p = F.array(*[F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(0.0)) for c in self.classes])
         return rows.select("row_id", "specimen_label", "v_gene", "weight", p.alias("p"))
 
-    def group_features(self, df: DataFrame) -> DataFrame:
-        p = self.sequence_scores(df)
+    def _group_features(self, p: DataFrame, df: DataFrame, threshold: float | None) -> DataFrame:
         n = len(self.classes)
-        x = features.aggregated(p, ["specimen_label", "v_gene"], n, self.strategy, self.fraction, self.threshold)
-        full = features.featurized(x, df, self.genes, n)
-        shares = features.group_frequencies(df, self.genes).select("specimen_label", "v_gene", "frequency")
-        return full.join(shares, ["specimen_label", "v_gene"], "left").withColumn("value", F.col("probability") * F.coalesce("frequency", F.lit(0.0)))
-
-    def fit(self, df: DataFrame) -> SequenceModel:
-        self.classes = sorted(r[0] for r in df.select("disease").distinct().collect())
-        self.genes = features.common_v_genes_by_class(df).select("v_gene").cache()
-        kept = df.join(self.genes, "v_gene", "left_semi")
-        self.models = fit_groups(kept).cache()
-        self.threshold = None
-        if self.strategy == "entropy_percentile_cutoff":
-            self.threshold = features.entropy_threshold(self.sequence_scores(kept), self.percentile)
-        self.names = sorted(r[0] for r in self.genes.collect())
-        people = df.select("specimen_label", "participant_label", "disease").distinct()
-        x = self.group_features(kept).cache()
-        self.forests = []
+        x = features.aggregated(p, ["specimen_label", "v_gene"], n, self.strategy, self.setting, threshold)
+        full = features.featurized(x, df, df.sparkSession.createDataFrame([(g,) for g in self.genes], "v_gene string"), n)
+        shares = features.group_frequencies(df, full.select("v_gene").distinct()).select("specimen_label", "v_gene", "frequency")
+        return full.join(shares, ["specimen_label", "v_gene"], "left").withColumn("frequency", F.coalesce("frequency", F.lit(0.0)))
+
+    def _columns(self, x: DataFrame, i: int, value: str) -> DataFrame:
+        return base.assembled(x.where(F.col("class_index") == i), self.genes, name="v_gene", value=value)
+
+    def _inputs(self, x: DataFrame, i: int) -> DataFrame:
+        """Scaled probabilities times shares, scaled again."""
+        first, second = self.scalings[i]
+        p, share = self._columns(x, i, "probability"), self._columns(x, i, "frequency").withColumnRenamed("features", "share")
+        scaled = linear.mapped(p, "specimen_label", first).join(share, "specimen_label")
+        product = scaled.select("specimen_label", F.zip_with("features", "share", lambda a, b: a * b).alias("features"))
+        return linear.mapped(product, "specimen_label", second) if second else product
+
+    def _fit_scores(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Stage one: the kept rows and their scores, written."""
+        self.classes = base.classes_of(df)
+        self.genes = sorted(r[0] for r in features.common_v_genes_by_class(df).select("v_gene").collect())
+        kept = df.where(F.col("v_gene").isin(self.genes))
+        self.models = written(fit_groups(kept, n=self.n_penalties))
+        return kept, written(self.sequence_scores(kept))
+
+    def _fit_forests(self, kept: DataFrame, p: DataFrame) -> SequenceModel:
+        """Stage two. With two classes there is one forest; the other class has what is left."""
+        self.threshold = features.entropy_threshold(p, self.setting) if self.strategy == "entropy_percentile_cutoff" else None
+        x, everyone = written(self._group_features(p, kept, self.threshold)), base.people(kept)
+        self.scalings, self.forests = [], []
         for i, c in enumerate(self.classes):
-            own = base.assembled(x.where(F.col("class_index") == i), self.names, name="v_gene", value="value").join(people, "specimen_label")
-            own = base.balanced(own.withColumn("label", (F.col("disease") == c).cast("double")), "label")
+            if len(self.classes) == 2 and i == 0:
+                self.scalings.append(None)
+                self.forests.append(None)
+                continue
+            _, mean, covariance = linear.moments(self._columns(x, i, "probability"), len(self.genes))
+            self.scalings.append((linear.Scaling.of(mean, np.diag(covariance)), None))
+            _, mean, covariance = linear.moments(self._inputs(x, i), len(self.genes))
+            self.scalings[i] = (self.scalings[i][0], linear.Scaling.of(mean, np.diag(covariance)))
+            own = self._inputs(x, i).join(everyone, "specimen_label").withColumn("label", (F.col("disease") == c).cast("double"))
+            counts = own.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"))
+            own = own.join(counts, "label").select("label", array_to_vector("features").alias("features"), (1000.0 / F.col("n_label")).alias("row_weight"))
             self.forests.append(RandomForestClassifier(numTrees=self.trees, seed=0, weightCol="row_weight").fit(own))
-        x.unpersist()
         return self
 
+    def fit(self, df: DataFrame) -> SequenceModel:
+        return self._fit_forests(*self._fit_scores(df))
+
     def predict(self, df: DataFrame) -> DataFrame:
-        """One score per class; they need not sum to 1."""
-        x = self.group_features(df.join(self.genes, "v_gene", "left_semi"))
+        """One score per class; with more than two classes they need not sum to 1."""
+        kept = df.where(F.col("v_gene").isin(self.genes))
+        return self._predicted(written(self._group_features(self.sequence_scores(kept), kept, self.threshold)))
+
+    def _predicted(self, x: DataFrame) -> DataFrame:
         out = None
         for i, (c, forest) in enumerate(zip(self.classes, self.forests, strict=True)):
-            own = base.assembled(x.where(F.col("class_index") == i), self.names, name="v_gene", value="value")
-            part = base.class_scores(forest.transform(own), ["rest", c]).where("class <> 'rest'").withColumn("class_index", F.lit(i))
+            if forest is None:
+                continue
+            scored = forest.transform(self._inputs(x, i).withColumn("features", array_to_vector("features")))
+            part = scored.select("specimen_label", F.lit(c).alias("class"), F.lit(i).alias("class_index"), F.element_at(vector_to_array("probability"), 2).alias("score"))
+            if len(self.classes) == 2:
+                part = part.unionByName(part.select("specimen_label", F.lit(self.classes[0]).alias("class"), F.lit(0).alias("class_index"), (1 - F.col("score")).alias("score")))
             out = part if out is None else out.unionByName(part)
         return out
 
+    def importances(self, n: int = 10) -> DataFrame:
+        """``class, v_gene, importance``: the ``n`` genes that matter most to each class's forest."""
+        spark = self.models.sparkSession
+        rows = [(c, g, float(v)) for c, f in zip(self.classes, self.forests, strict=True) if f for g, v in zip(self.genes, f.featureImportances.toArray(), strict=True)]
+        ranked = spark.createDataFrame(rows, "class string, v_gene string, importance double").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("importance", "v_gene")), asc=False).alias("all"))
+        return ranked.select("class", F.posexplode(F.slice("all", 1, n)).alias("position", "x")).select("class", (F.col("position") + 1).alias("position"), "x.v_gene", "x.importance")
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        scalings = [s and [[x.mean.tolist(), x.scale.tolist()] for x in s] for s in self.scalings]
+        store.write_table(self.models, f"{folder}/groups")
+        for i, forest in enumerate(self.forests):
+            if forest:
+                forest.write().overwrite().save(f"{folder}/forest_{i}")
+        store.write_json(spark, f"{folder}/model.json", {"strategy": self.strategy, "setting": self.setting, "trees": self.trees, "classes": self.classes, "genes": self.genes, "threshold": self.threshold, "scalings": scalings})
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> SequenceModel:
+        x = store.read_json(spark, f"{folder}/model.json")
+        out = cls(x["strategy"], x["setting"], x["trees"])
+        out.classes, out.genes, out.threshold = x["classes"], x["genes"], x["threshold"]
+        out.scalings = [s and tuple(linear.Scaling(np.array(m), np.array(v)) for m, v in s) for s in x["scalings"]]
+        out.models = spark.read.parquet(f"{folder}/groups")
+        out.forests = [s and RandomForestClassificationModel.load(f"{folder}/forest_{i}") for i, s in enumerate(out.scalings)]
+        return out
+
+
+def tuned(df: DataFrame, grid=TUNING, folds: int = 3, trees: int = 100, n_penalties: int = linear.PENALTIES) -> tuple[SequenceModel, list[tuple[str, float, float]]]:
+    """The sequence model with the strategy of the best mean MCC over participant folds, and the means.
+
+    Stage one is fitted once per fold and shared by all candidates. If none is better than chance,
+    the fallback is taken; ties go to the first of the grid.
+    """
+    x = written(base.folded(df, folds))
+    sums = dict.fromkeys(grid, 0.0)
+    for f in range(folds):
+        train, test = x.where(F.col("fold") != f).drop("fold"), x.where(F.col("fold") == f).drop("fold")
+        model = SequenceModel(trees=trees, n_penalties=n_penalties)
+        kept, p = model._fit_scores(train)
+        inner = test.where(F.col("v_gene").isin(model.genes))
+        q, truth = written(model.sequence_scores(inner)), base.people(test)
+        for candidate in grid:
+            model.strategy, model.setting = candidate
+            model._fit_forests(kept, p)
+            best = model._predicted(written(model._group_features(q, inner, model.threshold))).groupBy("specimen_label").agg(F.max_by("class", F.struct("score", -F.col("class_index"))).alias("predicted"))
+            rows = truth.join(best, "specimen_label").select("disease", "predicted").toPandas()
+            number = {c: i for i, c in enumerate(sorted({*rows["disease"], *rows["predicted"]}))}
+            sums[candidate] += linear.mcc_of(rows["predicted"].map(number).to_numpy(np.int64), rows["disease"].map(number).to_numpy(np.int64)) / folds if len(rows) else 0.0
+    best = max(grid, key=lambda c: (sums[c], -grid.index(c)))
+    strategy, setting = best if sums[best] > 0 else FALLBACK
+    return SequenceModel(strategy, setting, trees, n_penalties).fit(df), [(*c, v) for c, v in sums.items()]
+
 
 class Ensemble(base.Model):
-    """A ridge regression over the base models' scores; specimens with a gap are left out."""
+    """A ridge regression over the base models' scores, its penalty chosen by MCC; specimens with a gap are left out."""
 
-    def __init__(self, penalty: float = 0.01):
-        self.penalty = penalty
+    def __init__(self, n_penalties: int = linear.PENALTIES, folds: int = linear.FOLDS):
+        self.n_penalties, self.folds = n_penalties, folds
 
     def _vectors(self, df: DataFrame) -> DataFrame:
-        return base.assembled(df.withColumn("feature", F.concat_ws(":", F.col("model").cast("string"), "class")), self.names, value="score")
+        named = df.withColumn("feature", F.concat_ws(":", F.col("model").cast("string"), "class"))
+        gaps = named.groupBy("specimen_label").agg(F.max(F.col("score").isNull()).alias("gap")).where("NOT gap").select("specimen_label")
+        return base.assembled(named.join(gaps, "specimen_label", "left_semi"), self.names, value="score")
 
     def fit(self, df: DataFrame) -> Ensemble:
-        """``df``: ``specimen_label, model, class, score, disease``, without nulls."""
-        self.classes = sorted(r[0] for r in df.select("disease").distinct().collect())
-        named = df.select(F.concat_ws(":", F.col("model").cast("string"), "class").alias("f")).distinct()
-        self.names = sorted(r[0] for r in named.collect())
-        labels = df.select("specimen_label", "disease").distinct()
-        x = base.balanced(base.labelled(self._vectors(df).join(labels, "specimen_label"), self.classes))
-        scaler = StandardScaler(withMean=True, inputCol="features", outputCol="z").fit(x)
-        self.scaler, z = scaler, scaler.transform(x).drop("features").withColumnRenamed("z", "features")
-        self.model = base.fit_path(z, 0.0, [self.penalty])[0]
+        """``df``: ``specimen_label, participant_label, model, class, score, disease``."""
+        self.classes = base.classes_of(df)
+        self.names = sorted(r[0] for r in df.select(F.concat_ws(":", F.col("model").cast("string"), "class").alias("f")).distinct().collect())
+        x = written(base.folded(self._vectors(df).join(base.people(df), "specimen_label"), self.folds))
+        _, mean, covariance = linear.moments(x, len(self.names))
+        self.scaling = linear.Scaling.of(mean, np.diag(covariance))
+        z = linear.mapped(x, "specimen_label", self.scaling).join(x.drop("features"), "specimen_label")
+        self.model, self.choice, _ = linear.fit(z, self.classes, MIXES["ridge"], score=linear.mcc, n=self.n_penalties)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        z = self.scaler.transform(self._vectors(df)).select("specimen_label", F.col("z").alias("features"))
-        return base.class_scores(self.model.transform(z), self.classes)
+        return self.model.scores(linear.mapped(self._vectors(df), "specimen_label", self.scaling))
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        store.write_json(spark, f"{folder}/model.json", {"names": self.names, "model": self.model.to_json(), "mean": self.scaling.mean.tolist(), "scale": self.scaling.scale.tolist()})
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Ensemble:
+        x = store.read_json(spark, f"{folder}/model.json")
+        out = cls()
+        out.names, out.model, out.scaling = x["names"], linear.Linear.of_json(x["model"]), linear.Scaling(np.array(x["mean"]), np.array(x["scale"]))
+        out.classes = out.model.classes
+        return out
+
+
+KINDS = {"model1": RepertoireModel, "model2": ClusterModel, "model3": SequenceModel, "ensemble": Ensemble}
+
+
+def load_model(spark: SparkSession, root: str, kind: str) -> base.Model:
+    """A saved model, from ``root`` or its folder of that kind."""
+    return KINDS[kind].load(spark, store.model_folder(spark, root, kind))
 
 
 def embedded(df: DataFrame, text: str = "cdr3", size: int = 32) -> DataFrame:
@@ -197,7 +343,3 @@ def embedded(df: DataFrame, text: str = "cdr3", size: int = 32) -> DataFrame:
     bins = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(size)))
     counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(bins, lambda b: b == i)).cast("float") / F.greatest(F.size(grams), F.lit(1)))
     return df.withColumn("embedding", counts.cast("array<float>"))
-
-
-def to_vector(df: DataFrame, column: str = "embedding") -> DataFrame:
-    return df.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))

@@ -20,20 +20,18 @@ def vj_frequencies(df: DataFrame, specimen: str = "specimen_label") -> DataFrame
 
 
 def aligned(frequencies: DataFrame, train_features: DataFrame, specimen: str = "specimen_label") -> DataFrame:
-    """Every specimen with every training feature: unseen ones go, missing ones are 0, rows sum to 1 again."""
-    seen = frequencies.join(train_features.select("feature"), "feature", "left_semi").select(specimen, "feature", "frequency")
-    # the grid of specimens and features is the result itself
-    grid = frequencies.select(specimen).distinct().crossJoin(train_features.select("feature").distinct())
-    full = grid.join(seen, [specimen, "feature"], "left").withColumn("frequency", F.coalesce("frequency", F.lit(0.0)))
-    return full.withColumn("frequency", F.coalesce(share(F.col("frequency"), specimen), F.lit(0.0)))
+    """The cells of the matrix of specimens by training features that aren't 0: unseen features go, rows sum to 1 again."""
+    seen = frequencies.join(train_features.select("feature").distinct(), "feature", "left_semi").select(specimen, "feature", "frequency")
+    return seen.withColumn("frequency", share(F.col("frequency"), specimen))
 
 
 def pivoted(long: DataFrame, features: list[str], specimen: str = "specimen_label") -> DataFrame:
     return long.groupBy(specimen).pivot("feature", features).agg(F.first("frequency")).na.fill(0.0)
 
 
-def zero_rows(long: DataFrame, specimen: str = "specimen_label") -> DataFrame:
-    return long.groupBy(specimen).agg(F.sum("frequency").alias("total")).where("total = 0").select(specimen)
+def zero_rows(cells: DataFrame, specimens: DataFrame, specimen: str = "specimen_label") -> DataFrame:
+    """Specimens without any cell."""
+    return specimens.select(specimen).distinct().join(cells, specimen, "left_anti")
 
 
 def common_v_genes(df: DataFrame, quantile: float = 0.5) -> DataFrame:

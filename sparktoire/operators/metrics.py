@@ -46,7 +46,11 @@ def mcc(pairs: DataFrame) -> DataFrame:
     return m.crossJoin(c).select(F.coalesce((F.col("c") * F.col("s") - F.col("tp")) / F.nullif(below, F.lit(0.0)), F.lit(0.0)).alias("mcc"))
 
 
-def mcc_with_abstention(pairs: DataFrame, abstained: DataFrame, label: str = "UNKNOWN99") -> DataFrame:
+#: Fixed value: the class that abstained specimens are predicted as; no specimen has it.
+ABSTAINED = "UNKNOWN99"
+
+
+def mcc_with_abstention(pairs: DataFrame, abstained: DataFrame, label: str = ABSTAINED) -> DataFrame:
     """Abstained specimens are predicted as a class that no specimen has."""
     return mcc(pairs.select("true_class", "predicted_class").unionByName(abstained.select("true_class", F.lit(label).alias("predicted_class"))))
 
@@ -66,11 +70,11 @@ def class_report(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def auroc(df: DataFrame, keys: list[str], positive: str = "y", score: str = "score") -> DataFrame:
     """Area under the ROC curve of each key by average ranks; null with one class only."""
-    window = Window.partitionBy(*keys).orderBy(score) if keys else Window.orderBy(score)
-    same = Window.partitionBy(*keys, score)
-    rank = F.rank().over(window) + (F.count("*").over(same) - 1) / 2
     y = F.col(positive)
-    sums = df.withColumn("__rank", rank).groupBy(*keys).agg(F.sum(F.when(y == 1, F.col("__rank"))).alias("r"), F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
+    points = df.groupBy(*keys, score).agg(F.sum(y).alias("p"), F.count(F.lit(1)).alias("m"))
+    window = Window.partitionBy(*keys).orderBy(score)
+    rank = F.sum("m").over(window) - (F.col("m") - 1) / 2
+    sums = points.withColumn("__rank", rank).groupBy(*keys).agg(F.sum(F.when(F.col("p") > 0, F.col("p") * F.col("__rank"))).alias("r"), F.sum("p").alias("p"), F.sum(F.col("m") - F.col("p")).alias("n"))
     return sums.select(*keys, ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * F.col("n"), F.lit(0))).alias("auroc"))
 
 
@@ -87,6 +91,20 @@ def auprc(df: DataFrame, keys: list[str], positive: str = "y", score: str = "sco
     return x.groupBy(*keys).agg(F.sum(F.col("here") / F.nullif(F.col("positives"), F.lit(0)) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("auprc"))
 
 
+def at_threshold(df: DataFrame, keys: list[str], threshold: float = 0.5, positive: str = "y", score: str = "score") -> DataFrame:
+    """Sensitivity and specificity of each key if scores from a threshold on are positive; null where a class is missing."""
+    hit, y = F.col(score) >= threshold, F.col(positive) == 1
+    return df.groupBy(*keys).agg((F.count_if(hit & y) / F.nullif(F.count_if(y), F.lit(0))).alias("sensitivity"), (F.count_if(~hit & ~y) / F.nullif(F.count_if(~y), F.lit(0))).alias("specificity"))
+
+
+def with_all_classes(scores: DataFrame) -> DataFrame:
+    """Scores of 0 for true classes that have no scores of their own."""
+    missing = scores.select(F.col("true_class").alias("class")).distinct().join(scores.select("class").distinct(), "class", "left_anti")
+    specimens = scores.drop("class", "class_index", "score").distinct()
+    more = specimens.join(F.broadcast(missing), F.lit(True)).withColumns({"class_index": F.lit(None).cast("int"), "score": F.lit(0.0)})
+    return scores.unionByName(more, allowMissingColumns=True)
+
+
 def curves(df: DataFrame, keys: list[str]) -> DataFrame:
     """Points of the ROC and precision-recall curves; keys that lack a class are skipped."""
     x = cumulative(df, keys).where("positives > 0 AND negatives > 0")

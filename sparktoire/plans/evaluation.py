@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sparktoire.functions import expressions as X
 from sparktoire.operators import metrics, predictions, selection, splits
+from sparktoire.operators.storage import written
 from sparktoire.plans.base import WITH, metadata, query
 
 # ---- splits -----------------------------------------------------------------------------------
@@ -21,14 +22,23 @@ def v01(spark, d):
     return splits.split_roles(metadata(spark, d), "cv_ensemble", fold=0)
 
 
-@query("v02_contexts", "SELECT * FROM (VALUES ('cv_single_model', 'test'), ('cv_single_model', 'train_smaller1'), ('cv_single_model', 'train_smaller2'), ('cv_ensemble', 'test'), ('cv_ensemble', 'validation'), ('cv_ensemble', 'train_smaller1'), ('cv_ensemble', 'train_smaller2'), ('train_all', 'train_smaller1'), ('train_all', 'train_smaller2'), ('train_all_ensemble', 'validation'), ('train_all_ensemble', 'train_smaller1'), ('train_all_ensemble', 'train_smaller2')) t(context, split_role)")
+_SHARES = "p AS (SELECT DISTINCT participant_label, disease, CV_fold = 0 AS held FROM meta), c AS (SELECT unnest(['cv_single_model', 'cv_ensemble', 'train_all', 'train_all_ensemble']) AS context, unnest([true, true, false, false]) AS folded, unnest([false, true, false, true]) AS valid), x AS (SELECT context, valid, p.disease, held AND folded AS test, p.participant_label FROM c CROSS JOIN p), v AS (SELECT *, NOT test AND valid AND row_number() OVER (PARTITION BY context, disease, test ORDER BY md5(participant_label || '#0'), participant_label) * 3 <= count(*) OVER (PARTITION BY context, disease, test) AS val FROM x), t AS (SELECT *, row_number() OVER (PARTITION BY context, disease, test, val ORDER BY md5(participant_label || '#1'), participant_label) * 3 <= count(*) OVER (PARTITION BY context, disease, test, val) * 2 AS small1 FROM v)"
+
+
+@query("v02_contexts", WITH + f", {_SHARES} SELECT context, CASE WHEN test THEN 'test' WHEN val THEN 'validation' WHEN small1 THEN 'train_smaller1' ELSE 'train_smaller2' END AS split_role, count(*) AS n FROM t GROUP BY ALL")
 def v02(spark, d):
-    return spark.createDataFrame([(c, r) for c, (roles, _) in splits.CONTEXTS.items() for r in roles], "context string, split_role string")
+    """The participants of each role of each context."""
+    x, out = written(metadata(spark, d)), None
+    for context, (_, folded) in splits.CONTEXTS.items():
+        part = splits.split_roles(x, context, 0 if folded else None).groupBy("split_role").agg(F.count(F.lit(1)).alias("n")).select(F.lit(context).alias("context"), "split_role", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@query("v03_too_few_participants", WITH + "SELECT disease, count(DISTINCT participant_label) AS n FROM meta WHERE participant_label < 'P12' GROUP BY 1 HAVING count(DISTINCT participant_label) < 3")
+@query("v03_too_few_participants", WITH + "SELECT disease || '-' || substr(participant_label, 1, 4) AS disease, count(DISTINCT participant_label) AS n FROM meta GROUP BY 1 HAVING count(DISTINCT participant_label) < 3")
 def v03(spark, d):
-    return splits.too_few(metadata(spark, d).where("participant_label < 'P12'"), "cv_ensemble")
+    """Strata of disease and the label's beginning that are too small."""
+    return splits.too_few(metadata(spark, d).withColumn("disease", F.concat_ws("-", "disease", F.substring("participant_label", 1, 4))), "cv_ensemble")
 
 
 @query("v04_grouped_folds", WITH + "SELECT participant_label, disease, CAST((row_number() OVER (PARTITION BY disease ORDER BY md5(participant_label || '#0'), participant_label) - 1) % 5 AS INT) AS fold FROM (SELECT DISTINCT participant_label, disease FROM meta)")
@@ -179,6 +189,25 @@ def e09(spark, d):
     return x.withColumns({c: F.round(c, 9) for c in ("threshold", "sensitivity", "specificity")})
 
 
+@query("e09_at_half", WITH + f", {_SCORES} SELECT class, round(count(*) FILTER (WHERE class = true_class AND score >= 0.5) / count(*) FILTER (WHERE class = true_class), 9) AS sensitivity, round(count(*) FILTER (WHERE class <> true_class AND score < 0.5) / count(*) FILTER (WHERE class <> true_class), 9) AS specificity FROM sc GROUP BY 1")
+def e09_half(spark, d):
+    x = metrics.at_threshold(metrics.one_vs_rest(_scores(spark, d)[0]), ["class"])
+    return x.withColumns({c: F.round(c, 9) for c in ("sensitivity", "specificity")})
+
+
+@query("e04_missing_class", WITH + f", {_SCORES}, part AS (SELECT * FROM sc WHERE class <> 'MACHINERY'), full_sc AS (SELECT class, true_class, score FROM part UNION ALL SELECT 'MACHINERY', true_class, 0.0 FROM (SELECT DISTINCT specimen_label, true_class, CV_fold FROM part)), r AS (SELECT class, true_class = class AS y, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2 AS rk FROM full_sc), s AS (SELECT class, sum(rk) FILTER (WHERE y) AS r, CAST(count(*) FILTER (WHERE y) AS DOUBLE) AS p, count(*) FILTER (WHERE NOT y) AS n FROM r GROUP BY 1) SELECT class, round((r - p * (p + 1) / 2) / (p * n), 9) AS auroc FROM s")
+def e04_missing(spark, d):
+    """A class without scores is like one that always scores 0."""
+    x = metrics.with_all_classes(_scores(spark, d)[0].where("class <> 'MACHINERY'"))
+    return metrics.auroc(metrics.one_vs_rest(x), ["class"]).withColumn("auroc", F.round("auroc", 9))
+
+
+@query("e05_auprc_multiclass", WITH + f", {_SCORES}, pr1 AS (SELECT class, '' AS other, score, CAST(class = true_class AS INT) AS y FROM sc), pr2 AS (SELECT s.class, o.class AS other, s.score, 1 AS y FROM sc s JOIN (SELECT DISTINCT class FROM sc) o ON o.class <> s.class WHERE s.class = s.true_class UNION ALL SELECT class, true_class, score, 0 FROM sc WHERE class <> true_class), pts AS (SELECT class, other, score, sum(y) AS p, count(*) AS m FROM (FROM pr1 UNION ALL FROM pr2) GROUP BY ALL), cum AS (SELECT *, sum(p) OVER w AS tp, sum(m) OVER w AS seen, sum(p) OVER (PARTITION BY class, other) AS np FROM pts WINDOW w AS (PARTITION BY class, other ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), ap AS (SELECT class, other, sum(p / np * tp / seen) AS v FROM cum GROUP BY ALL), sup AS (SELECT class, count(*) AS n FROM sc WHERE class = true_class GROUP BY 1), duo AS (SELECT least(class, other) AS a, greatest(class, other) AS b, avg(v) AS v FROM ap WHERE other <> '' GROUP BY ALL), dw AS (SELECT v, x.n + y.n AS w FROM duo JOIN sup x ON x.class = a JOIN sup y ON y.class = b) SELECT round((SELECT avg(v) FROM ap WHERE other = ''), 9) AS ovr_macro, round((SELECT sum(v * n) / sum(n) FROM ap JOIN sup USING (class) WHERE other = ''), 9) AS ovr_weighted, round((SELECT avg(v) FROM dw), 9) AS ovo_macro, round((SELECT sum(v * w) / sum(w) FROM dw), 9) AS ovo_weighted")
+def e05_multi(spark, d):
+    x = metrics.multiclass(_scores(spark, d)[0], metrics.auprc, "auprc")
+    return x.withColumns({c: F.round(c, 9) for c in x.columns})
+
+
 @query("e10_abstention_by_class", WITH + f", {_SCORES} SELECT true_class, count(*) AS n_abstained FROM ab GROUP BY 1")
 def e10(spark, d):
     return _scores(spark, d)[1].groupBy("true_class").agg(F.count("*").alias("n_abstained"))
@@ -211,6 +240,15 @@ def a24(spark, d):
     return _pairs(spark, d).join(folds, "specimen_label").groupBy("true_class", "predicted_class").agg(F.count("*").alias("n"), F.countDistinct("CV_fold").alias("n_folds"))
 
 
+@query("a24_pooled_areas", WITH + f", {_SCORES}, {_OVR}, {_AP}, ap AS (SELECT class, sum(p / np * tp / seen) AS v FROM cum GROUP BY 1) SELECT (SELECT count(DISTINCT CV_fold) FROM sc) AS n_folds, (SELECT count(*) FROM ab) AS n_abstained, round((SELECT avg(auroc) FROM ovr), 9) AS auroc, round((SELECT avg(v) FROM ap), 9) AS auprc")
+def a24_areas(spark, d):
+    """Areas over the scores of all folds together, with the specimens that no fold's model scored."""
+    x, abstained = _scores(spark, d)
+    one = metrics.one_vs_rest(x)
+    areas = metrics.auroc(one, ["class"]).agg(F.round(F.avg("auroc"), 9).alias("auroc")).crossJoin(metrics.auprc(one, ["class"]).agg(F.round(F.avg("auprc"), 9).alias("auprc")))
+    return x.agg(F.countDistinct("CV_fold").alias("n_folds")).crossJoin(abstained.agg(F.count(F.lit(1)).alias("n_abstained"))).crossJoin(areas)
+
+
 @query("w03_running_weights", WITH + f", {_SCORES} SELECT specimen_label, class, round(sum(score) OVER (PARTITION BY specimen_label ORDER BY score, class_index ROWS UNBOUNDED PRECEDING) / sum(score) OVER (PARTITION BY specimen_label), 9) AS running FROM sc")
 def w03(spark, d):
     whole = Window.partitionBy("specimen_label")
@@ -248,7 +286,7 @@ def _models(spark, d) -> DataFrame:
 
 
 def _strategy(name: str, strategy: str, value: str):
-    @query(name, WITH + f", {_SCORES}, {_MODELS}, f AS (SELECT specimen_label, model, class, {value} AS score FROM ms) SELECT specimen_label, model, class, round(score, 9) AS score FROM f WHERE specimen_label NOT IN (SELECT specimen_label FROM f WHERE score IS NULL)")
+    @query(name, WITH + f", {_SCORES}, {_MODELS}, f AS (SELECT specimen_label, model, class, {value} AS score FROM ms) SELECT f.specimen_label, model, class, round(score, 9) AS score FROM f ANTI JOIN (SELECT DISTINCT specimen_label FROM f WHERE score IS NULL) g USING (specimen_label)")
     def run(spark, d):
         return predictions.meta_features(_models(spark, d), strategy).withColumn("score", F.round("score", 9))
 
@@ -257,7 +295,7 @@ _strategy("m10_features_abstain", "ensemble_abstain", "score")
 _strategy("m10_features_half", "fill_0.5", "CASE WHEN model = 2 THEN coalesce(score, 0.5) ELSE score END")
 _strategy("m10_features_mean", "fill_models13_mean", "CASE WHEN model = 2 THEN coalesce(score, avg(CASE WHEN model <> 2 THEN score END) OVER (PARTITION BY specimen_label, class)) ELSE score END")
 
-_NAMES = [f"TCR:model{m}:{c}" for m in (1, 2) for c in ("BUILDING", "MACHINERY")]
+_NAMES = [f"TCR:model{m}:{c}" for m in (1, 2, 3) for c in CLASSES]
 
 
 @query("m11_raw_matrix", WITH + f", {_SCORES}, {_MODELS} SELECT specimen_label, " + ", ".join(f"round(max(score) FILTER (WHERE model = {n[9]} AND class = '{n[11:]}'), 9) AS \"{n}\"" for n in _NAMES) + " FROM ms GROUP BY 1")

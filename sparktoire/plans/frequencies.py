@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from sparktoire.functions import expressions as X
 from sparktoire.models.sequence_level import score_groups
 from sparktoire.operators import features, metrics
+from sparktoire.operators.storage import written
 from sparktoire.plans.base import WITH, downsampled, metadata, query, table
 
 _VJ = "vj AS (SELECT specimen_label, isotype_supergroup, v_gene || '|' || j_gene || ':TCRB' AS feature, count(*) AS n FROM down GROUP BY ALL), freq AS (SELECT *, n / sum(n) OVER (PARTITION BY specimen_label, isotype_supergroup) AS frequency FROM vj)"
@@ -17,23 +18,25 @@ def a05(spark, d):
     return features.vj_frequencies(downsampled(spark, d)).withColumn("frequency", F.round("frequency", 9))
 
 
-_TRAIN = "train AS (SELECT DISTINCT feature FROM freq JOIN (SELECT DISTINCT specimen_label, CV_fold FROM meta) USING (specimen_label) WHERE CV_fold <> 0 AND feature < 'TRBV2'), grid AS (SELECT s.specimen_label, t.feature FROM (SELECT DISTINCT specimen_label FROM freq JOIN meta USING (specimen_label) WHERE CV_fold = 0) s, train t), cell AS (SELECT g.*, coalesce(f.frequency, 0) AS f FROM grid g LEFT JOIN freq f USING (specimen_label, feature)), mat AS (SELECT specimen_label, feature, coalesce(f / nullif(sum(f) OVER (PARTITION BY specimen_label), 0), 0) AS frequency FROM cell)"
+_TRAIN = "train AS (SELECT DISTINCT feature FROM freq JOIN (SELECT DISTINCT specimen_label, CV_fold FROM meta) USING (specimen_label) WHERE CV_fold <> 0), tested AS (SELECT DISTINCT specimen_label FROM freq JOIN meta USING (specimen_label) WHERE CV_fold = 0), cell AS (SELECT specimen_label, feature, frequency AS f FROM freq JOIN tested USING (specimen_label) JOIN train USING (feature)), mat AS (SELECT specimen_label, feature, f / sum(f) OVER (PARTITION BY specimen_label) AS frequency FROM cell)"
 
 
-def _matrix(spark, d) -> DataFrame:
-    x = downsampled(spark, d)
-    train = features.vj_frequencies(x.where("CV_fold <> 0")).where("feature < 'TRBV2'").select("feature").distinct()
-    return features.aligned(features.vj_frequencies(x.where("CV_fold = 0")), train)
+def _matrix(spark, d, trained: str = "CV_fold <> 0") -> tuple[DataFrame, DataFrame]:
+    """The cells of the test specimens, and the specimens."""
+    x = written(downsampled(spark, d).select("specimen_label", "disease", "CV_fold", "v_gene", "j_gene", "isotype_supergroup"))
+    train, test = features.vj_frequencies(x.where(trained)), features.vj_frequencies(x.where("CV_fold = 0"))
+    return features.aligned(test, train), test.select("specimen_label").distinct()
 
 
 @query("a06_aligned_matrix", WITH + f", {_VJ}, {_TRAIN} SELECT specimen_label, feature, round(frequency, 9) AS frequency FROM mat")
 def a06(spark, d):
-    return _matrix(spark, d).withColumn("frequency", F.round("frequency", 9))
+    return _matrix(spark, d)[0].withColumn("frequency", F.round("frequency", 9))
 
 
-@query("a28_zero_rows", WITH + f", {_VJ}, {_TRAIN} SELECT specimen_label FROM mat GROUP BY 1 HAVING sum(frequency) = 0")
+@query("a28_zero_rows", WITH + f", {_VJ}, " + _TRAIN.replace("JOIN (SELECT DISTINCT specimen_label, CV_fold FROM meta) USING (specimen_label) WHERE CV_fold <> 0", "JOIN meta USING (specimen_label) WHERE CV_fold = 1 AND disease = 'BUILDING'") + " SELECT specimen_label FROM tested ANTI JOIN mat USING (specimen_label)")
 def a28(spark, d):
-    return features.zero_rows(_matrix(spark, d))
+    """Specimens of the test fold without a feature of one class's specimens of another fold."""
+    return features.zero_rows(*_matrix(spark, d, "CV_fold = 1 AND disease = 'BUILDING'"))
 
 
 @query("a07_common_genes", WITH + ", c AS (SELECT v_gene, count(*) AS n FROM down GROUP BY 1) SELECT v_gene, n FROM c WHERE n >= (SELECT median(n) FROM c)")
@@ -120,10 +123,10 @@ def a13_median(spark, d):
     return x.withColumn("probability", F.round("probability", 6))
 
 
-@query("a14_featurized", f"WITH {_P}, k AS (SELECT *, h < CAST(0.8 AS DOUBLE) * ln(3.0) AS ok FROM each WHERE vec_id % 3 = 0), a AS (SELECT specimen_label, v_gene, class_index, {_MEAN} AS probability, count(*) FILTER (WHERE ok) AS n_survived FROM k GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT specimen_label FROM prob), (SELECT DISTINCT v_gene FROM prob), (SELECT unnest([0, 1, 2]) AS class_index)) SELECT specimen_label, v_gene, class_index, round(coalesce(probability, 1.0 / 3), 6) AS probability, coalesce(n_survived, 0) AS n_survived FROM g LEFT JOIN a USING (specimen_label, v_gene, class_index)")
+@query("a14_featurized", f"WITH {_P}, k AS (SELECT *, h < CAST(0.8 AS DOUBLE) * ln(3.0) AS ok FROM each), a AS (SELECT specimen_label, v_gene, class_index, {_MEAN} AS probability, count(*) FILTER (WHERE ok) AS n_survived FROM k GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT specimen_label FROM prob), (SELECT DISTINCT v_gene FROM prob), (SELECT unnest([0, 1, 2]) AS class_index)) SELECT specimen_label, v_gene, class_index, round(coalesce(probability, 1.0 / 3), 6) AS probability, coalesce(n_survived, 0) AS n_survived FROM g LEFT JOIN a USING (specimen_label, v_gene, class_index)")
 def a14(spark, d):
     p = _probabilities(spark, d)
-    x = features.featurized(features.aggregated(p.where("vec_id % 3 = 0"), ["specimen_label", "v_gene"], 3), p, p, 3)
+    x = features.featurized(features.aggregated(p, ["specimen_label", "v_gene"], 3), p, p, 3)
     return x.withColumn("probability", F.round("probability", 6))
 
 

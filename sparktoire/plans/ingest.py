@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sparktoire.functions import expressions as X
 from sparktoire.operators import cleaning, predictions, selection, splits
+from sparktoire.operators.storage import shared_folder, write_text, written
 from sparktoire.plans.base import WITH, cleaned, downsampled, metadata, query, repertoire, sequences, table
+from sparktoire.sources import repertoires
 
 # ---- projections and predicates ---------------------------------------------------------------
 
@@ -176,7 +180,14 @@ def s01(spark, d):
 
 @query("s02_participant_raw", WITH + "SELECT ord, repertoire_id, v_call, j_call, cdr3_aa FROM rep WHERE participant_label = 'P7'")
 def s02(spark, d):
-    return repertoire(spark, d).where("participant_label = 'P7'").select("ord", "repertoire_id", "v_call", "j_call", "cdr3_aa")
+    """Read from the participants' own files."""
+    columns = ["repertoire_id", "v_call", "j_call", "cdr3_aa", "clone_id"]
+    x = repertoire(spark, d).select("participant_label", *columns[:-1], F.col("ord").alias("clone_id"))
+    folder = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    for name in ("P7", "P8"):
+        text = "\n".join("\t".join("" if v is None else v for v in r) for r in [columns, *x.where(F.col("participant_label") == name).select(*columns).collect()])
+        write_text(spark, f"{folder}/part_table_{name}.tsv", text + "\n")
+    return repertoires.read_sequences(spark, folder, participants=["P7"]).where("participant_label = 'P7'").select(F.col("clone_id").alias("ord"), *columns[:-1])
 
 
 @query("s03_stages", WITH + "SELECT 'raw' AS stage, count(*) AS n FROM rep UNION ALL SELECT 'clean', count(*) FROM clean UNION ALL SELECT 'downsampled', count(*) FROM down")
@@ -203,45 +214,55 @@ def s06(spark, d):
 
 @query("s10_split_check", WITH + ", s AS (SELECT DISTINCT participant_label FROM meta WHERE CV_fold < 2) SELECT DISTINCT participant_label, 'missing' AS status FROM meta WHERE participant_label NOT IN (SELECT participant_label FROM s)")
 def s10(spark, d):
-    x = metadata(spark, d).select("participant_label", "CV_fold").distinct()
-    return x.join(x.where("CV_fold < 2"), "participant_label", "left_anti").select("participant_label", F.lit("missing").alias("status"))
+    """Splits that lack a fold's participants are found out and made again."""
+    x, path = metadata(spark, d), f"{shared_folder(spark)}/splits/{uuid.uuid4().hex}"
+    old, _ = repertoires.checked_splits(spark, path, x.where("CV_fold < 2"), fold=0)
+    old = written(old)
+    new, made = repertoires.checked_splits(spark, path, x, fold=0)
+    if not made or repertoires.checked_splits(spark, path, x, fold=0)[1]:
+        raise AssertionError("splits are made again exactly if they don't fit")
+    return repertoires.completeness(new, old).select("participant_label", F.lit("missing").alias("status"))
 
 
 @query("s11_gene_reference", "SELECT DISTINCT p_brand AS v_call, nullif(upper(p_brand), '') AS fwr1_aa FROM part")
 def s11(spark, d):
-    return table(spark, d, "part").select(F.col("p_brand").alias("v_call"), X.clean_reference(F.col("p_brand")).alias("fwr1_aa")).distinct()
+    brand = table(spark, d, "part").select(F.col("p_brand").alias("v_call"), *(F.col("p_brand").alias(c) for c in ("fwr1_aa", "cdr1_aa", "fwr2_aa", "cdr2_aa", "fwr3_aa"))).distinct()
+    path = f"{shared_folder(spark)}/references/{uuid.uuid4().hex}"
+    brand.write.option("sep", "\t").option("header", True).csv(path)
+    return repertoires.read_gene_reference(spark, path).select("v_call", X.clean_reference(F.col("fwr1_aa")).alias("fwr1_aa"))
 
 
 @query("s12_embedding_checks", "SELECT count(*) AS n, count(*) FILTER (WHERE len(embedding) = 64) AS n_sized, count(*) FILTER (WHERE len(list_filter(embedding, lambda x: isnan(x))) = 0) AS n_finite FROM embeddings")
 def s12(spark, d):
+    repertoires.check_embeddings(table(spark, d, "embeddings"), 64)
     finite = F.forall("embedding", lambda x: ~F.isnan(x))
     return table(spark, d, "embeddings").agg(F.count("*").alias("n"), F.count_if(F.size("embedding") == 64).alias("n_sized"), F.count_if(finite).alias("n_finite"))
 
 
 @query("s13_embedding_completeness", "SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def s13(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left_anti").select("doc_id")
+    return repertoires.completeness(table(spark, d, "documents"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
 @query("s17_subset", WITH + "SELECT ord, participant_label FROM rep WHERE participant_label IN (SELECT participant_label FROM meta WHERE CV_fold = 0 AND disease = 'BUILDING')")
 def s17(spark, d):
     people = metadata(spark, d).where("CV_fold = 0 AND disease = 'BUILDING'").select("participant_label").distinct()
-    return repertoire(spark, d).join(people, "participant_label", "left_semi").select("ord", "participant_label")
+    kept = repertoires.write_subset(repertoire(spark, d).select("ord", "participant_label"), people, f"{shared_folder(spark)}/subsets/{uuid.uuid4().hex}")
+    return kept.select("ord", "participant_label")
 
 
 @query("s18_merged_sources", WITH + "SELECT specimen_label, participant_label, disease, 'a' AS origin, NULL::INT AS CV_fold FROM meta WHERE CV_fold = 0 UNION ALL SELECT specimen_label, participant_label, disease, 'b', CV_fold FROM meta WHERE CV_fold = 1")
 def s18(spark, d):
     x = metadata(spark, d)
-    a = x.where("CV_fold = 0").drop("CV_fold").withColumn("origin", F.lit("a"))
-    return a.unionByName(x.where("CV_fold = 1").withColumn("origin", F.lit("b")), allowMissingColumns=True)
+    return repertoires.merged({"a": x.where("CV_fold = 0").drop("CV_fold"), "b": x.where("CV_fold = 1")})
 
 
 # ---- joins and set operations -----------------------------------------------------------------
 
 
-@query("j01_gene_reference_join", WITH + ", r AS (SELECT v_call, any_value(f) AS fwr1_aa FROM (SELECT v_call, upper(replace(v_call, '*', '')) AS f FROM rep WHERE v_call < 'TRBV2') GROUP BY 1) SELECT c.v_call, nullif(upper(translate(r.fwr1_aa, '.- *', '')), '') AS fwr1_aa, count(*) AS n FROM clean c LEFT JOIN r USING (v_call) GROUP BY ALL")
+@query("j01_gene_reference_join", WITH + ", r AS (SELECT v_call, any_value(f) AS fwr1_aa FROM (SELECT v_call, upper(replace(v_call, '*', '')) AS f FROM rep) GROUP BY 1) SELECT c.v_call, nullif(upper(translate(r.fwr1_aa, '.- *', '')), '') AS fwr1_aa, count(*) AS n FROM clean c LEFT JOIN r USING (v_call) GROUP BY ALL")
 def j01(spark, d):
-    reference = repertoire(spark, d).where("v_call < 'TRBV2'").select("v_call", F.upper(F.replace("v_call", F.lit("*"), F.lit(""))).alias("fwr1_aa")).distinct()
+    reference = repertoire(spark, d).select("v_call", F.upper(F.replace("v_call", F.lit("*"), F.lit(""))).alias("fwr1_aa")).distinct()
     return cleaning.with_reference(cleaned(spark, d), reference).groupBy("v_call", "fwr1_aa").agg(F.count("*").alias("n"))
 
 
@@ -269,11 +290,20 @@ def j11(spark, d):
     return people.join(stats, "participant_label").groupBy("disease").agg(F.countDistinct("participant_label").alias("n_participants"), F.sum("n_clean").alias("n_rows"))
 
 
+@query("p19_with_files", WITH + "SELECT specimen_label, participant_label FROM meta WHERE participant_label IN (SELECT participant_label FROM rep WHERE num_reads >= 45)")
+def p19(spark, d):
+    files = repertoire(spark, d).where("num_reads >= 45")
+    return repertoires.with_files(metadata(spark, d), files).select("specimen_label", "participant_label")
+
+
 @query("j12_embedding_alignment", WITH + ", k AS (SELECT specimen_label, clone_id, amplification_label, CAST('0x' || substr(md5(specimen_label || clone_id || amplification_label), 1, 6) AS BIGINT) % 200 AS i FROM down) SELECT k.specimen_label, k.clone_id AS igh_or_tcrb_clone_id, CAST(e.embedding[1] AS DOUBLE) AS x0 FROM k JOIN embeddings e ON e.vec_id = k.i")
 def j12(spark, d):
     digest = F.md5(F.concat("specimen_label", "igh_or_tcrb_clone_id", "amplification_label"))
-    keys = downsampled(spark, d).select("specimen_label", "igh_or_tcrb_clone_id", (F.conv(F.substr(digest, F.lit(1), F.lit(6)), 16, 10).cast("long") % 200).alias("vec_id"))
-    return keys.join(table(spark, d, "embeddings"), "vec_id").select("specimen_label", "igh_or_tcrb_clone_id", F.element_at("embedding", 1).cast("double").alias("x0"))
+    keys = ["specimen_label", "igh_or_tcrb_clone_id", "amplification_label"]
+    x = written(downsampled(spark, d).select(*keys, "v_gene", "j_gene", "cdr3_aa"))
+    made = x.withColumn("vec_id", F.conv(F.substr(digest, F.lit(1), F.lit(6)), 16, 10).cast("long") % 200).join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id")
+    both = repertoires.aligned_embeddings(x, made, keys, ("v_gene", "j_gene", "cdr3_aa"))
+    return both.select("specimen_label", "igh_or_tcrb_clone_id", F.element_at("embedding", 1).cast("double").alias("x0"))
 
 
 @query("u01_union_all", WITH + "SELECT specimen_label, role FROM (SELECT specimen_label, 'test' AS role FROM meta WHERE CV_fold = 0 UNION ALL SELECT specimen_label, 'train' FROM meta WHERE CV_fold <> 0)")

@@ -7,10 +7,10 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparktoire.models import classifiers
+from sparktoire.models import classifiers, external, store
 from sparktoire.models.sequence_level import fit_groups
 from sparktoire.operators import cleaning, predictions
-from sparktoire.operators.storage import shared_folder, written
+from sparktoire.operators.storage import names, shared_folder, write_text, written
 from sparktoire.plans.base import WITH, downsampled, metadata, query, repertoire, sequences, table
 from sparktoire.plans.evaluation import _models, _pairs
 from sparktoire.plans.frequencies import a05
@@ -24,19 +24,19 @@ def _halves(x: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _embedded(spark, d) -> DataFrame:
     x = sequences(spark, d).withColumns({"row_id": F.col("ord"), "weight": F.col("weight").cast("double")})
-    return classifiers.embedded(x, size=16)
+    return classifiers.embedded(x)
 
 
 @query("m01_repertoire_model")
 def m01(spark, d):
     train, test = _halves(downsampled(spark, d))
-    return classifiers.RepertoireModel(components=8, n_lambda=3).fit(train).predict(test)
+    return classifiers.RepertoireModel().fit(train).predict(test)
 
 
 @query("m02_cluster_model")
 def m02(spark, d):
     train, test = _halves(sequences(spark, d))
-    return classifiers.ClusterModel(p_values=(0.005, 0.05)).fit(train).predict(test)
+    return classifiers.ClusterModel().fit(train).predict(test)
 
 
 @query("m04_group_regressions")
@@ -47,7 +47,7 @@ def m04(spark, d):
 @query("m06_sequence_model")
 def m06(spark, d):
     train, test = _halves(_embedded(spark, d))
-    return classifiers.SequenceModel(trees=10, strategy="entropy_cutoff", fraction=0.95).fit(train).predict(test)
+    return classifiers.SequenceModel().fit(train).predict(test)
 
 
 @query("m08_embeddings")
@@ -57,12 +57,63 @@ def m08(spark, d):
 
 @query("m12_ensemble")
 def m12(spark, d):
-    x = predictions.meta_features(_models(spark, d), "fill_0.5").join(metadata(spark, d).select("specimen_label", "disease", "CV_fold"), "specimen_label")
+    x = predictions.meta_features(_models(spark, d), "fill_0.5").join(metadata(spark, d), "specimen_label")
     train, test = _halves(x)
     return classifiers.Ensemble().fit(train).predict(test)
 
 
-@query("s07_specimen_iteration")
+def _saved(spark, d) -> tuple[str, DataFrame]:
+    """A folder with a fitted repertoire model and its summary, and the rows held out."""
+    folder = f"{shared_folder(spark)}/models/{uuid.uuid4().hex}"
+    train, test = _halves(downsampled(spark, d))
+    model = classifiers.RepertoireModel().fit(train)
+    model.save(spark, f"{folder}/model1")
+    store.write_summary(spark, folder, "training", {"locus": "TCR", "test_fold": 0}, {"classes": len(model.classes), "isotypes": len(model.parts)})
+    return folder, test
+
+
+@query("t04_importances")
+def t04(spark, d):
+    train, _ = _halves(_embedded(spark, d))
+    return classifiers.SequenceModel(n_penalties=10).fit(train).importances(10)
+
+
+@query("m07_tuned_strategy")
+def m07(spark, d):
+    """The mean MCC over folds of each strategy of the sequence model, with forests and paths of a search's size."""
+    _, means = classifiers.tuned(written(_embedded(spark, d)), trees=20, n_penalties=10)
+    return spark.createDataFrame(means, "strategy string, setting double, mean_mcc double")
+
+
+@query("m09_penalty_path")
+def m09(spark, d):
+    """The mean held-out deviance along the repertoire model's penalties."""
+    choice = classifiers.RepertoireModel().fit(downsampled(spark, d)).choice
+    rows = [(i, float(p), float(m), bool(p == choice.best), bool(p == choice.within)) for i, (p, m) in enumerate(zip(choice.path, choice.mean, strict=True))]
+    return spark.createDataFrame(rows, "position int, penalty double, mean_score double, best boolean, within_error boolean")
+
+
+@query("m13_base_predictions")
+def m13(spark, d):
+    """Scores of a model that was saved and loaded."""
+    folder, test = _saved(spark, d)
+    return external.base_scores(external.load_models(spark, folder, ("model1",)), test)
+
+
+@query("m14_external_evaluation")
+def m14(spark, d):
+    folder, test = _saved(spark, d)
+    return external.evaluate(spark, folder, metadata(spark, d), test, ("model1",), test_on_folds=[0], expected={"locus": "TCR"}).report
+
+
+@query("s19_summary", "SELECT 'TCR' AS locus, 5 AS n_classes, 1 AS n_isotypes")
+def s19(spark, d):
+    folder, _ = _saved(spark, d)
+    x = store.read_summary(spark, folder, {"locus": "TCR", "test_fold": 0})
+    return spark.createDataFrame([(x["config"]["locus"], x["results"]["classes"], x["results"]["isotypes"])], "locus string, n_classes int, n_isotypes int")
+
+
+@query("s07_specimen_iteration", WITH + "SELECT specimen_label, count(*) AS n_rows FROM down GROUP BY 1")
 def s07(spark, d):
     """What a loop over specimens would do, for each in its own batch."""
     def of_specimen(rows: pa.Table) -> pa.Table:
@@ -71,21 +122,27 @@ def s07(spark, d):
     return downsampled(spark, d).select("specimen_label", "cdr3_aa").groupBy("specimen_label").applyInArrow(of_specimen, "specimen_label string, n_rows long")
 
 
-def _cached(spark, x: DataFrame) -> DataFrame:
-    path = f"{shared_folder(spark)}/caches/{uuid.uuid4().hex}"
-    repertoires.write_cache(x, path)
-    return repertoires.read_cache(spark, path, x.schema)
-
-
 @query("s08_stage_cache", WITH + "SELECT participant_label, ord FROM clean")
 def s08(spark, d):
-    x = cleaning.long_enough(cleaning.clean(repertoire(spark, d))).select("ord", "v_gene", "participant_label")
-    return _cached(spark, x).select("participant_label", "ord")
+    """A stage's cache: built, found, built again after a file of it was spoilt."""
+    path, build = f"{shared_folder(spark)}/caches/{uuid.uuid4().hex}", lambda: cleaning.long_enough(cleaning.clean(repertoire(spark, d))).select("ord", "v_gene", "participant_label")
+    made = [repertoires.cached(spark, path, {"stage": "clean"}, build)[1] for _ in range(2)]
+    write_text(spark, f"{path}/{next(n for n in names(spark, path) if n.endswith('.parquet'))}", "not Parquet")
+    x, again = repertoires.cached(spark, path, {"stage": "clean"}, build)
+    if (*made, again) != (True, False, True):
+        raise AssertionError(f"the cache was built: {(*made, again)}")
+    return x.select("participant_label", "ord")
 
 
 @query("s09_participant_cache", WITH + "SELECT participant_label, count(*) AS n_rows FROM down GROUP BY 1")
 def s09(spark, d):
-    return repertoires.cache_report(_cached(spark, downsampled(spark, d).select("ord", "participant_label")))
+    """The participants' cache, built again for other settings."""
+    path, x = f"{shared_folder(spark)}/caches/{uuid.uuid4().hex}", downsampled(spark, d).select("ord", "participant_label")
+    for least, expected in ((8, True), (8, False), (9, True)):
+        found, made = repertoires.cached(spark, path, {"least_length": least}, lambda: x)
+        if made != expected:
+            raise AssertionError("a cache is built exactly if its settings are new")
+    return repertoires.cache_report(found)
 
 
 @query("s14_feature_matrix")
@@ -104,9 +161,15 @@ def s15(spark, d):
     return spark.read.schema(x.schema).option("header", True).csv(path)
 
 
-@query("s16_cache_report", WITH + "SELECT participant_label, count(*) AS n_rows FROM rep GROUP BY 1")
+@query("s16_cache_report", WITH + "SELECT CAST(CV_fold AS VARCHAR) AS name, count(*) AS n_rows, true AS has_bytes FROM rep WHERE CV_fold <> 1 GROUP BY 1")
 def s16(spark, d):
-    return repertoires.cache_report(repertoire(spark, d))
+    """Caches of the folds, one of them cleared."""
+    root = f"{shared_folder(spark)}/caches/{uuid.uuid4().hex}"
+    repertoires.write_cache(repertoire(spark, d).select("ord", "participant_label", F.col("CV_fold").cast("string").alias("fold")), root, "fold")
+    repertoires.clear_cache(spark, f"{root}/fold=1")
+    rows = spark.read.parquet(root).groupBy(F.col("fold").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n_rows"))
+    sizes = repertoires.cache_sizes(spark, root).select(F.regexp_extract("name", "^fold=(.*)$", 1).alias("name"), (F.col("n_bytes") > 0).alias("has_bytes"))
+    return rows.join(sizes, "name")
 
 
 @query("x01_event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

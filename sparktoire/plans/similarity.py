@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sparktoire.functions import expressions as X
-from sparktoire.operators import clustering, enrichment
+from sparktoire.operators import clustering, enrichment, metrics
 from sparktoire.operators.clustering import BLOCK
-from sparktoire.plans.base import WITH, cleaned, downsampled, query, sequences, table
+from sparktoire.operators.storage import written
+from sparktoire.plans.base import WITH, cleaned, downsampled, query, sequences
 
 IDENTITY = 0.9
 _CUT = "(CAST(1.0 AS DOUBLE) - CAST(0.9 AS DOUBLE))"
@@ -24,16 +25,25 @@ _WITH = WITH.replace("WITH rep", "WITH RECURSIVE rep", 1)
 
 @query("j08_similar_pairs", WITH + f", {_PAIRS} SELECT {_BLOCK}, a, b, CAST(distance AS INT) AS distance FROM pairs")
 def j08(spark, d):
-    return clustering.similar_pairs(sequences(spark, d), IDENTITY)
+    return clustering.similar_pairs(_sequences(spark, d), IDENTITY)
 
 
 @query("c06_convergent_clusters", _WITH + f", {_CLUSTERS} SELECT * FROM clus")
 def c06(spark, d):
-    return clustering.single_linkage(sequences(spark, d), IDENTITY).select(*BLOCK, "cdr3", "cluster")
+    return clustering.single_linkage(_sequences(spark, d), IDENTITY).select(*BLOCK, "cdr3", "cluster")
+
+
+def _sequences(spark, d) -> DataFrame:
+    """Written once: pairs, clusters, rows and counts all read them."""
+    return written(sequences(spark, d))
 
 
 def _clustered(spark, d) -> DataFrame:
-    x = sequences(spark, d)
+    x = _sequences(spark, d)
+    return written(_joined(x))
+
+
+def _joined(x: DataFrame) -> DataFrame:
     return x.join(clustering.single_linkage(x, IDENTITY), [*BLOCK, "cdr3"])
 
 
@@ -76,7 +86,7 @@ clo AS (SELECT c.participant_label, c.ord, ci.id AS clone_id FROM clean c JOIN c
 
 
 def _with_clones(spark, d) -> DataFrame:
-    x = cleaned(spark, d).select("participant_label", "ord", "v_gene", "j_gene", F.col("cdr3_aa").alias("cdr3"), "replicate_label")
+    x = written(cleaned(spark, d).select("participant_label", "ord", "v_gene", "j_gene", F.col("cdr3_aa").alias("cdr3"), "replicate_label"))
     return clustering.clones(x, IDENTITY)
 
 
@@ -97,6 +107,14 @@ def c03(spark, d):
     return spark.createDataFrame(rows, "locus string, nucleotides boolean, identity double")
 
 
+@query("c05_nucleotide_clones", WITH + ", nt AS (SELECT participant_label, ord, v_gene, j_gene, upper(substr(translate(sequence, '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 15)) AS s FROM clean), u AS (SELECT DISTINCT participant_label, v_gene, j_gene, s FROM nt), id AS (SELECT participant_label, v_gene, j_gene, s, row_number() OVER (PARTITION BY participant_label ORDER BY (SELECT count(*) FROM nt n WHERE n.participant_label = u.participant_label AND n.v_gene = u.v_gene AND n.j_gene = u.j_gene AND n.s = u.s) DESC, concat_ws('|', v_gene, j_gene, 15, s)) AS r FROM u) SELECT nt.participant_label, nt.ord, 'Clone_' || r AS clone_id FROM nt JOIN id USING (participant_label, v_gene, j_gene, s)")
+def c05(spark, d):
+    """Clones of all participants in one job, on nucleotides at the identity for them; of 15 letters, no mismatch is allowed."""
+    letters = F.substr(F.translate("sequence", "0123456789abcdef", "ACGTACGTACGTACGT"), F.lit(1), F.lit(15))
+    x = written(cleaned(spark, d).select("participant_label", "ord", "v_gene", "j_gene", letters.alias("cdr3")))
+    return clustering.clones(x, X.identity_threshold("TCR", True)).select("participant_label", "ord", "clone_id")
+
+
 @query("c04_participant_clones", _WITH + f", {_CLONES} SELECT participant_label, count(*) AS n_rows, count(DISTINCT clone_id) AS n_clones FROM clo GROUP BY 1")
 def c04(spark, d):
     return _with_clones(spark, d).groupBy("participant_label").agg(F.count("*").alias("n_rows"), F.countDistinct("clone_id").alias("n_clones"))
@@ -104,10 +122,10 @@ def c04(spark, d):
 
 _FISHER = f"""cnt AS (SELECT {_BLOCK}, cluster, disease, count(DISTINCT participant_label) AS a FROM crow GROUP BY ALL), siz AS (SELECT {_BLOCK}, cluster, sum(a) AS n FROM cnt GROUP BY ALL),
 cls AS (SELECT disease, count(DISTINCT participant_label) AS k FROM crow GROUP BY 1), tot AS (SELECT sum(k) AS m FROM cls),
-fg AS (SELECT siz.*, cls.*, tot.m, coalesce(cnt.a, 0) AS a FROM siz CROSS JOIN cls CROSS JOIN tot LEFT JOIN cnt USING ({_BLOCK}, cluster, disease)),
-fx AS (SELECT {_BLOCK}, cluster, disease, n, k, m, a, unnest(range(CAST(greatest(a, 1) AS BIGINT), CAST(least(n, k) AS BIGINT) + 1)) AS x FROM fg WHERE a > 0),
-fs AS (SELECT {_BLOCK}, cluster, disease, sum(CASE WHEN n - x <= m - k THEN exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(m - k + 1) - lgamma(n - x + 1) - lgamma(m - k - n + x + 1) - lgamma(m + 1) + lgamma(n + 1) + lgamma(m - n + 1)) ELSE 0 END) AS p FROM fx GROUP BY ALL),
-fish AS (SELECT {_BLOCK}, cluster, disease, fg.a AS n_participants, CAST(fg.n AS BIGINT) AS in_cluster, fg.k AS in_class, CASE WHEN fg.a = 0 THEN 1.0 ELSE least(1.0, fs.p) END AS p_value FROM fg LEFT JOIN fs USING ({_BLOCK}, cluster, disease))"""
+cells AS (SELECT {_BLOCK}, cluster, disease, a FROM cnt UNION ALL SELECT {_BLOCK}, cluster, cls.disease, 0 FROM siz CROSS JOIN cls),
+fg AS (SELECT {_BLOCK}, cluster, c.disease, siz.n, cls.k, tot.m, c.a FROM (SELECT {_BLOCK}, cluster, disease, max(a) AS a FROM cells GROUP BY ALL) c JOIN siz USING ({_BLOCK}, cluster) JOIN cls ON cls.disease = c.disease CROSS JOIN tot),
+fish AS (SELECT {_BLOCK}, cluster, disease, a AS n_participants, CAST(n AS BIGINT) AS in_cluster, k AS in_class, CASE WHEN a = 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(a, CAST(least(n, k) AS BIGINT) + 1), lambda x:
+  CASE WHEN n - x <= m - k THEN exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(m - k + 1) - lgamma(n - x + 1) - lgamma(m - k - n + x + 1) - lgamma(m + 1) + lgamma(n + 1) + lgamma(m - n + 1)) ELSE 0 END))) END AS p_value FROM fg)"""
 
 
 def _fisher(spark, d) -> DataFrame:
@@ -148,7 +166,7 @@ def _known(x: DataFrame) -> DataFrame:
 
 @query("j07_nearest_centroid", WITH + f", {_NEAR} SELECT * FROM near")
 def j07(spark, d):
-    x = sequences(spark, d)
+    x = _sequences(spark, d)
     return clustering.nearest_centroids(x.where("CV_fold = 0"), _known(x), IDENTITY)
 
 
@@ -163,20 +181,20 @@ def _hits(x: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query("j06_hit_diseases", WITH + f", {_HITS} SELECT ord, cluster, disease FROM hit JOIN dis USING ({_BLOCK}, cluster)")
 def j06(spark, d):
-    hits, disease = _hits(sequences(spark, d))
+    hits, disease = _hits(_sequences(spark, d))
     return hits.drop("disease").join(disease, [*BLOCK, "cluster"]).select("ord", "cluster", "disease")
 
 
 @query("a11_distinct_clusters", WITH + f", {_HITS} SELECT specimen_label, disease, count(DISTINCT ({_BLOCK}, cluster)) AS score FROM hit JOIN dis USING ({_BLOCK}, cluster) GROUP BY ALL")
 def a11(spark, d):
-    hits, disease = _hits(sequences(spark, d))
+    hits, disease = _hits(_sequences(spark, d))
     x = hits.drop("disease").join(disease, [*BLOCK, "cluster"])
     return x.groupBy("specimen_label", "disease").agg(F.countDistinct(*BLOCK, "cluster").alias("score"))
 
 
 @query("c10_specimen_scores", WITH + f", {_HITS}, sc AS (SELECT specimen_label, disease, count(DISTINCT ({_BLOCK}, cluster)) AS score FROM hit JOIN dis USING ({_BLOCK}, cluster) GROUP BY ALL) SELECT s.specimen_label, c.disease, coalesce(sc.score, 0) AS score, s.specimen_label NOT IN (SELECT specimen_label FROM sc) AS abstained FROM (SELECT DISTINCT specimen_label FROM seqs WHERE CV_fold = 0) s CROSS JOIN (SELECT DISTINCT disease FROM dis) c LEFT JOIN sc ON sc.specimen_label = s.specimen_label AND sc.disease = c.disease")
 def c10(spark, d):
-    x = sequences(spark, d)
+    x = _sequences(spark, d)
     hits, disease = _hits(x)
     return enrichment.specimen_scores(hits.drop("disease"), disease, x.where("CV_fold = 0"))
 
@@ -186,6 +204,11 @@ def j02(spark, d):
     return downsampled(spark, d).select("ord", "num_clone_members", "total_clone_num_reads")
 
 
-@query("c11_abstain_label", "SELECT DISTINCT CASE WHEN event_type = 'click' THEN 'UNKNOWN99' ELSE event_type END AS label FROM events")
+@query("c11_abstain_label", WITH + f", {_HITS}, sc AS (SELECT specimen_label, disease, count(DISTINCT ({_BLOCK}, cluster)) AS score FROM hit JOIN dis USING ({_BLOCK}, cluster) GROUP BY ALL), best AS (SELECT specimen_label, arg_max(disease, score * 1000 - ascii(disease)) AS label FROM sc GROUP BY 1) SELECT s.specimen_label, coalesce(best.label, 'UNKNOWN99') AS label FROM (SELECT DISTINCT specimen_label FROM seqs WHERE CV_fold = 0) s LEFT JOIN best USING (specimen_label)")
 def c11(spark, d):
-    return table(spark, d, "events").select(F.when(F.col("event_type") == "click", "UNKNOWN99").otherwise(F.col("event_type")).alias("label")).distinct()
+    """The class of the most predictive clusters of each specimen; those that hit none get a class that nobody has."""
+    x = _sequences(spark, d)
+    hits, disease = _hits(x)
+    scores = enrichment.specimen_scores(hits.drop("disease"), disease, x.where("CV_fold = 0"))
+    best = scores.groupBy("specimen_label").agg(F.max_by("disease", F.col("score") * 1000 - F.ascii("disease")).alias("best"), F.bool_or("abstained").alias("abstained"))
+    return best.select("specimen_label", F.when(F.col("abstained"), metrics.ABSTAINED).otherwise(F.col("best")).alias("label"))

@@ -6,10 +6,15 @@ aggregations; only their few results come to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-#: Fixed value: what the legacy name of the fold column ends with.
+from sparktoire.operators import splits, storage
+
+#: Fixed value: what the legacy name of the fold column ends with. Any column with that ending counts as it.
 LEGACY_FOLD = "cross_validation_fold_id_when_in_test_set"
+#: The columns of a sequence table.
 REQUIRED_SEQUENCE = ("repertoire_id", "v_call", "j_call", "cdr3_aa")
 OPTIONAL_SEQUENCE = {
     "cdr3": "string", "clone_id": "string", "productive": "string", "v_score": "double", "sequence": "string", "replicate_label": "string", "extracted_isotype": "string",
@@ -51,16 +56,21 @@ def read_metadata(spark: SparkSession, path: str, require_disease: bool = True)
     return df
 
 
-def read_sequences(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """All participants' tables of a folder; the participant comes from the file name.
+def read_sequences(spark: SparkSession, path: str, partitions: int | None = None, participants: list[str] | None = None, skip_bad: bool = False) -> DataFrame:
+    """All participants' tables of a folder, or those of some; the participant comes from the file name.
 
-    Compressed files can't be split, so the rows may be dealt into ``partitions`` right away.
+    Compressed files can't be split, so the rows may be dealt into ``partitions`` right away. With
+    ``skip_bad`` what can't be read of a file is left out, with a warning of Spark's, instead of an error.
+    ``ord`` follows the place in the file, however it is split.
     """
-    df = _tsv(spark, path)
+    reader = spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).option("ignoreCorruptFiles", skip_bad)
+    if participants is not None:
+        reader = reader.option("pathGlobFilter", "part_table_{" + ",".join(participants) + "}.tsv*")
+    df = reader.csv(path)
     missing_columns(df, REQUIRED_SEQUENCE)
-    df = df.select(*(F.col(c).cast(OPTIONAL_SEQUENCE.get(c, "string")).alias(c) for c in df.columns if c != "participant_label"))
+    at = F.concat_ws("-", F.input_file_name(), F.lpad(F.col("_metadata.file_block_start").cast("string"), 14, "0"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
     name = F.regexp_extract(F.input_file_name(), r"part_table_([^/]+?)(\.tsv)?(\.gz)?$", 1)
-    df = df.withColumns({"participant_label": name, "ord": F.concat_ws("-", F.input_file_name(), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))})
+    df = df.select(*(F.col(c).cast(OPTIONAL_SEQUENCE.get(c, "string")).alias(c) for c in df.columns if c != "participant_label"), name.alias("participant_label"), at.alias("ord"))
     return df.repartition(partitions, "participant_label") if partitions else df
 
 
@@ -101,17 +111,91 @@ def cache_report(cached: DataFrame) -> DataFrame:
     return cached.groupBy("participant_label").agg(F.count("*").alias("n_rows"))
 
 
+def cached(spark: SparkSession, path: str, settings: dict, build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """``(table, whether it was built)``: a cache with a file of its rows, columns and settings beside it.
+
+    It is built again if it isn't there, was made with other settings, can't be read, or doesn't have
+    the rows and columns that were written.
+    """
+    note = f"{path}.json"
+    if storage.exists(spark, path) and storage.exists(spark, note):
+        try:
+            kept = storage.read_json(spark, note)
+            df = spark.read.schema(T.StructType.fromJson(kept["schema"])).parquet(path)
+            if kept["settings"] == settings and df.agg(F.count(F.lit(1)), *(F.count(c) for c in df.columns)).first()[0] == kept["rows"]:
+                return df, False
+        except Exception as e:  # whatever makes a cache unreadable, it is built again
+            print(f"the cache {path} can't be read and is built again: {str(e).splitlines()[0][:200]}")
+    storage.delete(spark, path)
+    df = build()
+    df.write.parquet(path)
+    df = spark.read.schema(df.schema).parquet(path)
+    storage.write_json(spark, note, {"settings": settings, "schema": df.schema.jsonValue(), "rows": df.count()})
+    return df, True
+
+
+def cache_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """``name, n_bytes`` of everything in a folder of caches."""
+    rows = [(n, storage.size(spark, f"{root}/{n}")) for n in storage.names(spark, root)]
+    return spark.createDataFrame(rows, "name string, n_bytes long")
+
+
+def checked_splits(spark: SparkSession, path: str, metadata: DataFrame, context: str = "cv_ensemble", fold: int | None = None, seed: int = 0) -> tuple[DataFrame, bool]:
+    """``(participant_label, disease, split_role, whether they were made)`` from a CSV folder.
+
+    Splits that can't be read, or don't hold exactly the metadata's participants, each once, with their
+    disease and a role of the context, are made and written again.
+    """
+    schema, people = "participant_label string, disease string, split_role string", splits.participants(metadata)
+    if storage.exists(spark, path):
+        df = spark.read.schema(schema).option("header", True).csv(path)
+        try:
+            known = df.where(F.col("split_role").isin(*splits.CONTEXTS[context][0])).select("participant_label", "disease")
+            if df.count() == known.count() and known.exceptAll(people).isEmpty() and people.exceptAll(known).isEmpty():
+                return df, False
+        except Exception as e:  # a file that isn't CSV at all
+            print(f"the splits {path} can't be read and are made again: {str(e).splitlines()[0][:200]}")
+    splits.split_roles(metadata, context, fold, seed).select("participant_label", "disease", "split_role").write.mode("overwrite").option("header", True).csv(path)
+    return spark.read.schema(schema).option("header", True).csv(path), True
+
+
+def aligned_embeddings(sequences: DataFrame, embeddings: DataFrame, keys: list[str], same: tuple[str, ...] = ()) -> DataFrame:
+    """Every sequence with its embedding, by a key in which nulls are equal.
+
+    A key that isn't unique on either side, a sequence without an embedding, and a pair that differs in one
+    of the columns ``same`` are errors.
+    """
+    for name, df in (("sequences", sequences), ("embeddings", embeddings)):
+        if not df.groupBy(*keys).count().where("count > 1").isEmpty():
+            raise ValueError(f"the keys of the {name} are not unique")
+    right = embeddings.select(*(F.col(k).alias(f"__{k}") for k in keys), *(F.col(c).alias(f"__{c}") for c in same), "embedding")
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    both = sequences.join(right, on, "left")
+    differ = [F.count_if(F.col("embedding").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"__{c}"))).alias(c) for c in same]
+    counts = both.agg(F.count_if(F.col("embedding").isNull()).alias("missing"), *differ).first().asDict()
+    if bad := {k: n for k, n in counts.items() if n}:
+        raise ValueError(f"sequences and embeddings don't fit: {bad}")
+    return both.drop(*(f"__{c}" for c in (*keys, *same)))
+
+
 def clear_cache(spark: SparkSession, path: str, participants: list[str] | None = None) -> None:
     """Delete the cache, or the partitions of some participants, through the file system of the path."""
     for p in [path] if participants is None else [f"{path}/participant_label={x}" for x in participants]:
-        target = spark._jvm.org.apache.hadoop.fs.Path(p)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        storage.delete(spark, p)
 
 
 def subset(cached: DataFrame, participants: DataFrame) -> DataFrame:
     return cached.join(participants.select("participant_label").distinct(), "participant_label", "left_semi")
 
 
+def write_subset(cached: DataFrame, participants: DataFrame, path: str) -> DataFrame:
+    """A subset as a dataset of its own; a participant without rows is an error."""
+    if missing := [r[0] for r in completeness(participants, cached).limit(5).collect()]:
+        raise ValueError(f"participants without rows, such as {missing}")
+    write_cache(subset(cached, participants), path)
+    return read_cache(cached.sparkSession, path, cached.schema)
+
+
 def merged(sources: dict[str, DataFrame]) -> DataFrame:
     """The union of datasets with their ``origin``; a specimen in two of them is an error."""
     out = None

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparktoire.functions import expressions as X
-from sparktoire.models import base, classifiers
-from sparktoire.models.sequence_level import fit_groups, ridge_logistic, score_groups
+from sparktoire.models import classifiers
+from sparktoire.models.sequence_level import choose_ridge, fit_groups, score_groups
 from sparktoire.operators import clustering, enrichment, features, predictions, splits
 
 
@@ -82,11 +82,11 @@ def test_group_regressions_learn(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 3))
     y = (x[:, 0] + 0.3 * rng.normal(size=200) > 0).astype(float)
-    w, b = ridge_logistic(x, y)
-    assert ((x @ w + b > 0) == y).mean() > 0.85
-    rows = [(f"r{i}", "V1" if i % 2 else "V2", "A" if y[i] else "B", x[i].tolist()) for i in range(200)] + [("z", "V9", "A", [0.0, 0.0, 0.0])]
-    df = spark.createDataFrame(rows, "row_id string, v_gene string, disease string, embedding array<double>")
-    models = fit_groups(df)
+    penalty, b = choose_ridge(x, y, np.arange(200) % 5, 20)
+    assert penalty > 0 and ((x @ b[:-1] + b[-1] > 0) == y).mean() > 0.85
+    rows = [(f"r{i}", f"P{i % 40}", "V1" if i % 2 else "V2", "A" if y[i] else "B", x[i].tolist()) for i in range(200)] + [("z", "P0", "V9", "A", [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "row_id string, participant_label string, v_gene string, disease string, embedding array<double>")
+    models = fit_groups(df, n=20)
     assert {r.v_gene for r in models.collect()} == {"V1", "V2"}
     scored = score_groups(df, models).where("class = 'A' OR class IS NULL").collect()
     assert np.mean([(s.score > 0.5) == (s.disease == "A") for s in scored if s.score is not None]) > 0.85
@@ -94,8 +94,7 @@ def test_group_regressions_learn(spark):
 
 
 def test_ensemble_follows_its_models(spark):
-    rows = [(f"S{i}", m, c, 0.8 if (c == "A") == (i % 2 == 0) else 0.2, "AB"[i % 2]) for i in range(40) for m in (1, 2) for c in "AB"]
-    df = spark.createDataFrame(rows, "specimen_label string, model int, class string, score double, disease string")
-    scores = classifiers.Ensemble().fit(df).predict(df).where("class = 'A'").collect()
+    rows = [(f"S{i}", f"P{i}", m, c, 0.8 if (c == "A") == (i % 2 == 0) else 0.2, "AB"[i % 2]) for i in range(40) for m in (1, 2) for c in "AB"]
+    df = spark.createDataFrame([*rows, ("S99", "P99", 1, "A", None, "A")], "specimen_label string, participant_label string, model int, class string, score double, disease string")
+    scores = classifiers.Ensemble(n_penalties=10).fit(df).predict(df).where("class = 'A'").collect()
     assert all((s.score > 0.5) == (int(s.specimen_label[1:]) % 2 == 0) for s in scores) and len(scores) == 40
-    assert base.regularisation_path(1.0, 0.01, 3) == pytest.approx([1.0, 0.1, 0.01])
