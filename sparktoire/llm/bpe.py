@@ -52,9 +52,8 @@ def byte_characters() -> dict[int, str]:
 class Bpe:
     """A tokenizer file's vocabulary and merges; ``encode`` and ``decode`` are each other's inverse."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            data = json.load(file)
+    def __init__(self, content: str):
+        data = json.loads(content)
         vocab, characters = data["model"]["vocab"], byte_characters()
         byte_of = {c: b for b, c in characters.items()}
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
@@ -114,28 +113,31 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
     def miss(self, piece: str) -> str:
-        """The ids of a pre-token, joined by commas; remembered."""
-        found = self.old.get(piece) or ",".join(map(str, self.merge(piece.encode())))
+        """The ids of a pre-token or special token, joined by commas; remembered."""
+        found = self.old.get(piece) or (str(self.special[piece]) if piece in self.special else ",".join(map(str, self.merge(piece.encode()))))
         if len(piece) <= 64 and len(self.new) < CACHE_ENTRIES:
             self.new[piece] = found
         return found
 
-    def parts(self, text: str) -> list[str]:
-        """The ids of each pre-token and special token of the text, in order."""
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens and special tokens of the text, in order. No pre-token has the text of a special one."""
         if not any(s in text for s in self.special):
-            return self.pieces(text)
+            return pretokens(text)
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out += self.pieces(text[at : m.start()])
-            out.append(str(self.special[m[0]]))
+            out += [*pretokens(text[at : m.start()]), m[0]]
             at = m.end()
-        return out + self.pieces(text[at:])
+        return out + pretokens(text[at:])
 
-    def pieces(self, text: str) -> list[str]:
+    def ids(self, pieces: list[str]) -> list[str]:
+        """The ids of each pre-token or special token, joined by commas."""
         if len(self.new) >= CACHE_ENTRIES:
             self.old, self.new = self.new, {}
         known = self.new.get
-        return [known(x) or self.miss(x) for x in pretokens(text)]
+        return [known(x) or self.miss(x) for x in pieces]
+
+    def parts(self, text: str) -> list[str]:
+        return self.ids(self.split(text))
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids in self.parts(text) for i in ids.split(",")]
@@ -155,16 +157,23 @@ class Bpe:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Bpe:
-    return Bpe(path)
+def tokenizer(content: str) -> Bpe:
+    """One for all tasks of a worker."""
+    return Bpe(content)
+
+
+def content_of(path: str) -> str:
+    with open(path, encoding="utf-8") as file:
+        return file.read()
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
-    """Encode and decode every whole text; ``path``: a tokenizer file that every worker can open."""
+    """Encode and decode every whole text; ``path``: a tokenizer file, which the driver reads and sends to the workers."""
+    content = docs.sparkSession.sparkContext.broadcast(content_of(path))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
+        bpe = tokenizer(content.value)
         for batch in batches:
             rows = [bpe.digests(x.as_py() or "") for x in batch.column(1)]
             n, ids, back = map(list, zip(*rows, strict=True)) if rows else ([], [], [])

@@ -2,9 +2,10 @@
 
 The leaves hold blocks of ``BLOCK`` pre-tokens; every node sums the characters and the tokens below
 it, so a position is found and a total updated in steps that grow with the tree's depth. The
-pre-token pattern reads from left to right and looks at most ``LOOK`` characters ahead, so an edit
-can change pre-tokens only from just before it, up to where a new boundary falls on an old one
-behind it. Only these are encoded again; blocks after them keep their sums.
+pre-token pattern reads from left to right and looks at most ``LOOK`` characters ahead, or a special
+token's length, so an edit can change pre-tokens only from just before it, up to where a new
+boundary falls on an old one behind it. Only these are encoded again; blocks after them keep their
+sums. An edit may make or break a special token, which is one token as in ``bpe``.
 
 Defined results: a null text counts as empty; null edits are none; positions are code points and
 are cut to the text, a stop before its start means an insertion, a null replacement is empty;
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparktoire.llm.bpe import Bpe, pretokens, tokenizer
+from sparktoire.llm.bpe import Bpe, content_of, tokenizer
 
 BLOCK = 32
 #: An apostrophe and two letters make a contraction.
@@ -90,17 +91,14 @@ class CountedText:
 
     def __init__(self, text: str, bpe: Bpe):
         self.bpe, self.reencoded = bpe, 0
-        self.root = built(self._leaves(pretokens(text)))
+        self.look = max([LOOK, *map(len, bpe.special)])
+        self.root = built(self._leaves(bpe.split(text)))
 
     def _leaves(self, pieces: list[str]) -> list[Node]:
-        known = self.bpe.new.get
-        if len(self.bpe.new) > 500_000:
-            self.bpe.old, self.bpe.new = self.bpe.new, {}
-            known = self.bpe.new.get
         out = []
         for i in range(0, len(pieces), BLOCK):
             part = pieces[i : i + BLOCK]
-            out.append(Node(part, ",".join([known(x) or self.bpe.miss(x) for x in part]).count(",") + 1))
+            out.append(Node(part, ",".join(self.bpe.ids(part)).count(",") + 1))
         return out
 
     @property
@@ -128,11 +126,11 @@ class CountedText:
         stop = min(max(stop, start), self.chars)
         if start == stop and not text:
             return
-        # the part before: all pre-tokens that end LOOK characters in front of the edit, or earlier
-        before, leaf, after = parted(self.root, max(0, start - LOOK))
+        # the part before: all pre-tokens that end ``look`` characters in front of the edit, or earlier
+        before, leaf, after = parted(self.root, max(0, start - self.look))
         at, kept, changed = (before.chars if before else 0), [], []
         for k, piece in enumerate(leaf.pieces if leaf else []):
-            if at + len(piece) > start - LOOK:
+            if at + len(piece) > start - self.look:
                 changed = leaf.pieces[k:]
                 break
             kept.append(piece)
@@ -151,8 +149,8 @@ class CountedText:
         new: list[str] = []
         while True:
             # a boundary may be trusted if the text that decides it is there
-            ahead = LOOK if after else 1
-            pieces, here, boundaries = pretokens(fresh), begin, {e + shift for e in ends if e >= stop}
+            ahead = self.look if after else 1
+            pieces, here, boundaries = self.bpe.split(fresh), begin, {e + shift for e in ends if e >= stop}
             done = 0
             for k, piece in enumerate(pieces):
                 here += len(piece)
@@ -177,12 +175,13 @@ class CountedText:
 def edited_counts(docs: DataFrame, path: str, edits: str = "edits") -> DataFrame:
     """Counts before and after the edits in the column ``edits``, arrays of ``start, stop, text``.
 
-    Special tokens are ordinary text here, so that an edit can make or break one.
+    ``path``: a tokenizer file, which the driver reads and sends to the workers.
     """
+    content = docs.sparkSession.sparkContext.broadcast(content_of(path))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
+        bpe = tokenizer(content.value)
         for batch in batches:
             rows = []
             for text, script in zip(batch.column(1), batch.column(2), strict=True):

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 from sparktoire.llm import bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-OWN, REFERENCE = bpe.Bpe(PATH), Tokenizer.from_file(PATH)
+OWN, REFERENCE = bpe.Bpe(bpe.content_of(PATH)), Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=500, deadline=None)
