@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import copy
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -279,13 +282,20 @@ def tuned(df: DataFrame, grid=TUNING, folds: int = 3, trees: int = 100, n_penalt
         kept, p = model._fit_scores(train)
         inner = test.where(F.col("v_gene").isin(model.genes))
         q, truth = written(model.sequence_scores(inner)), base.people(test)
-        for candidate in grid:
-            model.strategy, model.setting = candidate
-            model._fit_forests(kept, p)
-            best = model._predicted(written(model._group_features(q, inner, model.threshold))).groupBy("specimen_label").agg(F.max_by("class", F.struct("score", -F.col("class_index"))).alias("predicted"))
-            rows = truth.join(best, "specimen_label").select("disease", "predicted").toPandas()
-            number = {c: i for i, c in enumerate(sorted({*rows["disease"], *rows["predicted"]}))}
-            sums[candidate] += linear.mcc_of(rows["predicted"].map(number).to_numpy(np.int64), rows["disease"].map(number).to_numpy(np.int64)) / folds if len(rows) else 0.0
+
+        def score(candidate: tuple[str, float], model=model, kept=kept, p=p, q=q, inner=inner, truth=truth) -> float:
+            own = copy.copy(model)
+            own.strategy, own.setting = candidate
+            own._fit_forests(kept, p)
+            best = own._predicted(written(own._group_features(q, inner, own.threshold))).groupBy("specimen_label").agg(F.max_by("class", F.struct("score", -F.col("class_index"))).alias("predicted"))
+            rows = truth.join(best, "specimen_label").select("disease", "predicted").collect()
+            number = {c: i for i, c in enumerate(sorted({v for r in rows for v in r}))}
+            return linear.mcc_of(np.array([number[r["predicted"]] for r in rows], np.int64), np.array([number[r["disease"]] for r in rows], np.int64)) if rows else 0.0
+
+        # the candidates' jobs are small and wait for each other; side by side they fill the executors
+        with ThreadPoolExecutor(len(grid)) as pool:
+            for candidate, value in zip(grid, pool.map(score, grid), strict=True):
+                sums[candidate] += value / folds
     best = max(grid, key=lambda c: (sums[c], -grid.index(c)))
     strategy, setting = best if sums[best] > 0 else FALLBACK
     return SequenceModel(strategy, setting, trees, n_penalties).fit(df), [(*c, v) for c, v in sums.items()]

@@ -18,12 +18,16 @@ BLOCK = ("v_gene", "j_gene", "cdr3_len")
 
 
 def _segments(df: DataFrame, block: tuple[str, ...], identity: float) -> DataFrame:
-    """A row for each of the ``d + 1`` segments of a sequence."""
+    """A row for each of the ``d + 1`` segments of a sequence: every ``d + 1``-th letter.
+
+    Sequences of one gene pair begin and end alike, so a segment of neighbours would often be common;
+    these all have letters of the middle.
+    """
     d = X.most_mismatches(F.col("cdr3_len"), identity)
     rows = df.select(*block, "cdr3", d.alias("d")).where("d > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("part"))
-    start = F.floor(F.col("part") * F.col("cdr3_len") / (F.col("d") + 1)).cast("int")
-    stop = F.floor((F.col("part") + 1) * F.col("cdr3_len") / (F.col("d") + 1)).cast("int")
-    return rows.withColumn("segment", F.substr("cdr3", start + 1, stop - start))
+    places = F.sequence(F.lit(0), F.floor((F.col("cdr3_len") - 1 - F.col("part")) / (F.col("d") + 1)).cast("int"))
+    letters = F.transform(places, lambda k: F.substr("cdr3", F.col("part") + 1 + k * (F.col("d") + 1), F.lit(1)))
+    return rows.withColumn("segment", F.when(F.col("part") < F.col("cdr3_len"), F.array_join(letters, "")).otherwise(""))
 
 
 def similar_pairs(sequences: DataFrame, identity: float, block: tuple[str, ...] = BLOCK) -> DataFrame:
@@ -113,6 +117,20 @@ def clones(df: DataFrame, identity: float, method: str = "single", per: str = "p
     return rows.join(ids, [per, "__cluster"], "left").withColumn("clone_id", F.coalesce("__id", F.lit("Unknown"))).drop("__cluster", "__id")
 
 
+def assigned_clones(df: DataFrame, locus: str = "TCR", force: bool = False, method: str = "single", identity: float | None = None) -> DataFrame:
+    """Rows with a ``clone_id``: the one they have, unless ``force``, else that of clusters within the participant.
+
+    Nucleotides (``cdr3``) are compared if there are any, else residues (``cdr3_aa``), each at its own identity.
+    """
+    if "clone_id" in df.columns and not force:
+        return df
+    nucleotides = "cdr3" in df.columns
+    text = X.clean_nucleotides(F.col("cdr3")) if nucleotides else X.clean_sequence(F.col("cdr3_aa"))
+    x = df.drop("clone_id").withColumns({"__own": F.col("cdr3") if nucleotides else F.lit(None).cast("string"), "cdr3": text})
+    out = clones(x, X.identity_threshold(locus, nucleotides, identity), method).drop("cdr3", "cdr3_len")
+    return out.withColumnRenamed("__own", "cdr3") if nucleotides else out.drop("__own")
+
+
 def paired_clones(df: DataFrame, heavy: str, light: str, per: str = "participant_label") -> DataFrame:
     """Clone ids of heavy and light chain pairs; ``Unknown`` if either is."""
     pair = F.when((F.col(heavy) == "Unknown") | (F.col(light) == "Unknown"), "Unknown").otherwise(F.concat_ws("|", heavy, light))

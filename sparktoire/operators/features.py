@@ -53,6 +53,13 @@ def group_frequencies(df: DataFrame, groups: DataFrame, specimen: str = "specime
     return kept.groupBy(specimen, "v_gene").agg(F.count("*").alias("n")).withColumn("frequency", share(F.col("n"), specimen))
 
 
+def isotype_shares(df: DataFrame, specimen: str = "specimen_label", label: str = "disease") -> DataFrame:
+    """The share of each isotype among a specimen's rows, with its mean over the specimens of the class that have it."""
+    x = df.groupBy(specimen, label, "isotype_supergroup").agg(F.count(F.lit(1)).alias("n")).withColumn("share", share(F.col("n"), specimen))
+    means = x.groupBy(label, "isotype_supergroup").agg(F.avg("share").alias("class_share"))
+    return x.join(means, [label, "isotype_supergroup"])
+
+
 # ---- weighted aggregation of probabilities ----------------------------------------------------
 
 #: ``mean``, ``median``, and two that keep confident rows only: by a share of the largest entropy, or a bound.

@@ -61,6 +61,21 @@ def step_counts(raw: DataFrame) -> DataFrame:
     )
 
 
+def filter_effectiveness(steps: DataFrame) -> DataFrame:
+    """``step, n_dropped, share``: what each step drops of the rows that reach it."""
+    sums = steps.agg(*(F.sum(c).cast("long").alias(c) for c in ("n_raw", "dropped_productive", "dropped_v_score", "dropped_residues")))
+    reach, rows = F.col("n_raw"), []
+    for step in ("productive", "v_score", "residues"):
+        rows.append(F.struct(F.lit(step).alias("step"), F.col(f"dropped_{step}").alias("n_dropped"), (F.col(f"dropped_{step}") / F.nullif(reach, F.lit(0))).alias("share")))
+        reach = reach - F.col(f"dropped_{step}")
+    return sums.select(F.inline(F.array(*rows)))
+
+
+def fold_by_disease(metadata: DataFrame, diseases: list[str]) -> DataFrame:
+    """Participants of each fold, a column per disease."""
+    return metadata.groupBy("CV_fold").pivot("disease", diseases).agg(F.countDistinct("participant_label")).na.fill(0)
+
+
 def specimen_statistics(metadata: DataFrame, steps: DataFrame, gate: DataFrame) -> DataFrame:
     """One row per specimen with its participant's counts; participants without one keep a row."""
     x = metadata.select("participant_label", "specimen_label", "CV_fold")

@@ -58,6 +58,12 @@ def a15(spark, d):
     return features.group_frequencies(x, features.common_v_genes_by_class(x)).withColumn("frequency", F.round("frequency", 9))
 
 
+@query("a15_isotype_shares", WITH + ", i AS (SELECT specimen_label, disease, CASE WHEN num_reads % 3 = 0 THEN 'IGHM' ELSE 'IGHG' END AS isotype_supergroup, count(*) AS n FROM down GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY specimen_label) AS share FROM i) SELECT specimen_label, disease, isotype_supergroup, n, round(share, 9) AS share, round(avg(share) OVER (PARTITION BY disease, isotype_supergroup), 9) AS class_share FROM s")
+def a15_isotypes(spark, d):
+    x = downsampled(spark, d).withColumn("isotype_supergroup", F.when(F.col("num_reads") % 3 == 0, "IGHM").otherwise("IGHG"))
+    return features.isotype_shares(x).withColumns({c: F.round(c, 9) for c in ("share", "class_share")})
+
+
 @query("a29_unscored_specimens", WITH + f", {_BY_CLASS} SELECT DISTINCT specimen_label FROM down WHERE specimen_label NOT IN (SELECT specimen_label FROM down WHERE v_gene IN (SELECT v_gene FROM kept))")
 def a29(spark, d):
     x = downsampled(spark, d)
@@ -114,6 +120,7 @@ def _strategy(name: str, condition: str, **options):
 
 _strategy("a13_mean", "true", strategy="mean")
 _strategy("a13_entropy_cutoff", "h < CAST(0.8 AS DOUBLE) * ln(3.0)", strategy="entropy_cutoff", fraction=0.8)
+_strategy("a13_entropy_cutoff_90", "h < CAST(0.9 AS DOUBLE) * ln(3.0)", strategy="entropy_cutoff", fraction=0.9)
 _strategy("a13_entropy_bound", "h < 0.6", strategy="entropy_percentile_cutoff", threshold=0.6)
 
 

@@ -386,6 +386,16 @@ def a20(spark, d):
     return x.withColumns({c: F.round(c, 6) for c in ("mean", "median", "deviation")})
 
 
+@query("a20_filter_effectiveness", WITH + f", {_STEPS}, t AS (SELECT CAST(sum(n_raw) AS BIGINT) AS r, CAST(sum(dropped_productive) AS BIGINT) AS p, CAST(sum(dropped_v_score) AS BIGINT) AS v, CAST(sum(dropped_residues) AS BIGINT) AS x FROM steps) SELECT 'productive' AS step, p AS n_dropped, round(p / r, 9) AS share FROM t UNION ALL SELECT 'v_score', v, round(v / (r - p), 9) FROM t UNION ALL SELECT 'residues', x, round(x / (r - p - v), 9) FROM t")
+def a20_filters(spark, d):
+    return selection.filter_effectiveness(selection.step_counts(repertoire(spark, d))).withColumn("share", F.round("share", 9))
+
+
+@query("a20_fold_by_disease", WITH + 'SELECT CV_fold, count(DISTINCT participant_label) FILTER (WHERE disease = \'AUTOMOBILE\') AS "AUTOMOBILE", count(DISTINCT participant_label) FILTER (WHERE disease = \'BUILDING\') AS "BUILDING", count(DISTINCT participant_label) FILTER (WHERE disease = \'FURNITURE\') AS "FURNITURE", count(DISTINCT participant_label) FILTER (WHERE disease = \'HOUSEHOLD\') AS "HOUSEHOLD", count(DISTINCT participant_label) FILTER (WHERE disease = \'MACHINERY\') AS "MACHINERY" FROM meta GROUP BY 1')
+def a20_folds(spark, d):
+    return selection.fold_by_disease(metadata(spark, d), ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
+
+
 @query("a21_first_value", WITH + "SELECT specimen_label, min(disease) AS disease FROM down GROUP BY 1")
 def a21(spark, d):
     return downsampled(spark, d).groupBy("specimen_label").agg(F.min("disease").alias("disease"))

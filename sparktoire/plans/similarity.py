@@ -111,8 +111,8 @@ def c03(spark, d):
 def c05(spark, d):
     """Clones of all participants in one job, on nucleotides at the identity for them; of 15 letters, no mismatch is allowed."""
     letters = F.substr(F.translate("sequence", "0123456789abcdef", "ACGTACGTACGTACGT"), F.lit(1), F.lit(15))
-    x = written(cleaned(spark, d).select("participant_label", "ord", "v_gene", "j_gene", letters.alias("cdr3")))
-    return clustering.clones(x, X.identity_threshold("TCR", True)).select("participant_label", "ord", "clone_id")
+    x = written(cleaned(spark, d).select("participant_label", "ord", "v_gene", "j_gene", "clone_id", letters.alias("cdr3")))
+    return clustering.assigned_clones(x, "TCR", force=True).select("participant_label", "ord", "clone_id")
 
 
 @query("c04_participant_clones", _WITH + f", {_CLONES} SELECT participant_label, count(*) AS n_rows, count(DISTINCT clone_id) AS n_clones FROM clo GROUP BY 1")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparktoire.functions import expressions as X
 from sparktoire.models import classifiers
 from sparktoire.models.sequence_level import choose_ridge, fit_groups, score_groups
-from sparktoire.operators import clustering, enrichment, features, predictions, splits
+from sparktoire.operators import clustering, enrichment, features, metrics, predictions, splits
 
 
 def test_threshold_uses_doubles(spark):
@@ -98,3 +98,35 @@ def test_ensemble_follows_its_models(spark):
     df = spark.createDataFrame([*rows, ("S99", "P99", 1, "A", None, "A")], "specimen_label string, participant_label string, model int, class string, score double, disease string")
     scores = classifiers.Ensemble(n_penalties=10).fit(df).predict(df).where("class = 'A'").collect()
     assert all((s.score > 0.5) == (int(s.specimen_label[1:]) % 2 == 0) for s in scores) and len(scores) == 40
+
+
+def test_clones_are_assigned_on_nucleotides_if_there_are_any(spark):
+    rows = [("P1", "V1", "J1", "CASSLAPGETQYF", "ACGTACGTACGTACGTACGT"), ("P1", "V1", "J1", "CASSLAPGETQYW", "acgtacgtacgt-acgtacgt"), ("P1", "V1", "J1", "CASSLAPGETQYF", "TTTTACGTACGTACGTAAAA"), ("P2", "V1", "J1", "CASSLAPGETQYF", "ACGN")]
+    df = spark.createDataFrame(rows, "participant_label string, v_gene string, j_gene string, cdr3_aa string, cdr3 string")
+    on_nt = sorted(((r.participant_label, r.cdr3, r.clone_id) for r in clustering.assigned_clones(df).collect()), key=repr)
+    assert on_nt == [("P1", "ACGTACGTACGTACGTACGT", "Clone_1"), ("P1", "TTTTACGTACGTACGTAAAA", "Clone_2"), ("P1", "acgtacgtacgt-acgtacgt", "Clone_1"), ("P2", "ACGN", "Unknown")]
+    on_aa = clustering.assigned_clones(df.drop("cdr3"), "TCR").collect()
+    assert {r.clone_id for r in on_aa} == {"Clone_1"}
+    named = df.withColumn("clone_id", F.lit("mine"))
+    assert {r.clone_id for r in clustering.assigned_clones(named).collect()} == {"mine"}
+    assert "mine" not in {r.clone_id for r in clustering.assigned_clones(named, force=True).collect()}
+
+
+def test_segments_skip_common_ends(spark):
+    r = random.Random(4)
+    texts = ["CASS" + "".join(r.choices("ACDEFGHIKLMNPQRSTVWY", k=7)) + "EQYF" for _ in range(300)]
+    df = spark.createDataFrame([("V", "J", 15, t) for t in texts], "v_gene string, j_gene string, cdr3_len int, cdr3 string")
+    segments = clustering._segments(df, clustering.BLOCK, 0.85)
+    assert segments.groupBy("part", "segment").count().agg({"count": "max"}).first()[0] < 60
+    want = {(a, b) for a, b in itertools.combinations(sorted(set(texts)), 2) if sum(x != y for x, y in zip(a, b, strict=True)) / 15 <= 1 - 0.85}
+    assert {(p.a, p.b) for p in clustering.similar_pairs(df, 0.85).collect()} == want
+
+
+def test_scores_of_missing_classes_and_thresholds(spark):
+    scores = spark.createDataFrame([("S1", "A", "A", 0, 0.7), ("S1", "A", "B", 1, 0.3), ("S2", "C", "A", 0, 0.6), ("S2", "C", "B", 1, 0.4)], "specimen_label string, true_class string, class string, class_index int, score double")
+    full = metrics.with_all_classes(scores)
+    assert sorted((x.specimen_label, x.score) for x in full.where("class = 'C'").collect()) == [("S1", 0.0), ("S2", 0.0)]
+    areas = {x["class"]: x.auroc for x in metrics.auroc(metrics.one_vs_rest(full), ["class"]).collect()}
+    assert areas == {"A": 1.0, "B": None, "C": 0.5}
+    half = {x["class"]: (x.sensitivity, x.specificity) for x in metrics.at_threshold(metrics.one_vs_rest(full), ["class"]).collect()}
+    assert half == {"A": (1.0, 0.0), "B": (None, 1.0), "C": (0.0, 1.0)}

@@ -9,7 +9,6 @@ import pytest
 from sparktoire.plans.registry import FLAGSHIP, ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
-SLOW = {"m01_repertoire_model", "m02_cluster_model", "m06_sequence_model", "m12_ensemble"}
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +39,7 @@ def test_same_rows_as_sql(spark, tables, name):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
     df = QUERIES[name](spark, str(DATA))
     assert len(set(df.columns)) == len(df.columns) and df.count() > 0

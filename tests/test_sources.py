@@ -1,6 +1,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparktoire.operators import cleaning
 from sparktoire.sources import repertoires as r
@@ -79,3 +80,55 @@ def test_stream_cleans_each_file_once(spark, tmp_path):
         ingest.clean_new_files(spark, src, x.schema, target, checkpoint)
         ingest.clean_new_files(spark, src, x.schema, target, checkpoint)
         assert spark.read.parquet(target).count() == expected
+
+
+def test_caches_are_built_again_when_spoilt(spark, tmp_path):
+    x, path = spark.range(10).selectExpr("id", "CAST(id AS string) AS label"), str(tmp_path / "cache")
+    built = lambda settings: r.cached(spark, path, settings, lambda: x)[1]
+    assert [built({"a": 1}), built({"a": 1}), built({"a": 2}), built({"a": 2})] == [True, False, True, False]
+    part = next(p for p in (tmp_path / "cache").iterdir() if p.suffix == ".parquet")
+    part.write_bytes(part.read_bytes()[:20])
+    assert [built({"a": 2}), built({"a": 2})] == [True, False]
+    spark.range(3).selectExpr("id", "'x' AS label").write.mode("append").parquet(path)
+    assert [built({"a": 2}), built({"a": 2})] == [True, False]
+    assert {x.name for x in r.cache_sizes(spark, str(tmp_path)).where("n_bytes > 0").collect()} == {"cache", "cache.json"}
+
+
+def test_splits_are_checked(spark, tmp_path):
+    people = spark.createDataFrame([(f"P{i}", f"S{i}", "AB"[i % 2], i % 3) for i in range(30)], "participant_label string, specimen_label string, disease string, CV_fold int")
+    path = str(tmp_path / "splits")
+    made = lambda m: r.checked_splits(spark, path, m, "cv_ensemble", 0)[1]
+    assert [made(people), made(people), made(people.where("participant_label <> 'P3'")), made(people), made(people)] == [True, False, True, True, False]
+    for f in (tmp_path / "splits").glob("*.csv"):
+        f.write_text(f.read_text().replace("test", "unknown"))
+    for f in (tmp_path / "splits").glob(".*.crc"):
+        f.unlink()
+    assert [made(people), made(people)] == [True, False]
+
+
+def test_embeddings_are_aligned_and_checked(spark):
+    s = spark.createDataFrame([("S1", "1", None, "V1"), ("S1", "1", "x", "V2")], "specimen_label string, clone string, isotype string, v_gene string")
+    e = s.withColumn("embedding", F.array(F.lit(1.0)))
+    keys = ["specimen_label", "clone", "isotype"]
+    assert r.aligned_embeddings(s, e, keys, ("v_gene",)).where("embedding IS NOT NULL").count() == 2
+    for a, b in ((s, e.limit(1)), (s, e.unionByName(e)), (s.unionByName(s), e), (s, e.withColumn("v_gene", F.lit("V9")))):
+        with pytest.raises(ValueError):
+            r.aligned_embeddings(a, b, keys, ("v_gene",))
+
+
+def test_bad_files_and_subsets(spark, tmp_path):
+    folder = tmp_path / "tables"
+    folder.mkdir()
+    for p in ("P1", "P2", "P3"):
+        with gzip.open(folder / f"part_table_{p}.tsv.gz", "wt") as f:
+            f.write(HEADER + f"S{p}\tTRBV1\tTRBJ1\tCASSLAPG\tT\t90\tA\tR0\t1\t1\n" * 3)
+    (folder / "part_table_P3.tsv.gz").write_bytes(b"not a gzip file at all")
+    with pytest.raises(Exception):
+        r.read_sequences(spark, str(folder)).count()
+    df = r.read_sequences(spark, str(folder), skip_bad=True)
+    assert {x.participant_label for x in df.collect()} == {"P1", "P2"} and df.select("ord").distinct().count() == 6
+    assert {x.participant_label for x in r.read_sequences(spark, str(folder), participants=["P2"]).collect()} == {"P2"}
+    kept = r.write_subset(df, df.where("participant_label = 'P1'"), str(tmp_path / "subset"))
+    assert kept.count() == 3
+    with pytest.raises(ValueError):
+        r.write_subset(df, spark.createDataFrame([("P9",)], "participant_label string"), str(tmp_path / "none"))
