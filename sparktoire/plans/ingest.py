@@ -150,11 +150,12 @@ def p26(spark, d):
     return downsampled(spark, d).join(kept, "v_gene", "left_semi").groupBy("specimen_label", "v_gene").agg(F.count("*").alias("n"))
 
 
-@query("p27_hamming_identity", WITH + ", p AS (SELECT DISTINCT a.cdr3 AS a, b.cdr3 AS b FROM seqs a JOIN seqs b ON a.participant_label = b.participant_label AND a.cdr3_len = b.cdr3_len AND a.cdr3 < b.cdr3) SELECT a, b, round(1 - hamming(a, b) / length(a), 9) AS identity FROM p")
+@query("p27_hamming_identity", WITH + "SELECT DISTINCT participant_label, cdr3, round(1 - hamming(cdr3, least) / cdr3_len, 9) AS identity FROM (SELECT *, min(cdr3) OVER (PARTITION BY participant_label, cdr3_len) AS least FROM seqs)")
 def p27(spark, d):
+    """Of each sequence with the first one of its participant and length."""
     x = sequences(spark, d).select("participant_label", "cdr3_len", "cdr3").distinct()
-    pairs = x.withColumnRenamed("cdr3", "a").join(x.withColumnRenamed("cdr3", "b"), ["participant_label", "cdr3_len"]).where("a < b").select("a", "b").distinct()
-    return pairs.withColumn("identity", F.round(X.hamming_identity(F.col("a"), F.col("b")), 9))
+    least = x.groupBy("participant_label", "cdr3_len").agg(F.min("cdr3").alias("least"))
+    return x.join(least, ["participant_label", "cdr3_len"]).select("participant_label", "cdr3", F.round(X.hamming_identity(F.col("cdr3"), F.col("least")), 9).alias("identity"))
 
 
 @query("p28_ordinals", "SELECT p_partkey, i - 1 AS position, ascii(substr(p_brand, CAST(i AS INT), 1)) AS code FROM (SELECT p_partkey, p_brand, unnest(range(1, length(p_brand) + 1)) AS i FROM part)")

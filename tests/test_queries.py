@@ -9,6 +9,8 @@ import pytest
 from sparktoire.plans.registry import FLAGSHIP, ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
+#: Searches that fit many models; test_models.py has both on fewer candidates.
+SEARCHES = {"m07_tuned_strategy", "t04_importances"}
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +41,7 @@ def test_same_rows_as_sql(spark, tables, name):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SEARCHES))
 def test_gives_rows(spark, name):
     df = QUERIES[name](spark, str(DATA))
     assert len(set(df.columns)) == len(df.columns) and df.count() > 0
