@@ -105,10 +105,11 @@ def common_prefixes(word: np.ndarray, order: np.ndarray) -> np.ndarray:
     for depth in range(_DEPTH):
         a, b = (order[:-1], order[1:]) if open_ is None else (order[open_], order[open_ + 1])
         differ = word[np.minimum(a + 8 * depth, n)] ^ word[np.minimum(b + 8 * depth, n)]
-        equal = 8 - np.searchsorted(_WIDTHS, differ, "right")
-        where = slice(None) if open_ is None else open_
-        out[where] += equal
-        open_ = np.flatnonzero(equal == 8) if open_ is None else open_[equal == 8]
+        where = np.arange(len(differ)) if open_ is None else open_
+        apart = np.flatnonzero(differ)
+        out[where] += 8
+        out[where[apart]] -= np.searchsorted(_WIDTHS, differ[apart], "right")
+        open_ = where[differ == 0]
         if not len(open_):
             break
     return out
