@@ -8,6 +8,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,16 +33,23 @@ def shared_folder(spark: SparkSession) -> str:
     return kept.get()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written and read again; the shuffle files that made it go with its query."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/steps/{uuid.uuid4().hex}"
+@contextmanager
+def without_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write go when it has ended: nothing reads them again, as its table is the only result."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
+
+
+def written(df: DataFrame, folder: str = "steps", compression: str = "snappy") -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: its lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{folder}/{uuid.uuid4().hex}"
+    with without_leftovers(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
