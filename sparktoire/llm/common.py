@@ -2,58 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparktoire.operators import storage
 
 #: Files of a bucketed table, Spark's own limit; beyond it a file holds several buckets, each still one group.
 MOST_BUCKETS = 100_000
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
-
-    Where both are unset, a folder of this machine serves a local session; a cluster gets an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not kept.isDefined():
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir is not set: the executors have no folder in common")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-            kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = kept.get()
-    return path
-
-
-@contextmanager
-def _without_leftovers(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a write go when it has ended: nothing reads them again, as its table is the only result."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
-
-
 def materialized(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    with _without_leftovers(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return storage.written(df, "tables", "zstd")
 
 
 def bucketed(df: DataFrame, n: int, column: str) -> DataFrame:
@@ -62,8 +27,8 @@ def bucketed(df: DataFrame, n: int, column: str) -> DataFrame:
     ``df`` should already be dealt by ``column``, so that each bucket is one file.
     """
     name = f"bucketed_{uuid.uuid4().hex}"
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}"
-    with _without_leftovers(df.sparkSession):
+    path = f"{storage.shared_folder(df.sparkSession)}/tables/{name}"
+    with storage.without_leftovers(df.sparkSession):
         df.write.option("compression", "zstd").option("path", path).bucketBy(min(n, MOST_BUCKETS), column).sortBy(column).saveAsTable(name)
     return df.sparkSession.table(name)
 
@@ -71,12 +36,11 @@ def bucketed(df: DataFrame, n: int, column: str) -> DataFrame:
 def dropped(df: DataFrame) -> None:
     """Delete a table that ``materialized`` or ``bucketed`` wrote, once nothing reads it again."""
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for parent in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
-        if path.getName().startswith("bucketed_"):
-            spark.sql(f"DROP TABLE IF EXISTS {path.getName()}")
+        storage.delete(spark, parent)
+        name = parent.rsplit("/", 1)[1]
+        if name.startswith("bucketed_"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
