@@ -42,7 +42,7 @@ from sparktoire.llm import textbytes as tb
 from sparktoire.llm.common import bucketed, dropped, materialized, text_bytes
 from sparktoire.llm.keys import arrow_table, dealt, distinct, of_planes, packed, packed_counts, planes, unpacked, unpacked_counts
 
-SOURCE_BYTES, LEAST_SOURCES = 8 << 20, 16
+SOURCE_BYTES, LEAST_SOURCES = 6 << 20, 16
 LARGEST = 5
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 WORD, BIGRAM, TRIGRAM = ORDERS = 0, 1, 2
