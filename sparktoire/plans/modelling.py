@@ -78,13 +78,6 @@ def t04(spark, d):
     return classifiers.SequenceModel(n_penalties=10).fit(train).importances(10)
 
 
-@query("m07_tuned_strategy")
-def m07(spark, d):
-    """The mean MCC over folds of each strategy of the sequence model, with forests and paths of a search's size."""
-    _, means = classifiers.tuned(written(_embedded(spark, d)), trees=20, n_penalties=10)
-    return spark.createDataFrame(means, "strategy string, setting double, mean_mcc double")
-
-
 @query("m09_penalty_path")
 def m09(spark, d):
     """The mean held-out deviance along the repertoire model's penalties."""
