@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktoire.llm import bpe, decontaminate, katz, langid, near_dedup, quality, suffix_dedup, tokencount, toxicity, urlfilter
+from sparktoire.llm import bpe, decontaminate, filter_audit, katz, langid, near_dedup, quality, suffix_dedup, tokencount, tokenfiles, toxicity, urlfilter
 from sparktoire.llm.common import table
+from sparktoire.operators.storage import shared_folder
 
 
 def tokenizer_path(name: str) -> str:
@@ -56,6 +58,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/token_files/{uuid.uuid4().hex}"
+    tokenfiles.write(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), folder, end_id=2)
+    return tokenfiles.documents(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -67,4 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "op9_url_filters": op9_url_filters,
     "op10_language_id": op10_language_id,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_token_files": op13_token_files,
 }
