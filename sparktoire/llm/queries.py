@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktoire.llm import bpe, decontaminate, filter_audit, katz, langid, near_dedup, quality, suffix_dedup, tokencount, tokenfiles, toxicity, urlfilter
+from sparktoire.llm import bpe, decontaminate, filter_audit, hard_negatives, katz, langid, near_dedup, quality, suffix_dedup, tokencount, tokenfiles, toxicity, urlfilter
 from sparktoire.llm.common import table
 from sparktoire.operators.storage import shared_folder
 
@@ -58,6 +58,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "op9_url_filters": op9_url_filters,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_filter_audit": op12_filter_audit,
     "op13_token_files": op13_token_files,
 }

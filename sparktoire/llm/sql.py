@@ -53,15 +53,25 @@ x AS (SELECT doc_id, item_id, count(DISTINCT s) AS n_shared FROM ds JOIN bs USIN
 SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment FROM x JOIN n USING (item_id) WHERE n_shared * 100 >= n_shingles * 80
 """
 
+OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, s AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, id AS negative_id, positive_score, s AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s AND 100 * s <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s DESC, id) QUALIFY row_number() OVER w <= 3
+"""
+
 OP12 = """
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
 lab AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
 f AS (SELECT part, coalesce(lab.good, false) AS good, coalesce(lab.toxic, false) AS toxic,
-        list_filter(['A', 'B', 'C', 'D', 'E'], (x, i) -> [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > least, false)][i]) AS fails
+        list_filter(['A', 'B', 'C', 'D', 'E'], lambda x, i: [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > least, false)][i]) AS fails
       FROM d LEFT JOIN lab USING (doc_id)),
 l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
 o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
-r AS (SELECT *, coalesce(list_min(list_transform(fails, x -> strpos(filter_order, x))), 6) AS gone FROM f, o),
+r AS (SELECT *, coalesce(list_min(list_transform(fails, lambda x: strpos(filter_order, x))), 6) AS gone FROM f, o),
 s AS (SELECT part, filter_order, CAST(step AS INT) AS step, substr(filter_order, step, 1) AS letter,
         count(*) FILTER (gone > step) AS kept, count(*) FILTER (gone = step) AS removed, count(*) FILTER (gone < step AND list_contains(fails, substr(filter_order, step, 1))) AS redundant,
         count(*) FILTER (fails = [substr(filter_order, step, 1)]) AS unique_fails, count(*) FILTER (gone = step AND good) AS good_lost, count(*) FILTER (gone = step AND toxic) AS toxic_lost
@@ -69,4 +79,4 @@ s AS (SELECT part, filter_order, CAST(step AS INT) AS step, substr(filter_order,
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM s
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op2_benchmark_decontamination": OP2, "op5_suffix_array_dedup": OP5, "op12_filter_audit": OP12}
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op2_benchmark_decontamination": OP2, "op5_suffix_array_dedup": OP5, "op11_hard_negatives": OP11, "op12_filter_audit": OP12}
