@@ -28,6 +28,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ POSITIVES, NEGATIVES = 5, 3
 #: A negative's score is from the first to the second percentage of its positive's.
 LOW_PERCENT, HIGH_PERCENT = 50, 95
 SCALE = 256
-BLOCK, LEAF, ANCHORS = 2048, 128, 4096
+BLOCK, LEAF, ANCHORS = 2048, 256, 4096
 CELLS, SAMPLE = 256, 4096
 #: Sums of products below it are exact in a double.
 EXACT = float(1 << 53)
@@ -109,9 +110,11 @@ def grown(x: np.ndarray, most: float, leaf: int) -> tuple[Tree, np.ndarray]:
     return Tree(np.array(vantage).reshape(-1, n + 1), np.array(child, np.int32), np.array(near), np.array(far), np.array(run, np.int32)), np.array(order, np.int64)
 
 
-def bounds(tree: Tree, q: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """``(least, largest)`` distance that rows of each node's two children can have from an anchor, by its own vantage point."""
-    d = np.sqrt(np.maximum(q @ q + np.einsum("ij,ij->i", tree.vantage, tree.vantage) - 2 * (tree.vantage[:, :-1] @ q), 0))[:, None]
+def bounds(tree: Tree, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(least, largest)`` distance that rows of each node's two children can have from each anchor of ``q``, by the
+    node's vantage point (``anchors x nodes x children``)."""
+    squares = np.einsum("ij,ij->i", q, q)[:, None] + np.einsum("ij,ij->i", tree.vantage, tree.vantage) - 2 * (q @ tree.vantage[:, :-1].T)
+    d = np.sqrt(np.maximum(squares, 0))[:, :, None]
     return np.maximum(np.maximum(d - tree.far, tree.near - d), 0), d + tree.far
 
 
@@ -125,15 +128,19 @@ class Block:
     row: np.ndarray
     label: np.ndarray
 
-    def nearest_first(self, q: np.ndarray, most: float, high: int, low: int, wanted) -> Iterator[tuple[int, int]]:
-        """``(score, place)`` of the rows that ``wanted(run)`` marks with ``low <= score <= high``, the nearest first.
+    def nearest_first(self, q: np.ndarray, most: float, least: np.ndarray | None, largest: np.ndarray | None, windows: list[tuple[int, int]], k: int, wanted) -> Iterator[tuple[int, int]]:
+        """``(score, place)`` of the rows that ``wanted(run)`` marks, the nearest first: of each window ``(low, high)`` of
+        scores at least the ``k`` best, or all if it has fewer.
 
         One queue holds nodes by the highest score that a row in them can have, and of each opened leaf
-        its next row; rows of equal score leave it by id and row.
+        its next row; rows of equal score leave it by id and row. What lies outside the annulus of all windows,
+        or below the ``k``-th best of each of them so far, doesn't enter it.
         """
-        span, slack = q @ q + most, 1e-6 * (1 + abs(q @ q + most)) if most < EXACT else 0.0
+        floor, high = min(w[0] for w in windows), max(w[1] for w in windows)
+        tops: list[list[int]] = [[] for _ in windows]
+        span = q @ q + most
+        slack = 1e-6 * (1 + abs(span)) if most < EXACT else 0.0
         inner = np.sqrt(max(span - 2.0 * high, 0.0)) if most < EXACT else 0.0
-        least, largest = bounds(self.tree, q, most) if most < EXACT else (None, None)
         # (least negative score, 0 for a node or 1 for a row, id is null, id, row, number, node or place in the stream, stream)
         queue: list[tuple] = [(-float("inf"), 0, 0, 0, 0, 0, 0, None)] if len(self.x) else []
         n = 0
@@ -145,21 +152,28 @@ class Block:
                 if at + 1 < len(stream[0]):
                     heapq.heappush(queue, self._entry(stream, at + 1, n))
                 continue
+            if -key < floor:
+                continue
             a, b = self.tree.child[at]
             if a >= 0:
                 for c, d, e in zip((a, b), least[at], largest[at], strict=True):
                     top = (span - d * d) / 2 + slack
-                    if top >= low and e + slack >= inner:
+                    if top >= floor and e + slack >= inner:
                         n += 1
                         heapq.heappush(queue, (max(key, -top), 0, 0, 0, 0, n, int(c), None))
                 continue
             start, end = self.tree.run[at]
             s = scores(self.x[start:end], q, most)
-            mine = np.flatnonzero((s <= high) & (s >= low) & wanted(slice(start, end)))
+            mine = np.flatnonzero((s <= high) & (s >= floor) & wanted(slice(start, end)))
             if len(mine):
-                of = {int(start + i): int(s[i]) for i in mine}
-                places = sorted(of, key=lambda p, of=of: (-of[p], self.vec_id[p] is None, self.vec_id[p] or 0, int(self.row[p])))
-                heapq.heappush(queue, self._entry((places, of), 0, n))
+                found = s[mine].tolist()
+                for top, (low, up) in zip(tops, windows, strict=True):
+                    top[:] = sorted(top + [v for v in found if low <= v <= up])[-k:]
+                floor = min(top[0] if len(top) == k else low for top, (low, _) in zip(tops, windows, strict=True))
+                of = {int(start + i): v for i, v in zip(mine.tolist(), found, strict=True) if v >= floor}
+                if of:
+                    places = sorted(of, key=lambda p, of=of: (-of[p], self.vec_id[p] is None, self.vec_id[p] or 0, int(self.row[p])))
+                    heapq.heappush(queue, self._entry((places, of), 0, n))
 
     def _entry(self, stream: tuple, at: int, n: int) -> tuple:
         """The next row of an opened leaf; a node comes before the rows of its own bound."""
@@ -344,30 +358,26 @@ def searched(index: Index, anchors: DataFrame, windows: bool, k: int) -> DataFra
         if len(asked) and len(tree):
             block = unpacked(tree.to_pylist()[0], width)
             vectors = matrix(asked["vector"].combine_chunks(), width)
-            for q, x in zip(vectors, asked.drop_columns(["vector"]).to_pylist(), strict=True):
-                found = window_rows(block, q, most, x, k) if windows else best_rows(block, q, most, x, k)
+            least, largest = bounds(block.tree, vectors) if most < EXACT else ([None] * len(vectors),) * 2
+            for q, a, b, x in zip(vectors, least, largest, asked.drop_columns(["vector"]).to_pylist(), strict=True):
+                found = (window_rows if windows else best_rows)(block, q, most, a, b, x, k)
                 out += [(x["row"], x["vec_id"], at, s, block.vec_id[p], int(block.row[p])) for at, s, p in found]
         return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return routed.groupBy("block", "part").cogroup(trees.groupBy("tree_block", "tree_part")).applyInArrow(search, "anchor long, vec_id long, at int, score long, found long, found_row long")
 
 
-def best_rows(block: Block, q: np.ndarray, most: float, x: dict, k: int) -> list[tuple[int, int, int]]:
-    out = []
-    for s, p in block.nearest_first(q, most, LAST, -LAST - 1, lambda r: (block.label[r] == x["label"]) & (block.row[r] != x["row"])):
-        out.append((0, s, p))
-        if len(out) == k:
-            break
-    return out
+def best_rows(block: Block, q: np.ndarray, most: float, least, largest, x: dict, k: int) -> list[tuple[int, int, int]]:
+    rows = block.nearest_first(q, most, least, largest, [(-LAST - 1, LAST)], k, lambda r: (block.label[r] == x["label"]) & (block.row[r] != x["row"]))
+    return [(0, s, p) for s, p in islice(rows, k)]
 
 
-def window_rows(block: Block, q: np.ndarray, most: float, x: dict, k: int) -> list[tuple[int, int, int]]:
+def window_rows(block: Block, q: np.ndarray, most: float, least, largest, x: dict, k: int) -> list[tuple[int, int, int]]:
     """One walk from the highest window down to the lowest that still lacks rows serves all of them."""
     out, left = [], {i: k for i in range(len(x["high"])) if x["high"][i] >= x["low"][i]}
     if not left:
         return out
-    high, low = max(x["high"][i] for i in left), min(x["low"][i] for i in left)
-    for s, p in block.nearest_first(q, most, high, low, lambda r: block.label[r] != x["label"]):
+    for s, p in block.nearest_first(q, most, least, largest, [(x["low"][i], x["high"][i]) for i in left], k, lambda r: block.label[r] != x["label"]):
         for i in [i for i in left if x["low"][i] <= s <= x["high"][i]]:
             out.append((i, s, p))
             left[i] -= 1

@@ -47,8 +47,9 @@ MANIFEST = "dataset.json"
 # How a tokenizer file describes pre-tokens that never hold white space.
 WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same pattern for lower-case ASCII without white space.
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: The same pattern for lower-case text of code points up to U+00FF without white space, with their letters and numbers
+#: written out; such text is its own NFC.
+NARROW_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 #: What Python splits at and the tokenizer doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -96,15 +97,16 @@ class Encoder:
         first = (pre.get("pretokenizers") or [{}])[0]
         self.by_word = normalizer.get("normalizers") == WORD_NORMALIZER and first.get("pattern") == {"Regex": WORD_PATTERN} and first.get("invert") is True and first.get("behavior") == "Removed" and not data.get("post_processor")
         self.special = [x["content"] for x in data["added_tokens"]]
+        self.by_word = self.by_word and all(x.startswith("<|") for x in self.special)
         self.pieces, self.words = Cache(self.packed), Cache(self.word)
 
     def packed(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def word(self, word: str) -> bytes:
-        if not word.isascii() or any(s in word for s in self.special):
+        if not word.isascii() and max(word) > "\xff" or "<|" in word and any(s in word for s in self.special):
             return self.packed(word)
-        return b"".join(map(self.pieces.__getitem__, ASCII_PIECES.findall(word.lower())))
+        return b"".join(map(self.pieces.__getitem__, NARROW_PIECES.findall(word.lower())))
 
     def encode(self, text: str) -> bytes:
         if not self.by_word or any(c in text for c in SEPARATORS):

@@ -1,5 +1,6 @@
 """The tree's search against brute force in whole numbers."""
 
+import itertools
 import math
 import random
 
@@ -90,5 +91,7 @@ def test_nodes_outside_the_annulus_stay_closed():
     opened = []
     q = x[77]
     s = np.sort((x @ q).astype(int))[::-1]
-    found = [v for v, _ in zip((v for v, _ in block.nearest_first(q, most, int(s[200]), int(s[400]), lambda r: opened.append(r) or np.ones(r.stop - r.start, bool))), range(3), strict=False)]
+    least, largest = H.bounds(tree, q[None])
+    rows = block.nearest_first(q, most, least[0], largest[0], [(int(s[400]), int(s[200]))], 3, lambda r: opened.append(r) or np.ones(r.stop - r.start, bool))
+    found = [v for v, _ in itertools.islice(rows, 3)]
     assert found == s[np.searchsorted(-s, -s[200]) :][:3].tolist() and len(opened) < 0.4 * (tree.child[:, 0] < 0).sum()
