@@ -39,7 +39,9 @@ from sparktoire.operators import storage
 #: Documents of a shard on average, where there are many; with fewer, every core of the cluster writes shards.
 SHARD_DOCUMENTS = 65_536
 LEAST_DOCUMENTS = 1_024
-CACHE_ENTRIES = 400_000
+#: Pre-tokens that a worker remembers, at most twice as many; those that the library gets at once, and characters of the
+#: texts that are encoded together.
+PIECES, TOGETHER, STEP_CHARACTERS = 500_000, 512, 1 << 20
 #: Documents of a batch that is read back.
 READ_DOCUMENTS = 4_096
 MANIFEST = "dataset.json"
@@ -47,9 +49,10 @@ MANIFEST = "dataset.json"
 # How a tokenizer file describes pre-tokens that never hold white space.
 WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same pattern for lower-case text of code points up to U+00FF without white space, with their letters and numbers
-#: written out; such text is its own NFC.
-NARROW_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+#: The same pattern for lower-case text of code points up to U+00FF, with their letters, numbers and blanks written out;
+#: such text is its own NFC.
+_LETTER, _NUMBER, _BLANK = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+NARROW_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+")
 #: What Python splits at and the tokenizer doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -58,33 +61,31 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class Cache(dict):
-    """Packed ids of strings; the older half goes when there are too many, and long strings are not kept."""
+    """Packed ids of strings in two generations: when the new one is full it becomes the old one."""
 
-    def __init__(self, made):
-        self.made, self.old = made, {}
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
 
-    def __missing__(self, key: str) -> bytes:
-        found = self.old.get(key)
-        if found is None:
-            found = self.made(key)
-        if len(key) <= 64:
-            self[key] = found
-        return found
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that neither generation has; those of the old one come into the new one."""
+        unknown = keys.difference(self)
+        found = unknown & self.old.keys() if self.old else ()
+        for k in found:
+            self[k] = self.old[k]
+        return list(unknown.difference(found)) if found else list(unknown)
 
-    def turned(self) -> Cache:
-        if len(self) < CACHE_ENTRIES:
-            return self
-        new = Cache(self.made)
-        new.old = dict(self)
-        return new
+    def turn(self) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
 
 
 class Encoder:
-    """The library's tokenizer, with the ids of words it has seen.
+    """The library's tokenizer, with the ids of pre-tokens it has seen.
 
     Where the file says that white space is dropped and parts pre-tokens, a text's ids are those of
-    its words, one after the other; a word's are those of its pre-tokens. With any other file the
-    library gets whole texts.
+    its pre-tokens, one after the other, and the library gets new ones many at a time, with a blank
+    between. With any other file it gets whole texts.
     """
 
     def __init__(self, content: str):
@@ -93,28 +94,78 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = dtype_of(content)
-        normalizer, pre = data.get("normalizer") or {}, data.get("pre_tokenizer") or {}
+        normalizer, pre, end = data.get("normalizer") or {}, data.get("pre_tokenizer") or {}, data["model"].get("end_of_word_suffix")
         first = (pre.get("pretokenizers") or [{}])[0]
-        self.by_word = normalizer.get("normalizers") == WORD_NORMALIZER and first.get("pattern") == {"Regex": WORD_PATTERN} and first.get("invert") is True and first.get("behavior") == "Removed" and not data.get("post_processor")
         self.special = [x["content"] for x in data["added_tokens"]]
-        self.by_word = self.by_word and all(x.startswith("<|") for x in self.special)
-        self.pieces, self.words = Cache(self.packed), Cache(self.word)
-
-    def packed(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def word(self, word: str) -> bytes:
-        if not word.isascii() and max(word) > "\xff" or "<|" in word and any(s in word for s in self.special):
-            return self.packed(word)
-        return b"".join(map(self.pieces.__getitem__, NARROW_PIECES.findall(word.lower())))
-
-    def encode(self, text: str) -> bytes:
-        if not self.by_word or any(c in text for c in SEPARATORS):
-            return self.packed(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
-
-    def turn(self) -> None:
-        self.pieces, self.words = self.pieces.turned(), self.words.turned()
+        self.by_word = normalizer.get("normalizers") == WORD_NORMALIZER and first.get("pattern") == {"Regex": WORD_PATTERN} and first.get("invert") is True and first.get("behavior") == "Removed" and not data.get("post_processor") and bool(end) and all(x.startswith("<|") for x in self.special)
+        if self.by_word:
+            vocab = data["model"]["vocab"]
+            self.ends = np.zeros(max(vocab.values()) + len(self.special) + 1, bool)
+            self.ends[[i for s, i in vocab.items() if s.endswith(end)]] = True
+        self.pieces = Cache(PIECES)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def learn_pieces(self, pieces: list[str]) -> None:
+        """A piece's last id is the only one that ends a word."""
+        width = self.dtype.itemsize
+        for i in range(0, len(pieces), TOGETHER):
+            some = pieces[i : i + TOGETHER]
+            ids = self.ids(" ".join(some))
+            at = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(at) == len(some):
+                data = ids.tobytes()
+                self.pieces.update((p, data[a * width : b * width]) for p, a, b in zip(some, [0, *at], at, strict=False))
+            else:
+                self.pieces.update((p, self.ids(p).tobytes()) for p in some)
+
+    def parts(self, text: str) -> list[str]:
+        """Pre-tokens, and whole words where they hold other characters or a special token; no word is also a pre-token."""
+        narrow = fits(text)
+        if narrow and not ("<|" in text and any(x in text for x in self.special)):
+            return NARROW_PIECES.findall(text.lower())
+        if any(c in text for c in SEPARATORS):
+            return [text]
+        out = []
+        for w in text.split():
+            if (narrow or fits(w)) and not ("<|" in w and any(x in w for x in self.special)):
+                out += NARROW_PIECES.findall(w.lower())
+            else:
+                out.append(w)
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [self.ids(t).tobytes() for t in texts]
+        out, i = [], 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (size == 0 or size + len(texts[j]) <= STEP_CHARACTERS):
+                size, j = size + len(texts[j]), j + 1
+            lists = [self.parts(t) for t in texts[i:j]]
+            seen = set().union(*lists)
+            new = self.pieces.missing(seen)
+            self.learn_pieces([p for p in new if fits(p) and "<|" not in p])
+            self.pieces.update((p, self.ids(p).tobytes()) for p in new if p not in self.pieces)
+            known = self.pieces.__getitem__
+            out += [b"".join(map(known, x)) for x in lists]
+            for p in [p for p in new if len(p) > 64]:
+                self.pieces.pop(p, None)
+            self.pieces.turn()
+            i = j
+        return out
+
+
+def fits(text: str) -> bool:
+    """All code points are up to U+00FF."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=2)
@@ -154,8 +205,7 @@ def encoded(docs: DataFrame, content: str, end_id: int, bounds: np.ndarray) -> D
         text_encoder, ends = encoder(sent.value[0]), sent.value[1]
         end, width = np.array([end_id], text_encoder.dtype).tobytes(), text_encoder.dtype.itemsize
         for batch in batches:
-            ids = [(text_encoder.encode(x) if x else b"") + end for x in batch.column(1).to_pylist()]
-            text_encoder.turn()
+            ids = [x + end for x in text_encoder.encode_all([x or "" for x in batch.column(1).to_pylist()])]
             key = batch.column(0).fill_null(-(1 << 63)).to_numpy()
             shard = shard_of(key, batch.column(2).to_numpy(), ends)
             columns = [pa.array(shard, pa.int32()), batch.column(0), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())]
