@@ -6,12 +6,11 @@ import copy
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparktoire.models import base, linear, store
-from sparktoire.models.sequence_level import fit_groups, score_groups
+from sparktoire.models import base, forests, linear, store
+from sparktoire.models.forests import TREES
+from sparktoire.models.sequence_level import class_arrays, fit_group_forests, fit_groups
 from sparktoire.operators import clustering, enrichment, features
 from sparktoire.operators.clustering import BLOCK
 from sparktoire.operators.storage import written
@@ -59,7 +58,8 @@ class RepertoireModel(base.Model):
             turn[:, values[::-1][:k] < 1e-10] = 0
             self.parts[isotype] |= {"mean": mean.tolist(), "scale": scaling.scale.tolist(), "components": turn.tolist()}
         x = written(base.folded(self._transformed(df).join(base.people(df), "specimen_label"), self.folds))
-        self.model, self.choice, _ = linear.fit(x, self.classes, LOCUS_MIX[self.locus], n=self.n_penalties, rule=self.rule)
+        found = linear.fit(x, self.classes, LOCUS_MIX[self.locus], n=self.n_penalties, rule=self.rule)
+        self.model, self.choice = found.model, found.choice
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -83,11 +83,13 @@ class ClusterModel(base.Model):
     def __init__(self, identity: float = 0.9, p_values: tuple[float, ...] = P_VALUES, mix: str = "lasso", n_penalties: int = linear.PENALTIES, folds: int = linear.FOLDS, refit: bool = False):
         self.identity, self.p_values, self.mix, self.n_penalties, self.folds, self.refit = identity, p_values, mix, n_penalties, folds, refit
 
-    def _features(self, hits: DataFrame, p: float) -> DataFrame:
-        """``specimen_label, features`` of the specimens with a predictive cluster."""
-        chosen = self.scores.where(F.col("p_value") <= p).select(*BLOCK, "cluster", "disease")
-        counts = hits.where("cluster IS NOT NULL").join(chosen, [*BLOCK, "cluster"]).groupBy("specimen_label", "disease").agg(F.countDistinct(*BLOCK, "cluster").alias("n"))
-        return base.assembled(counts, self.classes, name="disease", value="n")
+    def _features(self, hits: DataFrame, p_values: tuple[float, ...]) -> DataFrame:
+        """``specimen_label, part, features``: for each threshold, the specimens with a predictive cluster."""
+        thresholds = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.lit(float(p)).alias("most")) for i, p in enumerate(p_values)])).alias("t")
+        chosen = self.scores.select(*BLOCK, "cluster", "disease", "p_value", thresholds).where(F.col("p_value") <= F.col("t.most")).select(*BLOCK, "cluster", "disease", "t.part")
+        counts = hits.where("cluster IS NOT NULL").join(chosen, [*BLOCK, "cluster"]).groupBy("specimen_label", "part", "disease").agg(F.countDistinct(*BLOCK, "cluster").alias("n"))
+        x = base.assembled(counts.withColumn("__key", F.concat_ws(":", "part", "specimen_label")), self.classes, "__key", "disease", "n")
+        return x.select(F.expr("substring(__key, instr(__key, ':') + 1)").alias("specimen_label"), F.substring_index("__key", ":", 1).cast("int").alias("part"), "features")
 
     def hits(self, df: DataFrame) -> DataFrame:
         """Every row with its nearest cluster, or null; written, as each threshold reads it."""
@@ -106,42 +108,52 @@ class ClusterModel(base.Model):
         kept = enrichment.significant(scores, keys, max(self.p_values))
         self.scores = written(scores.join(kept, keys, "left_semi"))
         self.centroids = written(enrichment.centroids(clustered.join(kept, keys, "left_semi")).withColumn("rank", F.col("cluster")))
-        hits, everyone = self.hits(second), base.people(second)
-        self.best, best = None, None
-        for p in self.p_values:
-            found = self._fit_one(hits, everyone, p)
-            if found and (best is None or found[0] > best[0]):
-                best = found
-                self.best = {"p_value": p, "mcc": found[0], "scaling": found[1], "model": found[2]}
+        found = self._fit_thresholds(self.hits(second), base.people(second), self.p_values)
+        # of equal ones the first threshold
+        self.best = max(found, key=lambda x: x["mcc"], default=None)
         if self.refit and self.best:
-            again = self._fit_one(self.hits(both), base.people(both), self.best["p_value"])
-            self.best |= {"scaling": again[1], "model": again[2]} if again else {}
+            again = self._fit_thresholds(self.hits(both), base.people(both), (self.best["p_value"],))
+            self.best |= {k: again[0][k] for k in ("scaling", "model")} if again else {}
         return self
 
-    def _fit_one(self, hits: DataFrame, everyone: DataFrame, p: float) -> tuple[float, linear.Scaling, linear.Linear] | None:
-        """``(MCC out of folds with abstentions, scaling, model)``, or None where there is nothing to learn from: no
-        cluster, one class, fewer participants than folds, or no variance."""
-        x = written(base.folded(self._features(hits, p).join(everyone.where(F.col("disease").isin(self.classes)), "specimen_label"), self.folds))
-        n = x.agg(F.countDistinct("disease").alias("classes"), F.countDistinct("participant_label").alias("people"), F.countDistinct("features").alias("rows")).first()
-        if n["classes"] < 2 or n["people"] < self.folds or n["rows"] < 2:
-            return None
-        _, mean, covariance = linear.moments(x, len(self.classes))
-        scaling = linear.Scaling.of(mean, np.diag(covariance))
-        z = linear.mapped(x, "specimen_label", scaling).join(x.drop("features"), "specimen_label")
-        model, choice, rows = linear.fit(z, self.classes, MIXES[self.mix], n=self.n_penalties)
-        gone = everyone.join(x.select("specimen_label"), "specimen_label", "left_anti").count()
-        if choice is None:
-            return 0.0, scaling, model
-        scored = ~np.isnan(choice.held_out).any(1)
-        predicted = np.where(scored, np.where(scored[:, None], choice.held_out, 0).argmax(1), linear.ABSTAINED)
-        truth = np.append(rows["y"], np.zeros(gone, np.int64))
-        return linear.mcc_of(np.append(predicted, np.full(gone, linear.ABSTAINED)), truth), scaling, model
+    def _fit_thresholds(self, hits: DataFrame, everyone: DataFrame, p_values: tuple[float, ...]) -> list[dict]:
+        """``p_value, mcc, scaling, model`` of each threshold, all fitted together.
+
+        A threshold is left out where there is nothing to learn from: no cluster, one class, fewer participants than
+        folds, or no variance. The MCC is that of held-out predictions; every specimen without a score counts as a
+        prediction that is wrong for its own class.
+        """
+        known = everyone.where(F.col("disease").isin(self.classes))
+        x = written(base.folded(known, self.folds).join(self._features(hits, p_values), "specimen_label"))
+        about = x.groupBy("part").agg(F.countDistinct("disease").alias("classes"), F.countDistinct("participant_label").alias("people"), F.countDistinct("features").alias("rows"))
+        kept = sorted(r["part"] for r in about.collect() if r["classes"] > 1 and r["people"] >= self.folds and r["rows"] > 1)
+        if not kept:
+            return []
+        scalings = {p: linear.Scaling(np.zeros(len(self.classes)), np.ones(len(self.classes))) for p in range(len(p_values))}
+        for r in x.select("part", F.posexplode("features").alias("i", "v")).groupBy("part", "i").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("variance")).collect():
+            one = linear.Scaling.of(np.array(r["mean"]), np.array(r["variance"]))
+            scalings[r["part"]].mean[r["i"]], scalings[r["part"]].scale[r["i"]] = one.mean, one.scale
+        of = lambda name: F.array(*[F.array(*map(F.lit, getattr(scalings[p], name).tolist())) for p in range(len(p_values))])[F.col("part")]
+        centred = F.zip_with("features", of("mean"), lambda v, m: v - m)
+        z = written(x.where(F.col("part").isin(kept)).withColumn("features", F.zip_with(centred, of("scale"), lambda v, m: v / m)))
+        fits = {p: f for (p, _), f in linear.fit_parts(z, self.classes, MIXES[self.mix], n=self.n_penalties, part="part").items()}
+        return [{"p_value": p_values[p], "mcc": self._mcc(f.held_out(z.where(F.col("part") == p)), everyone), "scaling": scalings[p], "model": f.model} for p, f in sorted(fits.items())]
+
+    def _mcc(self, held_out: DataFrame, everyone: DataFrame) -> float:
+        """MCC over all specimens; those without a score are predicted as a class that there is not."""
+        best = F.array_position("probabilities", F.array_max("probabilities")).cast("int") - 1
+        cells = everyone.join(held_out.select("specimen_label", best.alias("best")), "specimen_label", "left").groupBy("disease", "best").count().collect()
+        names = sorted({r["disease"] for r in cells} | set(self.classes))
+        table = np.zeros((len(names) + 1, len(names) + 1))
+        for r in cells:
+            table[names.index(r["disease"]), len(names) if r["best"] is None else names.index(self.classes[r["best"]])] += r["count"]
+        return linear.mcc_of_cells(table)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Scores, null for specimens that abstain; without any predictive cluster all do."""
         if self.best is None:
             return base.no_scores(df)
-        z = linear.mapped(self._features(self.hits(df), self.best["p_value"]), "specimen_label", self.best["scaling"])
+        z = linear.mapped(self._features(self.hits(df), (self.best["p_value"],)), "specimen_label", self.best["scaling"])
         scored = self.best["model"].scores(z)
         return df.select("specimen_label").distinct().join(scored, "specimen_label", "left").withColumn("abstained", F.col("score").isNull())
 
@@ -163,112 +175,121 @@ class ClusterModel(base.Model):
 
 
 class SequenceModel(base.Model):
-    """Per-gene regressions over embeddings, aggregated per specimen, and a forest per class."""
-
-    def __init__(self, strategy: str = FALLBACK[0], setting: float = FALLBACK[1], trees: int = 100, n_penalties: int = linear.PENALTIES):
-        self.strategy, self.setting, self.trees, self.n_penalties = strategy, setting, trees, n_penalties
+    """A model per gene group over embeddings, its scores aggregated per specimen, and a forest per class over these.
 
-    def sequence_scores(self, df: DataFrame) -> DataFrame:
-        """``p``: an array over all classes per row; a class that the gene's model lacks has 0, a gene without a model gives null."""
-        each = score_groups(df.select("row_id", "specimen_label", "v_gene", "weight", "embedding"), self.models).drop("embedding")
-        scores = F.map_from_entries(F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "score"))))
-        rows = each.groupBy("row_id", "specimen_label", "v_gene", "weight").agg(scores.alias("m")).where(F.size("m") > 0)
-        p = F.array(*[F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(0.0)) for c in self.classes])
-        return rows.select("row_id", "specimen_label", "v_gene", "weight", p.alias("p"))
+    T cells: a group is a V gene, its models are ridge regressions. B cells: a group is a V gene and an
+    isotype, its model is a forest, and the strategy is the mean; a group's share is that within its isotype.
+    """
 
-    def _group_features(self, p: DataFrame, df: DataFrame, threshold: float | None) -> DataFrame:
+    def __init__(self, strategy: str | None = None, setting: float | None = None, trees: int = TREES, n_penalties: int = linear.PENALTIES, locus: str = "TCR", group_trees: int = TREES):
+        default = FALLBACK if locus == "TCR" else ("mean", 0.0)
+        self.strategy, self.setting = strategy or default[0], default[1] if setting is None else setting
+        self.trees, self.n_penalties, self.locus, self.group_trees = trees, n_penalties, locus, group_trees
+
+    @property
+    def _share_keys(self) -> tuple[str, ...]:
+        return () if self.locus == "TCR" else ("isotype_supergroup",)
+
+    def _kept(self, df: DataFrame, common: DataFrame | None = None) -> DataFrame:
+        """The rows of groups that are common (those of training, unless some are given), with the group in ``v_gene``."""
+        plain = lambda c: F.replace(F.col(c), F.lit("_"), F.lit("-"))
+        x = df.withColumn("v_gene", plain("v_gene"))
+        if common is not None:
+            x = x.join(common.select(plain("v_gene").alias("v_gene")), "v_gene", "left_semi")
+        if self.locus != "TCR":
+            x = x.withColumn("v_gene", F.concat_ws("_", "v_gene", plain("isotype_supergroup")))
+        return x if common is not None else x.where(F.col("v_gene").isin(self.genes))
+
+    def sequence_scores(self, kept: DataFrame) -> DataFrame:
+        """``p``: an array over all classes per row; a class that the group's model lacks has 0, rows of groups without a model go."""
+        columns = ["row_id", "specimen_label", "v_gene", "weight"]
+        if self.locus == "TCR":
+            return class_arrays(kept.select(*columns, "embedding"), self.models, self.classes).select(*columns, "p")
+        scored = forests.score_forests(kept, self.models, ["v_gene"], "row_id", self.classes, "embedding").select("row_id", "p")
+        return kept.select(*columns).join(scored, "row_id")
+
+    def _group_features(self, p: DataFrame, kept: DataFrame, threshold: float | None) -> DataFrame:
         n = len(self.classes)
         x = features.aggregated(p, ["specimen_label", "v_gene"], n, self.strategy, self.setting, threshold)
-        full = features.featurized(x, df, df.sparkSession.createDataFrame([(g,) for g in self.genes], "v_gene string"), n)
-        shares = features.group_frequencies(df, full.select("v_gene").distinct()).select("specimen_label", "v_gene", "frequency")
+        full = features.featurized(x, kept, kept.sparkSession.createDataFrame([(g,) for g in self.genes], "v_gene string"), n)
+        shares = features.group_frequencies(kept, full.select("v_gene").distinct(), within=self._share_keys).select("specimen_label", "v_gene", "frequency")
         return full.join(shares, ["specimen_label", "v_gene"], "left").withColumn("frequency", F.coalesce("frequency", F.lit(0.0)))
 
-    def _columns(self, x: DataFrame, i: int, value: str) -> DataFrame:
-        return base.assembled(x.where(F.col("class_index") == i), self.genes, name="v_gene", value=value)
-
-    def _inputs(self, x: DataFrame, i: int) -> DataFrame:
-        """Scaled probabilities times shares, scaled again."""
-        first, second = self.scalings[i]
-        p, share = self._columns(x, i, "probability"), self._columns(x, i, "frequency").withColumnRenamed("features", "share")
-        scaled = linear.mapped(p, "specimen_label", first).join(share, "specimen_label")
-        product = scaled.select("specimen_label", F.zip_with("features", "share", lambda a, b: a * b).alias("features"))
-        return linear.mapped(product, "specimen_label", second) if second else product
+    def _inputs(self, x: DataFrame) -> DataFrame:
+        """``specimen_label, class_index, features``: scaled probabilities times shares, scaled again, in the order of the groups."""
+        keys = ["class_index", "v_gene"]
+        scaled = lambda v, name: (v - F.col(f"{name}_mean")) / F.col(f"{name}_scale")
+        value = scaled(scaled(F.col("probability"), "first") * F.col("frequency"), "second")
+        each = x.join(self.scalings, keys).select("specimen_label", "class_index", F.struct("v_gene", value.alias("value")).alias("s"))
+        return each.groupBy("specimen_label", "class_index").agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["value"]).alias("features"))
 
     def _fit_scores(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Stage one: the kept rows and their scores, written."""
         self.classes = base.classes_of(df)
-        self.genes = sorted(r[0] for r in features.common_v_genes_by_class(df).select("v_gene").collect())
-        kept = df.where(F.col("v_gene").isin(self.genes))
-        self.models = written(fit_groups(kept, n=self.n_penalties))
+        kept = written(self._kept(df, features.common_v_genes_by_class(df)))
+        self.genes = sorted(r[0] for r in kept.select("v_gene").distinct().collect())
+        self.models = written(fit_groups(kept, n=self.n_penalties) if self.locus == "TCR" else fit_group_forests(kept, trees=self.group_trees))
         return kept, written(self.sequence_scores(kept))
 
     def _fit_forests(self, kept: DataFrame, p: DataFrame) -> SequenceModel:
         """Stage two. With two classes there is one forest; the other class has what is left."""
         self.threshold = features.entropy_threshold(p, self.setting) if self.strategy == "entropy_percentile_cutoff" else None
         x, everyone = written(self._group_features(p, kept, self.threshold)), base.people(kept)
-        self.scalings, self.forests = [], []
-        for i, c in enumerate(self.classes):
-            if len(self.classes) == 2 and i == 0:
-                self.scalings.append(None)
-                self.forests.append(None)
-                continue
-            _, mean, covariance = linear.moments(self._columns(x, i, "probability"), len(self.genes))
-            self.scalings.append((linear.Scaling.of(mean, np.diag(covariance)), None))
-            _, mean, covariance = linear.moments(self._inputs(x, i), len(self.genes))
-            self.scalings[i] = (self.scalings[i][0], linear.Scaling.of(mean, np.diag(covariance)))
-            own = self._inputs(x, i).join(everyone, "specimen_label").withColumn("label", (F.col("disease") == c).cast("double"))
-            counts = own.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"))
-            own = own.join(counts, "label").select("label", array_to_vector("features").alias("features"), (1000.0 / F.col("n_label")).alias("row_weight"))
-            self.forests.append(RandomForestClassifier(numTrees=self.trees, seed=0, weightCol="row_weight").fit(own))
+        keys = ["class_index", "v_gene"]
+        moments = lambda df, value, name: df.groupBy(*keys).agg(F.avg(value).alias(f"{name}_mean"), F.when(F.var_pop(value) > 1e-24, F.stddev_pop(value)).otherwise(1.0).alias(f"{name}_scale"))
+        first = written(moments(x, F.col("probability"), "first"))
+        product = (F.col("probability") - F.col("first_mean")) / F.col("first_scale") * F.col("frequency")
+        self.scalings = written(first.join(moments(x.join(first, keys), product, "second"), keys))
+        fitted = [i for i in range(len(self.classes)) if len(self.classes) > 2 or i > 0]
+        own = F.element_at(F.array(*map(F.lit, self.classes)), F.col("class_index") + 1)
+        rows = self._inputs(x).where(F.col("class_index").isin(fitted)).join(everyone, "specimen_label").withColumn("label", F.when(F.col("disease") == own, "1").otherwise("0"))
+        self.forests = written(forests.fit_forests(rows, ["class_index"], "label", trees=self.trees, order="specimen_label"))
         return self
 
-    def fit(self, df: DataFrame) -> SequenceModel:
-        return self._fit_forests(*self._fit_scores(df))
+    def fit(self, df: DataFrame, second: DataFrame | None = None) -> SequenceModel:
+        """Groups and their models come from ``df``; the forests from ``second``, or ``df`` too."""
+        kept, p = self._fit_scores(df)
+        if second is not None:
+            kept = written(self._kept(second))
+            p = written(self.sequence_scores(kept))
+        return self._fit_forests(kept, p)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """One score per class; with more than two classes they need not sum to 1."""
-        kept = df.where(F.col("v_gene").isin(self.genes))
+        kept = self._kept(df)
         return self._predicted(written(self._group_features(self.sequence_scores(kept), kept, self.threshold)))
 
     def _predicted(self, x: DataFrame) -> DataFrame:
-        out = None
-        for i, (c, forest) in enumerate(zip(self.classes, self.forests, strict=True)):
-            if forest is None:
-                continue
-            scored = forest.transform(self._inputs(x, i).withColumn("features", array_to_vector("features")))
-            part = scored.select("specimen_label", F.lit(c).alias("class"), F.lit(i).alias("class_index"), F.element_at(vector_to_array("probability"), 2).alias("score"))
-            if len(self.classes) == 2:
-                part = part.unionByName(part.select("specimen_label", F.lit(self.classes[0]).alias("class"), F.lit(0).alias("class_index"), (1 - F.col("score")).alias("score")))
-            out = part if out is None else out.unionByName(part)
-        return out
+        rows = self._inputs(x).withColumn("__row", F.concat_ws(":", "class_index", "specimen_label"))
+        p = forests.score_forests(rows, self.forests, ["class_index"], "__row", ["1"])
+        scored = p.select(F.expr("substring(__row, instr(__row, ':') + 1)").alias("specimen_label"), "class_index", F.col("p")[0].alias("score"))
+        if len(self.classes) == 2:
+            scored = scored.unionByName(scored.select("specimen_label", F.lit(0).alias("class_index"), (1 - F.col("score")).alias("score")))
+        return scored.select("specimen_label", F.element_at(F.array(*map(F.lit, self.classes)), F.col("class_index") + 1).alias("class"), "class_index", "score")
 
     def importances(self, n: int = 10) -> DataFrame:
-        """``class, v_gene, importance``: the ``n`` genes that matter most to each class's forest."""
-        spark = self.models.sparkSession
-        rows = [(c, g, float(v)) for c, f in zip(self.classes, self.forests, strict=True) if f for g, v in zip(self.genes, f.featureImportances.toArray(), strict=True)]
-        ranked = spark.createDataFrame(rows, "class string, v_gene string, importance double").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("importance", "v_gene")), asc=False).alias("all"))
-        return ranked.select("class", F.posexplode(F.slice("all", 1, n)).alias("position", "x")).select("class", (F.col("position") + 1).alias("position"), "x.v_gene", "x.importance")
+        """``class, position, v_gene, importance``: the ``n`` groups that matter most to each class's forest."""
+        each = forests.importances(self.forests, ["class_index"], self.genes)
+        ranked = each.groupBy("class_index").agg(F.sort_array(F.collect_list(F.struct("importance", "feature")), asc=False).alias("all"))
+        name = F.element_at(F.array(*map(F.lit, self.classes)), F.col("class_index") + 1).alias("class")
+        return ranked.select(name, F.posexplode(F.slice("all", 1, n)).alias("position", "x")).select("class", (F.col("position") + 1).alias("position"), F.col("x.feature").alias("v_gene"), "x.importance")
 
     def save(self, spark: SparkSession, folder: str) -> None:
-        scalings = [s and [[x.mean.tolist(), x.scale.tolist()] for x in s] for s in self.scalings]
-        store.write_table(self.models, f"{folder}/groups")
-        for i, forest in enumerate(self.forests):
-            if forest:
-                forest.write().overwrite().save(f"{folder}/forest_{i}")
-        store.write_json(spark, f"{folder}/model.json", {"strategy": self.strategy, "setting": self.setting, "trees": self.trees, "classes": self.classes, "genes": self.genes, "threshold": self.threshold, "scalings": scalings})
+        for name in ("models", "forests", "scalings"):
+            store.write_table(getattr(self, name), f"{folder}/{name}")
+        store.write_json(spark, f"{folder}/model.json", {"strategy": self.strategy, "setting": self.setting, "trees": self.trees, "group_trees": self.group_trees, "locus": self.locus, "classes": self.classes, "genes": self.genes, "threshold": self.threshold})
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> SequenceModel:
         x = store.read_json(spark, f"{folder}/model.json")
-        out = cls(x["strategy"], x["setting"], x["trees"])
+        out = cls(x["strategy"], x["setting"], x["trees"], locus=x["locus"], group_trees=x["group_trees"])
         out.classes, out.genes, out.threshold = x["classes"], x["genes"], x["threshold"]
-        out.scalings = [s and tuple(linear.Scaling(np.array(m), np.array(v)) for m, v in s) for s in x["scalings"]]
-        out.models = spark.read.parquet(f"{folder}/groups")
-        out.forests = [s and RandomForestClassificationModel.load(f"{folder}/forest_{i}") for i, s in enumerate(out.scalings)]
+        for name in ("models", "forests", "scalings"):
+            setattr(out, name, spark.read.parquet(f"{folder}/{name}"))
         return out
 
 
-def tuned(df: DataFrame, grid=TUNING, folds: int = 3, trees: int = 100, n_penalties: int = linear.PENALTIES) -> tuple[SequenceModel, list[tuple[str, float, float]]]:
+def tuned(df: DataFrame, grid=TUNING, folds: int = 3, trees: int = TREES, n_penalties: int = linear.PENALTIES) -> tuple[SequenceModel, list[tuple[str, float, float]]]:
     """The sequence model with the strategy of the best mean MCC over participant folds, and the means.
 
     Stage one is fitted once per fold and shared by all candidates. If none is better than chance,
@@ -280,7 +301,7 @@ def tuned(df: DataFrame, grid=TUNING, folds: int = 3, trees: int = 100, n_penalt
         train, test = x.where(F.col("fold") != f).drop("fold"), x.where(F.col("fold") == f).drop("fold")
         model = SequenceModel(trees=trees, n_penalties=n_penalties)
         kept, p = model._fit_scores(train)
-        inner = test.where(F.col("v_gene").isin(model.genes))
+        inner = written(model._kept(test))
         q, truth = written(model.sequence_scores(inner)), base.people(test)
 
         def score(candidate: tuple[str, float], model=model, kept=kept, p=p, q=q, inner=inner, truth=truth) -> float:
@@ -320,7 +341,8 @@ class Ensemble(base.Model):
         _, mean, covariance = linear.moments(x, len(self.names))
         self.scaling = linear.Scaling.of(mean, np.diag(covariance))
         z = linear.mapped(x, "specimen_label", self.scaling).join(x.drop("features"), "specimen_label")
-        self.model, self.choice, _ = linear.fit(z, self.classes, MIXES["ridge"], score=linear.mcc, n=self.n_penalties)
+        found = linear.fit(z, self.classes, MIXES["ridge"], score=linear.MCC, n=self.n_penalties)
+        self.model, self.choice = found.model, found.choice
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:

@@ -47,10 +47,10 @@ def common_v_genes_by_class(df: DataFrame, label: str = "disease", quantile: flo
     return most.join(F.broadcast(most.agg(F.percentile("max_share", F.lit(quantile)).alias("__cut"))), F.col("max_share") >= F.col("__cut")).drop("__cut")
 
 
-def group_frequencies(df: DataFrame, groups: DataFrame, specimen: str = "specimen_label") -> DataFrame:
-    """The share of each kept V gene in a specimen, after the others have gone."""
+def group_frequencies(df: DataFrame, groups: DataFrame, specimen: str = "specimen_label", within: tuple[str, ...] = ()) -> DataFrame:
+    """The share of each kept V gene in a specimen (and in ``within``, such as its isotype), after the others have gone."""
     kept = df.join(groups.select("v_gene"), "v_gene", "left_semi")
-    return kept.groupBy(specimen, "v_gene").agg(F.count("*").alias("n")).withColumn("frequency", share(F.col("n"), specimen))
+    return kept.groupBy(specimen, *within, "v_gene").agg(F.count("*").alias("n")).withColumn("frequency", share(F.col("n"), specimen, *within))
 
 
 def isotype_shares(df: DataFrame, specimen: str = "specimen_label", label: str = "disease") -> DataFrame:

@@ -98,7 +98,7 @@ def test_sequence_model_tuned_and_its_importances(spark, repertoires, tmp_path):
 def test_two_classes_share_one_forest(repertoires):
     train, test = (classifiers.embedded(x.where("disease <> 'C'")) for x in repertoires)
     model = classifiers.SequenceModel(trees=10, n_penalties=5).fit(train)
-    assert model.forests[0] is None
+    assert [r[0] for r in model.forests.select("class_index").distinct().collect()] == [1]
     assert all(abs(x[1] - 1) < 1e-9 for x in model.predict(test).groupBy("specimen_label").agg(F.sum("score")).collect())
 
 
@@ -135,19 +135,23 @@ def test_paths_reach_the_optimum_and_shrink():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(300, 4)), rng.integers(0, 3, 300)
     x[:, 0] += y
-    w = linear.balanced(y, 3)
-    path = linear.penalties(x, y, w, 3, 1.0, 12)
-    b, c = linear.fit_path(x, y, w, 3, path, 1.0, rounds=2000, tol=1e-9)
+    w = 1.0 / (3 * np.bincount(y)[y])
+    path = linear.penalties(x, y, 3, 1.0, 12)
+    b, c = linear.fit_path(x, y, 3, path, 1.0, rounds=2000, tol=1e-9)
     assert np.abs(b[0]).max() < 1e-6 and (np.diff([np.abs(v).sum() for v in b]) > -1e-6).all()
     for k in (3, 8):  # what a lasso's optimum fulfils
         slope = ((linear.softmax(x @ b[k].T + c[k]) - np.eye(3)[y]) * w[:, None]).T @ x
         on = np.abs(b[k]) > 1e-7
         assert np.allclose(slope[on], -path[k] * np.sign(b[k][on]), atol=1e-5) and (np.abs(slope[~on]) <= path[k] + 1e-5).all()
+    b, c = linear.fit_path(x, y, 3, path, 0.0, rounds=2000, tol=1e-9)
+    for k in (3, 8):  # and a ridge's
+        slope = ((linear.softmax(x @ b[k].T + c[k]) - np.eye(3)[y]) * w[:, None]).T @ x
+        assert np.allclose(slope, -path[k] * b[k], atol=1e-6)
     choice = linear.choose(x, y, rng.integers(0, 5, 300), 3, 0.0, n=12)
-    assert choice.within >= choice.best and not np.isnan(choice.held_out).any()
+    assert choice.within >= choice.best and sorted(choice.folds) == [0, 1, 2, 3, 4]
 
 
-def test_folds_without_a_class_and_scores(spark):
+def test_folds_without_a_class_and_scores():
     x, y = np.arange(8.0)[:, None], np.array([0, 0, 0, 0, 1, 1, 1, 1])
     choice = linear.choose(x, y, y, 2, 1.0, n=5)  # each fold leaves one class to learn from
     assert np.isnan(choice.mean).all() and choice.best == choice.path[2]
@@ -156,13 +160,54 @@ def test_folds_without_a_class_and_scores(spark):
     assert linear.mcc(p, np.array([0, 1, 0])) == 1.0 and linear.mcc_of(np.full(3, linear.ABSTAINED), np.array([0, 1, 0])) == 0.0
 
 
-def test_large_matrices_go_to_spark(spark, monkeypatch):
-    r = random.Random(2)
-    rows = [(f"S{i}", i % 3, "AB"[i % 2], [r.gauss(i % 2, 0.4), r.random()]) for i in range(90)]
-    df = spark.createDataFrame(rows, "specimen_label string, fold int, disease string, features array<double>")
-    here, choice, _ = linear.fit(df, ["A", "B"], 0.0, n=4)
-    monkeypatch.setattr(linear, "LOCAL_CELLS", 10)
-    there, none, _ = linear.fit(df, ["A", "B"], 0.0, n=4)
-    assert choice is not None and none is None
-    for model in (here, there):
-        assert accuracy(model.scores(df), df)[0] > 0.85
+def test_scores_made_of_sums_are_those_of_all_rows():
+    rng = np.random.default_rng(4)
+    p, y, w = rng.dirichlet(np.ones(3), (200, 2)).round(3), rng.integers(0, 3, 200), rng.random(200)
+    for score, plain in ((linear.MCC, linear.mcc), (linear.ROC, linear.roc), (linear.DEVIANCE, lambda q, y: (w * np.log(np.maximum(q[np.arange(200), y], 1e-15))).sum() / w.sum())):
+        sums = sum(score.partial(p[s], y[s], w[s]) for s in (slice(0, 90), slice(90, 200)))
+        assert np.allclose([score.value(v, 3) for v in sums], [plain(p[:, i], y) for i in range(2)], atol=1e-9)
+    assert np.isnan(linear.ROC.value(linear.ROC.partial(p, np.zeros(200, int), w)[0], 3))
+
+
+def folded_rows(spark, n=240, seed=2):
+    r = random.Random(seed)
+    rows = [(f"S{i}", i % 4, "ABC"[i % 3], [r.gauss(i % 3, 0.9), r.gauss((i % 3) ** 2, 2.0), r.random()]) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "specimen_label string, fold int, disease string, features array<double>")
+
+
+@pytest.mark.parametrize(("l1_ratio", "score", "rule"), [(1.0, linear.DEVIANCE, "best"), (0.0, linear.MCC, "within"), (0.5, linear.ROC, "within")])
+def test_spark_and_arrays_give_one_choice_at_any_number_of_tasks(spark, monkeypatch, l1_ratio, score, rule):
+    rows, df = folded_rows(spark)
+    x, y, fold = np.array([r[3] for r in rows]), np.array(["ABC".index(r[2]) for r in rows]), np.array([r[1] for r in rows])
+    want = linear.choose(x, y, fold, 3, l1_ratio, score, 8)
+    for cells in (2_000_000, 120):  # one task, and eight
+        monkeypatch.setattr(linear, "PARTITION_CELLS", cells)
+        found = linear.fit(df.repartition(8), ["A", "B", "C"], l1_ratio, score, 8, rule)
+        assert np.allclose(found.choice.path, want.path) and np.allclose(found.choice.mean, want.mean) and (found.choice.best, found.choice.within) == pytest.approx((want.best, want.within))
+    b, c = linear.fit_path(x, y, 3, np.array([getattr(want, rule)]), l1_ratio)
+    assert np.allclose(found.model.coefficients, b[0], atol=1e-6) and accuracy(found.model.scores(df), df)[0] >= 0.65
+    held = {r.specimen_label: r.probabilities for r in found.held_out(df).collect()}
+    best = want.folds[rows[5][1]]
+    assert len(held) == 240 and np.allclose(held["S5"], linear.softmax(best[:, :-1] @ x[5] + best[:, -1]), atol=1e-6)
+
+
+def test_parts_and_subsets_fitted_together_are_as_fitted_alone(spark):
+    rows, df = folded_rows(spark)
+    both = df.withColumn("part", F.lit(0)).unionByName(df.withColumn("part", F.lit(1)).withColumn("features", F.transform("features", lambda v: v * 2)))
+    pairs = [("A", "C"), ("B", "C")]
+    found = linear.fit_parts(both, ["A", "B", "C"], 1.0, n=6, part="part", subsets=pairs)
+    assert len(found) == 4
+    for (part, pair), f in found.items():
+        alone = linear.fit(both.where((F.col("part") == part) & F.col("disease").isin(*pair)), list(pair), 1.0, n=6)
+        assert np.allclose(alone.model.coefficients, f.model.coefficients, atol=1e-8) and alone.choice.best == pytest.approx(f.choice.best)
+    assert linear.fit(df.where("disease = 'A'"), ["A"], 1.0).model.coefficients.shape == (1, 3)
+
+
+def test_abstainers_keep_their_class_in_the_mcc(spark):
+    """Two right answers in each of three classes, and abstainers of classes A, B, C and C."""
+    model = classifiers.ClusterModel()
+    model.classes = ["A", "B", "C"]
+    everyone = spark.createDataFrame([(f"s{i}", f"p{i}", c) for i, c in enumerate("AABBCCABCC")], "specimen_label string, participant_label string, disease string")
+    held = spark.createDataFrame([(f"s{i}", [float(i // 2 == k) for k in range(3)]) for i in range(6)] + [("s6", None)], "specimen_label string, probabilities array<double>")
+    want = linear.mcc_of(np.array([0, 0, 1, 1, 2, 2] + [linear.ABSTAINED] * 4), np.array([0, 0, 1, 1, 2, 2, 0, 1, 2, 2]))
+    assert model._mcc(held, everyone) == pytest.approx(want) == pytest.approx(0.580, abs=1e-3)
