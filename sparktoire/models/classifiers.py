@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparktoire.models import base, forests, linear, store
 from sparktoire.models.forests import TREES
 from sparktoire.models.sequence_level import class_arrays, fit_group_forests, fit_groups
-from sparktoire.operators import clustering, enrichment, features
+from sparktoire.operators import clustering, enrichment, features, predictions, splits
 from sparktoire.operators.clustering import BLOCK
 from sparktoire.operators.storage import written
 
@@ -30,40 +30,78 @@ class RepertoireModel(base.Model):
     def __init__(self, components: int = 15, locus: str = "TCR", n_penalties: int = linear.PENALTIES, folds: int = linear.FOLDS, rule: str = "best"):
         self.components, self.locus, self.n_penalties, self.folds, self.rule = components, locus, n_penalties, folds, rule
 
-    def _vectors(self, df: DataFrame, isotype: str) -> DataFrame:
-        own = features.vj_frequencies(df.where(F.col("isotype_supergroup") == isotype)).withColumn("frequency", F.log1p("frequency"))
-        return base.assembled(own, self.parts[isotype]["features"])
+    @staticmethod
+    def frequencies(df: DataFrame) -> DataFrame:
+        """``specimen_label, isotype_supergroup, feature, frequency``; the frequencies are in logarithms."""
+        return features.vj_frequencies(df).select("specimen_label", "isotype_supergroup", "feature", F.log1p("frequency").alias("frequency"))
 
-    def _transformed(self, df: DataFrame) -> DataFrame:
+    def _vectors(self, frequencies: DataFrame, isotype: str) -> DataFrame:
+        return base.assembled(frequencies.where(F.col("isotype_supergroup") == isotype), self.parts[isotype]["features"])
+
+    def _transformed(self, frequencies: DataFrame) -> DataFrame:
         """The components of all isotypes in a row; a specimen that lacks an isotype has zeros, the mean, there."""
-        out, width = df.select("specimen_label").distinct(), []
+        out, width = frequencies.select("specimen_label").distinct(), []
         for i, (isotype, part) in enumerate(sorted(self.parts.items())):
             center, turn = linear.Scaling(np.array(part["mean"]), np.array(part["scale"])), np.array(part["components"])
-            z = linear.mapped(self._vectors(df, isotype), "specimen_label", lambda x, center=center, turn=turn: center(x) @ turn)
+            z = linear.mapped(self._vectors(frequencies, isotype), "specimen_label", lambda x, center=center, turn=turn: center(x) @ turn)
             out = out.join(z.withColumnRenamed("features", f"part_{i}"), "specimen_label", "left")
             width.append(F.coalesce(f"part_{i}", F.array_repeat(F.lit(0.0), turn.shape[1])))
         return out.select("specimen_label", F.concat(*width).alias("features"))
 
-    def fit(self, df: DataFrame) -> RepertoireModel:
-        self.classes, self.parts = base.classes_of(df), {}
-        for isotype in base.classes_of(df, "isotype_supergroup"):
-            own = df.where(F.col("isotype_supergroup") == isotype)
+    def _prepare(self, frequencies: DataFrame) -> None:
+        """Features, scaling and principal components of each isotype."""
+        self.parts = {}
+        for isotype in base.classes_of(frequencies, "isotype_supergroup"):
             # V-J pairs are bounded by the genes of the locus
-            self.parts[isotype] = {"features": sorted(r[0] for r in features.vj_frequencies(own).select("feature").distinct().collect())}
-            n, mean, covariance = linear.moments(self._vectors(df, isotype), len(self.parts[isotype]["features"]))
+            self.parts[isotype] = {"features": sorted(r[0] for r in frequencies.where(F.col("isotype_supergroup") == isotype).select("feature").distinct().collect())}
+            n, mean, covariance = linear.moments(self._vectors(frequencies, isotype), len(self.parts[isotype]["features"]))
             scaling = linear.Scaling.of(mean, np.diag(covariance))
             values, vectors = np.linalg.eigh(covariance / np.outer(scaling.scale, scaling.scale))
             k = max(1, min(self.components, len(mean), n - 1))
             turn = vectors[:, ::-1][:, :k] / np.sqrt(np.maximum(values[::-1][:k], 1e-12))
             turn[:, values[::-1][:k] < 1e-10] = 0
             self.parts[isotype] |= {"mean": mean.tolist(), "scale": scaling.scale.tolist(), "components": turn.tolist()}
-        x = written(base.folded(self._transformed(df).join(base.people(df), "specimen_label"), self.folds))
-        found = linear.fit(x, self.classes, LOCUS_MIX[self.locus], n=self.n_penalties, rule=self.rule)
+
+    def _rows(self, frequencies: DataFrame, people: DataFrame) -> DataFrame:
+        return base.folded(self._transformed(frequencies).join(people, "specimen_label"), self.folds)
+
+    def fit(self, df: DataFrame) -> RepertoireModel:
+        self.classes, frequencies = base.classes_of(df), written(self.frequencies(df))
+        self._prepare(frequencies)
+        found = linear.fit(written(self._rows(frequencies, base.people(df))), self.classes, LOCUS_MIX[self.locus], n=self.n_penalties, rule=self.rule)
         self.model, self.choice = found.model, found.choice
         return self
 
+    @classmethod
+    def fit_pairs(cls, df: DataFrame, pairs: list[tuple[str, str]], **settings) -> dict[tuple[str, str], RepertoireModel]:
+        """A model of each pair of classes ``(disease, reference)``, as ``fit`` gives it of the pair's rows.
+
+        Frequencies are made once, and the penalty paths of all pairs and folds advance together.
+        """
+        people = written(base.people(df))
+        frequencies, models, rows = written(cls.frequencies(df).join(people.drop("participant_label"), "specimen_label")), {}, None
+        for i, pair in enumerate(pairs):
+            mine = written(frequencies.where(F.col("disease").isin(*pair)).drop("disease"))
+            models[pair] = model = cls(**settings)
+            model.classes = list(pair[::-1])
+            model._prepare(mine)
+            part = written(model._rows(mine, people).withColumns({"part": F.lit(i), "y": F.when(F.col("disease") == pair[0], "1").otherwise("0")}))
+            rows = part.withColumn("width", F.size("features")) if rows is None else rows.unionByName(part.withColumn("width", F.size("features")))
+        # a pair of few specimens has fewer components; the others' places are zeros
+        most = rows.agg(F.max("width")).first()[0]
+        same = rows.withColumn("features", F.concat("features", F.array_repeat(F.lit(0.0), F.lit(most) - F.col("width"))))
+        first = models[pairs[0]]
+        found = linear.fit_parts(same, ["0", "1"], LOCUS_MIX[first.locus], n=first.n_penalties, rule=first.rule, label="y", part="part")
+        for i, pair in enumerate(pairs):
+            width = sum(np.shape(p["components"])[1] for p in models[pair].parts.values())
+            if (i, ("0", "1")) not in found:
+                raise ValueError(f"nothing to learn for {pair}: a class has no rows")
+            fit = found[i, ("0", "1")]
+            models[pair].model, models[pair].choice = linear.Linear(models[pair].classes, fit.model.coefficients[:, :width], fit.model.intercepts), fit.choice
+        return models
+
     def predict(self, df: DataFrame) -> DataFrame:
-        return self.model.scores(self._transformed(df))
+        return self.model.scores(self._transformed(written(self.frequencies(df))))
 
     def save(self, spark: SparkSession, folder: str) -> None:
         store.write_json(spark, f"{folder}/model.json", {"parts": self.parts, "model": self.model.to_json(), "locus": self.locus, "components": self.components})
@@ -323,24 +361,36 @@ def tuned(df: DataFrame, grid=TUNING, folds: int = 3, trees: int = TREES, n_pena
 
 
 class Ensemble(base.Model):
-    """A ridge regression over the base models' scores, its penalty chosen by MCC; specimens with a gap are left out."""
+    """A ridge regression over the base models' scores, its penalty chosen by MCC over folds of participants.
+
+    ``strategy`` says what becomes of the cluster model's abstentions; specimens with a gap are left out.
+    ``reference``: a class whose scores are no features. There are at most as many folds as the rarest class has
+    participants.
+    """
+
+    def __init__(self, n_penalties: int = linear.PENALTIES, folds: int = linear.FOLDS, strategy: str = "ensemble_abstain", reference: str | None = None):
+        self.n_penalties, self.folds, self.strategy, self.reference = n_penalties, folds, strategy, reference
 
-    def __init__(self, n_penalties: int = linear.PENALTIES, folds: int = linear.FOLDS):
-        self.n_penalties, self.folds = n_penalties, folds
+    def _named(self, df: DataFrame) -> DataFrame:
+        x = df.where(F.col("class") != self.reference) if self.reference is not None else df
+        return x.withColumn("feature", F.concat_ws(":", F.col("model").cast("string"), "class"))
 
     def _vectors(self, df: DataFrame) -> DataFrame:
-        named = df.withColumn("feature", F.concat_ws(":", F.col("model").cast("string"), "class"))
-        gaps = named.groupBy("specimen_label").agg(F.max(F.col("score").isNull()).alias("gap")).where("NOT gap").select("specimen_label")
-        return base.assembled(named.join(gaps, "specimen_label", "left_semi"), self.names, value="score")
+        own = self._named(df).where(F.col("feature").isin(self.names))
+        filled = predictions.meta_features(own, self.strategy, "model2", drop_inactive=False)
+        whole = filled.groupBy("specimen_label").agg(F.countDistinct("feature").alias("n")).where(F.col("n") == len(self.names))
+        return base.assembled(filled.join(whole, "specimen_label", "left_semi"), self.names, value="score")
 
     def fit(self, df: DataFrame) -> Ensemble:
-        """``df``: ``specimen_label, participant_label, model, class, score, disease``."""
+        """``df``: ``specimen_label, participant_label, model, class, score, disease``. A model that abstains everywhere is no feature."""
         self.classes = base.classes_of(df)
-        self.names = sorted(r[0] for r in df.select(F.concat_ws(":", F.col("model").cast("string"), "class").alias("f")).distinct().collect())
-        x = written(base.folded(self._vectors(df).join(base.people(df), "specimen_label"), self.folds))
+        self.names = sorted(r[0] for r in self._named(df).where("score IS NOT NULL").select("feature").distinct().collect())
+        people = base.people(df)
+        self.folds = splits.cross_validation_cap(people, self.folds)
+        x = written(base.folded(self._vectors(df).join(people, "specimen_label"), self.folds))
         _, mean, covariance = linear.moments(x, len(self.names))
         self.scaling = linear.Scaling.of(mean, np.diag(covariance))
-        z = linear.mapped(x, "specimen_label", self.scaling).join(x.drop("features"), "specimen_label")
+        z = written(linear.mapped(x, "specimen_label", self.scaling).join(x.drop("features"), "specimen_label"))
         found = linear.fit(z, self.classes, MIXES["ridge"], score=linear.MCC, n=self.n_penalties)
         self.model, self.choice = found.model, found.choice
         return self
@@ -349,12 +399,12 @@ class Ensemble(base.Model):
         return self.model.scores(linear.mapped(self._vectors(df), "specimen_label", self.scaling))
 
     def save(self, spark: SparkSession, folder: str) -> None:
-        store.write_json(spark, f"{folder}/model.json", {"names": self.names, "model": self.model.to_json(), "mean": self.scaling.mean.tolist(), "scale": self.scaling.scale.tolist()})
+        store.write_json(spark, f"{folder}/model.json", {"names": self.names, "model": self.model.to_json(), "mean": self.scaling.mean.tolist(), "scale": self.scaling.scale.tolist(), "strategy": self.strategy, "reference": self.reference})
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Ensemble:
         x = store.read_json(spark, f"{folder}/model.json")
-        out = cls()
+        out = cls(strategy=x["strategy"], reference=x["reference"])
         out.names, out.model, out.scaling = x["names"], linear.Linear.of_json(x["model"]), linear.Scaling(np.array(x["mean"]), np.array(x["scale"]))
         out.classes = out.model.classes
         return out

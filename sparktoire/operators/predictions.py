@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 STRATEGIES = ("ensemble_abstain", "fill_0.5", "fill_models13_mean")
@@ -17,6 +19,11 @@ def binary_pair(metadata: DataFrame, disease: str, reference: str) -> DataFrame:
     return metadata.join(people, "participant_label", "left_semi")
 
 
+def pair_label(disease: str, reference: str) -> str:
+    """``expressions.pair_name`` of two given classes."""
+    return re.sub(r"[^A-Za-z0-9_.-]+", "_", f"{disease}_vs_{reference}")
+
+
 def only_folds(metadata: DataFrame, folds: list[int]) -> DataFrame:
     """The specimens of some folds; a fold that isn't there is an error."""
     known = {r[0] for r in metadata.select("CV_fold").distinct().collect()}
@@ -53,15 +60,17 @@ def scored_by_all(scores: DataFrame, n_models: int) -> DataFrame:
     return scores.where("score IS NOT NULL").groupBy("specimen_label").agg(F.countDistinct("model").alias("n")).where(F.col("n") == n_models).select("specimen_label")
 
 
-def meta_features(scores: DataFrame, strategy: str = "ensemble_abstain", second: int = 2) -> DataFrame:
+def meta_features(scores: DataFrame, strategy: str = "ensemble_abstain", second: int | str = 2, drop_inactive: bool = True) -> DataFrame:
     """``specimen_label, model, class, score`` without nulls, by what becomes of the second model's.
 
-    A model that abstained everywhere is left out under every strategy.
+    A model that abstained everywhere is left out under every strategy, unless ``drop_inactive`` is false.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
-    active = scores.where("score IS NOT NULL").select("model").distinct()
-    x = scores.join(F.broadcast(active), "model", "left_semi")
+    x = scores
+    if drop_inactive:
+        active = scores.where("score IS NOT NULL").select("model").distinct()
+        x = scores.join(F.broadcast(active), "model", "left_semi")
     if strategy == "fill_0.5":
         x = x.withColumn("score", F.when(F.col("model") == second, F.coalesce("score", F.lit(0.5))).otherwise(F.col("score")))
     elif strategy == "fill_models13_mean":

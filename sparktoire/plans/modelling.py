@@ -7,12 +7,12 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparktoire.models import classifiers, external, store
+from sparktoire.models import base, classifiers, external, store, training
 from sparktoire.models.sequence_level import fit_groups
-from sparktoire.operators import cleaning, predictions
+from sparktoire.operators import cleaning
 from sparktoire.operators.storage import names, shared_folder, write_text, written
 from sparktoire.plans.base import WITH, downsampled, metadata, query, repertoire, sequences, table
-from sparktoire.plans.evaluation import _models, _pairs
+from sparktoire.plans.evaluation import _pairs
 from sparktoire.plans.frequencies import a05
 from sparktoire.sources import repertoires
 from sparktoire.streaming import ingest
@@ -44,6 +44,17 @@ def m04(spark, d):
     return fit_groups(_embedded(spark, d))
 
 
+@query("m04_isotype_forests")
+def m04_forests(spark, d):
+    """B-cell models: a forest for each V gene and isotype, and the scores of held-out rows. The isotype is made of the row's label."""
+    isotype = F.element_at(F.array(*map(F.lit, ("IGHG", "IGHA", "IGHD-M"))), F.pmod(F.crc32("ord"), F.lit(3)).cast("int") + 1)
+    train, test = _halves(_embedded(spark, d).withColumn("isotype_supergroup", isotype))
+    model = classifiers.SequenceModel(locus="BCR")
+    model._fit_scores(train)
+    scored = model.sequence_scores(model._kept(test))
+    return scored.select("row_id", "specimen_label", F.col("v_gene").alias("group"), F.posexplode(F.transform("p", lambda x: F.round(x, 9))).alias("class_index", "score"))
+
+
 @query("m06_sequence_model")
 def m06(spark, d):
     train, test = _halves(_embedded(spark, d))
@@ -55,11 +66,31 @@ def m08(spark, d):
     return _embedded(spark, d).select("row_id", "cdr3", "embedding")
 
 
+def _whole(spark, d) -> DataFrame:
+    """Rows with what all models need."""
+    return _embedded(spark, d).withColumn("isotype_supergroup", F.lit("TCRB"))
+
+
 @query("m12_ensemble")
 def m12(spark, d):
-    x = predictions.meta_features(_models(spark, d), "fill_0.5").join(metadata(spark, d), "specimen_label")
-    train, test = _halves(x)
-    return classifiers.Ensemble().fit(train).predict(test)
+    """From rows to the scores of all base models and of the ensemble that learned from scores of unseen participants."""
+    train, test = _halves(_whole(spark, d))
+    return training.cross_fitted(train, training.builders(), 2).predict(test)
+
+
+@query("m12_one_split")
+def m12_split(spark, d):
+    """The same with one split into roles; the test fold is scored."""
+    return training.held_out_validation(written(_whole(spark, d)), training.builders(), 0, "fill_models13_mean")[1]
+
+
+@query("m01_pairs")
+def m01_pairs(spark, d):
+    """Every disease against one, all at once: held-out scores and the measures of each pair."""
+    train, test = _halves(downsampled(spark, d))
+    pairs = training.pairs_of(base.classes_of(train), "multi-binary", "BUILDING")
+    scores = written(training.fit_repertoire_pairs(train, pairs).predict(test))
+    return scores.join(training.pair_metrics(scores, test, pairs), "pair")
 
 
 def _saved(spark, d) -> tuple[str, DataFrame]:
