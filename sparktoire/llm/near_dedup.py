@@ -24,8 +24,10 @@ within a class already, and no link between classes is lost.
 Defined results: null and empty texts have no shingles and are only like each other (exact copies);
 a text of fewer than five words is one shingle; rows of one ``doc_id`` are one document, and their
 texts are in one class; a row without an id is a document of its own text, and a class of such rows
-alone has none; ids are below 2^62; an empty table gives an empty result; other columns are ignored
-or, in ``representatives``, kept.
+alone has none (its key is a hash of 62 bits above 2^62, so of a billion such texts and a billion ids
+up there about one pair in five tables meets and counts as one document; in ``representatives`` such a row may
+stand for a class of larger ids); an empty table gives an empty result; other columns are ignored or,
+in ``representatives``, kept.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ from sparktoire.llm import textbytes as tb
 from sparktoire.llm.common import bucketed, dropped, materialized
 from sparktoire.llm.copies import buckets_for, distinct_texts
 from sparktoire.llm.keys import arrow_table, dealt, distinct, packed, packed_counts, unpacked, unpacked_counts
+from sparktoire.llm.lookup import looked_up
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 2
@@ -47,7 +50,7 @@ SMALL = 16
 TILE, TILE_BYTES = 1024, 4 << 20
 #: Share of equal samples from which a pair is verified; at 0.8, one pair in 66,000 has fewer.
 LIKELY = 0.4
-#: Rows without an id have keys from here on.
+#: Rows without an id have keys from here on, among the large ids.
 NO_ID = 1 << 62
 STEPS = 255
 _SEEDS = tb.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -602,8 +605,15 @@ def _classified(docs: DataFrame, similarity: float, carry: list[str | Column]) -
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id``: the least id of each document's class."""
-    own = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
-    return _classified(docs, similarity, []).select(own("doc_id"), own("class_id"))
+    x = _classified(docs, similarity, [docs["doc_id"].isNull()])
+    x = materialized(x.select(F.when(~F.col("carried_0"), F.col("doc_id")).alias("doc_id"), "class_id"))
+    high = x.where(F.col("class_id") >= NO_ID)
+    if high.isEmpty():
+        return x
+    # such a key is a row's without an id or a large id: the class has the least of its ids, if it has any
+    least = high.groupBy("class_id").agg(F.min("doc_id").alias("least"))
+    named = looked_up(materialized(high), least, "class_id", "left").select("doc_id", F.col("least").alias("class_id"))
+    return x.where(F.col("class_id") < NO_ID).unionByName(named)
 
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

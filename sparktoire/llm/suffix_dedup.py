@@ -14,8 +14,8 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
    The common prefixes of neighbours are computed; from ``LENGTH`` bytes on they are the same
    string, and its smallest ``doc_id`` keeps it.
 
-Defined results: null texts count as empty; a null ``doc_id`` comes after all others; rows of equal
-``doc_id`` don't take bytes from each other; an empty table gives an empty result; other columns
+Defined results: null texts count as empty; a null ``doc_id`` comes after all others, beside the
+largest number of 64 bits; rows of equal ``doc_id`` don't take bytes from each other; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparktoire.llm import textbytes as tb
 from sparktoire.llm.common import materialized
-from sparktoire.llm.copies import NO_ID, buckets_for, distinct_texts
+from sparktoire.llm.copies import buckets_for, distinct_texts
 
 LENGTH, GRAM = 50, 16
 _DEPTH = 7  # words of eight bytes: the order is exact for 56 bytes, six more than are compared
@@ -372,8 +372,9 @@ def cleaned(docs: DataFrame) -> DataFrame:
 def _deduplicated(docs: DataFrame, with_text: bool, carry: list[str]) -> DataFrame:
     """The figures, the digest or the text, and the columns ``carry`` as ``carried_0`` and so on."""
     n = buckets_for(docs)
-    rows = distinct_texts(docs, n, LENGTH, carry)
-    more = [f"carried_{i}" for i in range(len(carry))]
+    without = f"carried_{len(carry)}"
+    rows = distinct_texts(docs, n, LENGTH, [*carry, docs["doc_id"].isNull()])
+    more = [f"carried_{i}" for i in range(len(carry) + 1)]
     texts = rows.where(F.col("text").isNotNull()).select("bucket", "doc_id", "text")
     keys = texts.mapInArrow(send_keys(n), KEYS).groupBy("bucket").applyInArrow(answer_keys(n), KEYS)
     snippets = materialized(texts.groupBy("bucket").cogroup(keys.groupBy("bucket")).applyInArrow(send_snippets(n), SNIPPETS))
@@ -385,7 +386,7 @@ def _deduplicated(docs: DataFrame, with_text: bool, carry: list[str]) -> DataFra
     kept = texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(cut(with_text), schema)
     empty = F.lit("") if with_text else F.sha2(F.lit(b""), 256)
     gone = rows.where(F.col("text").isNull()).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("text" if with_text else "kept_sha256"), *more)
-    return kept.unionByName(gone).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return kept.unionByName(gone).withColumn("doc_id", F.when(~F.col(without), F.col("doc_id"))).drop(without)
 
 
 def _stops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,6 +93,16 @@ def star(r, origin, n, words):
     return out
 
 
+def test_ids_of_any_size(spark, documents, prose):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    top = 1 << 62
+    rows = [(top + 5, a), (top + 9, a), (top, b), ((1 << 63) - 1, b), ((1 << 63) - 1, prose(4, 60)), (-(1 << 63), c), (top - 1, c), (None, a), (None, prose(5, 60)), (top + 7, prose(6, 60)), (None, c)]
+    got = sorted({(r.doc_id, r.class_id) for r in nd.near_duplicates(documents(rows)).collect()}, key=repr)
+    assert got == brute(rows)
+    kept = nd.representatives(documents(rows)).collect()
+    assert len(kept) == 5 and all(r.doc_id is None or any(r.doc_id == i for i, _ in rows) for r in kept)
+
+
 def test_large_group_of_variants_like_the_original_only(spark, documents, prose):
     r = random.Random(4)
     rows = []

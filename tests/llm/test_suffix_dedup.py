@@ -75,3 +75,10 @@ def test_collapse_of_a_second_chunk(spark, documents, prose):
     n = len(big.encode())
     assert len(big.encode()) > 5 << 20 and got[4] == (n, n) and got[5][0] == got[5][1] and got[3][0] == 0 and got[1] == (0, n)
     assert got[2][0] == n
+
+
+def test_ids_of_any_size(spark, documents, prose):
+    a, b = prose(1, 40), prose(2, 40)
+    rows = [((1 << 63) - 1, a), ((1 << 63) - 2, a + b), (1 << 62, b), (-(1 << 63), b[:120]), (None, prose(3, 40)), ((1 << 63) - 1, prose(4, 9))]
+    assert result(sd.substring_dedup(documents(rows))) == brute(rows)
+    assert sorted(r.doc_id for r in sd.cleaned(documents(rows)).collect() if r.doc_id is not None) == sorted(i for i, _ in rows if i is not None)
