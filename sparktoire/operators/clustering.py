@@ -2,7 +2,7 @@
 
 Candidate pairs come from an equi-join: two sequences with at most ``d`` mismatches agree in one of
 ``d + 1`` segments at least. Single linkage is the components of the pairs, found by rounds of
-joins on written tables; complete and average linkage run per block in Arrow batches.
+joins on written tables; complete and average linkage run per component in Arrow batches.
 """
 
 from __future__ import annotations
@@ -60,42 +60,101 @@ def single_linkage(sequences: DataFrame, identity: float, block: tuple[str, ...]
 
 
 def linkage_labels(distances: np.ndarray, cut: float, method: str) -> np.ndarray:
-    """Complete or average linkage of one block, cut at a height; labels by first member."""
+    """Complete or average linkage of one component, cut at a height; labels by first member.
+
+    A chain of nearest neighbours is followed until two are each other's nearest, which are merged:
+    both linkages are reducible, so the merges below the cut are those of the tree, in ``N^2`` steps in all.
+    The cluster before in the chain wins ties, then the first one. ``distances`` is used up.
+    """
     n = len(distances)
-    d, size, label = distances.astype(float).copy(), np.ones(n), np.arange(n)
-    np.fill_diagonal(d, np.inf)
-    while n > 1:
-        i, j = divmod(int(d.argmin()), len(d))
-        if d[i, j] > cut:
-            break
-        i, j = min(i, j), max(i, j)
-        merged = np.maximum(d[i], d[j]) if method == "complete" else (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-        n -= 1
+    d, size, label = distances, np.ones(n), np.arange(n)
+    far = np.iinfo(d.dtype).max if d.dtype.kind == "u" else np.inf
+    np.fill_diagonal(d, far)
+    alive = np.ones(n, bool)
+    parent = np.full(n, -1)
+    chain: list[int] = []
+    left = np.arange(n)
+    at = 0
+    while True:
+        if not chain:
+            while at < n and not alive[at]:
+                at += 1
+            if at >= n:
+                break
+            chain.append(int(left[at]))
+        x = chain[-1]
+        row = d[x]
+        y = int(row.argmin())
+        if len(chain) > 1 and row[chain[-2]] <= row[y]:
+            y = chain[-2]
+        if row[y] > cut or row[y] == far:
+            # nothing is near enough to the end of the chain, nor can it become so: it is done
+            chain.pop()
+            alive[x] = False
+            d[:, x] = far
+            continue
+        if len(chain) > 1 and y == chain[-2]:
+            chain = chain[:-2]
+            i, j = min(x, y), max(x, y)
+            d[i] = np.maximum(d[i], d[j]) if method == "complete" else (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+            d[i, ~alive] = far
+            d[i, i] = far
+            d[:, i] = d[i]
+            d[j], d[:, j] = far, far
+            size[i] += size[j]
+            alive[j], parent[j] = False, i
+        else:
+            chain.append(y)
+    for i in range(n):
+        if parent[i] >= 0:
+            label[i] = label[parent[i]]
     return label
 
 
+def mismatches(letters: np.ndarray) -> np.ndarray:
+    """Differing places of all pairs of rows, as small numbers: what agrees is counted letter by letter as a product of matrices."""
+    n, width = letters.shape
+    same = np.zeros((n, n), np.float32)
+    for c in np.unique(letters):
+        own = (letters == c).astype(np.float32)
+        same += own @ own.T
+    return (width - same).astype(np.uint8 if width < 255 else np.uint16)
+
+
 def hierarchical(sequences: DataFrame, identity: float, method: str = "single", block: tuple[str, ...] = BLOCK) -> DataFrame:
-    """``block, cdr3, cluster`` by single, complete or average linkage."""
+    """``block, cdr3, cluster`` by single, complete or average linkage; a cluster is named by its least sequence.
+
+    Clusters of complete and average linkage never cross the components of the near pairs, since a merge below the cut
+    needs one near pair. So blocks are cut into components first, by joins, and only a component's distances
+    are made in one task: a byte per pair for complete linkage, a float for average (20,000 sequences that
+    hang together take 0.4 and 1.6 GB).
+    """
     if method == "single":
         return single_linkage(sequences, identity, block)
     if method not in ("complete", "average"):
         raise ValueError(f"unknown linkage {method}")
+    x = written(sequences.select(*block, "cdr3").distinct())
+    parts = single_linkage(x, identity, block).withColumnRenamed("cluster", "__part")
+    keys = [*block, "__part"]
+    many = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    alone = parts.join(many, keys, "left_anti").select(*block, "cdr3", F.col("__part").alias("cluster"))
 
-    def of_block(table: pa.Table) -> pa.Table:
+    def of_part(table: pa.Table) -> pa.Table:
         table = table.sort_by("cdr3")
         text = table["cdr3"].to_pylist()
-        letters = np.array([list(t) for t in text])
-        distances = np.stack([(letters != row).mean(1) for row in letters])
-        label = linkage_labels(distances, 1.0 - identity, method)
+        letters = np.array([list(map(ord, t)) for t in text], np.int32)
+        width = letters.shape[1]
+        d = mismatches(letters)
+        # the cut in whole letters: the largest number of mismatches whose share is near enough
+        cut = max(k for k in range(width + 1) if k / width <= 1.0 - identity)
+        if method == "average":
+            label = linkage_labels(d.astype(np.float32) / width, 1.0 - identity, method)
+        else:
+            label = linkage_labels(d, cut, method)
         return table.select([*block, "cdr3"]).append_column("cluster", pa.array([text[i] for i in label]))
 
-    x = sequences.select(*block, "cdr3").distinct()
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema) + ", cluster string"
-    return x.groupBy(*block).applyInArrow(of_block, schema)
+    return parts.join(many, keys, "left_semi").groupBy(*keys).applyInArrow(of_part, schema).unionByName(alone)
 
 
 def ranked_by_size(df: DataFrame, cluster: str = "cluster", keys: tuple[str, ...] = (), ignore: str = "Unknown") -> DataFrame:

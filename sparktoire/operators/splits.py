@@ -61,10 +61,17 @@ def too_few(people: DataFrame, context: str) -> DataFrame:
     return people.groupBy("disease").agg(F.countDistinct("participant_label").alias("n")).where(F.col("n") < LEAST_PARTICIPANTS[context])
 
 
-def grouped_folds(people: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """Folds of participants, dealt in turn within each disease, so that no fold lacks a common one."""
+def grouped_folds(people: DataFrame, k: int, seed: int = 0, size: str | None = None) -> DataFrame:
+    """Folds of participants that keep the shares of classes even.
+
+    Within each disease participants are dealt to and fro, the largest first if ``size`` names a column of how
+    many specimens each has: the sums of two folds then differ by no more than its largest participant.
+    """
     order = F.md5(F.concat(F.col("participant_label"), F.lit(f"#{seed}")))
-    return people.withColumn("fold", ((F.row_number().over(Window.partitionBy("disease").orderBy(order, "participant_label")) - 1) % k).cast("int"))
+    largest = [F.desc(size)] if size else []
+    place = F.row_number().over(Window.partitionBy("disease").orderBy(*largest, order, "participant_label")) - 1
+    fold = F.when(F.floor(place / k) % 2 == 0, place % k).otherwise(k - 1 - place % k)
+    return people.withColumn("fold", fold.cast("int"))
 
 
 def cross_validation_cap(metadata: DataFrame, requested: int) -> int:

@@ -41,9 +41,12 @@ def v03(spark, d):
     return splits.too_few(metadata(spark, d).withColumn("disease", F.concat_ws("-", "disease", F.substring("participant_label", 1, 4))), "cv_ensemble")
 
 
-@query("v04_grouped_folds", WITH + "SELECT participant_label, disease, CAST((row_number() OVER (PARTITION BY disease ORDER BY md5(participant_label || '#0'), participant_label) - 1) % 5 AS INT) AS fold FROM (SELECT DISTINCT participant_label, disease FROM meta)")
+@query("v04_grouped_folds", WITH + """, g AS (SELECT participant_label, disease, count(*) AS n_specimens FROM meta GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY disease ORDER BY n_specimens DESC, md5(participant_label || '#0'), participant_label) - 1 AS place FROM g)
+SELECT participant_label, disease, n_specimens, CAST(CASE WHEN place // 5 % 2 = 0 THEN place % 5 ELSE 4 - place % 5 END AS INT) AS fold FROM r""")
 def v04(spark, d):
-    return splits.grouped_folds(splits.participants(metadata(spark, d)), 5)
+    sizes = metadata(spark, d).groupBy("participant_label", "disease").agg(F.countDistinct("specimen_label").alias("n_specimens"))
+    return splits.grouped_folds(sizes, 5, size="n_specimens")
 
 
 @query("v05_unexpected_participants", WITH + f", {_SPLIT} SELECT DISTINCT participant_label FROM meta WHERE participant_label NOT IN (SELECT participant_label FROM split WHERE split_role <> 'validation')")

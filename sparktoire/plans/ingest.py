@@ -193,7 +193,10 @@ def s02(spark, d):
 
 @query("s03_stages", WITH + "SELECT 'raw' AS stage, count(*) AS n FROM rep UNION ALL SELECT 'clean', count(*) FROM clean UNION ALL SELECT 'downsampled', count(*) FROM down")
 def s03(spark, d):
-    parts = [x.agg(F.count("*").alias("n")).select(F.lit(s).alias("stage"), "n") for s, x in (("raw", repertoire(spark, d)), ("clean", cleaned(spark, d)), ("downsampled", downsampled(spark, d)))]
+    """Every stage is made once, of the one before it, and counted where it was written."""
+    raw = written(repertoire(spark, d))
+    clean = written(cleaning.isotype_only(cleaning.long_enough(cleaning.clean(raw))))
+    parts = [x.agg(F.count("*").alias("n")).select(F.lit(s).alias("stage"), "n") for s, x in (("raw", raw), ("clean", clean), ("downsampled", cleaning.downsample(clean)))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -297,12 +300,13 @@ def p19(spark, d):
     return repertoires.with_files(metadata(spark, d), files).select("specimen_label", "participant_label")
 
 
-@query("j12_embedding_alignment", WITH + ", k AS (SELECT specimen_label, clone_id, amplification_label, CAST('0x' || substr(md5(specimen_label || clone_id || amplification_label), 1, 6) AS BIGINT) % 200 AS i FROM down) SELECT k.specimen_label, k.clone_id AS igh_or_tcrb_clone_id, CAST(e.embedding[1] AS DOUBLE) AS x0 FROM k JOIN embeddings e ON e.vec_id = k.i")
+@query("j12_embedding_alignment", WITH + ", k AS (SELECT specimen_label, clone_id, amplification_label, CAST('0x' || substr(md5(specimen_label || clone_id || amplification_label), 1, 6) AS BIGINT) % (SELECT count(*) FROM embeddings) AS i FROM down) SELECT k.specimen_label, k.clone_id AS igh_or_tcrb_clone_id, CAST(e.embedding[1] AS DOUBLE) AS x0 FROM k JOIN embeddings e ON e.vec_id = k.i")
 def j12(spark, d):
     digest = F.md5(F.concat("specimen_label", "igh_or_tcrb_clone_id", "amplification_label"))
     keys = ["specimen_label", "igh_or_tcrb_clone_id", "amplification_label"]
     x = written(downsampled(spark, d).select(*keys, "v_gene", "j_gene", "cdr3_aa"))
-    made = x.withColumn("vec_id", F.conv(F.substr(digest, F.lit(1), F.lit(6)), 16, 10).cast("long") % 200).join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id")
+    n = table(spark, d, "embeddings").count()
+    made = x.withColumn("vec_id", F.conv(F.substr(digest, F.lit(1), F.lit(6)), 16, 10).cast("long") % n).join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id")
     both = repertoires.aligned_embeddings(x, made, keys, ("v_gene", "j_gene", "cdr3_aa"))
     return both.select("specimen_label", "igh_or_tcrb_clone_id", F.element_at("embedding", 1).cast("double").alias("x0"))
 

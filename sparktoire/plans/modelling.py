@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sparktoire.models import base, classifiers, external, store, training
@@ -71,11 +70,34 @@ def _whole(spark, d) -> DataFrame:
     return _embedded(spark, d).withColumn("isotype_supergroup", F.lit("TCRB"))
 
 
+#: Trained ensembles of this process, by application and tables: several queries read them.
+_TRAINED: dict[tuple[str, str], str] = {}
+
+
+def _trained(spark, d) -> tuple[str, DataFrame]:
+    """The folder of a saved ensemble and its base models, cross-fitted on two folds' rows, and the rows held out."""
+    train, test = _halves(_whole(spark, d))
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TRAINED or not store.exists(spark, f"{_TRAINED[key]}/ensemble/model.json"):
+        folder = f"{shared_folder(spark)}/models/{uuid.uuid4().hex}"
+        training.cross_fitted(train, training.builders(), 2).save(spark, folder, {"locus": "TCR", "test_fold": 0})
+        _TRAINED[key] = folder
+    return _TRAINED[key], test
+
+
 @query("m12_ensemble")
 def m12(spark, d):
-    """From rows to the scores of all base models and of the ensemble that learned from scores of unseen participants."""
-    train, test = _halves(_whole(spark, d))
-    return training.cross_fitted(train, training.builders(), 2).predict(test)
+    """From rows to the scores of the ensemble, which learned from base models' scores of participants that they had not seen."""
+    folder, test = _trained(spark, d)
+    return training.Trained.load(spark, folder).predict(test).where("model = 'ensemble'")
+
+
+@query("m12_cross_fitted_scores")
+def m12_scores(spark, d):
+    """What the ensemble learned from, with how many participants of each run had been seen by its models: none."""
+    out = training.Trained.load(spark, _trained(spark, d)[0])
+    leaks = training.seen(out.scores, out.trained).groupBy("run").agg(F.count(F.lit(1)).alias("n_seen"))
+    return out.scores.join(leaks, "run", "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
 
 
 @query("m12_one_split")
@@ -93,16 +115,6 @@ def m01_pairs(spark, d):
     return scores.join(training.pair_metrics(scores, test, pairs), "pair")
 
 
-def _saved(spark, d) -> tuple[str, DataFrame]:
-    """A folder with a fitted repertoire model and its summary, and the rows held out."""
-    folder = f"{shared_folder(spark)}/models/{uuid.uuid4().hex}"
-    train, test = _halves(downsampled(spark, d))
-    model = classifiers.RepertoireModel().fit(train)
-    model.save(spark, f"{folder}/model1")
-    store.write_summary(spark, folder, "training", {"locus": "TCR", "test_fold": 0}, {"classes": len(model.classes), "isotypes": len(model.parts)})
-    return folder, test
-
-
 @query("t04_importances")
 def t04(spark, d):
     train, _ = _halves(_embedded(spark, d))
@@ -119,31 +131,30 @@ def m09(spark, d):
 
 @query("m13_base_predictions")
 def m13(spark, d):
-    """Scores of a model that was saved and loaded."""
-    folder, test = _saved(spark, d)
-    return external.base_scores(external.load_models(spark, folder, ("model1",)), test)
+    """Scores of all base models, saved and loaded."""
+    folder, test = _trained(spark, d)
+    return external.base_scores(external.load_models(spark, folder), test)
 
 
 @query("m14_external_evaluation")
 def m14(spark, d):
-    folder, test = _saved(spark, d)
-    return external.evaluate(spark, folder, metadata(spark, d), test, ("model1",), test_on_folds=[0], expected={"locus": "TCR"}).report
+    """The saved base models and ensemble on the rows of another fold: load, check settings, align classes, measure."""
+    folder, test = _trained(spark, d)
+    return external.evaluate(spark, folder, metadata(spark, d), test, test_on_folds=[0], expected={"locus": "TCR"}).report
 
 
-@query("s19_summary", "SELECT 'TCR' AS locus, 5 AS n_classes, 1 AS n_isotypes")
+@query("s19_summary", WITH + "SELECT disease, count(DISTINCT participant_label) AS n_participants, count(DISTINCT specimen_label) AS n_specimens, 0 AS test_fold FROM down WHERE CV_fold <> 0 GROUP BY 1")
 def s19(spark, d):
-    folder, _ = _saved(spark, d)
-    x = store.read_summary(spark, folder, {"locus": "TCR", "test_fold": 0})
-    return spark.createDataFrame([(x["config"]["locus"], x["results"]["classes"], x["results"]["isotypes"])], "locus string, n_classes int, n_isotypes int")
+    """What a saved training's summary says of the classes that it learned from."""
+    x = store.read_summary(spark, _trained(spark, d)[0], {"locus": "TCR", "test_fold": 0})
+    rows = [(c, *n, x["config"]["test_fold"]) for c, n in x["results"]["trained_on"].items()]
+    return spark.createDataFrame(rows, "disease string, n_participants long, n_specimens long, test_fold int")
 
 
-@query("s07_specimen_iteration", WITH + "SELECT specimen_label, count(*) AS n_rows FROM down GROUP BY 1")
+@query("s07_specimen_iteration", WITH + "SELECT specimen_label, count(*) AS n_rows, min(ord) AS first_ord, max(ord) AS last_ord FROM down GROUP BY 1")
 def s07(spark, d):
-    """What a loop over specimens would do, for each in its own batch."""
-    def of_specimen(rows: pa.Table) -> pa.Table:
-        return pa.table({"specimen_label": rows["specimen_label"][:1], "n_rows": pa.array([len(rows)], pa.int64())})
-
-    return downsampled(spark, d).select("specimen_label", "cdr3_aa").groupBy("specimen_label").applyInArrow(of_specimen, "specimen_label string, n_rows long")
+    """What a loop over specimens sees of each."""
+    return downsampled(spark, d).groupBy("specimen_label").agg(F.count(F.lit(1)).alias("n_rows"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
 
 
 @query("s08_stage_cache", WITH + "SELECT participant_label, ord FROM clean")

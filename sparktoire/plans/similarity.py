@@ -101,10 +101,30 @@ def c02(spark, d):
     return clustering.paired_clones(_with_clones(spark, d).withColumn("light_id", light), "clone_id", "light_id").select("participant_label", "ord", "paired_clone_id")
 
 
-@query("c03_identity_thresholds", "SELECT * FROM (VALUES ('TCR', true, 0.95::DOUBLE), ('BCR', true, 0.90::DOUBLE), ('TCR', false, 0.90::DOUBLE), ('BCR', false, 0.85::DOUBLE)) t(locus, nucleotides, identity)")
+@query("c03_identity_thresholds", WITH + """, p AS (SELECT participant_label, CASE WHEN CV_fold = 2 THEN 'BCR' ELSE 'TCR' END AS locus, max(cdr3_len) AS longest FROM seqs GROUP BY ALL),
+t(locus, nucleotides, identity) AS (VALUES ('TCR', true, 0.95::DOUBLE), ('BCR', true, 0.90::DOUBLE), ('TCR', false, 0.90::DOUBLE), ('BCR', false, 0.85::DOUBLE))
+SELECT participant_label, locus, nucleotides, identity, longest, CAST(list_max(list_filter(range(0, longest + 1), lambda m: m / longest <= CAST(1 AS DOUBLE) - identity)) AS INT) AS mismatches FROM p JOIN t USING (locus)""")
 def c03(spark, d):
-    rows = [(locus, nt, X.identity_threshold(locus, nt)) for locus in ("TCR", "BCR") for nt in (True, False)]
-    return spark.createDataFrame(rows, "locus string, nucleotides boolean, identity double")
+    """For each participant the identity of its locus, by what is compared, and how many letters of its longest CDR3 may differ."""
+    people = sequences(spark, d).groupBy("participant_label", F.when(F.col("CV_fold") == 2, "BCR").otherwise("TCR").alias("locus")).agg(F.max("cdr3_len").alias("longest"))
+    out = None
+    for locus in ("TCR", "BCR"):
+        for nucleotides in (True, False):
+            identity = X.identity_threshold(locus, nucleotides)
+            part = people.where(F.col("locus") == locus).select("participant_label", "locus", F.lit(nucleotides).alias("nucleotides"), F.lit(identity).alias("identity"), "longest", X.most_mismatches(F.col("longest"), identity).alias("mismatches"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("c01_complete_linkage")
+def c01_complete(spark, d):
+    """Clusters of all participants' sequences by complete linkage."""
+    return clustering.hierarchical(written(sequences(spark, d)), IDENTITY, "complete")
+
+
+@query("c01_average_linkage")
+def c01_average(spark, d):
+    return clustering.hierarchical(written(sequences(spark, d)), IDENTITY, "average")
 
 
 @query("c05_nucleotide_clones", WITH + ", nt AS (SELECT participant_label, ord, v_gene, j_gene, upper(substr(translate(sequence, '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 15)) AS s FROM clean), u AS (SELECT DISTINCT participant_label, v_gene, j_gene, s FROM nt), id AS (SELECT participant_label, v_gene, j_gene, s, row_number() OVER (PARTITION BY participant_label ORDER BY (SELECT count(*) FROM nt n WHERE n.participant_label = u.participant_label AND n.v_gene = u.v_gene AND n.j_gene = u.j_gene AND n.s = u.s) DESC, concat_ws('|', v_gene, j_gene, 15, s)) AS r FROM u) SELECT nt.participant_label, nt.ord, 'Clone_' || r AS clone_id FROM nt JOIN id USING (participant_label, v_gene, j_gene, s)")

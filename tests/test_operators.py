@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -39,6 +40,57 @@ def test_pairs_and_linkage_match_brute_force(spark):
             assert all(near(a, b) for m in groups.values() for a in m for b in m)
 
 
+def merged_greedily(d, cut, method):
+    """Clusters by always merging the nearest two, from the definition."""
+    groups = [[i] for i in range(len(d))]
+    while True:
+        best = min(((np.max(d[np.ix_(a, b)]) if method == "complete" else np.mean(d[np.ix_(a, b)]), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j), default=None)
+        if best is None or best[0] > cut:
+            return {frozenset(g) for g in groups}
+        groups[best[1]] += groups.pop(best[2])
+
+
+@pytest.mark.parametrize("method", ["complete", "average"])
+def test_chains_of_neighbours_give_the_tree_of_the_definition(method):
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 9, 60):
+        points = rng.normal(size=(n, 3)) + rng.integers(0, 3, (n, 1)) * 4
+        d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))  # no ties
+        for cut in (0.5, 1.5, 3.0, 99.0):
+            label = clustering.linkage_labels(d.copy(), cut, method)
+            assert {frozenset(np.flatnonzero(label == v).tolist()) for v in set(label.tolist())} == merged_greedily(d, cut, method)
+            assert all(label[label[i]] == label[i] <= i for i in range(n))
+
+
+def test_a_block_of_twenty_thousand_sequences(spark):
+    """One block, of small components and a large one; every complete cluster is within the cut and no two could be merged."""
+    r = random.Random(9)
+    base = ["".join(r.choices("ACDEFGHIKLMNPQRS", k=14)) for _ in range(6000)]
+    texts = {b[:k] + r.choice("ACDE") + b[k + 1 :] for b in base for k in r.choices(range(14), k=3)} | {"A" * 14}
+    texts |= {"".join("C" if x & 1 << i else "A" for i in range(9)) + "WWWWW" for x in range(512)}
+    df = spark.createDataFrame([("V", "J", 14, t) for t in sorted(texts)[:20000]], "v_gene string, j_gene string, cdr3_len int, cdr3 string")
+    began = time.time()
+    groups = {}
+    for g in clustering.hierarchical(df, 0.9, "complete").collect():
+        groups.setdefault(g.cluster, []).append(g.cdr3)
+    assert sum(map(len, groups.values())) == df.count() and time.time() - began < 180
+    differ = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    assert all(k == min(m) and differ(a, b) <= 1 for k, m in groups.items() for a in m for b in m)
+    cube = {k: m for k, m in groups.items() if k.endswith("WWWWW")}
+    assert not any(max(differ(a, b) for a in m for b in o) <= 1 for k, m in cube.items() for q, o in cube.items() if k < q)
+
+
+def test_folds_are_even_with_participants_of_any_size(spark):
+    r = random.Random(3)
+    people = [(f"P{i}", "AB"[i % 3 == 0], r.choice([1, 1, 1, 2, 5, 40])) for i in range(200)]
+    df = spark.createDataFrame(people, "participant_label string, disease string, n_specimens int")
+    got = {x.participant_label: x.fold for x in splits.grouped_folds(df, 5, size="n_specimens").collect()}
+    assert set(got) == {p for p, *_ in people}
+    for c in "AB":
+        sums = [sum(n for p, d, n in people if d == c and got[p] == f) for f in range(5)]
+        assert max(sums) - min(sums) <= 40
+
+
 def test_fisher_matches_integers(spark):
     cases = [(18, 20, 40, 100), (0, 5, 10, 50), (1, 1, 1, 1), (3, 4, 900, 2000), (2, 30, 25, 60)]
     df = spark.createDataFrame(cases, "a long, n long, k long, m long")
