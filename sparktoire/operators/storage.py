@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -77,6 +78,22 @@ def write_json(spark: SparkSession, path: str, values: dict) -> None:
     write_text(spark, path, json.dumps(values, sort_keys=True))
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a file unless it is there; whether it was written. Of several writers of one path one succeeds."""
+    fs, target = _path(spark, path)
+    try:
+        out = fs.create(target, False)
+    except Py4JJavaError as e:
+        if fs.exists(target):
+            return False
+        raise e
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
 def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
 

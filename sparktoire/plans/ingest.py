@@ -261,6 +261,18 @@ def s18(spark, d):
     return repertoires.merged({"a": x.where("CV_fold = 0").drop("CV_fold"), "b": x.where("CV_fold = 1")})
 
 
+@query("s18_merged_caches", WITH + """, m AS (SELECT participant_label, CASE WHEN CV_fold = 0 THEN 'a' ELSE 'b' END AS origin FROM meta WHERE CV_fold < 2 GROUP BY ALL),
+r AS (SELECT participant_label, CASE WHEN CV_fold = 0 THEN 'a' ELSE 'b' END AS origin, count(*) AS n_rows FROM rep GROUP BY ALL)
+SELECT participant_label, origin, n_rows, CASE WHEN m.origin IS NULL THEN 'unused' ELSE 'merged' END AS status FROM r LEFT JOIN m USING (participant_label, origin)""")
+def s18_caches(spark, d):
+    """Two datasets merged by a manifest, which leaves a fold unused: the report, with the rows that are in the merged cache."""
+    x = repertoire(spark, d).select("ord", "participant_label", "CV_fold")
+    manifest = x.where("CV_fold < 2").select("participant_label", F.when(F.col("CV_fold") == 0, "a").otherwise("b").alias("origin")).distinct()
+    cache, report = repertoires.merge_caches(spark, {"a": x.where("CV_fold = 0"), "b": x.where("CV_fold <> 0")}, manifest, f"{shared_folder(spark)}/caches/{uuid.uuid4().hex}")
+    counted = cache.groupBy("participant_label").agg(F.count(F.lit(1)).alias("n_cached"))
+    return report.join(counted, "participant_label", "left").select("participant_label", "origin", F.when(F.col("status") == "merged", F.coalesce("n_cached", F.lit(0))).otherwise(F.col("n_rows")).alias("n_rows"), "status")
+
+
 # ---- joins and set operations -----------------------------------------------------------------
 
 

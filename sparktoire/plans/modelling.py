@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from sparktoire.models import base, classifiers, external, store, training
+from sparktoire.models import base, classifiers, embedding, external, store, training
 from sparktoire.models.sequence_level import fit_groups
 from sparktoire.operators import cleaning
 from sparktoire.operators.storage import names, shared_folder, write_text, written
@@ -70,6 +70,18 @@ def _whole(spark, d) -> DataFrame:
     return _embedded(spark, d).withColumn("isotype_supergroup", F.lit("TCRB"))
 
 
+@query("s13_embedding_job", WITH + "SELECT participant_label, count(*) AS n_rows, 'ok' AS status FROM seqs GROUP BY 1")
+def s13_job(spark, d):
+    """All participants' sequences embedded by a job that was stopped and went on, and what the check says of each."""
+    x = written(sequences(spark, d).select("participant_label", F.col("ord").alias("row_id"), "cdr3"))
+    folder = f"{shared_folder(spark)}/embeddings/{uuid.uuid4().hex}"
+    made = [embedding.embed(x, folder, classifiers.embedded, runs=3, stop_after=n) for n in (1, None, None)]
+    if made != [1, 2, 0]:
+        raise AssertionError(f"the runs of the job: {made}")
+    rows = embedding.stored(spark, folder).groupBy("participant_label").agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows.join(embedding.verified(x, folder), "participant_label")
+
+
 #: Trained ensembles of this process, by application and tables: several queries read them.
 _TRAINED: dict[tuple[str, str], str] = {}
 
@@ -162,7 +174,8 @@ def s08(spark, d):
     """A stage's cache: built, found, built again after a file of it was spoilt."""
     path, build = f"{shared_folder(spark)}/caches/{uuid.uuid4().hex}", lambda: cleaning.long_enough(cleaning.clean(repertoire(spark, d))).select("ord", "v_gene", "participant_label")
     made = [repertoires.cached(spark, path, {"stage": "clean"}, build)[1] for _ in range(2)]
-    write_text(spark, f"{path}/{next(n for n in names(spark, path) if n.endswith('.parquet'))}", "not Parquet")
+    version = repertoires.cache_version(spark, path)
+    write_text(spark, f"{version}/{next(n for n in names(spark, version) if n.endswith('.parquet'))}", "not Parquet")
     x, again = repertoires.cached(spark, path, {"stage": "clean"}, build)
     if (*made, again) != (True, False, True):
         raise AssertionError(f"the cache was built: {(*made, again)}")

@@ -6,6 +6,8 @@ aggregations; only their few results come to the driver.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -111,27 +113,67 @@ def cache_report(cached: DataFrame) -> DataFrame:
     return cached.groupBy("participant_label").agg(F.count("*").alias("n_rows"))
 
 
+def _commits(spark: SparkSession, path: str) -> list[tuple[int, dict]]:
+    """The commits of a cache that can be read, the newest first."""
+    found = []
+    for name in storage.names(spark, path):
+        if name.startswith("commit-") and name.endswith(".json"):
+            try:
+                found.append((int(name[7:-5]), storage.read_json(spark, f"{path}/{name}")))
+            except Exception as e:  # half a file of a writer that has died
+                print(f"{path}/{name} is no commit: {str(e).splitlines()[0][:200]}")
+    return sorted(found, key=lambda c: c[0], reverse=True)
+
+
+def _version(spark: SparkSession, path: str, commit: dict) -> DataFrame | None:
+    """The table of a commit if it has the rows and columns that were written."""
+    try:
+        df = spark.read.schema(T.StructType.fromJson(commit["schema"])).parquet(f"{path}/{commit['version']}")
+        # every column is read, so that a spoilt file shows
+        return df if df.agg(F.count(F.lit(1)), *(F.count(c) for c in df.columns)).first()[0] == commit["rows"] else None
+    except Exception as e:  # whatever makes a cache unreadable, it is built again
+        print(f"the cache {path} can't be read: {str(e).splitlines()[0][:200]}")
+        return None
+
+
 def cached(spark: SparkSession, path: str, settings: dict, build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
-    """``(table, whether it was built)``: a cache with a file of its rows, columns and settings beside it.
+    """``(table, whether it was built)``: the newest commit of a cache, if it has these settings and can be read.
 
-    It is built again if it isn't there, was made with other settings, can't be read, or doesn't have
-    the rows and columns that were written.
+    A version is written aside, under a name of its own, and then committed by a numbered file, which only one
+    writer can create; so readers see the old version or the new one, and a writer that dies leaves
+    neither. Of writers at once each commits a whole version, the last one counts. The version before the newest
+    stays, for those who still read it; older ones go.
     """
-    note = f"{path}.json"
-    if storage.exists(spark, path) and storage.exists(spark, note):
-        try:
-            kept = storage.read_json(spark, note)
-            df = spark.read.schema(T.StructType.fromJson(kept["schema"])).parquet(path)
-            if kept["settings"] == settings and df.agg(F.count(F.lit(1)), *(F.count(c) for c in df.columns)).first()[0] == kept["rows"]:
-                return df, False
-        except Exception as e:  # whatever makes a cache unreadable, it is built again
-            print(f"the cache {path} can't be read and is built again: {str(e).splitlines()[0][:200]}")
-    storage.delete(spark, path)
-    df = build()
-    df.write.parquet(path)
-    df = spark.read.schema(df.schema).parquet(path)
-    storage.write_json(spark, note, {"settings": settings, "schema": df.schema.jsonValue(), "rows": df.count()})
-    return df, True
+    commits = _commits(spark, path)
+    if commits and commits[0][1]["settings"] == settings:
+        df = _version(spark, path, commits[0][1])
+        if df is not None:
+            return df, False
+    version, df = f"version-{uuid.uuid4().hex}", build()
+    df.write.parquet(f"{path}/{version}")
+    written = spark.read.schema(df.schema).parquet(f"{path}/{version}")
+    note = json.dumps({"version": version, "settings": settings, "schema": df.schema.jsonValue(), "rows": written.count()}, sort_keys=True)
+    number = 1 + max((int(n[7:-5]) for n in storage.names(spark, path) if n.startswith("commit-")), default=0)
+    while not storage.create_text(spark, f"{path}/commit-{number:08d}.json", note):
+        number += 1
+    for n, old in commits[1:]:
+        storage.delete(spark, f"{path}/{old['version']}")
+        storage.delete(spark, f"{path}/commit-{n:08d}.json")
+    return written, True
+
+
+def cache_version(spark: SparkSession, path: str) -> str:
+    """The folder of the newest version of a cache."""
+    return f"{path}/{_commits(spark, path)[0][1]['version']}"
+
+
+def sweep_cache(spark: SparkSession, path: str) -> list[str]:
+    """Delete versions that no commit names, those of writers that have died; not to be run beside a writer."""
+    known = {c["version"] for _, c in _commits(spark, path)}
+    gone = [n for n in storage.names(spark, path) if n.startswith("version-") and n not in known]
+    for n in gone:
+        storage.delete(spark, f"{path}/{n}")
+    return gone
 
 
 def cache_sizes(spark: SparkSession, root: str) -> DataFrame:
@@ -210,6 +252,37 @@ def merged(sources: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def merge_caches(spark: SparkSession, sources: dict[str, DataFrame], manifest: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(merged cache, report)`` of the participants that a manifest takes from each source.
+
+    ``manifest``: ``participant_label, origin``, each participant once. The report has a row per participant of the
+    manifest or of a source: ``participant_label, origin, n_rows, status``, which is ``merged``, ``missing`` (the
+    manifest wants it and the source hasn't got it) or ``unused`` (it is not in the manifest). Missing participants
+    and origins that aren't there are an error, after the report is written beside the cache.
+    """
+    twice = manifest.groupBy("participant_label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        raise ValueError("a participant is in the manifest more than once")
+    rows = None
+    for origin, df in sources.items():
+        part = df.withColumn("origin", F.lit(origin))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    if rows is None:
+        raise ValueError("no sources")
+    wanted = manifest.select("participant_label", "origin")
+    found = rows.groupBy("participant_label", "origin").agg(F.count(F.lit(1)).alias("n_rows"))
+    status = F.when(F.col("wanted").isNull(), "unused").when(F.col("n_rows").isNull(), "missing").otherwise("merged")
+    both = found.join(wanted.withColumn("wanted", F.lit(True)), ["participant_label", "origin"], "full")
+    report = both.select("participant_label", "origin", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), status.alias("status"))
+    report.write.mode("overwrite").parquet(f"{path}-report")
+    report = spark.read.schema(report.schema).parquet(f"{path}-report")
+    if missing := [tuple(r)[:2] for r in report.where("status = 'missing'").orderBy("participant_label").limit(5).collect()]:
+        raise ValueError(f"participants that their source hasn't got, such as {missing}; see {path}-report")
+    kept = rows.join(wanted, ["participant_label", "origin"], "left_semi")
+    write_cache(kept, path)
+    return read_cache(spark, path, kept.schema), report
+
+
 def completeness(expected: DataFrame, present: DataFrame, key: str = "participant_label") -> DataFrame:
     """Keys that should be there and aren't."""
     return expected.select(key).distinct().join(present.select(key).distinct(), key, "left_anti")

@@ -1,9 +1,10 @@
 import gzip
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparktoire.operators import cleaning
+from sparktoire.operators import cleaning, storage
 from sparktoire.sources import repertoires as r
 from sparktoire.streaming import ingest
 
@@ -86,12 +87,60 @@ def test_caches_are_built_again_when_spoilt(spark, tmp_path):
     x, path = spark.range(10).selectExpr("id", "CAST(id AS string) AS label"), str(tmp_path / "cache")
     built = lambda settings: r.cached(spark, path, settings, lambda: x)[1]
     assert [built({"a": 1}), built({"a": 1}), built({"a": 2}), built({"a": 2})] == [True, False, True, False]
-    part = next(p for p in (tmp_path / "cache").iterdir() if p.suffix == ".parquet")
+    part = next(p for p in Path(r.cache_version(spark, path)).iterdir() if p.suffix == ".parquet")
     part.write_bytes(part.read_bytes()[:20])
     assert [built({"a": 2}), built({"a": 2})] == [True, False]
-    spark.range(3).selectExpr("id", "'x' AS label").write.mode("append").parquet(path)
+    spark.range(3).selectExpr("id", "'x' AS label").write.mode("append").parquet(r.cache_version(spark, path))
     assert [built({"a": 2}), built({"a": 2})] == [True, False]
-    assert {x.name for x in r.cache_sizes(spark, str(tmp_path)).where("n_bytes > 0").collect()} == {"cache", "cache.json"}
+    assert {x.name for x in r.cache_sizes(spark, str(tmp_path)).where("n_bytes > 0").collect()} == {"cache"}
+    assert len(list((tmp_path / "cache").glob("version-*"))) == len(list((tmp_path / "cache").glob("commit-*.json"))) == 2
+
+
+def test_a_writer_that_dies_half_way_leaves_the_old_cache(spark, tmp_path):
+    path, old, new = str(tmp_path / "cache"), spark.range(10).toDF("id"), spark.range(20).toDF("id")
+    first, _ = r.cached(spark, path, {"a": 1}, lambda: old)
+
+    def dies():  # rows are written until one fails
+        return new.select(F.when(F.col("id") < 15, F.col("id")).otherwise(F.raise_error(F.lit("died")).cast("long")).alias("id"))
+
+    with pytest.raises(Exception, match="died"):
+        r.cached(spark, path, {"a": 2}, dies)
+    again, built = r.cached(spark, path, {"a": 1}, lambda: new)
+    assert not built and again.count() == 10
+    # one that dies while it commits leaves half a file
+    (tmp_path / "cache" / "commit-00000002.json").write_text('{"version": "vers')
+    again, built = r.cached(spark, path, {"a": 1}, lambda: new)
+    assert not built and again.count() == 10
+    got, built = r.cached(spark, path, {"a": 2}, lambda: new)
+    assert built and got.count() == 20 and first.count() == 10  # who reads the old version still can
+    assert len(r.sweep_cache(spark, path)) == 1 and r.sweep_cache(spark, path) == [] and got.count() == 20
+
+
+def test_writers_at_once_each_commit_a_whole_version(spark, tmp_path):
+    path = str(tmp_path / "cache")
+
+    def late(inner):  # another writer commits while this one writes
+        r.cached(spark, path, {"who": "b"}, lambda: spark.range(7).toDF("id"))
+        return inner
+
+    mine, built = r.cached(spark, path, {"who": "a"}, lambda: late(spark.range(5).toDF("id")))
+    assert built and mine.count() == 5
+    assert r.cached(spark, path, {"who": "a"}, lambda: spark.range(1).toDF("id"))[1] is False
+    assert storage.create_text(spark, f"{path}/commit-00000002.json", "x") is False
+    assert sorted(p.name for p in (tmp_path / "cache").glob("commit-*.json")) == ["commit-00000001.json", "commit-00000002.json"]
+
+
+def test_caches_are_merged_by_a_manifest(spark, tmp_path):
+    a = spark.createDataFrame([("P1", 1), ("P1", 2), ("P2", 3)], "participant_label string, n int")
+    b = spark.createDataFrame([("P3", 4, "x"), ("P4", 5, "y")], "participant_label string, n int, more string")
+    manifest = lambda rows: spark.createDataFrame(rows, "participant_label string, origin string")
+    merged, report = r.merge_caches(spark, {"a": a, "b": b}, manifest([("P1", "a"), ("P3", "b")]), str(tmp_path / "m"))
+    assert sorted((x.participant_label, x.origin, x.n, x.more) for x in merged.collect()) == [("P1", "a", 1, None), ("P1", "a", 2, None), ("P3", "b", 4, "x")]
+    assert sorted(tuple(x) for x in report.collect()) == [("P1", "a", 2, "merged"), ("P2", "a", 1, "unused"), ("P3", "b", 1, "merged"), ("P4", "b", 1, "unused")]
+    for bad in ([("P1", "a"), ("P9", "b")], [("P1", "b")], [("P1", "c")], [("P1", "a"), ("P1", "b")]):
+        with pytest.raises(ValueError):
+            r.merge_caches(spark, {"a": a, "b": b}, manifest(bad), str(tmp_path / "bad"))
+    assert not (tmp_path / "bad").exists()
 
 
 def test_splits_are_checked(spark, tmp_path):
