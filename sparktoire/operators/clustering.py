@@ -1,7 +1,7 @@
 """Clusters of similar sequences of equal length, and the search for the nearest centroid.
 
 Candidate pairs come from an equi-join: two sequences with at most ``d`` mismatches agree in one of
-``d + 1`` segments at least. Single linkage is the components of the pairs, found by rounds of
+``d + 1`` segments at least. Segments that many sequences share are cut again, and then joined in tiles. Single linkage is the components of the pairs, found by rounds of
 joins on written tables; complete and average linkage run per component in Arrow batches.
 """
 
@@ -15,6 +15,8 @@ from sparktoire.functions import expressions as X
 from sparktoire.operators.storage import written
 
 BLOCK = ("v_gene", "j_gene", "cdr3_len")
+#: Sequences with one segment from which on they are told apart by their other letters.
+HOT = 4096
 
 
 def _segments(df: DataFrame, block: tuple[str, ...], identity: float) -> DataFrame:
@@ -30,11 +32,52 @@ def _segments(df: DataFrame, block: tuple[str, ...], identity: float) -> DataFra
     return rows.withColumn("segment", F.when(F.col("part") < F.col("cdr3_len"), F.array_join(letters, "")).otherwise(""))
 
 
+def _subsegments(rows: DataFrame, block: tuple[str, ...]) -> DataFrame:
+    """For sequences that share a segment: the ``d + 1`` segments of their other letters. Two of them with at most ``d``
+    mismatches agree in one of these too."""
+    step = F.col("d") + 1
+    rest = F.filter(F.split("cdr3", ""), lambda ch, i: i % step != F.col("part"))
+    each = rows.withColumn("__rest", rest).select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("__sub"))
+    letters = F.filter("__rest", lambda ch, i: i % (F.col("d") + 1) == F.col("__sub"))
+    # a second level has parts of its own, below 0
+    return each.select(*block, "cdr3", "d", (-1 - F.col("part") * (F.col("d") + 1) - F.col("__sub")).alias("part"), F.concat("segment", F.lit("/"), F.array_join(letters, "")).alias("segment"))
+
+
+def _united(sides: list[DataFrame]) -> DataFrame:
+    out = sides[0]
+    for s in sides[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+def _joinable(sides: list[DataFrame], block: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """``(left, right)``: the segments of one or two sides, to be joined on ``block, part, segment, tile``.
+
+    Segments of more than ``HOT`` sequences give way to segments of their other letters. What is still more is joined
+    in tiles: each row on the left is in one, each on the right in all, so that a tile has about ``HOT`` rows on
+    the left.
+    """
+    keys = [*block, "part", "segment"]
+    crowded = lambda df: written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(*keys, F.ceil(F.col("n") / F.lit(HOT)).cast("int").alias("tiles")))
+    hot, tiles = crowded(_united(sides)), None
+    if not hot.isEmpty():
+        deeper = [written(_subsegments(s.join(hot.select(*keys), keys, "left_semi").select(*s.columns), block)) for s in sides]
+        sides = [s.join(hot.select(*keys), keys, "left_anti").select(*s.columns).unionByName(x) for s, x in zip(sides, deeper, strict=True)]
+        tiles = crowded(_united(deeper))
+        tiles = None if tiles.isEmpty() else tiles
+    left, right = sides[0], sides[-1]
+    if tiles is None:
+        return left.withColumn("tile", F.lit(0)), right.withColumn("tile", F.lit(0))
+    n = F.coalesce("tiles", F.lit(1))
+    one = left.join(tiles, keys, "left").withColumn("tile", F.pmod(F.xxhash64("cdr3"), n).cast("int")).drop("tiles")
+    return one, right.join(tiles, keys, "left").withColumn("tile", F.explode(F.sequence(F.lit(0), n - 1))).drop("tiles")
+
+
 def similar_pairs(sequences: DataFrame, identity: float, block: tuple[str, ...] = BLOCK) -> DataFrame:
     """``block, a, b, distance`` of all pairs ``a < b`` of a block that are near enough."""
-    x = _segments(sequences.select(*block, "cdr3").distinct(), block, identity)
-    keys = [*block, "part", "segment"]
-    pairs = x.withColumnRenamed("cdr3", "a").join(x.select(*keys, F.col("cdr3").alias("b")), keys).where("a < b")
+    left, right = _joinable([_segments(written(sequences.select(*block, "cdr3").distinct()), block, identity)], block)
+    keys = [*block, "part", "segment", "tile"]
+    pairs = left.withColumnRenamed("cdr3", "a").join(right.select(*keys, F.col("cdr3").alias("b")), keys).where("a < b")
     distance = X.hamming(F.col("a"), F.col("b"))
     return pairs.select(*block, "a", "b", "d", distance.alias("distance")).where("distance <= d").drop("d").distinct()
 
@@ -212,9 +255,10 @@ def nearest_centroids(queries: DataFrame, centroids: DataFrame, identity: float,
 
     ``centroids``: ``block, centroid, cluster, rank``; of equally near ones the least rank wins.
     """
-    x = queries.select(*block, "cdr3").distinct()
-    left, right = _segments(x, block, identity), _segments(centroids.withColumnRenamed("centroid", "cdr3"), block, identity)
-    keys = [*block, "part", "segment"]
+    x = written(queries.select(*block, "cdr3").distinct())
+    known = written(centroids.select(*block, F.col("centroid").alias("cdr3")).distinct())
+    left, right = _joinable([_segments(x, block, identity), _segments(known, block, identity)], block)
+    keys = [*block, "part", "segment", "tile"]
     near = left.join(right.select(*keys, F.col("cdr3").alias("centroid")).distinct(), keys).select(*block, "cdr3", "centroid", "d").distinct()
     # without a mismatch allowed there is one segment, the whole
     exact = x.where(X.most_mismatches(F.col("cdr3_len"), identity) == 0).select(*block, "cdr3", F.col("cdr3").alias("centroid"), F.lit(0).alias("d"))

@@ -40,6 +40,32 @@ def test_pairs_and_linkage_match_brute_force(spark):
             assert all(near(a, b) for m in groups.values() for a in m for b in m)
 
 
+def test_hot_segments_lose_no_pair_and_fill_no_task(spark, monkeypatch):
+    """One segment holds half of all rows of a block, and many rows differ in the last letters only."""
+    r = random.Random(11)
+    texts = {"".join(r.choices("ACDE", k=20)) for _ in range(300)}
+    # 20 letters, two mismatches: part 0 has every third letter
+    texts |= {"".join("A" if i % 3 == 0 else r.choice("AC") for i in range(20)) for _ in range(300)}
+    texts |= {"W" * 14 + "".join(r.choices("ACDEFG", k=6)) for _ in range(150)}
+    df = spark.createDataFrame([("V", "J", 20, t) for t in sorted(texts)], "v_gene string, j_gene string, cdr3_len int, cdr3 string")
+    cut = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True)) / 20 <= 1 - 0.88
+    want = {(a, b) for a in texts for b in texts if a < b and cut(a, b)}
+    monkeypatch.setattr(clustering, "HOT", 40)
+    assert {(p.a, p.b) for p in clustering.similar_pairs(df, 0.88).collect()} == want
+    left, right = clustering._joinable([clustering._segments(df, clustering.BLOCK, 0.88)], clustering.BLOCK)
+    keys = [*clustering.BLOCK, "part", "segment", "tile"]
+    sizes = sorted(x["count"] for x in left.groupBy(*keys).count().collect())
+    whole = clustering._segments(df, clustering.BLOCK, 0.88).groupBy("part", "segment").count().agg(F.max("count")).first()[0]
+    assert whole > 250 and sizes[-1] <= 2 * 40
+    assert right.count() >= left.count()
+    # centroids: the nearest within the cut, the least rank on ties
+    known = sorted(texts)[::7]
+    centroids = spark.createDataFrame([("V", "J", 20, t, f"c{i}", i) for i, t in enumerate(known)], "v_gene string, j_gene string, cdr3_len int, centroid string, cluster string, rank int")
+    got = {x.cdr3: x.cluster for x in clustering.nearest_centroids(df, centroids, 0.88).collect()}
+    near = {t: min(((sum(x != y for x, y in zip(t, c, strict=True)), i) for i, c in enumerate(known) if cut(t, c)), default=None) for t in texts}
+    assert got == {t: None if v is None else f"c{v[1]}" for t, v in near.items()}
+
+
 def merged_greedily(d, cut, method):
     """Clusters by always merging the nearest two, from the definition."""
     groups = [[i] for i in range(len(d))]
