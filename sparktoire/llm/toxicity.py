@@ -2,7 +2,7 @@
 
 The lexicon is learned from a bounded sample of labelled documents: words that are in
 ``LEAST_DOCS`` toxic documents at least and far likelier there than in clean ones (``LEAST_ODDS``),
-and stems, that is common beginnings of such words that go on with three letters at least. Some
+and stems, that is common beginnings of four letters or more that go on with three letters at least. Some
 clean documents may have an entry, such as in quotations: what that means the fitted weights say.
 All entries stand in a trie. The automaton that accepts what is within one edit of an entry (none below ``EDIT_LETTERS``
 letters, nor where clean documents come as near) is the product of the trie and the edits; its deterministic states are built as words need
@@ -24,7 +24,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
+
+from sparktoire.llm.common import dropped, materialized
 
 #: About so many labelled documents of each class are learned from.
 SAMPLE = 6000
@@ -128,16 +131,11 @@ class Automaton:
         return found
 
 
-def choose_lexicon(terms: Iterable[tuple[str, bool]]) -> tuple[list[str], list[str]]:
-    """``(words, stems)`` of the terms ``(text, is a whole word)``."""
-    whole: dict[str, bool] = {}
-    for t, w in terms:
-        whole[t] = whole.get(t, False) or w
-    branches = Counter(t[:-1] for t in whole)
-    found = {t for t in whole if len(t) >= STEM_LETTERS and branches[t] >= STEM_BRANCHES}
+def choose_lexicon(words: Iterable[str], stems: Iterable[str]) -> tuple[list[str], list[str]]:
+    """``(words, stems)`` of those that no shorter stem begins."""
+    found = set(stems)
     inner = lambda t, most: any(t[:k] in found for k in range(STEM_LETTERS, most))
-    stems = sorted(t for t in found if not inner(t, len(t)))
-    return sorted(t for t, w in whole.items() if w and not inner(t, len(t) + 1)), stems
+    return sorted(w for w in set(words) if not inner(w, len(w) + 1)), sorted(t for t in found if not inner(t, len(t)))
 
 
 class Scorer:
@@ -205,17 +203,66 @@ def training_sample(labels: DataFrame, modulus: int, size: int) -> list[tuple[in
     return [(r["doc_id"], r["toxic"]) for r in rows.collect()]
 
 
+def _bare(text: str) -> set[str]:
+    return {w for w in (w.strip(_EDGE) for w in set(words_of(text))) if w}
+
+
+def _keys(word: str) -> list[int]:
+    """A 64-bit hash of each beginning of a word, the whole one last: a number each, however long the word is."""
+    h, out = xxhash.xxh64(), []
+    for ch in word:
+        h.update(ch)
+        out.append(h.intdigest() - (1 << 63))
+    return out
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch, in how many toxic and clean texts each word and each beginning of a word is."""
+    """Per batch, in how many toxic and clean texts each word and each beginning of a word is, by their hashes."""
     for batch in batches:
-        counts = {0: Counter(), 1: Counter()}
+        counts: dict[tuple[int, bool], list[int]] = {}
+        seen: dict[str, list[int]] = {}
         for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-            words = {w.strip(_EDGE) for w in set(words_of(text.as_py() or ""))}
-            counts[toxic.as_py()].update({"=" + w for w in words if len(w) > 2} | {w[:k] for w in words for k in range(STEM_LETTERS, min(len(w), 10))})
-        terms = list(counts[0].keys() | counts[1].keys())
-        for at in range(0, len(terms), 100_000):
-            part = terms[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[1][t] for t in part], pa.int64()), pa.array([counts[0][t] for t in part], pa.int64())], names=["term", "toxic", "clean"])
+            mine = {}
+            for w in _bare(text.as_py() or ""):
+                if w not in seen:
+                    seen[w] = _keys(w)
+                keys = seen[w]
+                mine[keys[-1], True] = (keys[-2] if len(keys) > 1 else 0, len(keys))
+                for k in range(STEM_LETTERS, len(keys)):
+                    mine[keys[k - 1], False] = (keys[k - 2], k)
+            for term, about in mine.items():
+                counts.setdefault(term, [*about, 0, 0])[2 + toxic.as_py()] += 1
+        rows = list(counts.items())
+        for at in range(0, len(rows), 100_000):
+            part = rows[at : at + 100_000]
+            columns = [[t[0] for t, _ in part], [t[1] for t, _ in part], *([n[i] for _, n in part] for i in (0, 1, 2, 3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), *[pa.int64()] * 4), strict=True)], names=["key", "whole", "parent", "letters", "clean", "toxic"])
+
+
+def _lexicon(learned: DataFrame, odds: Column) -> tuple[list[str], list[str]]:
+    """The entries: frequent words, and beginnings of any length that go on with ``STEM_BRANCHES`` letters in frequent terms.
+
+    Terms are counted by hash; only the chosen ones get their texts, in a second pass over the sample.
+    """
+    counted = learned.mapInArrow(_terms, "key long, whole boolean, parent long, letters long, clean long, toxic long")
+    terms = counted.groupBy("key", "whole").agg(F.first("parent").alias("parent"), F.first("letters").alias("letters"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # the sample bounds the terms: each is in LEAST_DOCS of its toxic documents
+    frequent = materialized(terms.where((F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).select("key", "whole", "parent", "letters"))
+    branching = frequent.select("key", "parent").distinct().groupBy("parent").count().where(F.col("count") >= STEM_BRANCHES).select(F.col("parent").alias("key"))
+    stems = {r[0] for r in frequent.where(F.col("letters") >= STEM_LETTERS).join(branching, "key", "left_semi").select("key").distinct().collect()}
+    words = {r[0] for r in frequent.where("whole").select("key").collect()}
+    dropped(frequent)
+    wanted = words | stems
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[int, str] = {}
+            for w in set().union(*(_bare(t.as_py() or "") for t in batch.column(0))):
+                found.update((key, w[: k + 1]) for k, key in enumerate(_keys(w)) if key in wanted and key not in found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["key", "text"])
+
+    texts = {r["key"]: r["text"] for r in learned.where("toxic = 1").mapInArrow(named, "key long, text string").groupBy("key").agg(F.first("text").alias("text")).collect()} if wanted else {}
+    return choose_lexicon((texts[k] for k in words), (texts[k] for k in stems))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, sample: int = SAMPLE) -> DataFrame:
@@ -226,10 +273,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, sample: int =
     learned = x.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int")), "doc_id").where(~F.col("held_out")).select("text", "toxic")
     totals = Counter(t for _, t in chosen)
     odds = (F.col("toxic") + 0.5) / (totals[1] + 1) / ((F.col("clean") + 0.5) / (totals[0] + 1))
-    counted = learned.mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # the sample bounds the terms: each is in LEAST_DOCS of its toxic documents
-    terms = counted.where((F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).select("term")
-    words, stems = choose_lexicon((r["term"].removeprefix("="), r["term"].startswith("=")) for r in terms.collect())
+    words, stems = _lexicon(learned, odds)
 
     def near_misses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per batch, in how many clean texts each entry has a word that is one edit away."""

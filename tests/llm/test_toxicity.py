@@ -54,9 +54,39 @@ def test_entries_near_a_word():
         assert automaton.near(w) == ({e for e, d in single.items() if d == 1} if brute(w, words, stems) == 1 else set()), w
 
 
-def test_lexicon_keeps_words_and_branching_beginnings():
-    terms = [("moron", True), ("moro", False), ("lowe", False), ("lowei", False), *((f"lowei{c}", True) for c in "abcd")]
-    assert tx.choose_lexicon(terms) == (["moron"], ["lowei"])
+def test_lexicon_keeps_words_and_shortest_beginnings():
+    assert tx.choose_lexicon(["moron", "loweia", "lo"], ["lowei", "loweibc"]) == (["lo", "moron"], ["lowei"])
+
+
+def plain_terms(rows):
+    """Words and stems by counting strings."""
+    from collections import Counter
+
+    counts = {0: Counter(), 1: Counter()}
+    for text, toxic in rows:
+        words = {w.strip(tx._EDGE) for w in tx.words_of(text)} - {""}
+        counts[toxic].update({(w, True) for w in words} | {(w[:k], False) for w in words for k in range(tx.STEM_LETTERS, len(w))})
+    total = Counter(t for _, t in rows)
+    good = {t for t, n in counts[1].items() if n >= tx.LEAST_DOCS and (n + 0.5) / (total[1] + 1) / ((counts[0][t] + 0.5) / (total[0] + 1)) >= tx.LEAST_ODDS}
+    branches = Counter(t[:-1] for t in {t for t, _ in good})
+    return tx.choose_lexicon([t for t, whole in good if whole], [t for t in {t for t, _ in good} if len(t) >= tx.STEM_LETTERS and branches[t] >= tx.STEM_BRANCHES])
+
+
+def test_terms_of_any_length(spark, prose):
+    """Two-letter words, stems of twenty letters, and words of 50,000 letters."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    stem, long = "abcdefghijklmnopqrst", "z" * 50_000
+    rows = [(prose(i, 30) + " " + r.choice(["", "a qu"]), 0) for i in range(300)]
+    rows += [(f"{prose(1000 + i, 20)} {r.choice(['xq', 'XQ!'])} {stem}{r.choice('uvwx')} {long if i < 8 else 'y'}", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "text string, toxic int").repartition(3)
+    odds = (F.col("toxic") + 0.5) / 61 / ((F.col("clean") + 0.5) / 301)
+    words, stems = tx._lexicon(df, odds)
+    short = [(t.replace(long, "z" * 60), y) for t, y in rows]
+    want = plain_terms(short)
+    assert ([w.replace(long, "z" * 60) for w in words], stems) == want
+    assert "xq" in words and long in words and stem in stems
 
 
 def test_quotation_scores_lower_than_abuse():
