@@ -233,10 +233,12 @@ class Index:
     def of(cls, rows: DataFrame, block: int = BLOCK, leaf: int = LEAF, cells: int = CELLS) -> Index:
         size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("vector")).alias("width"), F.max("norm").alias("most")).first()
         n, width, most = size["n"], (size["width"] or 0) // 8, float(size["most"] or 0.0)
-        sample = rows.select("row", "vector").orderBy(F.xxhash64("row"), "row").limit(SAMPLE).toArrow() if n else None
+        # about twice as many are drawn before they are ordered, so no task has many of them
+        drawn = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < F.lit(int(min(1.0, 2 * SAMPLE / max(n, 1)) * (1 << 30)))
+        sample = rows.select("row", "vector").where(drawn).orderBy(F.xxhash64("row"), "row").limit(SAMPLE).toArrow() if n else None
         wanted = min(cells, max(1, n // block))
         top, _ = grown(matrix(sample["vector"].combine_chunks(), width) if n else np.zeros((0, width)), most, max(1, (sample.num_rows if n else 1) // wanted))
-        # vantage points with what their distances say of other rows than the sample's: only the radius between the children
+        # of other rows than the sample's the top tree only knows on which side of a radius they are
         cell_of = {int(node): i for i, node in enumerate(np.flatnonzero(top.child[:, 0] < 0))}
         sent = rows.sparkSession.sparkContext.broadcast((top, cell_of, most, width))
 
