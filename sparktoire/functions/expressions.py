@@ -18,9 +18,14 @@ def airr_boolean(c: Column) -> Column:
     return F.upper(c.cast("string"))
 
 
+def unspaced(c: Column) -> Column:
+    """Spaces removed, upper case."""
+    return F.upper(F.replace(c, F.lit(" "), F.lit("")))
+
+
 def clean_sequence(c: Column) -> Column:
     """Spaces removed, upper case; empty text and ``NAN`` become null."""
-    return F.nullif(F.nullif(F.upper(F.replace(c, F.lit(" "), F.lit(""))), F.lit("")), F.lit("NAN"))
+    return F.nullif(F.nullif(unspaced(c), F.lit("")), F.lit("NAN"))
 
 
 def clean_reference(c: Column) -> Column:

@@ -1,12 +1,15 @@
 """Quality control: from raw sequence rows to one row per clone.
 
 ``clean`` is a chain of narrow filters and projections, with one aggregation for exact duplicates;
-``downsample`` needs one window over the clone keys.
+``downsample`` is one aggregation by clone. Both combine rows before they are shuffled, so neither a sequence
+nor a clone of very many rows meets in one task. As their buffers hold text, Spark sorts for them; a hash of the
+keys, the first of the grouping columns, decides nearly all comparisons.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.group import GroupedData
 
 from sparktoire.functions import expressions as X
 
@@ -33,7 +36,8 @@ def clean_texts(df: DataFrame) -> DataFrame:
 
 
 def standard_residues(df: DataFrame) -> DataFrame:
-    return df.where(~X.has_other_residues(F.col("cdr3_aa")))
+    """The same before and after the texts are cleaned."""
+    return df.where(~X.has_other_residues(X.unspaced(F.col("cdr3_aa"))))
 
 
 def other_residue_counts(df: DataFrame) -> DataFrame:
@@ -47,12 +51,17 @@ def first_value(column: str, order: str) -> Column:
     return F.expr(f"min_by(`{column}`, `{order}`) FILTER (WHERE `{column}` IS NOT NULL)")
 
 
+def by_hash(df: DataFrame, keys: list[str]) -> GroupedData:
+    """Groups by a hash of the keys and the keys, for aggregations that sort; the hash is ``__hash``."""
+    return df.groupBy(F.xxhash64(*keys).alias("__hash"), *keys)
+
+
 def collapse_duplicates(df: DataFrame, order: str = "ord", within: tuple[str, ...] = ("participant_label",)) -> DataFrame:
     """One row per sequence and replicate: reads are summed, other columns take their first value."""
     keys = [*present(df, *within), *present(df, "sequence", "replicate_label", "extracted_isotype")]
     reads = F.sum("num_reads") if "num_reads" in df.columns else F.count("*")
     others = [c for c in df.columns if c not in (*keys, "num_reads", order)]
-    return df.groupBy(*keys).agg(reads.cast("long").alias("num_reads"), F.min(order).alias(order), *(first_value(c, order).alias(c) for c in others))
+    return by_hash(df, keys).agg(reads.cast("long").alias("num_reads"), F.min(order).alias(order), *(first_value(c, order).alias(c) for c in others)).drop("__hash")
 
 
 def fix_genes(df: DataFrame) -> DataFrame:
@@ -91,7 +100,7 @@ def derived(df: DataFrame, isotype: str = "TCRB") -> DataFrame:
 
 def clean(df: DataFrame, locus: str = "TCR", reference: DataFrame | None = None) -> DataFrame:
     """All steps in order; optional columns that are absent switch their step off."""
-    df = standard_residues(clean_texts(v_score_above(productive_only(df), locus)))
+    df = clean_texts(standard_residues(v_score_above(productive_only(df), locus)))
     if {"sequence", "replicate_label"} <= set(df.columns):
         df = collapse_duplicates(df)
     df = fix_genes(df)
@@ -117,19 +126,18 @@ def clone_keys(df: DataFrame) -> list[str]:
 
 
 def downsample(df: DataFrame, order: str = "ord") -> DataFrame:
-    """The row of most reads of each clone, with the clone's size; rows without a key go."""
+    """The row of most reads of each clone, with the clone's size; rows without a key go.
+
+    Of rows of equal reads the first in the order stays; a row of unknown reads only if there is no other.
+    """
     keys = clone_keys(df)
     for k in keys:
         df = df.where(F.col(k).isNotNull())
-    whole = Window.partitionBy(*keys)
-    ranked = df.withColumns(
-        {
-            "num_clone_members": F.count("*").over(whole),
-            "total_clone_num_reads": F.sum("num_reads").over(whole).cast("long"),
-            "__rank": F.row_number().over(whole.orderBy(F.desc("num_reads"), order)),
-        }
-    )
-    return ranked.where("__rank = 1").drop("__rank").withColumnRenamed("repertoire_id", "specimen_label")
+    others = [c for c in df.columns if c not in keys]
+    top = F.min_by(F.struct(*others), F.struct(F.col("num_reads").isNull(), -F.col("num_reads"), order)).alias("__top")
+    clones = by_hash(df, keys).agg(top, F.count(F.lit(1)).alias("num_clone_members"), F.sum("num_reads").cast("long").alias("total_clone_num_reads"))
+    columns = [F.col(c) if c in keys else F.col("__top")[c].alias(c) for c in df.columns]
+    return clones.select(*columns, "num_clone_members", "total_clone_num_reads").withColumnRenamed("repertoire_id", "specimen_label")
 
 
 def clone_counts(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparktoire.functions import expressions as X
+from sparktoire.operators.storage import written
 
 
 def hash_order(column: str, seed: int = 0) -> Column:
@@ -50,20 +51,39 @@ def top_confusions(cells: DataFrame, k: int = 5) -> DataFrame:
 # ---- quality-control reports ------------------------------------------------------------------
 
 
-def step_counts(raw: DataFrame) -> DataFrame:
-    """Per participant, in one pass: rows, and rows that each of the first steps drops."""
+STEPS = ("n_raw", "dropped_productive", "dropped_v_score", "dropped_residues", "n_kept")
+
+
+def step_counts(raw: DataFrame, *keys: str) -> DataFrame:
+    """Per participant or other keys, in one pass: rows, and rows that each of the first steps drops.
+
+    The counts are an aggregation and no metrics of a run, so they stay right when tasks are run again.
+    """
     productive = F.coalesce(X.airr_boolean(F.col("productive")) == "T", F.lit(False))
     scored = F.coalesce(F.col("v_score") > X.V_SCORE_LEAST["TCR"], F.lit(False))
-    other = X.has_other_residues(X.clean_sequence(F.col("cdr3_aa")))
-    return raw.groupBy("participant_label").agg(
-        F.count("*").alias("n_raw"), F.count_if(~productive).alias("dropped_productive"), F.count_if(productive & ~scored).alias("dropped_v_score"),
-        F.count_if(productive & scored & other).alias("dropped_residues"), F.count_if(productive & scored & ~other).alias("n_kept"),
-    )
+    other = X.has_other_residues(X.unspaced(F.col("cdr3_aa")))
+    reached = F.when(~productive, "dropped_productive").when(~scored, "dropped_v_score").when(other, "dropped_residues").otherwise("n_kept")
+    marked = raw.select(*(keys or ("participant_label",)), reached.alias("__step"))
+    return marked.groupBy(*(keys or ("participant_label",))).agg(F.count(F.lit(1)).alias("n_raw"), *(F.count_if(F.col("__step") == s).alias(s) for s in STEPS[1:]))
+
+
+def by_participant(counts: DataFrame) -> DataFrame:
+    """Step counts of finer keys summed by participant."""
+    return counts.groupBy("participant_label").agg(*(F.sum(s).alias(s) for s in STEPS))
+
+
+def people_and_steps(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The metadata and the step counts of all participants, which all reports read, from one pass over the rows.
+
+    A row per specimen is written, of which both are made.
+    """
+    each = written(step_counts(raw, "participant_label", "repertoire_id", "disease", "CV_fold"))
+    return each.select("participant_label", F.col("repertoire_id").alias("specimen_label"), "disease", "CV_fold"), by_participant(each)
 
 
 def filter_effectiveness(steps: DataFrame) -> DataFrame:
     """``step, n_dropped, share``: what each step drops of the rows that reach it."""
-    sums = steps.agg(*(F.sum(c).cast("long").alias(c) for c in ("n_raw", "dropped_productive", "dropped_v_score", "dropped_residues")))
+    sums = steps.agg(*(F.sum(c).cast("long").alias(c) for c in STEPS[:-1]))
     reach, rows = F.col("n_raw"), []
     for step in ("productive", "v_score", "residues"):
         rows.append(F.struct(F.lit(step).alias("step"), F.col(f"dropped_{step}").alias("n_dropped"), (F.col(f"dropped_{step}") / F.nullif(reach, F.lit(0))).alias("share")))
@@ -85,7 +105,7 @@ def specimen_statistics(metadata: DataFrame, steps: DataFrame, gate: DataFrame)
 def summary_report(metadata: DataFrame, steps: DataFrame) -> DataFrame:
     """``category, metric, value``."""
     people = metadata.agg(F.countDistinct("participant_label").alias("participants"), F.countDistinct("specimen_label").alias("specimens"), F.countDistinct("disease").alias("diseases"))
-    rows = steps.agg(*(F.sum(c).alias(c) for c in ("n_raw", "dropped_productive", "dropped_v_score", "dropped_residues", "n_kept")))
+    rows = steps.agg(*(F.sum(c).alias(c) for c in STEPS))
     parts = [("dataset", people, people.columns), ("rows", rows, rows.columns)]
     out = None
     for category, df, names in parts:

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from threading import Lock
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -34,15 +35,31 @@ def shared_folder(spark: SparkSession) -> str:
     return kept.get()
 
 
+#: Writes that run now, by session, and what the setting was before the first of them; several threads may write.
+_LOCK = Lock()
+_WRITES: dict[int, tuple[int, str]] = {}
+
+
 @contextmanager
 def without_leftovers(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a write go when it has ended: nothing reads them again, as its table is the only result."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    """Shuffle files of a write go when it has ended: nothing reads them again, as its table is the only result.
+
+    The setting is the session's: the first of several writes at once sets it, the last one puts it back.
+    """
+    key = id(spark)
+    with _LOCK:
+        n, before = _WRITES.get(key) or (0, spark.conf.get(_CLEANUP, "false"))
+        _WRITES[key] = n + 1, before
+        spark.conf.set(_CLEANUP, "true")
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        with _LOCK:
+            n, before = _WRITES.pop(key)
+            if n > 1:
+                _WRITES[key] = n - 1, before
+            else:
+                spark.conf.set(_CLEANUP, before)
 
 
 def written(df: DataFrame, folder: str = "steps", compression: str = "snappy") -> DataFrame:

@@ -394,7 +394,7 @@ _STEPS = "steps AS (SELECT participant_label, count(*) AS n_raw, count(*) FILTER
 
 @query("a19_summary_report", WITH + f", {_STEPS} SELECT 'dataset' AS category, unnest(['participants', 'specimens', 'diseases']) AS metric, unnest([count(DISTINCT participant_label), count(DISTINCT specimen_label), count(DISTINCT disease)])::DOUBLE AS value FROM meta UNION ALL SELECT 'rows', unnest(['n_raw', 'dropped_productive', 'dropped_v_score', 'dropped_residues', 'n_kept']), unnest([sum(n_raw), sum(dropped_productive), sum(dropped_v_score), sum(dropped_residues), sum(n_kept)])::DOUBLE FROM steps")
 def a19(spark, d):
-    return selection.summary_report(metadata(spark, d), selection.step_counts(repertoire(spark, d)))
+    return selection.summary_report(*selection.people_and_steps(repertoire(spark, d)))
 
 
 @query("a20_detailed_report", WITH + "SELECT disease, round(avg(num_reads), 6) AS mean, round(median(num_reads), 6) AS median, min(num_reads) AS least, max(num_reads) AS most, round(stddev_samp(num_reads), 6) AS deviation FROM down GROUP BY 1")
@@ -408,6 +408,24 @@ def a20_filters(spark, d):
     return selection.filter_effectiveness(selection.step_counts(repertoire(spark, d))).withColumn("share", F.round("share", 9))
 
 
+@query("a20_all_reports", WITH + f""", {_STEPS}, t AS (SELECT sum(n_raw) AS r, sum(dropped_productive) AS p, sum(dropped_v_score) AS v, sum(dropped_residues) AS x, sum(n_kept) AS k FROM steps)
+SELECT 'summary' AS report, '' AS key, unnest(['participants', 'specimens', 'diseases']) AS metric, unnest([count(DISTINCT participant_label), count(DISTINCT specimen_label), count(DISTINCT disease)])::DOUBLE AS value FROM meta
+UNION ALL SELECT 'summary', '', unnest(['n_raw', 'dropped_productive', 'dropped_v_score', 'dropped_residues', 'n_kept']), unnest([r, p, v, x, k])::DOUBLE FROM t
+UNION ALL SELECT 'filter', unnest(['productive', 'v_score', 'residues']), 'n_dropped', unnest([p, v, x])::DOUBLE FROM t
+UNION ALL SELECT 'filter', unnest(['productive', 'v_score', 'residues']), 'share', round(unnest([p / r, v / (r - p), x / (r - p - v)])::DOUBLE, 9) FROM t
+UNION ALL SELECT 'participants', disease, 'fold ' || CV_fold, count(DISTINCT participant_label)::DOUBLE FROM meta GROUP BY ALL
+UNION ALL SELECT 'rows', m.disease, 'n_kept', sum(s.n_kept)::DOUBLE FROM steps s JOIN (SELECT DISTINCT participant_label, disease FROM meta) m USING (participant_label) GROUP BY ALL""")
+def a20_all(spark, d):
+    """The summary, the filters' effectiveness and the classes' sizes, all from one pass over the rows."""
+    people, steps = selection.people_and_steps(repertoire(spark, d))
+    value = F.col("value").cast("double").alias("value")
+    summary = selection.summary_report(people, steps).select(F.lit("summary").alias("report"), F.lit("").alias("key"), "metric", value)
+    filters = selection.filter_effectiveness(steps).select(F.lit("filter").alias("report"), F.col("step").alias("key"), F.expr("stack(2, 'n_dropped', CAST(n_dropped AS double), 'share', round(share, 9)) AS (metric, value)"))
+    folds = people.groupBy("disease", "CV_fold").agg(F.countDistinct("participant_label").alias("value")).select(F.lit("participants").alias("report"), F.col("disease").alias("key"), F.concat(F.lit("fold "), "CV_fold").alias("metric"), value)
+    kept = steps.join(people.select("participant_label", "disease").distinct(), "participant_label").groupBy("disease").agg(F.sum("n_kept").alias("value")).select(F.lit("rows").alias("report"), F.col("disease").alias("key"), F.lit("n_kept").alias("metric"), value)
+    return summary.unionByName(filters).unionByName(folds).unionByName(kept)
+
+
 @query("a20_fold_by_disease", WITH + 'SELECT CV_fold, count(DISTINCT participant_label) FILTER (WHERE disease = \'AUTOMOBILE\') AS "AUTOMOBILE", count(DISTINCT participant_label) FILTER (WHERE disease = \'BUILDING\') AS "BUILDING", count(DISTINCT participant_label) FILTER (WHERE disease = \'FURNITURE\') AS "FURNITURE", count(DISTINCT participant_label) FILTER (WHERE disease = \'HOUSEHOLD\') AS "HOUSEHOLD", count(DISTINCT participant_label) FILTER (WHERE disease = \'MACHINERY\') AS "MACHINERY" FROM meta GROUP BY 1')
 def a20_folds(spark, d):
     return selection.fold_by_disease(metadata(spark, d), ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
@@ -425,7 +443,7 @@ def a22(spark, d):
 
 @query("a27_specimen_statistics", WITH + f", {_STEPS}, {_GATE} SELECT s.*, m.specimen_label, m.CV_fold, g.n_clones, g.n_sequences, g.reason, g.n_clones IS NOT NULL AND g.reason IS NULL AS passes FROM steps s LEFT JOIN meta m USING (participant_label) LEFT JOIN gated g ON g.repertoire_id = m.specimen_label")
 def a27(spark, d):
-    x = selection.specimen_statistics(metadata(spark, d), selection.step_counts(repertoire(spark, d)), cleaning.specimen_gate(cleaned(spark, d), 5, 8))
+    x = selection.specimen_statistics(*selection.people_and_steps(repertoire(spark, d)), cleaning.specimen_gate(cleaned(spark, d), 5, 8))
     return x.withColumn("passes", F.coalesce("passes", F.lit(False)))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparktoire.functions import expressions as X
 from sparktoire.models import classifiers
 from sparktoire.models.sequence_level import choose_ridge, fit_groups, score_groups
-from sparktoire.operators import clustering, enrichment, features, metrics, predictions, splits
+from sparktoire.operators import cleaning, clustering, enrichment, features, metrics, predictions, splits
 
 
 def test_threshold_uses_doubles(spark):
@@ -208,3 +208,36 @@ def test_scores_of_missing_classes_and_thresholds(spark):
     assert areas == {"A": 1.0, "B": None, "C": 0.5}
     half = {x["class"]: (x.sensitivity, x.specificity) for x in metrics.at_threshold(metrics.one_vs_rest(full), ["class"]).collect()}
     assert half == {"A": (1.0, 0.0), "B": (None, 1.0), "C": (0.0, 1.0)}
+
+
+def test_duplicates_and_clones_against_plain_loops(spark):
+    """Ties, unknown reads, null keys, and a sequence and a clone that hold most rows."""
+    r = random.Random(5)
+    rows = []
+    for i in range(900):
+        hot = i % 3 > 0
+        rows.append((f"{i:04d}", "P0" if hot else f"P{r.randrange(3)}", "ACGT" if hot else f"AC{r.randrange(40)}", "R0", r.choice([None, 1, 2, 2]), r.choice([None, "S0", "S1"]), None if r.random() < 0.1 else "c0" if hot else f"c{r.randrange(5)}", "TCRB"))
+    x = spark.createDataFrame(rows, "ord string, participant_label string, sequence string, replicate_label string, num_reads int, repertoire_id string, igh_or_tcrb_clone_id string, isotype_supergroup string")
+    groups: dict[tuple, list] = {}
+    for row in sorted(rows):
+        groups.setdefault(row[1:4], []).append(row)
+
+    def first(values):
+        return next((v for v in values if v is not None), None)
+
+    def total(values):
+        known = [v for v in values if v is not None]
+        return sum(known) if known else None
+
+    want = [(g[0][0], *k, total([v[4] for v in g]), first([v[5] for v in g]), first([v[6] for v in g])) for k, g in groups.items()]
+    got = [(v.ord, v.participant_label, v.sequence, v.replicate_label, v.num_reads, v.repertoire_id, v.igh_or_tcrb_clone_id) for v in cleaning.collapse_duplicates(x).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    clones: dict[tuple, list] = {}
+    for row in rows:
+        if row[5] is not None and row[6] is not None:
+            clones.setdefault((row[5], row[6]), []).append(row)
+    best = {k: min(g, key=lambda v: (v[4] is None, -(v[4] or 0), v[0])) for k, g in clones.items()}
+    out = cleaning.downsample(x)
+    assert out.columns == [*(c if c != "repertoire_id" else "specimen_label" for c in x.columns), "num_clone_members", "total_clone_num_reads"]
+    assert {(v.specimen_label, v.igh_or_tcrb_clone_id): (v.ord, v.num_reads, v.num_clone_members, v.total_clone_num_reads) for v in out.collect()} == {k: (best[k][0], best[k][4], len(g), total([v[4] for v in g])) for k, g in clones.items()}
+    assert cleaning.downsample(x.limit(0)).count() == 0 and cleaning.collapse_duplicates(x.limit(0)).count() == 0

@@ -1,4 +1,5 @@
 import gzip
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
@@ -181,3 +182,17 @@ def test_bad_files_and_subsets(spark, tmp_path):
     assert kept.count() == 3
     with pytest.raises(ValueError):
         r.write_subset(df, spark.createDataFrame([("P9",)], "participant_label string"), str(tmp_path / "none"))
+
+
+def test_the_setting_of_writes_is_put_back_after_writes_at_once(spark):
+    key, before = storage._CLEANUP, spark.conf.get(storage._CLEANUP, "false")
+    first, second = storage.without_leftovers(spark), storage.without_leftovers(spark)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(key) == "true"
+    second.__exit__(None, None, None)
+    assert spark.conf.get(key) == before
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(lambda n: storage.written(spark.range(n)).count(), range(1, 9))) == list(range(1, 9))
+    assert spark.conf.get(key) == before
