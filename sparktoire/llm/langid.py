@@ -2,16 +2,18 @@
 
 The blended spectrum presence kernel of two texts is the number of n-grams, n from 1 to ``LONGEST``,
 that are in both, divided by the geometric mean of the numbers in each, over all n-grams of both.
-Bytes are mapped to 64 classes first: lower-cased letters, one for all other ASCII, the others by
-remainder. The landmarks are ``LANDMARKS`` texts per language. The coefficients of one regression
-per language against the rest solve the Nyström normal equations on a bounded sample; the executors
-sum their terms, so the driver gets a matrix of landmarks by landmarks. A batch of texts is scored
-by two matrix products, presence by landmarks and landmarks by languages.
+They are n-grams of UTF-8 bytes, with A-Z lower-cased. The landmarks are ``LANDMARKS`` texts per
+language. The coefficients of one regression per language against the rest solve the Nyström normal
+equations on a bounded sample; the executors sum their terms and compare the landmarks with each
+other, so the driver gets matrices of landmarks by landmarks. A batch of texts is scored by two
+matrix products, presence by landmarks and landmarks by languages. A text needs some 100 bytes of
+memory for each of its own.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and for all texts
 if no training row has a language; a null ``doc_id`` is hashed as an empty string; rows without a
-language aren't learned from; repeated rows are judged one by one; an empty table gives an empty
-result; other columns are ignored.
+language aren't learned from; repeated rows are judged one by one; of languages of equal value the
+first in alphabetical order is taken, as for texts that share nothing with any landmark, whose score
+is 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,26 +34,22 @@ RIDGE = 1e-3
 _DOCS, _MARKS = 64, 128
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
-CLASS = np.zeros(256, np.uint32)
-CLASS[97:123] = np.arange(1, 27)
-CLASS[65:91] = np.arange(1, 27)
-CLASS[128:] = 27 + np.arange(128) % 37
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 def grams(buf: np.ndarray, n: int) -> np.ndarray:
-    """The codes of the n-grams at all positions; ``4 ** 3`` classes, so six bits for each byte."""
-    c, out = CLASS[buf], np.zeros(max(0, len(buf) - n + 1), np.uint32)
+    """The codes of the n-grams at all positions: their bytes after a one, so that no two of any lengths are equal."""
+    c, out = tb.LOWER[buf].astype(np.uint64), np.ones(max(0, len(buf) - n + 1), np.uint64)
     for j in range(n):
-        out = out << np.uint32(6) | c[j : len(buf) - n + 1 + j]
+        out = out << np.uint64(8) | c[j : len(buf) - n + 1 + j]
     return out
 
 
 def gram_set(data: bytes) -> np.ndarray:
-    """The distinct n-grams of a text, numbered over all n."""
+    """The distinct n-grams of a text, of all n."""
     buf = np.frombuffer(data, np.uint8)
-    return np.concatenate([np.unique(grams(buf, n)).astype(np.int64) + (1 << 6 * n) for n in range(1, LONGEST + 1)])
+    return np.concatenate([np.unique(grams(buf, n)).astype(np.int64) for n in range(1, LONGEST + 1)])
 
 
 class Kernel:
@@ -69,14 +67,14 @@ class Kernel:
     def _batch(self, buf: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """Kernel values of up to ``_DOCS`` texts: presence of the batch's n-grams times that in the landmarks."""
         n_docs, size = len(edge) - 1, np.diff(edge)
-        doc, end = (np.repeat(x, size) for x in (np.arange(n_docs, dtype=np.uint32), edge[1:]))
+        doc, end = (np.repeat(x, size) for x in (np.arange(n_docs, dtype=np.uint64), edge[1:]))
         codes = []
         for n in range(1, LONGEST + 1):
             inside = np.flatnonzero(np.arange(max(0, len(buf) - n + 1)) + n <= end[: max(0, len(buf) - n + 1)])
-            codes.append((grams(buf, n)[inside] + np.uint32(1 << 6 * n)) * np.uint32(_DOCS) + doc[inside])
+            codes.append(grams(buf, n)[inside] * np.uint64(_DOCS) + doc[inside])
         pair = np.sort(np.concatenate(codes))
         pair = pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]]
-        code, doc = (pair // np.uint32(_DOCS)).astype(np.int64), pair % np.uint32(_DOCS)
+        code, doc = (pair // np.uint64(_DOCS)).astype(np.int64), (pair % np.uint64(_DOCS)).astype(np.int64)
         head = np.append(True, code[1:] != code[:-1])[: len(code)]
         distinct, column = code[head], np.cumsum(head) - 1
         at = np.minimum(np.searchsorted(self.features, distinct), len(self.features) - 1)
@@ -129,14 +127,21 @@ def identify(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([gram_set(t.as_py().encode()) for t in batch.column(1)], pa.list_(pa.int64()))], names=["lang", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([gram_set(t.as_py().encode()) for t in batch.column(1)], pa.list_(pa.int64()))], names=["key", "grams"])
 
     sample = known.where(spread < share * (SAMPLE + LANDMARKS))
-    marks = sample.where(spread < share * LANDMARKS).select("lang", "text").mapInArrow(sets, "lang string, grams array<long>").collect() if langs else []
+    chosen = sample.where(spread < share * LANDMARKS).select(F.sha2("text", 256).alias("key"), "text")
+    marks = sorted(tuple(r) for r in chosen.mapInArrow(sets, "key string, grams array<long>").collect()) if langs else []
     if not marks:
-        marks = [(langs[0], [1 << 6])] if langs else []
+        marks = [("", [1 << 8])] if langs else []
     kernel = Kernel([np.array(m[1], np.int64) for m in marks]) if marks else None
 
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The kernel values of landmarks with all landmarks."""
+        for batch in batches:
+            for row, end, buf, offsets in tb.chunks(batch, "text"):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(list(kernel.between(buf, offsets)), pa.list_(pa.float64()))], names=["key", "terms"])
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The terms of a part of the sample, a row for each landmark and one for the number of texts."""
         total, n = np.zeros((len(marks), len(marks) + len(langs))), 0
@@ -156,8 +161,8 @@ def identify(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> DataFrame:
         terms = "mark int, terms array<double>"
         rows = sorted(sample.select("lang", "text").mapInArrow(measure, terms).groupBy("mark").applyInArrow(added, terms).collect())
         sums, n = np.array([r["terms"] for r in rows[:-1]]), int(rows[-1]["terms"][0])
-        landmarks = [np.array(m[1], np.int64) for m in marks]
-        k_mm = np.array([[len(np.intersect1d(a, b)) for b in landmarks] for a in landmarks]) / np.sqrt(np.outer(kernel.size, kernel.size))
+        each = {r["key"]: r["terms"] for r in chosen.mapInArrow(compared, "key string, terms array<double>").collect()}
+        k_mm = np.array([each.get(m[0], [0.0] * len(marks)) for m in marks])
         weights = fit(sums[:, : len(marks)], sums[:, len(marks) :], max(n, 1), k_mm)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparktoire.llm import langid as li
 
@@ -50,3 +51,39 @@ def test_held_out_accuracy_and_defined_cases(spark, documents):
     assert [by[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and by[900].score == 0 and by[None].lang_pred == "fr" and by[903].lang_pred == "de"
     assert li.identify(documents([])).count() == 0
     assert {g.lang_pred for g in li.identify(documents([(1, "some text", None)])).collect()} == {"und"}
+
+
+def plain(text):
+    """The n-grams of a text as a set of bytes."""
+    b = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    return {b[i : i + n] for n in range(1, li.LONGEST + 1) for i in range(len(b) - n + 1)}
+
+
+def test_whole_result_is_that_of_a_dense_plain_version(spark, documents):
+    r = random.Random(8)
+    rows = [(i, text_in(g := r.choice(list(SYLLABLES)), i, r.randint(1, 60)), g) for i in range(240)]
+    rows += [(300 + i, rows[i][1], "en") for i in range(20)]
+    rows += [(400, "Größe 12 à 3.5 % der", None), (401, "ĸĸĸĸ", None), (402, None, "en"), (403, text_in("de", 5, 20_000), None)]
+    docs = documents(rows)
+    hashed = docs.select("doc_id", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)).alias("h"))
+    spread = {x.doc_id: x.h for x in hashed.collect()}
+    train = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 != 2 and x[1] is not None and x[2] is not None]
+    langs = sorted({x[2] for x in train})
+    size = {g: sum(x[2] == g for x in train) for g in langs}
+    assert all(n < li.SAMPLE for n in size.values())
+    marks = [plain(x[1]) for x in train if spread[x[0]] < (1 << 30) / size[x[2]] * li.LANDMARKS]
+    assert len(marks) > 30
+
+    def kernel(texts):
+        return np.array([[len(a & b) / max(1, len(a) * len(b)) ** 0.5 for b in marks] for a in texts])
+
+    k = kernel([plain(x[1]) for x in train])
+    target = np.array([[x[2] == g for g in langs] for x in train], float)
+    ridge = li.RIDGE * len(train) * kernel(marks) + 1e-9 * len(train) * np.eye(len(marks))
+    weights = np.linalg.solve(k.T @ k + ridge, k.T @ target)
+    value = kernel([plain(x[1] or "") for x in rows]) @ weights
+    want = {x[0]: ("und", 0.0) if x[1] is None else (langs[v.argmax()], min(1, max(0, v.max()))) for x, v in zip(rows, value, strict=True)}
+    clashing = docs.withColumns({"held_out": F.lit("x"), "score": F.lit("x"), "key": F.lit(1), "terms": F.lit(1), "h": F.lit(1)})
+    got = {x.doc_id: (x.lang_pred, x.score) for x in li.identify(clashing).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-3 for i in want)
+    assert got[401] == (langs[0], 0.0)
