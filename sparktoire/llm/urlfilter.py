@@ -7,8 +7,10 @@ learned from the pages that rules decide, scores these words with the tokens of
 the rules' own hosts are no words: the model would only learn the rules by heart.
 
 Nothing is left out of either model, and neither goes to the driver. The counts of all words are a
-written table; the substrings of the distinct hosts are joined with it, so a host is split with the
-words that can occur in it. The log odds of tokens are a table too: they are joined with the tokens
+written table; the pieces of the distinct hosts are joined with it, so a host is split with the
+words that can occur in it. Pieces have at most ``HEAD`` letters and longer words are found by their
+beginnings, so a long host gives pieces in proportion to its length; the search of its best split
+takes its length times that of the longest word. The log odds of tokens are a table too: they are joined with the tokens
 of distinct hosts and of the pages' paths, and summed. Hot hosts and tokens are joined apart
 (``lookup``).
 
@@ -33,6 +35,9 @@ from sparktoire.llm.lookup import looked_up
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: What a letter of an unknown word costs beside the word itself.
 UNKNOWN_LETTER = 2.5
+#: Hosts are joined with words on pieces of up to so many letters, longer words on their beginnings.
+HEAD = 24
+_STARTS = 4096
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = re.compile(r"[.\-:@]+")
 
@@ -70,19 +75,30 @@ class Segmenter:
     def __init__(self, counts: dict[str, int], total: int | None = None, longest: int | None = None):
         self.total = (sum(counts.values()) if total is None else total) + 1
         self.log_p = {w: math.log(n / self.total) for w, n in counts.items()}
+        self.lengths = {len(w) for w in counts}
         self.longest = longest or max(map(len, counts), default=1)
 
-    def score(self, word: str) -> float:
+    def unknown(self, letters: int) -> float:
         """Unknown words cost more the longer they are."""
+        return -math.log(self.total) - UNKNOWN_LETTER * letters
+
+    def score(self, word: str) -> float:
         found = self.log_p.get(word)
-        return -math.log(self.total) - UNKNOWN_LETTER * len(word) if found is None else found
+        return self.unknown(len(word)) if found is None else found
 
     def split(self, name: str) -> list[str]:
+        """Only pieces as long as some word are looked up; of equal splits the longest last word is taken."""
+        unknown = [self.unknown(n) for n in range(min(self.longest, len(name)) + 1)]
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
-            value, k = max((best[k] + self.score(name[k:end]), -k) for k in range(max(0, end - self.longest), end))
-            best.append(value)
-            back.append(-k)
+            top, at = -math.inf, 0
+            for k in range(max(0, end - self.longest), end):
+                found = self.log_p.get(name[k:end]) if end - k in self.lengths else None
+                value = best[k] + (unknown[end - k] if found is None else found)
+                if value > top:
+                    top, at = value, k
+            best.append(top)
+            back.append(at)
         out, end = [], len(name)
         while end:
             out.append(name[back[end] : end])
@@ -108,10 +124,14 @@ def host_words(hosts: DataFrame, counts: DataFrame, known: frozenset[str] = froz
     total, longest = size["total"], size["longest"]
 
     def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of up to ``HEAD`` letters, those of so many places at a time."""
         for batch in batches:
-            for host in batch.column(0):
-                found = {part[i:j] for part in parts_of(host.as_py(), known) for i in range(len(part)) for j in range(i + 1, min(len(part), i + longest) + 1)}
-                yield pa.RecordBatch.from_arrays([pa.array([host.as_py()] * len(found), pa.string()), pa.array(sorted(found), pa.string())], names=["host", "word"])
+            for host in batch.column(0).to_pylist():
+                for part in parts_of(host, known):
+                    for low in range(0, len(part), _STARTS):
+                        starts = range(low, min(low + _STARTS, len(part)))
+                        found = sorted({part[i:j] for i in starts for j in range(i + 1, min(len(part), i + min(longest, HEAD)) + 1)})
+                        yield pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array(found, pa.string())], names=["host", "word"])
 
     def split(table: pa.Table) -> pa.Table:
         host = table["host"][0].as_py()
@@ -120,7 +140,12 @@ def host_words(hosts: DataFrame, counts: DataFrame, known: frozenset[str] = froz
         return pa.table([pa.array([host] * len(tokens), pa.string()), pa.array(tokens, pa.string())], names=["host", "token"])
 
     subs = materialized(hosts.mapInArrow(substrings, "host string, word string"))
-    found = looked_up(subs, counts, "word").unionByName(hosts.select("host", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("n")))
+    found = looked_up(subs, counts, "word")
+    if longest > HEAD:
+        long = counts.where(F.length("word") > HEAD).withColumn("head", F.substr("word", F.lit(1), F.lit(HEAD)))
+        heads = subs.where(F.length("word") == HEAD).select("host", F.col("word").alias("head")).distinct()
+        found = found.unionByName(heads.join(long, "head").where(F.contains("host", "word")).select("host", "word", "n"))
+    found = found.unionByName(hosts.select("host", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("n")))
     words = materialized(found.groupBy("host").applyInArrow(split, "host string, token string"))
     dropped(subs)
     return words

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sparktoire.llm import urlfilter as uf
 from sparktoire.llm.lookup import looked_up
 
+#: A word beyond the letters that hosts and words are joined on.
+LONG = "donaudampfschifffahrtsgesellschaft"
 SCHEMA = "page_id long, url string, html string"
 
 
@@ -87,7 +89,7 @@ def pages_of(prose, seed, n):
 
 def test_matches_a_plain_model(spark, prose):
     rows = pages_of(prose, 5, 250)
-    rows += [(900, None, None), (901, "no scheme", "words"), (902, "http://", ""), (903, "http://x.org/" + "long/" * 3000, "<b>long"), (904, "http://" + "riverpills" * 300 + ".org/", None), (905, "http://h.org:80/12/é", "é"), (3, *rows[7][1:]), (3, *rows[7][1:])]
+    rows += [(900, None, None), (901, "no scheme", "words"), (902, "http://", ""), (903, "http://x.org/" + "long/" * 3000, "<b>long"), (904, "http://" + "riverpills" * 300 + ".org/", None), (905, "http://h.org:80/12/é", "é"), (906, "http://" + "qx" * 300 + ".org/", "qx" * 300), (907, "http://" + "qx" * 299 + "river.net/", None), (908, f"http://blog{LONG}river{LONG}.com/en/", f"{LONG} {LONG[:-1]}z {LONG[:24]}"), (3, *rows[7][1:]), (3, *rows[7][1:])]
     learned = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5}
     pages = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS row", "'x' AS host", "2 AS block", "'y' AS token")
     got = uf.scored(pages, learn=F.crc32(F.col("page_id").cast("string")) % 5 != 0).collect()
@@ -108,3 +110,14 @@ def test_hot_keys_are_joined_apart(spark):
     right = spark.range(0, 5000, 2).select(F.col("id").cast("string").alias("key"), (F.col("id") * 2).alias("value")).union(spark.createDataFrame([("hot", -1)], "key string, value long"))
     for how in ("inner", "left"):
         assert sorted(map(repr, looked_up(left, right, "key", how).collect())) == sorted(map(repr, left.join(right, "key", how).collect()))
+
+
+def test_words_of_any_length_are_found_in_hosts(spark):
+    words = ["river", LONG, LONG[:24], LONG[:25], "a" * 5000, "a" * 24, "b"]
+    hosts = [f"x{LONG}-river.b", "a" * 5000 + ".river", "a" * 23, LONG[:24], "", "..."]
+    counts = spark.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "word string, n long")
+    got = uf.host_words(spark.createDataFrame([(h,) for h in hosts], "host string"), counts).collect()
+    segmenter = uf.Segmenter({w: i + 1 for i, w in enumerate(words)})
+    want = [(h, "." + w) for h in hosts for part in uf.parts_of(h) for w in segmenter.split(part)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert (hosts[0], "." + LONG) in want and (hosts[1], "." + "a" * 5000) in want
