@@ -1,6 +1,7 @@
 """The embedding job goes on where it was stopped, and its check finds each way in which a triple can be wrong."""
 
 import shutil
+import time
 from pathlib import Path
 
 import pytest
@@ -63,3 +64,23 @@ def test_wrong_triples_are_found(spark, sequences, tmp_path):
     shutil.move(Path(folder) / "other", Path(folder) / "rows" / run)
     found = status(sequences, folder)
     assert found.pop(who) == "statistics" and set(found.values()) == {"ok"}
+
+
+def test_a_sequence_is_hashed_once_whatever_the_size(spark):
+    def seconds(size):
+        rows = spark.range(2000).select(F.expr("translate(md5(string(id)), '0123456789', 'ACDEFGHIKL')").alias("cdr3"))
+        began = time.time()
+        classifiers.embedded(rows, size=size).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    seconds(8)
+    assert seconds(1024) < 10 * seconds(8) + 2
+
+
+def test_shares_are_those_of_a_plain_count(spark):
+    rows = spark.createDataFrame([("CASSF",), ("C",), ("",), (None,)], "cdr3 string")
+    got = [r[0] for r in classifiers.embedded(rows).select("embedding").collect()]
+    grams = ["C", "A", "S", "S", "F", "CA", "AS", "SS", "SF"]
+    bins = [spark.range(1).select(F.pmod(F.xxhash64(F.lit(g)), F.lit(32))).first()[0] for g in grams]
+    assert got[0] == [pytest.approx(bins.count(i) / 9, abs=1e-7) for i in range(32)]
+    assert sum(got[1]) == 1 and sum(got[2]) == 1 and got[3] == [None] * 32
