@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -241,3 +242,33 @@ def test_duplicates_and_clones_against_plain_loops(spark):
     assert out.columns == [*(c if c != "repertoire_id" else "specimen_label" for c in x.columns), "num_clone_members", "total_clone_num_reads"]
     assert {(v.specimen_label, v.igh_or_tcrb_clone_id): (v.ord, v.num_reads, v.num_clone_members, v.total_clone_num_reads) for v in out.collect()} == {k: (best[k][0], best[k][4], len(g), total([v[4] for v in g])) for k, g in clones.items()}
     assert cleaning.downsample(x.limit(0)).count() == 0 and cleaning.collapse_duplicates(x.limit(0)).count() == 0
+
+
+def test_collapsed_rows_take_the_first_value_of_each_column_whatever_is_null(spark):
+    rng = random.Random(5)
+    rows = [(f"P{rng.randrange(3)}", f"s{rng.randrange(6)}", "R", rng.randrange(9), f"{i:03}", rng.choice([None, "a", "b"]), rng.choice([None, 1, 2, 3])) for i in rng.sample(range(200), 200)]
+    df = spark.createDataFrame(rows, "participant_label string, sequence string, replicate_label string, num_reads int, ord string, x string, y int").repartition(7)
+    want = {}
+    for p, s, _, n, o, x, y in sorted(rows, key=lambda r: r[4]):
+        old = want.get((p, s), (0, o, None, None))
+        want[p, s] = (old[0] + n, old[1], x if old[2] is None else old[2], y if old[3] is None else old[3])
+    got = {(r.participant_label, r.sequence): (r.num_reads, r.ord, r.x, r.y) for r in cleaning.collapse_duplicates(df).collect()}
+    assert got == want
+
+
+def test_downsampled_rows_of_queries_carry_only_what_is_read(spark):
+    from sparktoire.plans import base
+
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("no test tables")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        x = base.downsampled(spark, "/root/testdata/sf0.001")
+        assert not {"sequence", "v_call", "productive"} & set(x.columns)
+        plan = base.repertoire(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        # customers meet the orders, not the lines
+        assert "o_custkey" in next(line for line in plan.splitlines() if "Join" in line and "c_custkey" in line)
+        joins = [line for line in plan.splitlines() if "Join Inner" in line]
+        assert "l_orderkey" in joins[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
