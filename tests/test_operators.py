@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparktoire.functions import expressions as X
-from sparktoire.models import classifiers
-from sparktoire.models.sequence_level import choose_ridge, fit_groups, score_groups
+from sparktoire.models import classifiers, sequence_level
+from sparktoire.models.sequence_level import choose_ridge, fit_groups, ridge_path, score_groups
 from sparktoire.operators import cleaning, clustering, enrichment, features, metrics, predictions, splits
 
 
@@ -172,6 +172,24 @@ def test_group_regressions_learn(spark):
     assert [s.score for s in scored if s.v_gene == "V9"] == [None]
 
 
+def test_all_penalties_of_a_ridge_path_are_solved_together(monkeypatch):
+    """Every slope is 0 at the end, also where the classes can be told apart and neighbours are far from each other; the rows are
+    passed fewer times than there are penalties."""
+    rng = np.random.default_rng(1)
+    for noise, path in ((0.0, np.array([1.0, 1e-3, 1e-7])), (2.0, np.geomspace(10.0, 1e-7, 100))):
+        x = rng.normal(size=(500, 4))
+        y = (x[:, 0] + noise * rng.normal(size=500) > 0).astype(float)
+        w, passes = sequence_level._balanced(y), []
+        monkeypatch.setattr(sequence_level.np, "clip", lambda v, *a, f=np.clip: passes.append(np.ndim(v)) or f(v, *a))
+        b = ridge_path(x, y, w, path)
+        monkeypatch.undo()
+        p = 1 / (1 + np.exp(-np.clip(x @ b[:, :-1].T + b[:, -1], -30, 30)))
+        slope = ((y[:, None] - p) * w[:, None]).T @ np.hstack([x, np.ones((500, 1))])
+        slope[:, :-1] -= path[:, None] * b[:, :-1]
+        assert np.abs(slope).max() < 1e-8
+        assert len(passes) < 100
+
+
 def test_ensemble_follows_its_models(spark):
     rows = [(f"S{i}", f"P{i}", m, c, 0.8 if (c == "A") == (i % 2 == 0) else 0.2, "AB"[i % 2]) for i in range(40) for m in (1, 2) for c in "AB"]
     df = spark.createDataFrame([*rows, ("S99", "P99", 1, "A", None, "A")], "specimen_label string, participant_label string, model int, class string, score double, disease string")
