@@ -10,12 +10,14 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sparktoire.operators import splits, storage
 
 #: Fixed value: what the legacy name of the fold column ends with. Any column with that ending counts as it.
 LEGACY_FOLD = "cross_validation_fold_id_when_in_test_set"
+#: Folders of a cache of participants, and the column that numbers them.
+PARTS, PART = 256, "participant_part"
 #: The columns of a sequence table.
 REQUIRED_SEQUENCE = ("repertoire_id", "v_call", "j_call", "cdr3_aa")
 OPTIONAL_SEQUENCE = {
@@ -101,12 +103,38 @@ def check_embeddings(df: DataFrame, size: int, column: str = "embedding") -> Non
 
 
 def write_cache(df: DataFrame, path: str, key: str = "participant_label") -> None:
-    """A Parquet table partitioned by participant; rewriting some participants leaves the others."""
-    df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    """A Parquet table partitioned by participant, or another key; rewriting some participants leaves the others.
+
+    Participants are dealt to ``PARTS`` folders by a hash, as a folder each would be as many files as there are participants;
+    any other key has a folder for each value. Tasks that write have about one size, however few the folders are.
+    """
+    if key != "participant_label":
+        _write_parts(df, path, key)
+        return
+    x, spark = df.withColumn(PART, _part()), df.sparkSession
+    if storage.names(spark, path):
+        x = storage.written(x)
+        others = _parts_of(spark, path, df.schema, x.select(PART)).join(x.select(F.col(key).alias("__key")).distinct(), F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+        x = storage.written(x.unionByName(others))
+    _write_parts(x, path, PART)
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64(F.col("participant_label").cast("string")), F.lit(PARTS)).cast("int")
+
+
+def _write_parts(df: DataFrame, path: str, column: str) -> None:
+    df.hint("rebalance", F.col(column)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
+def _parts_of(spark: SparkSession, path: str, schema: T.StructType, parts: DataFrame) -> DataFrame:
+    """The rows of some folders of a cache of participants, with the folder's number."""
+    whole = spark.read.schema(T.StructType([*schema, T.StructField(PART, T.IntegerType())])).parquet(path)
+    return whole.join(parts.distinct(), PART, "left_semi").select(*schema.names, PART)
 
 
 def read_cache(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def cache_report(cached: DataFrame) -> DataFrame:
@@ -221,9 +249,19 @@ def aligned_embeddings(sequences: DataFrame, embeddings: DataFrame, keys: list[s
 
 
 def clear_cache(spark: SparkSession, path: str, participants: list[str] | None = None) -> None:
-    """Delete the cache, or the partitions of some participants, through the file system of the path."""
-    for p in [path] if participants is None else [f"{path}/participant_label={x}" for x in participants]:
-        storage.delete(spark, p)
+    """Delete the cache, or the rows of some participants, through the file system of the path."""
+    if participants is None:
+        storage.delete(spark, path)
+        return
+    if not storage.names(spark, path):
+        return
+    schema = T.StructType([f for f in spark.read.parquet(path).schema if f.name != PART])
+    gone = spark.createDataFrame([(p,) for p in participants], "participant_label string")
+    parts = gone.select(_part().alias(PART))
+    kept = storage.written(_parts_of(spark, path, schema, parts).join(gone, "participant_label", "left_anti"))
+    _write_parts(kept, path, PART)
+    for r in parts.distinct().join(kept.select(PART), PART, "left_anti").collect():
+        storage.delete(spark, f"{path}/{PART}={r[0]}")
 
 
 def subset(cached: DataFrame, participants: DataFrame) -> DataFrame:

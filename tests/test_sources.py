@@ -72,6 +72,32 @@ def test_caches_merge_and_checks(spark, tmp_path):
     r.check_embeddings(bad.limit(0), 2)
 
 
+def test_caches_of_many_participants_have_few_folders(spark, tmp_path):
+    """Participants share folders; one is rewritten or deleted without the others of its folder, null ones too."""
+    path, n = str(tmp_path / "cache"), 3 * r.PARTS
+    x = spark.range(n).selectExpr("IF(id = 0, NULL, concat('P', id)) AS participant_label", "CAST(id AS int) AS n")
+    r.write_cache(x, path)
+    assert len([f for f in storage.names(spark, path) if "=" in f]) <= r.PARTS
+    r.write_cache(x.where("n < 9").withColumn("n", x.n - 9), path)
+    r.clear_cache(spark, path, ["P20", "P21", "nobody"])
+    expected = sorted([*range(-9, 0), *(set(range(9, n)) - {20, 21})])
+    assert sorted(c.n for c in r.read_cache(spark, path, x.schema).collect()) == expected
+    r.clear_cache(spark, path, [f"P{i}" for i in range(1, n)])
+    assert [tuple(c) for c in r.read_cache(spark, path, x.schema).collect()] == [(None, -9)]
+
+
+def test_caches_by_few_keys_are_written_by_many_tasks(spark, tmp_path):
+    """A key with most of the rows is more than one task's work."""
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32k")
+    try:
+        r.write_cache(spark.range(0, 200_000, 1, 8).selectExpr("id", "md5(CAST(id AS string)) AS t", "'0' AS fold"), str(tmp_path / "folds"), "fold")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len([f for f in storage.names(spark, str(tmp_path / "folds" / "fold=0")) if f.endswith(".parquet")]) > 1
+    assert spark.read.parquet(str(tmp_path / "folds")).count() == 200_000
+
+
 def test_stream_cleans_each_file_once(spark, tmp_path):
     row = [("P1", "S1", "TRBV1*01", "TRBJ1", "CASSLAPG", "T", 90.0, "1", "o1")]
     schema = "participant_label string, repertoire_id string, v_call string, j_call string, cdr3_aa string, productive string, v_score double, clone_id string, ord string"
