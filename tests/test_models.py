@@ -191,6 +191,22 @@ def test_spark_and_arrays_give_one_choice_at_any_number_of_tasks(spark, monkeypa
     assert len(held) == 240 and np.allclose(held["S5"], linear.softmax(best[:, :-1] @ x[5] + best[:, -1]), atol=1e-6)
 
 
+def test_equal_rows_are_one_with_their_number(spark, monkeypatch):
+    """Counts of clusters are few different rows: the fit is that of all rows, for much work too, which goes to several tasks."""
+    r = random.Random(3)
+    rows = [(i % 4, "AB"[i % 2], [float(r.randint(0, 1) + i % 2), float(r.randint(0, 1))]) for i in range(400)]
+    df = spark.createDataFrame(rows, "fold int, disease string, features array<double>")
+    x, y, fold = np.array([v[2] for v in rows]), np.array(["AB".index(v[1]) for v in rows]), np.array([v[0] for v in rows])
+    few = linear.rows_of(df, ["A", "B"])
+    assert isinstance(few, linear.ArrayRows) and len(few.x) <= 48 and few.n.sum() == 400
+    assert np.allclose(few.grams(), linear.ArrayRows(x, y, fold, 2).grams())
+    want = linear.choose(x, y, fold, 2, 1.0, linear.MCC, 5)
+    monkeypatch.setattr(linear, "TASK_WORK", 100)
+    assert isinstance(linear.rows_of(df, ["A", "B"], models=5), linear.SparkRows)
+    found = linear.fit(df, ["A", "B"], 1.0, linear.MCC, 5)
+    assert np.allclose(found.choice.path, want.path) and np.allclose(found.choice.mean, want.mean)
+
+
 def test_parts_and_subsets_fitted_together_are_as_fitted_alone(spark):
     rows, df = folded_rows(spark)
     both = df.withColumn("part", F.lit(0)).unionByName(df.withColumn("part", F.lit(1)).withColumn("features", F.transform("features", lambda v: v * 2)))
