@@ -9,7 +9,9 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
    Each document bucket sends its distinct anchor keys, and learns which of them others have.
 3. The consecutive windows of a shared anchor form a snippet, which goes to the bucket of its key;
    of equal snippets in a document bucket only that of the smallest ``doc_id`` is sent.
-4. There all snippets are suffix-sorted in two stages: suffixes smaller than their successor are
+4. Equal windows hold their anchor at the same place. So of a bucket's different snippets only
+   windows go on whose ``CORE`` bytes about the anchor another one has too (``promising``). These
+   are suffix-sorted in two stages: suffixes smaller than their successor are
    sorted directly, the others are induced by scanning the buckets of first bytes in order.
    The common prefixes of neighbours are computed; from ``LENGTH`` bytes on they are the same
    string, and its smallest ``doc_id`` keeps it.
@@ -33,10 +35,15 @@ from sparktoire.llm.common import materialized
 from sparktoire.llm.copies import buckets_for, distinct_texts
 
 LENGTH, GRAM = 50, 16
+#: Windows whose anchors begin at ``STEP`` neighbouring places of them have these many bytes in common.
+STEP = 7
+CORE = LENGTH - STEP + 1
+_WINDOWS = 1 << 16  # at once, in memory that a core has near
+_POSITION = np.uint64(32)  # low bits of an anchor's rank, for its position: a fixed number, or ties could fall differently in equal windows
 _DEPTH = 7  # words of eight bytes: the order is exact for 56 bytes, six more than are compared
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 KEYS = "bucket int, source int, low binary, high binary"
-SNIPPETS = "bucket int, source int, doc_id binary, size binary, places binary, document binary, start binary, data binary"
+SNIPPETS = "bucket int, source int, doc_id binary, size binary, places binary, document binary, start binary, place binary, data binary"
 SPANS = "bucket int, document binary, start binary, stop binary"
 
 
@@ -115,31 +122,40 @@ def common_prefixes(word: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(key, start, count)`` of each run of consecutive windows that have one anchor."""
+def gram_hashes(buf: np.ndarray) -> np.ndarray:
+    """A hash of the ``GRAM`` bytes from each position on, as two numbers of eight bytes."""
+    lanes = np.ndarray((len(buf) - 7,), "<u8", np.ascontiguousarray(buf), strides=(1,))
+    out = lanes[:-8] * tb.ODD[0]
+    out ^= out >> np.uint64(29)
+    out += lanes[8:] * tb.ODD[1]
+    return tb.mix(out)
+
+
+def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(key, start, count, place)`` of each run of consecutive windows that have one anchor, ``place`` bytes after the first's start."""
     n, span = len(buf), LENGTH - GRAM + 1
     if n < LENGTH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.arange(n - GRAM + 1)
-    key = tb.rolling_hashes(buf, at, at + GRAM)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = (key >> bits << bits) | at.astype(np.uint64)
-    width = 1
-    while width < span:
-        step = min(width, span - width)
-        low = np.minimum(low[: len(low) - step], low[step:])
-        width += step
-    pick = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    size = np.diff(offsets)
-    windows = np.maximum(size - LENGTH + 1, 0)
-    total = np.zeros(len(windows) + 1, np.int64)
-    np.cumsum(windows, out=total[1:])
-    starts = np.repeat(offsets[:-1] - total[:-1], windows) + np.arange(total[-1])
-    pick = pick[starts]
-    head = np.ones(len(pick), bool)
-    head[1:] = (pick[1:] != pick[:-1]) | (starts[1:] != starts[:-1] + 1)
-    where = np.flatnonzero(head)
-    return key[pick[where]], starts[where], np.diff(np.append(where, len(pick)))
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+    key, pick = np.empty(n - GRAM + 1, np.uint64), np.empty(n - LENGTH + 1, np.int64)
+    for first in range(0, len(pick), _WINDOWS):
+        part = pick[first : first + _WINDOWS]
+        hashes = key[first : first + len(part) + span - 1]
+        hashes[:] = gram_hashes(buf[first : first + len(part) + LENGTH - 1])
+        low = (hashes >> _POSITION << _POSITION) | np.arange(len(hashes), dtype=np.uint64)
+        width = 1
+        while width < span:
+            step = min(width, span - width)
+            low = np.minimum(low[: len(low) - step], low[step:])
+            width += step
+        part[:] = low & ((np.uint64(1) << _POSITION) - np.uint64(1))
+        part += first
+    within = np.ones(len(pick), bool)  # a document
+    across = (offsets[1:-1, None] - np.arange(1, LENGTH)).ravel()
+    within[across[(across >= 0) & (across < len(pick))]] = False
+    goes_on = (pick[1:] == pick[:-1]) & within[1:] & within[:-1]
+    starts = np.flatnonzero(within & ~np.append(False, goes_on))
+    stops = np.flatnonzero(within & ~np.append(goes_on, False))
+    return key[pick[starts]], starts, stops - starts + 1, pick[starts] - starts
 
 
 def _columns(table: pa.Table, *names: str) -> list:
@@ -219,22 +235,23 @@ def send_snippets(n_buckets: int):
 
     def run(texts: pa.Table, keys: pa.Table) -> pa.Table:
         names = [c.split()[0] for c in SNIPPETS.split(", ")]
-        types = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
         empty = pa.table([pa.array([], t) for t in types], names=names)
         if not len(texts):
             return empty
         ids, buf, offsets = _bytes(texts)
-        key, start, count = anchors(buf, offsets)
+        key, start, count, place = anchors(buf, offsets)
         key >>= np.uint64(16)
         document = np.searchsorted(offsets, start, "right") - 1
-        known = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in _columns(keys, "low")[0]])) if len(keys) else np.zeros(0, np.uint64)
-        by = np.lexsort((document, key))
-        twice = by[1:][(key[by[1:]] == key[by[:-1]]) & (document[by[1:]] != document[by[:-1]])]
-        known = np.union1d(known, key[twice])
-        x = np.flatnonzero(np.isin(key, known))
+        by = np.argsort(key, kind="stable")  # of a key, documents stay in their order
+        ordered, owner = key[by], document[by]
+        twice = ordered[1:][(ordered[1:] == ordered[:-1]) & (owner[1:] != owner[:-1])]
+        known = np.sort(np.concatenate([*(np.frombuffer(x.as_buffer(), np.uint64) for x in (_columns(keys, "low")[0] if len(keys) else ())), twice]))
+        at = np.searchsorted(known, ordered)
+        x = np.sort(by[known[np.minimum(at, len(known) - 1)] == ordered]) if len(known) else by[:0]
         if not len(x):
             return empty
-        key, start, count, document = key[x], start[x], count[x], document[x]
+        key, start, count, place, document = key[x], start[x], count[x], place[x], document[x]
         size = count + LENGTH - 1
         _, first, inverse = np.unique(np.stack([tb.span_numbers(buf, start, start + size).astype(np.uint64), key], 1), axis=0, return_index=True, return_inverse=True)
         inverse = inverse.ravel()
@@ -243,14 +260,14 @@ def send_snippets(n_buckets: int):
         source, rows = int(texts["bucket"][0].as_py()), []
         own = np.flatnonzero(later)
         if len(own):  # bucket -1: decided here, goes straight to the spans
-            rows.append((-1, source, b"", size[own].astype(np.int32).tobytes(), b"", document[own].astype(np.int32).tobytes(), start[own].tobytes(), b""))
+            rows.append((-1, source, b"", size[own].astype(np.int32).tobytes(), b"", document[own].astype(np.int32).tobytes(), start[own].tobytes(), b"", b""))
         member = np.flatnonzero(~later)
         member = member[np.argsort(inverse[member], kind="stable")]
         places = np.bincount(inverse[member], minlength=len(first))
         edge = np.append(0, np.cumsum(places))
         for b, y in _split((key[first] % np.uint64(n_buckets)).astype(np.int64), n_buckets):
             f, z = first[y], member[_gather(np.arange(len(member)), edge[y], places[y])]
-            rows.append((b, source, ids[document[f]].tobytes(), size[f].astype(np.int32).tobytes(), places[y].astype(np.int32).tobytes(), document[z].astype(np.int32).tobytes(), start[z].tobytes(), _gather(buf, start[f] + offsets[document[f]], size[f]).tobytes()))
+            rows.append((b, source, ids[document[f]].tobytes(), size[f].astype(np.int32).tobytes(), places[y].astype(np.int32).tobytes(), document[z].astype(np.int32).tobytes(), start[z].tobytes(), place[f].astype(np.int32).tobytes(), _gather(buf, start[f] + offsets[document[f]], size[f]).tobytes()))
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     return run
@@ -281,22 +298,48 @@ def repeated_windows(ids: np.ndarray, size: np.ndarray, data: np.ndarray) -> tup
     return owner[first], offset[first], offset[last] + LENGTH
 
 
+def promising(text: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(snippet, start, size)`` of the parts of different snippets that can have a window in common with another one.
+
+    ``begin``: where a snippet begins in ``text``; ``place``: where its anchor begins in it. Windows in which the anchor
+    begins at one of ``STEP`` neighbouring places have ``CORE`` bytes in common; those whose bytes no other snippet has
+    go. Windows that are equal have equal places and so equal cores: none of them goes.
+    """
+    steps = -(-(LENGTH - GRAM + 1) // STEP)
+    keeps = np.zeros((len(size), steps + 1), bool)
+    low, high = np.zeros((2, len(size), steps), np.int64)
+    for k in range(steps):  # windows in their order: those with most bytes before the anchor come first
+        first = place - (steps - 1 - k) * STEP
+        low[:, k], high[:, k] = np.maximum(first - STEP + 1, 0), np.minimum(first, size - LENGTH)
+        some = np.flatnonzero(low[:, k] <= high[:, k])
+        core = begin[some] + first[some]
+        _, number, n = np.unique(tb.span_hashes(text, core, core + CORE), return_inverse=True, return_counts=True)
+        keeps[some[n[number] > 1], k] = True
+    begins = keeps[:, :-1].copy()
+    begins[:, 1:] &= ~keeps[:, :-2]
+    ends = keeps[:, :-1] & ~keeps[:, 1:]
+    return np.nonzero(begins)[0], low[begins], high[ends] + LENGTH - low[begins]
+
+
 def compare_snippets(table: pa.Table) -> pa.Table:
     names, types = ["bucket", "document", "start", "stop"], [pa.int32(), *[pa.binary()] * 3]
-    source, doc_id, size, places, document, start, data = _columns(table, "source", "doc_id", "size", "places", "document", "start", "data")
+    source, doc_id, size, places, document, start, anchor, data = _columns(table, "source", "doc_id", "size", "places", "document", "start", "place", "data")
 
     def whole(column: pa.Array, kind: type) -> np.ndarray:
         return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column])
 
     src = np.repeat(np.asarray(source), [len(x.as_buffer()) // 4 for x in size])
     ids, text, size, places = whole(doc_id, np.int64), whole(data, np.uint8), whole(size, np.int32).astype(np.int64), whole(places, np.int32).astype(np.int64)
+    anchor = whole(anchor, np.int32).astype(np.int64)
     document, start, place = whole(document, np.int32), whole(start, np.int64), np.append(0, np.cumsum(places))
     edge = np.append(0, np.cumsum(size))
     by = np.argsort(ids, kind="stable")
     _, first, inverse = np.unique(tb.span_numbers(text, edge[:-1], edge[1:])[by], return_index=True, return_inverse=True)
     copy = by[ids[by] > ids[by[first]][inverse]]
     each = by[first]  # one snippet of every text is sorted, that of the smallest id
-    snippet, low, high = repeated_windows(ids[each], size[each], _gather(text, edge[each], size[each]))
+    part, begin, length = promising(text, edge[each], size[each], anchor[each])
+    found, low, high = repeated_windows(ids[each[part]], length, _gather(text, edge[each[part]] + begin, length))
+    snippet, low, high = part[found], low + begin[found], high + begin[found]
     # rows of the keeper's own id in other snippets of this text share its verdict
     mask = (ids[by] == ids[by[first]][inverse]) & (by != by[first][inverse])
     twin, at = by[mask], inverse[mask]
