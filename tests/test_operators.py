@@ -290,3 +290,23 @@ def test_downsampled_rows_of_queries_carry_only_what_is_read(spark):
         assert "l_orderkey" in joins[0]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rounds_of_components_carry_only_sequences_with_a_pair(spark, monkeypatch):
+    """A cluster of one needs no round, and a side of the pairs' join without tiles is shuffled once."""
+    rows = [("V1", "J1", 20, t) for t in ["A" * 20, "A" * 19 + "C", "A" * 18 + "CC"] + [c * 10 + d * 10 for c in "DEFGHIKL" for d in "MNPQRSTV"]]
+    df = spark.createDataFrame([*rows, rows[0]], "v_gene string, j_gene string, cdr3_len int, cdr3 string")
+    sizes, written = [], clustering.written
+    monkeypatch.setattr(clustering, "written", lambda x: sizes.append((set(x.columns) >= {"cluster"}, (out := written(x)).count())) or out)
+    found = {r.cdr3: r.cluster for r in clustering.single_linkage(df, 0.95).collect()}
+    assert found == {t: "A" * 20 if t.startswith("A") else t for *_, t in rows}
+    rounds = [n for labels, n in sizes if labels]
+    assert rounds and set(rounds) == {3}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = clustering.similar_pairs(df, 0.95)
+        assert pairs.count() == 2
+        pairs.collect()
+        assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
