@@ -310,3 +310,11 @@ def test_rounds_of_components_carry_only_sequences_with_a_pair(spark, monkeypatc
         assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_consensus_counts_copies_once_and_sorts_no_letters(spark):
+    rows = [("a", "ACD", 1, "o1"), ("a", "AGD", 1, "o0"), ("a", "ACD", 2, "o9"), ("b", "CC", 5, "o3"), ("b", "CC", 1, "o2"), ("c", "CA", 2, "o5"), ("c", "CG", 2, "o4"), (None, "DD", 1, "o6"), (None, "DE", 3, "o7"), ("d", None, 1, "o8"), ("e", "", 1, "o8")]
+    got = clustering.consensus(spark.createDataFrame(rows, "k string, cdr3 string, weight long, ord string"), ["k"])
+    # of "c" both letters weigh 2; the one with the earlier row wins
+    assert {r.k: r.centroid for r in got.collect()} == {"a": "ACD", "b": "CC", "c": "CG", None: "DE", "e": ""}
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
