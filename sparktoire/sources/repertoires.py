@@ -241,8 +241,11 @@ def aligned_embeddings(sequences: DataFrame, embeddings: DataFrame, keys: list[s
     right = embeddings.select(*(F.col(k).alias(f"__{k}") for k in keys), *(F.col(c).alias(f"__{c}") for c in same), "embedding")
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     both = sequences.join(right, on, "left")
-    differ = [F.count_if(F.col("embedding").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"__{c}"))).alias(c) for c in same]
-    counts = both.agg(F.count_if(F.col("embedding").isNull()).alias("missing"), *differ).first().asDict()
+    # the check needs no vectors, so none are shuffled for it
+    there = right.select(*(c for c in right.columns if c != "embedding"), F.col("embedding").isNotNull().alias("__there"))
+    found = F.coalesce("__there", F.lit(False))
+    differ = [F.count_if(found & ~F.col(c).eqNullSafe(F.col(f"__{c}"))).alias(c) for c in same]
+    counts = sequences.join(there, on, "left").agg(F.count_if(~found).alias("missing"), *differ).first().asDict()
     if bad := {k: n for k, n in counts.items() if n}:
         raise ValueError(f"sequences and embeddings don't fit: {bad}")
     return both.drop(*(f"__{c}" for c in (*keys, *same)))

@@ -192,6 +192,13 @@ def test_embeddings_are_aligned_and_checked(spark):
             r.aligned_embeddings(a, b, keys, ("v_gene",))
 
 
+def test_the_check_of_embeddings_makes_no_vector(spark):
+    s = spark.createDataFrame([("S1", "1", "V1"), ("S1", "2", "V2")], "specimen_label string, clone string, v_gene string")
+    e = s.withColumn("embedding", F.array(F.raise_error(F.col("v_gene")).cast("double")))
+    # the vectors would fail if they were made; what is checked is who has one
+    assert r.aligned_embeddings(s, e, ["specimen_label", "clone"], ("v_gene",)).select("clone").count() == 2
+
+
 def test_bad_files_and_subsets(spark, tmp_path):
     folder = tmp_path / "tables"
     folder.mkdir()
