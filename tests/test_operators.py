@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import time
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -172,6 +173,25 @@ def test_group_regressions_learn(spark):
     assert [s.score for s in scored if s.v_gene == "V9"] == [None]
 
 
+def test_group_regressions_take_all_rows_of_a_group(spark):
+    """A group of 260,000 rows with 48 vectors: the model is that of all its rows, of which equal ones are one with their number."""
+    n, folds = 260_000, 5
+    x = spark.range(n).select(F.col("id"), F.concat(F.lit("P"), F.col("id") % 31).alias("participant_label"), F.lit("V1").alias("v_gene"))
+    v = [F.pmod(F.xxhash64("id", F.lit(j)), F.lit(m)) for j, m in ((0, 4), (1, 3), (2, 4))]
+    x = x.withColumn("embedding", F.array(*[c.cast("float") for c in v]))
+    x = x.withColumn("disease", F.when(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(9)) < 2 + F.col("embedding")[0] + F.col("embedding")[1], "A").otherwise("B")).cache()
+    rows = x.toPandas()
+    assert len(rows) == n and rows["embedding"].map(tuple).nunique() == 48
+    z = np.stack(rows["embedding"].to_list()).astype(float)
+    scale = z.std(0)
+    y, fold = (rows["disease"] == "A").to_numpy(float), rows["participant_label"].map(lambda p: zlib.crc32(p.encode()) % folds).to_numpy()
+    penalty, b = choose_ridge((z - z.mean(0)) / scale, y, fold, 10)
+    got = {r["class"]: r for r in fit_groups(x, n=10, folds=folds).collect()}
+    assert sorted(got) == ["A", "B"] and got["A"].penalty == pytest.approx(penalty, rel=1e-9)
+    assert np.allclose(got["A"].coefficients, b[:-1] / scale, atol=1e-7) and got["A"].intercept == pytest.approx(b[-1] - b[:-1] / scale @ z.mean(0), abs=1e-6)
+    assert np.allclose(got["A"].coefficients, -np.array(got["B"].coefficients), atol=1e-6)
+
+
 def test_all_penalties_of_a_ridge_path_are_solved_together(monkeypatch):
     """Every slope is 0 at the end, also where the classes can be told apart and neighbours are far from each other; the rows are
     passed fewer times than there are penalties."""
